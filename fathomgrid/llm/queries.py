@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokens
+from . import contamination, html, jaccard, language, lines, neighbours, packing, substrings, tokens, warc
 from .common import materialize, table
 
 
@@ -17,19 +17,144 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.identify(docs, language.train(docs))
+    return out.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.drop_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = materialize(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
-    out = packing.pack(found)
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    out = packing.pack(materialize(packing.pieces(docs, tokenizer_path())))
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    out = contamination.decontaminate(docs, benchmark)
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
+ALL = (op1_line_dedup, op2_language_id, op3_substring_dedup, op4_best_fit_packing, op5_decontamination, op6_html_extraction, op7_nearest_neighbours, op8_warc, op9_token_counts, op10_jaccard_join)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op9_token_counts)}
+    return {f.__name__: f for f in ALL}
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = r"""
+WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+     found AS (SELECT source, unnest(list_distinct(lines)) AS line FROM pages),
+     counts AS (SELECT source, line, count(*) AS n FROM found WHERE trim(line) <> '' GROUP BY source, line),
+     totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
+     boiler AS (SELECT c.source, c.line FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n > 0.1 * pages),
+     each AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM pages),
+     kept AS (SELECT e.doc_id, count(*) AS n_lines, count(b.line) AS n_removed,
+                     coalesce(string_agg(e.line, chr(10) ORDER BY e.at) FILTER (b.line IS NULL), '') AS kept
+              FROM each e LEFT JOIN boiler b ON e.line = b.line AND e.source IS NOT DISTINCT FROM b.source GROUP BY e.doc_id)
+SELECT p.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed,
+       CASE WHEN p.text IS NOT NULL THEN sha256(k.kept) END AS kept_sha256
+FROM pages p LEFT JOIN kept k USING (doc_id)
+"""
+
+OP3 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     g AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w),
+     k AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram FROM g),
+     least AS (SELECT gram, min(doc_id) AS d FROM k GROUP BY gram),
+     hit AS (SELECT DISTINCT k.doc_id, unnest(range(i, i + 13)) AS at FROM k JOIN least USING (gram) WHERE least.d < k.doc_id),
+     each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM w),
+     kept AS (SELECT e.doc_id, count(h.at) AS n, coalesce(string_agg(e.word, ' ' ORDER BY e.at) FILTER (h.at IS NULL), '') AS kept
+              FROM each e LEFT JOIN hit h ON e.doc_id = h.doc_id AND e.at = h.at GROUP BY e.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+OP5 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+     b AS (SELECT DISTINCT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+     sized AS (SELECT item_id, ws, least(len(ws), 13) AS m FROM b WHERE len(ws) > 0),
+     bi AS (SELECT item_id, m, ws, unnest(range(1, len(ws) - m + 2)) AS i FROM sized),
+     bw AS (SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS gram FROM bi),
+     di AS (SELECT doc_id, s.m, ws, unnest(range(1, len(ws) - s.m + 2)) AS i FROM d, (SELECT DISTINCT m FROM sized) s WHERE len(ws) >= s.m),
+     hits AS (SELECT di.doc_id, di.i, di.m, item_id FROM di JOIN bw ON di.m = bw.m AND array_to_string(di.ws[di.i:di.i + di.m - 1], ' ') = bw.gram),
+     words AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS at FROM hits) GROUP BY doc_id),
+     items AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP8 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     g AS (SELECT html, max(page_id) AS top FROM p GROUP BY html),
+     s AS (SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS hex, top FROM p JOIN g ON p.html = g.html),
+     v AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT) AS fives FROM s)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((fives[1 + j // 4] >> (15 - 5 * (j % 4))) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to
+FROM v
+"""
+
+OP10 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     g AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0),
+     s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS gram FROM g),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+     links AS (SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+     reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON c.a = w.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1, "op3_substring_dedup": OP3, "op5_decontamination": OP5, "op8_warc": OP8, "op10_jaccard_join": OP10}
