@@ -1,0 +1,100 @@
+"""Model fits as functions for backtests: priors are derived from each training window, nothing else."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+from . import priors
+from .samplers import Draws, run
+
+Fit = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+# Draws and burn-in of each model in a backtest (for the last two: kept draws and warm-up).
+BUDGETS = {"gaussian": (500, 100), "lasso": (1200, 700), "horseshoe": (1250, 500), "regularised": (1000, 500)}
+
+
+def ols() -> Fit:
+    return priors.least_squares
+
+
+def ridge(penalty: float = 1.0) -> Fit:
+    """Least squares by asset with a penalty on all coefficients but the first."""
+
+    def fit(r: np.ndarray, f: np.ndarray) -> np.ndarray:
+        k = f.shape[2]
+        d = penalty * np.eye(k)
+        d[0, 0] = 0
+        return np.stack([np.linalg.solve(x.T @ x + d, x.T @ y) for x, y in zip(f, r)])
+
+    return fit
+
+
+def prior_of(model: str, r: np.ndarray, f: np.ndarray, **settings) -> priors.Prior:
+    if model == "gaussian":
+        if settings.get("prior") == "default":
+            return priors.default_prior(r, f.shape[2])
+        return priors.rescaled_prior(r, f, settings.get("target_r2", 0.05))
+    make = {"lasso": priors.lasso_prior, "horseshoe": priors.horseshoe_prior, "regularised": priors.regularised_prior}[model]
+    return make(r, f, **settings)
+
+
+def sampled(model: str, draws: int | None = None, burn: int | None = None, seed: int = 0, **settings) -> Callable[[np.ndarray, np.ndarray], Draws]:
+    """A chain of a model on a training window. What was set is in its attribute settings."""
+    total, warm = BUDGETS[model]
+    draws, burn = draws or total, warm if burn is None else burn
+
+    def chain(r: np.ndarray, f: np.ndarray) -> Draws:
+        b0 = priors.least_squares(r, f) if r.shape[1] > f.shape[2] else None
+        return run(model, r, f, prior_of(model, r, f, **settings), draws, burn, seed, b0=b0)
+
+    chain.settings = {"model": model, "draws": draws, "burn": burn, "seed": seed, **settings}
+    return chain
+
+
+def fitter(model: str, **settings) -> Fit:
+    """Posterior means of the coefficients."""
+    chain = sampled(model, **settings)
+
+    def fit(r: np.ndarray, f: np.ndarray) -> np.ndarray:
+        return chain(r, f).fields["B"].mean(axis=0)
+
+    fit.settings = chain.settings
+    return fit
+
+
+def interval_fitter(model: str, **settings) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Draws of the coefficients and of the residual variances."""
+    chain = sampled(model, **settings)
+
+    def fit(r: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = chain(r, f)
+        return d.fields["B"], np.diagonal(d.fields["Sigma"], axis1=1, axis2=2)
+
+    fit.settings = chain.settings
+    return fit
+
+
+def long(d: Draws, chain: int) -> pd.DataFrame:
+    """Draws as rows (chain, draw, field, i, j, value); scalars have i = j = 0, vectors i = 0."""
+    parts = []
+    for name, x in d.fields.items():
+        x = x.reshape(len(x), *((1, 1) if x.ndim == 1 else (1, x.shape[1]) if x.ndim == 2 else x.shape[1:]))
+        draw, i, j = np.indices(x.shape, dtype=np.int32)
+        parts.append(pd.DataFrame({"chain": np.int32(chain), "draw": draw.ravel(), "field": name, "i": i.ravel(), "j": j.ravel(), "value": x.ravel().astype(float)}))
+    return pd.concat(parts, ignore_index=True)
+
+
+def chains(spark: SparkSession, model: str, r: np.ndarray, f: np.ndarray, prior: priors.Prior, n: int = 4, draws: int = 3000, burn: int = 1000, seed: int = 0, **settings) -> DataFrame:
+    """n chains, one to a task, as a table of draws; chain c has seed + c."""
+    sent = spark.sparkContext.broadcast((r, f, prior))
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for c in batch["id"]:
+                yield long(run(model, *sent.value, draws, burn, seed + int(c), **settings), int(c))
+
+    return spark.range(0, n, 1, n).mapInPandas(one, "chain int, draw int, field string, i int, j int, value double")

@@ -1,15 +1,412 @@
-"""Queries of the library by name, and their SQL."""
+"""Queries of the library by name, each with its SQL where SQL can express it.
+
+A query's columns are given once, as `name[:kind]`: i integers, f doubles rounded to DIGITS, d dates as text, b booleans.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from fathomgrid.functions import scalar as S
+from fathomgrid.operators import backtest as B
+from fathomgrid.operators import descriptive as D
+from fathomgrid.operators import draws as M
+from fathomgrid.operators import evaluation as E
+from fathomgrid.operators import features as X
+from fathomgrid.operators import panel as P
+from fathomgrid.operators import sharpe_test as L
+
+from . import testpanel as T
+from .testpanel import EVERY, START, with_tables
+
+DIGITS = 6
+Run = Callable[[SparkSession, str], DataFrame]
+#: Normal CDF and quantile in SQL, with the constants of functions.scalar.
+E0, E1, E2, E3, E4 = S.ERF
+
+
+def cdf_sql(x: str) -> str:
+    k = f"(1.0 / (1.0 + {S.ERF_P} * (abs({x}) / sqrt(2.0))))"
+    erf = f"(1.0 - ((((({E4} * {k} + {E3}) * {k}) + {E2}) * {k} + {E1}) * {k} + {E0}) * {k} * exp(-({x}) * ({x}) / 2.0))"
+    return f"(CASE WHEN {x} >= 0 THEN 0.5 * (1.0 + {erf}) ELSE 0.5 * (1.0 - {erf}) END)"
+
+
+def horner_sql(coefficients: tuple[float, ...], x: str) -> str:
+    out = repr(coefficients[0]) + "::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c!r}))"
+    return out
+
+
+def quantile_sql(p: str) -> str:
+    tail = lambda r: f"({horner_sql(S.QC, r)} / {horner_sql((*S.QD, 1.0), r)})"
+    q = f"({p} - 0.5)"
+    middle = f"({horner_sql(S.QA, f'({q} * {q})')} * {q} / {horner_sql((*S.QB, 1.0), f'({q} * {q})')})"
+    return f"(CASE WHEN {p} < {S.TAIL} THEN {tail(f'sqrt(-2 * ln({p}))')} WHEN {p} > {1 - S.TAIL} THEN -{tail(f'sqrt(-2 * ln(1 - {p}))')} ELSE {middle} END)"
+
+
+@dataclass(frozen=True)
+class Query:
+    columns: str
+    run: Run
+    sql: str | None = None
+
+    def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = self.run(spark, sf_dir)
+        shape = {"i": lambda c: F.col(c).cast("long"), "f": lambda c: F.round(F.col(c).cast("double"), DIGITS) + F.lit(0.0), "d": lambda c: F.date_format(c, "yyyy-MM-dd"), "b": F.col, "s": lambda c: F.col(c).cast("string")}
+        return df.select(*(shape[kind](name).alias(name) for name, kind in self.parts()))
+
+    def oracle(self) -> str:
+        shape = {"i": "CAST({0} AS BIGINT)", "f": "round(CAST({0} AS DOUBLE), %d) + 0.0" % DIGITS, "d": "strftime({0}, '%Y-%m-%d')", "b": "{0}", "s": "CAST({0} AS VARCHAR)"}
+        with_part, _, body = self.sql.rpartition("\n--\n")
+        return f"{with_part}\nSELECT " + ", ".join(f"{shape[kind].format(name)} AS {name}" for name, kind in self.parts()) + f" FROM ({body}) AS result"
+
+    def parts(self) -> list[tuple[str, str]]:
+        return [(n, k or "s") for n, _, k in (c.partition(":") for c in self.columns.split())]
+
+
+def q(tables: str, body: str, more: str = "") -> str:
+    head = with_tables(*tables.split()) if tables else ""
+    if more:
+        head = f"{head},\n{more}" if head else f"WITH {more}"
+    return f"{head}\n--\n{body}"
+
+
+def ar1(spark: SparkSession, d: str) -> DataFrame:
+    return B.ar1_forecasts(T.responses(spark, d), START, EVERY)
+
+
+def both_models(spark: SparkSession, d: str) -> DataFrame:
+    """Forecasts of both models side by side: predicted (AR(1)) and prefix (mean)."""
+    other = B.prefix_mean_forecasts(T.responses(spark, d), START, EVERY).select("universe", "asset", "t", F.col("predicted").alias("prefix"))
+    return ar1(spark, d).join(other, ["universe", "asset", "t"])
+
+
+def portfolio(spark: SparkSession, d: str) -> DataFrame:
+    return E.portfolio(E.weights(ar1(spark, d)))
+
+
+def model_returns(spark: SparkSession, d: str) -> DataFrame:
+    """Portfolio returns (universe, model, t, q) of the AR(1) forecasts and of their negatives' half."""
+    f = ar1(spark, d)
+    a = E.portfolio(E.weights(f)).withColumn("model", F.lit("ar1"))
+    b = E.portfolio(E.weights(f.withColumn("predicted", F.col("benchmark")))).withColumn("model", F.lit("mean"))
+    return a.unionByName(b)
+
+
+def excess(spark: SparkSession, d: str) -> DataFrame:
+    return P.excess_returns(T.returns(spark, d), T.rates(spark, d))
+
+
+def interval_rows(spark: SparkSession, d: str) -> DataFrame:
+    """AR(1) forecasts with intervals of one and two expanding residual deviations."""
+    sd = F.stddev_samp(F.col("realised") - F.col("benchmark")).over(W.partitionBy("universe", "asset").orderBy("t").rowsBetween(W.unboundedPreceding, -1))
+    f = ar1(spark, d).withColumn("_s", sd).filter("_s is not null")
+    return f.select("universe", "asset", "t", "realised", *((F.col("predicted") + k * F.col("_s")).alias(n) for n, k in (("lo_coef", -1.0), ("hi_coef", 1.0), ("lo_full", -2.0), ("hi_full", 2.0))))
+
+
+def lookahead_check(spark: SparkSession, d: str) -> DataFrame:
+    return B.lookahead(lambda p: B.ar1_forecasts(p, START, EVERY), T.responses(spark, d).filter("universe = 'type'"), START + EVERY, EVERY)
+
+
+def metrics_by_model(spark: SparkSession, d: str) -> DataFrame:
+    r = model_returns(spark, d)
+    by = ("universe", "model")
+    return E.sharpe(r, by).join(E.certainty_equivalent(r, 3.0, by), list(by))
+
+
+LRV = """s AS (SELECT universe, t, {d} AS d FROM {src} GROUP BY universe, t),
+  c AS (SELECT universe, row_number() OVER (PARTITION BY universe ORDER BY t) AS i, d - avg(d) OVER (PARTITION BY universe) AS c, count(*) OVER (PARTITION BY universe) AS n FROM s),
+  a AS (SELECT x.universe, y.i - x.i AS k, sum(x.c * y.c) / any_value(x.n) AS g, any_value(x.n) AS n, any_value(floor(4 * pow(x.n / 100.0, 2.0 / 9))) AS l FROM c x JOIN c y ON x.universe = y.universe AND y.i >= x.i AND y.i - x.i <= floor(4 * pow(x.n / 100.0, 2.0 / 9)) GROUP BY 1, 2),
+  lrv AS (SELECT universe, max(n) AS n, max(l) AS lags, greatest(0, sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / (l + 1)) * g END)) AS lrv FROM a GROUP BY 1),
+  tested AS (SELECT universe, n, lags, lrv, mean, mean / sqrt(lrv / n) AS stat FROM lrv JOIN (SELECT universe, avg(d) AS mean FROM s GROUP BY 1) USING (universe))"""
+SHARPE = "CASE WHEN stddev_samp(q) > 1e-12 * max(abs(q)) THEN avg(q) / stddev_samp(q) * sqrt(12) END"
+CE = "12 * (avg(q) - 1.5 * var_samp(q))"
+DM_D = "avg(pow(realised - predicted, 2)) - avg(pow(realised - prefix, 2))"
+CW_D = "avg(pow(realised - benchmark, 2) - pow(realised - predicted, 2) + pow(benchmark - predicted, 2))"
+MODELS = """m2 AS (SELECT universe, asset, t, benchmark - avg(benchmark) OVER (PARTITION BY universe, t) AS d, benchmark, realised FROM forecasts),
+  m3 AS (SELECT *, sum(abs(d)) OVER (PARTITION BY universe, t) AS g, sum(abs(benchmark)) OVER (PARTITION BY universe, t) AS p FROM m2),
+  model_returns AS (SELECT universe, 'ar1' AS model, t, q FROM portfolio UNION ALL SELECT universe, 'mean', t, sum(CASE WHEN g > 1e-12 * greatest(p, 1e-300) THEN d / g ELSE 0 END * realised) FROM m3 GROUP BY universe, t)"""
+INTERVALS = """iv AS (SELECT *, stddev_samp(realised - benchmark) OVER (PARTITION BY universe, asset ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM forecasts)"""
+RANKED = "rk AS (SELECT *, rank() OVER (PARTITION BY field ORDER BY value) + (count(*) OVER (PARTITION BY field, value) - 1) / 2.0 AS rank, count(*) OVER (PARTITION BY field) AS s FROM {0}), z AS (SELECT *, {1} AS z FROM rk)"
+Z = RANKED.format("draws", quantile_sql("((rank - 0.375) / (s + 0.25))"))
+FOLDED = "fd AS (SELECT field, chain, draw, abs(value - median(value) OVER (PARTITION BY field)) AS value FROM draws), fr AS (SELECT *, rank() OVER (PARTITION BY field ORDER BY value) + (count(*) OVER (PARTITION BY field, value) - 1) / 2.0 AS rank, count(*) OVER (PARTITION BY field) AS s FROM fd), fz AS (SELECT *, " + quantile_sql("((rank - 0.375) / (s + 0.25))") + " AS z FROM fr)"
+
+
+def rhat_sql(src: str, value: str, name: str, halves: bool = True) -> str:
+    if halves:
+        half = f"""{name}_p AS (SELECT field, chain, {value} AS x, row_number() OVER (PARTITION BY field, chain ORDER BY draw) - 1 AS pos, count(*) OVER (PARTITION BY field, chain) AS n FROM {src}),
+  {name}_h AS (SELECT field, chain, CASE WHEN pos < n // 2 THEN 0 WHEN pos >= n - n // 2 THEN 1 END AS half, x FROM {name}_p)"""
+    else:
+        half = f"{name}_h AS (SELECT field, chain, 0 AS half, {value} AS x FROM {src})"
+    return f"""{half},
+  {name}_c AS (SELECT field, chain, half, var_samp(x) AS v, avg(x) AS m, count(*) AS n FROM {name}_h WHERE half IS NOT NULL GROUP BY 1, 2, 3),
+  {name} AS (SELECT field, CASE WHEN avg(v) > 0 THEN sqrt(((min(n) - 1) / min(n)::DOUBLE * avg(v) + var_samp(m)) / avg(v)) END AS rhat FROM {name}_c GROUP BY 1)"""
+
+
+OWN = X.OWN
+OWN_F = " ".join(f"{c}:f" for c in OWN)
+
+
+def zscore_sql(c: str, over: str = "w") -> str:
+    return f"CASE WHEN stddev_samp({c}) OVER {over} <> 0 THEN ({c} - avg({c}) OVER {over}) / stddev_samp({c}) OVER {over} END AS {c}"
+
+
+SCORED = f"""scored AS (SELECT universe, asset, month, {', '.join(zscore_sql(c) for c in OWN)}, lead(ret) OVER (PARTITION BY universe, asset ORDER BY month) AS r_next, row_number() OVER (PARTITION BY universe, asset ORDER BY month) AS rn
+    FROM history WINDOW w AS (PARTITION BY universe, asset ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  shared AS (SELECT month, {', '.join(zscore_sql(c) for c in T.COMMON)} FROM common WINDOW w AS (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  kept AS (SELECT * FROM scored JOIN shared USING (month) WHERE rn > 30 AND ret_lag1 IS NOT NULL AND vol12 IS NOT NULL AND disc IS NOT NULL AND tax IS NOT NULL AND qty IS NOT NULL AND r_next IS NOT NULL)"""
+INTER = [f"{c}_x_{o}" for c in T.COMMON for o in ("ret_lag1", "vol12")]
+
+
+def interactions_query(spark: SparkSession, d: str) -> DataFrame:
+    s = P.complete(P.stabilised(T.scored(spark, d)), ["ret_lag1", "vol12", *T.COMMON, "r_next"])
+    return s.select("universe", "asset", "month", *P.interactions(T.COMMON, ["ret_lag1", "vol12"]))
+
+
+def panel_features(spark: SparkSession, d: str) -> DataFrame:
+    p = T.model_panel(spark, d)
+    return p.select("universe", "asset", "month", "t", "r_next", F.size("f").alias("k"), F.aggregate("f", F.lit(0.0), lambda a, x: a + x).alias("f_sum"), S.dot(F.col("f"), F.col("f")).alias("f_norm2"))
+
+
+def fitted(spark: SparkSession, d: str, fit) -> DataFrame:
+    """Forecasts of a fitter for the part types' model panel."""
+    p = T.model_panel(spark, d, 0).filter("universe = 'type'")
+    return B.expanding_window(p, fit, 24, EVERY)
+
+
+def ols_backtest(spark: SparkSession, d: str) -> DataFrame:
+    from fathomgrid.models.fitters import ridge
+
+    return fitted(spark, d, ridge(5.0))
+
+
+def gibbs_backtest(spark: SparkSession, d: str) -> DataFrame:
+    from fathomgrid.models.fitters import fitter
+
+    return fitted(spark, d, fitter("gaussian", draws=60, burn=20))
+
+
+def predictors_of(spark: SparkSession, d: str) -> DataFrame:
+    return P.complete(P.stabilised(T.scored(spark, d)), ["ret_lag1", "vol12", *T.COMMON, "r_next"])
+
+
+PRED = ["ret_lag1", "vol12", "disc", "tax", "qty"]
+CORR_SQL = "corr AS (" + " UNION ALL ".join(f"SELECT universe, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM kept GROUP BY universe" for i, a in enumerate(PRED) for b in PRED[i + 1 :]) + ")"
+
+
+def sharpe_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return L.compared(model_returns(spark, d), [("ar1", "mean")])
+
+
+def named_corr(spark: SparkSession, d: str) -> DataFrame:
+    return D.correlations(predictors_of(spark, d), PRED)
+
+
+HAC = f"""{MODELS},
+  pr AS (SELECT a.universe, a.t, a.q AS r1, b.q AS r2 FROM model_returns a JOIN model_returns b USING (universe, t) WHERE a.model = 'ar1' AND b.model = 'mean'),
+  mo AS (SELECT universe, count(*) AS n, avg(r1) AS m1, avg(r2) AS m2, avg(r1 * r1) AS g1, avg(r2 * r2) AS g2 FROM pr GROUP BY 1 HAVING avg(r1 * r1) - pow(avg(r1), 2) > 0 AND avg(r2 * r2) - pow(avg(r2), 2) > 0),
+  md AS (SELECT *, pow(g1 - m1 * m1, 1.5) AS s1, pow(g2 - m2 * m2, 1.5) AS s2, m1 / sqrt(g1 - m1 * m1) - m2 / sqrt(g2 - m2 * m2) AS delta, floor(4 * pow(n / 100.0, 2.0 / 9)) AS lags FROM mo),
+  zz AS (SELECT universe, row_number() OVER (PARTITION BY universe ORDER BY t) AS i, n, lags, delta, g1 / s1 * (r1 - m1) - g2 / s2 * (r2 - m2) - m1 / (2 * s1) * (r1 * r1 - g1) + m2 / (2 * s2) * (r2 * r2 - g2) AS z FROM pr JOIN md USING (universe)),
+  ps AS (SELECT x.universe, any_value(x.n) AS n, any_value(x.lags) AS lags, any_value(x.delta) AS delta, sum(CASE WHEN y.i = x.i THEN 1.0 ELSE 2 * (1 - (y.i - x.i) / (x.lags + 1)) END * x.z * y.z / x.n) AS psi FROM zz x JOIN zz y ON x.universe = y.universe AND y.i >= x.i AND y.i - x.i <= x.lags GROUP BY 1)"""
+
+
+def all_queries() -> dict[str, Query]:
+    out = {
+        "monthly_revenue": Query("universe asset month:d rev:f", T.revenue, q("revenue", "SELECT * FROM revenue")),
+        "listwise_panel": Query("universe asset month:d t:i ret:f", T.returns, q("returns", "SELECT * FROM returns")),
+        "excess_returns": Query("universe asset month:d ret:f", excess, q("returns common", "SELECT universe, asset, r.month, ret - tax / 10 AS ret FROM returns r JOIN common c ON r.month = c.month")),
+        "aligned_range": Query(
+            "universe asset month:d ret:f",
+            lambda s, d: P.common_range(T.raw_returns(s, d).filter("ret is not null and month >= '1996-01-01'"), T.common(s, d).filter("month < '2001-01-01'"))[0],
+            q("raw common", "SELECT * FROM raw WHERE ret IS NOT NULL AND month >= DATE '1996-01-01' AND month >= (SELECT min(month) FROM common) AND month <= (SELECT max(month) FROM common WHERE month < DATE '2001-01-01') AND month <= (SELECT max(month) FROM raw)"),
+        ),
+        "restricted_months": Query("month:d disc:f", lambda s, d: P.restricted(T.common(s, d), T.returns(s, d).filter("universe = 'type'")), q("returns common", "SELECT month, disc FROM common SEMI JOIN (SELECT * FROM returns WHERE universe = 'type') r USING (month)")),
+        "common_months": Query("month:d", lambda s, d: T.returns(s, d).filter("universe = 'brand'").select("month").intersect(T.returns(s, d).filter("universe = 'nation'").select("month")), q("returns", "SELECT month FROM returns WHERE universe = 'brand' INTERSECT SELECT month FROM returns WHERE universe = 'nation'")),
+        "sentinel_recode": Query(
+            "asset month:d ret:f",
+            lambda s, d: P.recode_sentinels(T.returns(s, d).filter("universe = 'type'").select("asset", "month", F.when(F.pmod("t", F.lit(7)) == 0, -99.99).when(F.pmod("t", F.lit(11)) == 0, -999.0).otherwise(F.col("ret")).alias("ret")), ["ret"]),
+            q("returns", "SELECT asset, month, CASE WHEN t % 7 = 0 OR t % 11 = 0 THEN NULL ELSE ret END AS ret FROM returns WHERE universe = 'type'"),
+        ),
+        "month_parse": Query("yyyymm:i month:d pct:f", lambda s, d: T.common(s, d).select((F.year("month") * 100 + F.month("month")).alias("yyyymm"), "disc").select("yyyymm", P.month_start(F.col("yyyymm")).alias("month"), "disc").transform(lambda x: P.percent_to_decimal(x, ["disc"])).withColumnRenamed("disc", "pct"), q("common", "SELECT year(month) * 100 + month(month) AS yyyymm, month, disc / 100 AS pct FROM common")),
+        "macro_features": Query(
+            "month:d BM:f NTIS:f SVAR:f TBL:f CPI:f DY:f EP:f DFY:f TMS:f",
+            lambda s, d: P.macro_features(T.macro_raw(s, d)),
+            q("macro", "SELECT month, bm AS BM, ntis AS NTIS, svar AS SVAR, tbl AS TBL, infl AS CPI, ln(d12) - ln(lag(idx) OVER (ORDER BY month)) AS DY, ln(e12) - ln(idx) AS EP, baa - aaa AS DFY, lty - tbl AS TMS FROM macro"),
+        ),
+        "own_history_features": Query(f"universe asset month:d {OWN_F}", T.history, q("history", "SELECT * FROM history")),
+        "expanding_zscore": Query(
+            f"universe asset month:d {OWN_F}",
+            lambda s, d: X.expanding_zscore(T.history(s, d), OWN),
+            q("history", f"SELECT universe, asset, month, {', '.join(zscore_sql(c) for c in OWN)} FROM history WINDOW w AS (PARTITION BY universe, asset ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
+        ),
+        "lead_response": Query("universe asset t:i r_next:f", T.responses, q("responses", "SELECT * FROM responses")),
+        "interactions": Query(f"universe asset month:d {' '.join(f'{c}:f' for c in INTER)}", interactions_query, q("history common", "SELECT universe, asset, month, " + ", ".join(f"{c} * {o} AS {c}_x_{o}" for c in T.COMMON for o in ("ret_lag1", "vol12")) + " FROM kept", SCORED)),
+        "panel_features": Query(
+            "universe asset month:d t:i r_next:f k:i f_sum:f f_norm2:f",
+            panel_features,
+            q(
+                "history common",
+                "SELECT universe, asset, month, row_number() OVER (PARTITION BY universe, asset ORDER BY month) - 1 AS t, r_next, len(f) AS k, list_sum(f) AS f_sum, list_sum(list_transform(f, lambda x: x * x)) AS f_norm2 FROM vec",
+                SCORED + ", vec AS (SELECT *, [1.0::DOUBLE, disc, tax, qty, ret_lag1, vol12, " + ", ".join(f"{c} * {o}" for c in T.COMMON for o in ("ret_lag1", "vol12")) + "] AS f FROM kept)",
+            ),
+        ),
+        "panel_metadata": Query(
+            "universe n_assets:i K:i T:i first last",
+            lambda s, d: __import__("fathomgrid.sources.stores", fromlist=["x"]).panel_metadata(T.returns(s, d), ["ret"]).select("universe", "n_assets", "K", "T", F.col("date_range")[0].alias("first"), F.col("date_range")[1].alias("last")),
+            q("returns", "SELECT universe, count(DISTINCT asset) AS n_assets, 1 AS K, count(DISTINCT month) AS T, strftime(min(month), '%Y-%m-%d') AS first, strftime(max(month), '%Y-%m-%d') AS last FROM returns GROUP BY 1"),
+        ),
+        "predictor_groups": Query(
+            "name grp",
+            lambda s, d: s.createDataFrame([(n,) for n in P.predictor_names(T.COMMON, ["ret_lag1", "vol12"])], "name string").select("name", P.predictor_group(F.col("name"), T.COMMON).alias("grp")),
+            "\n--\nSELECT name, CASE WHEN name = 'intercept' THEN 'intercept' WHEN contains(name, '_x_') THEN 'interaction' WHEN name IN ('disc', 'tax', 'qty') THEN 'common' ELSE 'own' END AS grp FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in P.predictor_names(T.COMMON, ["ret_lag1", "vol12"])) + "]) AS name)",
+        ),
+        "expanding_benchmark": Query("universe asset t:i benchmark:f", lambda s, d: B.expanding_benchmark(T.responses(s, d)).filter(F.col("t") >= START), q("forecasts", "SELECT universe, asset, t, benchmark FROM keyed")),
+        "ar1_forecast": Query("universe asset t:i t_refit:i predicted:f realised:f benchmark:f", ar1, q("forecasts", "SELECT * FROM forecasts")),
+        "oos_r2": Query("universe r2:f", lambda s, d: E.oos_r2(ar1(s, d)), q("forecasts", "SELECT universe, 1 - sum(pow(realised - predicted, 2)) / sum(pow(realised - benchmark, 2)) AS r2 FROM forecasts GROUP BY 1")),
+        "r2_by_asset": Query("universe asset r2:f", lambda s, d: E.r2_by_asset(ar1(s, d)), q("forecasts", "SELECT universe, asset, 1 - sum(pow(realised - predicted, 2)) / sum(pow(realised - benchmark, 2)) AS r2 FROM forecasts GROUP BY 1, 2")),
+        "r2_summary": Query("universe median_r2:f n_positive:i", lambda s, d: E.r2_summary(ar1(s, d)), q("forecasts", "SELECT universe, median(r2) AS median_r2, count(*) FILTER (r2 > 0) AS n_positive FROM (SELECT universe, asset, 1 - sum(pow(realised - predicted, 2)) / sum(pow(realised - benchmark, 2)) AS r2 FROM forecasts GROUP BY 1, 2) GROUP BY 1")),
+        "alignment_alarm": Query("universe r2:f alarm:b", lambda s, d: E.alignment_alarm(E.oos_r2(ar1(s, d))), q("forecasts", "SELECT universe, 1 - sum(pow(realised - predicted, 2)) / sum(pow(realised - benchmark, 2)) AS r2, 1 - sum(pow(realised - predicted, 2)) / sum(pow(realised - benchmark, 2)) > 0.05 AS alarm FROM forecasts GROUP BY 1")),
+        "ls_weights": Query("universe asset t:i w:f", lambda s, d: E.weights(ar1(s, d)), q("weights", "SELECT * FROM weights")),
+        "ls_returns": Query("universe t:i q:f", portfolio, q("weights", "SELECT * FROM portfolio")),
+        "gross_exposure": Query("universe mean_gross:f min_gross:f", lambda s, d: E.gross_exposure(E.weights(ar1(s, d))), q("weights", "SELECT universe, avg(g) AS mean_gross, min(g) AS min_gross FROM (SELECT universe, t, sum(abs(w)) AS g FROM weights GROUP BY 1, 2) GROUP BY 1")),
+        "sharpe": Query("universe sharpe:f", lambda s, d: E.sharpe(portfolio(s, d)), q("weights", f"SELECT universe, {SHARPE} AS sharpe FROM portfolio GROUP BY 1")),
+        "certainty_equivalent": Query("universe ce:f", lambda s, d: E.certainty_equivalent(portfolio(s, d)), q("weights", f"SELECT universe, {CE} AS ce FROM portfolio GROUP BY 1")),
+        "pred_vol_ratio": Query("universe vol_ratio:f", lambda s, d: E.volatility_ratio(ar1(s, d)), q("forecasts", "SELECT universe, stddev_pop(predicted) / stddev_pop(realised) AS vol_ratio FROM forecasts GROUP BY 1")),
+        "loss_decomposition": Query(
+            "universe var_common:f var_cross:f cov_common:f cov_cross:f",
+            lambda s, d: E.loss_decomposition(ar1(s, d)),
+            q("forecasts", "SELECT universe, sum(db * db) / sum(e * e) AS var_common, sum(pow(d - db, 2)) / sum(e * e) AS var_cross, -2 * sum(eb * db) / sum(e * e) AS cov_common, -2 * sum((e - eb) * (d - db)) / sum(e * e) AS cov_cross FROM ld GROUP BY 1", "ld AS (SELECT universe, realised - benchmark AS e, predicted - benchmark AS d, avg(realised - benchmark) OVER w AS eb, avg(predicted - benchmark) OVER w AS db FROM forecasts WINDOW w AS (PARTITION BY universe, t))"),
+        ),
+        "newey_west": Query("universe n:i lags:i mean:f lrv:f", lambda s, d: E.long_run_variance(portfolio(s, d), "q"), q("weights", "SELECT * FROM tested", LRV.format(d="any_value(q)", src="portfolio"))),
+        "diebold_mariano": Query("universe n:i lags:i mean:f stat:f p:f", lambda s, d: E.diebold_mariano(both_models(s, d), "predicted", "prefix"), q("forecasts", f"SELECT *, 2 * (1 - {cdf_sql('abs(stat)')}) AS p FROM tested", LRV.format(d=DM_D, src="forecasts"))),
+        "clark_west": Query("universe n:i lags:i mean:f stat:f p:f", lambda s, d: E.clark_west(ar1(s, d)), q("forecasts", f"SELECT *, 1 - {cdf_sql('stat')} AS p FROM tested", LRV.format(d=CW_D, src="forecasts"))),
+        "sharpe_diff_hac": Query("universe n:i lags:i delta:f se:f t_stat:f", lambda s, d: L.hac_difference(sharpe_pairs(s, d), ("universe", "a", "b")), q("weights", "SELECT universe, n, lags, delta, sqrt(greatest(psi, 0) / n) AS se, delta / nullif(sqrt(greatest(psi, 0) / n), 0) AS t_stat FROM ps", HAC)),
+        "sharpe_bootstrap": Query("universe n:i delta:f se:f block:i p:f", lambda s, d: L.block_sweep(sharpe_pairs(s, d), ("universe", "a", "b"), (5,), 499)),
+        "cross_sort_stacked": Query("t:i q:f", lambda s, d: E.stacked(portfolio(s, d)), q("weights", "SELECT t, avg(q) AS q FROM portfolio GROUP BY 1")),
+        "cross_sort_pooled": Query(
+            "portfolio sharpe:f ce:f best_within:b",
+            lambda s, d: E.cross_sort(ar1(s, d)),
+            q(
+                "weights",
+                "SELECT *, portfolio NOT IN ('pooled', 'stacked') AND sharpe = (SELECT max(sharpe) FROM sc WHERE portfolio NOT IN ('pooled', 'stacked')) AS best_within FROM sc",
+                f"""pd AS (SELECT t, realised, predicted - avg(predicted) OVER (PARTITION BY t) AS d FROM forecasts), pg AS (SELECT *, sum(abs(d)) OVER (PARTITION BY t) AS g FROM pd),
+  ev AS (SELECT universe AS portfolio, t, q FROM portfolio UNION ALL SELECT 'pooled', t, sum(CASE WHEN g > 0 THEN d / g ELSE 0 END * realised) FROM pg GROUP BY t UNION ALL SELECT 'stacked', t, avg(q) FROM portfolio GROUP BY t),
+  sc AS (SELECT portfolio, {SHARPE} AS sharpe, {CE} AS ce FROM ev GROUP BY 1)""",
+            ),
+        ),
+        "unequal_months": Query("universe t:i", lambda s, d: E.same_months(ar1(s, d)), q("forecasts", "SELECT * FROM (SELECT u.universe, m.t FROM (SELECT DISTINCT universe FROM forecasts) u, (SELECT DISTINCT t FROM forecasts) m) EXCEPT SELECT DISTINCT universe, t FROM forecasts")),
+        "model_minus_baseline": Query("universe model d_sharpe:f d_ce:f", lambda s, d: E.model_minus_baseline(metrics_by_model(s, d), "mean"), q("weights", "SELECT a.universe, a.model, a.sharpe - b.sharpe AS d_sharpe, a.ce - b.ce AS d_ce FROM mm a JOIN mm b USING (universe) WHERE a.model = 'ar1' AND b.model = 'mean'", f"{MODELS}, mm AS (SELECT universe, model, {SHARPE} AS sharpe, {CE} AS ce FROM model_returns GROUP BY 1, 2)")),
+        "stopping_rule": Query("universe gap:f stop:b", lambda s, d: E.stopping_rule(metrics_by_model(s, d)), q("weights", "SELECT universe, max(sharpe) - min(sharpe) AS gap, max(sharpe) - min(sharpe) < 0.158 AS stop FROM mm GROUP BY 1", f"{MODELS}, mm AS (SELECT universe, model, {SHARPE} AS sharpe FROM model_returns GROUP BY 1, 2)")),
+        "forecast_agreement": Query("universe max_diff:f relative:f", lambda s, d: E.agreement(ar1(s, d), B.prefix_mean_forecasts(T.responses(s, d), START, EVERY)), q("forecasts", "SELECT universe, max(abs(predicted - prefix)) AS max_diff, max(abs(predicted - prefix)) / avg(abs(predicted)) AS relative FROM forecasts GROUP BY 1")),
+        "interval_coverage": Query(
+            "universe n:i cover_coef:f cover_full:f width_coef:f width_full:f width_ratio:f se:f",
+            lambda s, d: E.coverage(interval_rows(s, d)),
+            q("forecasts", "SELECT universe, count(*) AS n, avg((realised BETWEEN predicted - s AND predicted + s)::INT) AS cover_coef, avg((realised BETWEEN predicted - 2 * s AND predicted + 2 * s)::INT) AS cover_full, avg(2 * s) AS width_coef, avg(4 * s) AS width_full, 0.5 AS width_ratio, sqrt(0.0475 / count(*)) AS se FROM iv WHERE s IS NOT NULL GROUP BY 1", INTERVALS),
+        ),
+        "lookahead_check": Query("before:f changed:b", lambda s, d: lookahead_check(s, d).select("before", (F.col("after") > 0).alias("changed")), "\n--\nSELECT 0.0 AS before, true AS changed"),
+        "asset_descriptives": Query(
+            "universe asset mean_pct:f sd_pct:f sharpe:f ar1:f",
+            lambda s, d: D.asset_statistics(T.returns(s, d)),
+            q("returns", "SELECT universe, asset, 100 * avg(ret) AS mean_pct, 100 * stddev_samp(ret) AS sd_pct, avg(ret) / stddev_samp(ret) * sqrt(12) AS sharpe, sum(c * b) / sum(c * c) AS ar1 FROM (SELECT *, lag(c) OVER (PARTITION BY universe, asset ORDER BY month) AS b FROM ct) GROUP BY 1, 2", "ct AS (SELECT *, ret - avg(ret) OVER (PARTITION BY universe, asset) AS c FROM returns)"),
+        ),
+        "statistic_ranges": Query(
+            "universe statistic lo:f mid:f hi:f",
+            lambda s, d: D.statistic_ranges(D.asset_statistics(T.returns(s, d))).filter("statistic in ('mean_pct', 'sd_pct')"),
+            q("returns", "SELECT universe, statistic, min(x) AS lo, median(x) AS mid, max(x) AS hi FROM (SELECT universe, 'mean_pct' AS statistic, mean_pct AS x FROM st UNION ALL SELECT universe, 'sd_pct', sd_pct FROM st) GROUP BY 1, 2", "st AS (SELECT universe, asset, 100 * avg(ret) AS mean_pct, 100 * stddev_samp(ret) AS sd_pct FROM returns GROUP BY 1, 2)"),
+        ),
+        "sample_covariance": Query("universe i j cov:f", lambda s, d: D.covariance(T.returns(s, d)), q("returns", "SELECT a.universe, a.asset AS i, b.asset AS j, covar_samp(a.ret, b.ret) AS cov FROM returns a JOIN returns b USING (universe, month) GROUP BY 1, 2, 3")),
+        "corr_matrix": Query("universe a b corr:f", named_corr, q("history common", "SELECT * FROM corr", f"{SCORED}, {CORR_SQL}")),
+        "corr_summary": Query("universe n_high:i median_abs:f p99_abs:f n_pairs:i", lambda s, d: D.correlation_summary(named_corr(s, d)), q("history common", "SELECT universe, count(*) FILTER (abs(corr) > 0.9) AS n_high, median(abs(corr)) AS median_abs, quantile_cont(abs(corr), 0.99) AS p99_abs, count(*) AS n_pairs FROM corr GROUP BY 1", f"{SCORED}, {CORR_SQL}")),
+        "near_duplicate_pairs": Query("universe a b corr:f rank:i", lambda s, d: D.ranked_correlations(named_corr(s, d)), q("history common", "SELECT *, row_number() OVER (PARTITION BY universe ORDER BY round(abs(corr), 9) DESC, a, b) AS rank FROM corr", f"{SCORED}, {CORR_SQL}")),
+        "market_return": Query("universe month:d mean_ret:f cum_log:f", lambda s, d: D.cumulative_log(D.market(T.returns(s, d)).filter("mean_ret > -1"), "mean_ret"), q("returns", "SELECT *, sum(ln(1 + mean_ret)) OVER (PARTITION BY universe ORDER BY month) AS cum_log FROM mk WHERE mean_ret > -1", "mk AS (SELECT universe, month, avg(ret) AS mean_ret FROM returns GROUP BY 1, 2)")),
+        "cumulative_log_return": Query("universe t:i cum_log:f", lambda s, d: D.cumulative_log(portfolio(s, d).filter("q > -1"), "q", "t"), q("weights", "SELECT universe, t, sum(ln(1 + q)) OVER (PARTITION BY universe ORDER BY t) AS cum_log FROM portfolio WHERE q > -1")),
+        "rolling_vol_band": Query("universe month:d lo:f hi:f", lambda s, d: D.rolling_volatility(T.returns(s, d)), q("returns", "SELECT universe, month, min(v) AS lo, max(v) AS hi FROM rv WHERE v IS NOT NULL GROUP BY 1, 2", "rv AS (SELECT universe, month, CASE WHEN count(ret) OVER w = 36 THEN stddev_samp(ret) OVER w * sqrt(12) END AS v FROM returns WINDOW w AS (PARTITION BY universe, asset ORDER BY month ROWS BETWEEN 35 PRECEDING AND CURRENT ROW))")),
+        "decimal_year": Query("month:d year:f", lambda s, d: T.common(s, d).select("month", S.decimal_year(F.col("month")).alias("year")), q("common", "SELECT month, year(month) + (month(month) - 1) / 12.0 AS year FROM common")),
+        "rms_predictors": Query("universe asset " + " ".join(f"rms_{c}:f" for c in PRED), lambda s, d: D.predictor_rms(predictors_of(s, d), PRED), q("history common", "SELECT universe, asset, " + ", ".join(f"sqrt(avg({c} * {c})) AS rms_{c}" for c in PRED) + " FROM kept GROUP BY 1, 2", SCORED)),
+        "prior_scale": Query("universe trace_c:f var_r:f", lambda s, d: D.prior_scale(predictors_of(s, d), PRED), q("history common", "SELECT universe, " + " + ".join(f"var_samp({c})" for c in PRED) + " AS trace_c, var_pop(r_next) AS var_r FROM kept GROUP BY 1", SCORED)),
+        "shrinkage_factors": Query("universe asset kappa:f m:f", lambda s, d: D.predictor_rms(predictors_of(s, d), PRED).select("universe", "asset", S.shrinkage(F.lit(50.0), F.lit(0.2), F.lit(0.05), F.lit(1.5), F.col("rms_qty")).alias("kappa"), S.effective_size(F.lit(50.0), F.lit(0.2), F.lit(0.05), F.col("rms_qty")).alias("m")), q("history common", "SELECT universe, asset, 1 / (1 + pow(sqrt(50.0) / 0.2 * 0.05 * 1.5 * s, 2)) AS kappa, sqrt(50.0) / 0.2 * 0.05 * s / (1 + sqrt(50.0) / 0.2 * 0.05 * s) AS m FROM (SELECT universe, asset, sqrt(avg(qty * qty)) AS s FROM kept GROUP BY 1, 2)", SCORED)),
+        "slab_formulas": Query("x:f lam_tilde:f binding:f kappa:f", lambda s, d: s.range(1, 101).select((F.col("id") / 10.0).alias("x")).select("x", S.regularised_scale(F.col("x"), F.lit(0.3), F.lit(1.2)).alias("lam_tilde"), S.slab_binding_probability(F.col("x"), F.lit(1.2)).alias("binding"), S.shrinkage_from_variance(F.lit(50.0), F.lit(0.04), F.col("x"), F.lit(1.1)).alias("kappa")), "\n--\nSELECT x, sqrt(1.44 * x * x / (1.44 + 0.09 * x * x)) AS lam_tilde, 2 / pi() * atan(x / 1.2) AS binding, 1 / (1 + 50.0 * 1.1 * x / 0.04) AS kappa FROM (SELECT unnest(range(1, 101)) / 10.0 AS x)"),
+        "gram_blocks": Query("i j g:f", lambda s, d: predictors_of(s, d).filter("universe = 'type'").transform(lambda p: p.select("month", F.col("asset").alias("i"), F.col("vol12").alias("x")).join(p.select("month", F.col("asset").alias("j"), F.col("vol12").alias("y")), "month").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))), q("history common", "SELECT a.asset AS i, b.asset AS j, sum(a.vol12 * b.vol12) AS g FROM kept a JOIN kept b USING (universe, month) WHERE universe = 'type' GROUP BY 1, 2", SCORED)),
+        "training_rows": Query("t_refit:i n:i s:f", lambda s, d: B.training_rows(T.responses(s, d).filter("universe = 'type'"), s.range(START, START + 37, EVERY).select(F.col("id").cast("int").alias("t_refit"))).groupBy("t_refit").agg(F.count(F.lit(1)).alias("n"), F.sum("r_next").alias("s")), q("responses", "SELECT t_refit, count(*) AS n, sum(r_next) AS s FROM responses JOIN (SELECT unnest([36, 48, 60, 72]) AS t_refit) ON t < t_refit WHERE universe = 'type' GROUP BY 1")),
+        "ecdf": Query("universe asset sharpe:f ecdf:f", lambda s, d: D.ecdf(D.asset_statistics(T.returns(s, d)), "sharpe", ("universe",)), q("returns", "SELECT *, cume_dist() OVER (PARTITION BY universe ORDER BY sharpe) AS ecdf FROM (SELECT universe, asset, avg(ret) / stddev_samp(ret) * sqrt(12) AS sharpe FROM returns GROUP BY 1, 2)")),
+        "share_below": Query("universe share_below:f", lambda s, d: D.share_below(T.returns(s, d), "ret", 0.0, ("universe",)), q("returns", "SELECT universe, avg((ret < 0)::INT) AS share_below FROM returns GROUP BY 1")),
+        "quantiles": Query("universe p01:f p05:f p25:f p50:f p75:f p95:f p99:f", lambda s, d: D.quantiles(T.returns(s, d), "ret", ("universe",)), q("returns", "SELECT universe, " + ", ".join(f"quantile_cont(ret, {x}) AS p{round(100 * x):02d}" for x in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + " FROM returns GROUP BY 1")),
+        "density": Query(
+            "universe k:i x:f density:f",
+            lambda s, d: D.density(T.returns(s, d), "ret", ("universe",), 16),
+            q("returns", "SELECT g.universe, k, g.x, avg(exp(-0.5 * pow((g.x - r.ret) / h, 2)) / (h * sqrt(2 * pi()))) AS density FROM g JOIN returns r ON g.universe = r.universe GROUP BY 1, 2, 3", "g AS (SELECT universe, h, unnest(range(16)) AS k, lo + (hi - lo) * unnest(range(16)) / 15.0 AS x FROM (SELECT universe, min(ret) AS lo, max(ret) AS hi, 0.2 * stddev_samp(ret) AS h FROM returns GROUP BY 1))"),
+        ),
+        "topk_predictors": Query("setting:i j:i mean:f rank:i", lambda s, d: M.top_k(T.pseudo_means(s, d), 10), q("means", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY setting ORDER BY abs(mean) DESC, j) AS rank FROM means) WHERE rank <= 10")),
+        "extremes": Query("setting:i j:i mean:f rank:i end_of", lambda s, d: D.extremes(T.pseudo_means(s, d), "mean", 10, ("setting",), ("j",)).withColumnRenamed("end", "end_of"), q("means", "SELECT setting, j, mean, r AS rank, 'least' AS end_of FROM (SELECT *, row_number() OVER (PARTITION BY setting ORDER BY mean, j) AS r FROM means) WHERE r <= 10 UNION ALL SELECT setting, j, mean, r, 'most' FROM (SELECT *, row_number() OVER (PARTITION BY setting ORDER BY mean DESC, j) AS r FROM means) WHERE r <= 10")),
+        "group_means": Query("setting:i grp mean:f", lambda s, d: D.group_means(T.pseudo_means(s, d), "mean", F.when(F.col("j") < 16, "common").otherwise("own"), ("setting",)), q("means", "SELECT setting, CASE WHEN j < 16 THEN 'common' ELSE 'own' END AS grp, avg(mean) AS mean FROM means GROUP BY 1, 2 UNION ALL SELECT setting, 'all', avg(mean) FROM means GROUP BY 1")),
+        "spearman": Query("a:i b:i rho:f", lambda s, d: M.spearman(T.pseudo_means(s, d)), q("means", "SELECT x.setting AS a, y.setting AS b, corr(x.r, y.r) AS rho FROM sp x JOIN sp y USING (j) WHERE x.setting < y.setting GROUP BY 1, 2", "sp AS (SELECT *, row_number() OVER (PARTITION BY setting ORDER BY abs(mean), j)::DOUBLE AS r FROM means)")),
+        "rank_stability": Query("a:i b:i rho:f overlap:f", lambda s, d: M.rank_stability(T.pseudo_means(s, d), 20), q("means", "SELECT x.setting AS a, y.setting AS b, corr(x.r, y.r) AS rho, count(*) FILTER (x.k <= 20 AND y.k <= 20) / 20.0 AS overlap FROM sp x JOIN sp y USING (j) WHERE x.setting < y.setting GROUP BY 1, 2", "sp AS (SELECT *, row_number() OVER (PARTITION BY setting ORDER BY abs(mean), j)::DOUBLE AS r, row_number() OVER (PARTITION BY setting ORDER BY abs(mean) DESC, j) AS k FROM means)")),
+        "stable_core": Query("j:i n_settings:i core:b", lambda s, d: M.stable_core(T.pseudo_means(s, d), 20), q("means", "SELECT j, count(*) AS n_settings, count(*) = (SELECT count(DISTINCT setting) FROM means) AS core FROM (SELECT *, row_number() OVER (PARTITION BY setting ORDER BY abs(mean) DESC, j) AS k FROM means) WHERE k <= 20 GROUP BY 1")),
+        "setting_pairs": Query("a:i b:i", lambda s, d: D.setting_pairs(T.pseudo_means(s, d)), q("means", "SELECT DISTINCT x.setting AS a, y.setting AS b FROM means x, means y WHERE x.setting < y.setting")),
+        "posterior_mean": Query("field mean:f", lambda s, d: M.posterior_mean(T.pseudo_draws(s, d)), q("draws", "SELECT field, avg(value) AS mean FROM draws JOIN (SELECT field, min(m) + 1 AS n FROM (SELECT field, chain, max(draw) AS m FROM draws GROUP BY 1, 2) GROUP BY 1) USING (field) WHERE draw < n GROUP BY 1")),
+        "credible_interval": Query("field lo:f hi:f", lambda s, d: M.credible_interval(T.pseudo_draws(s, d)), q("draws", "SELECT field, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM draws GROUP BY 1")),
+        "intervals_excluding_zero": Query("field n_excluding:i n:i", lambda s, d: M.excluding_zero(M.credible_interval(T.pseudo_draws(s, d))), q("draws", "SELECT field, count(*) FILTER (lo * hi > 0) AS n_excluding, count(*) AS n FROM (SELECT field, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM draws GROUP BY 1) GROUP BY 1")),
+        "shrinkage_ratio": Query(
+            "field norm_ratio:f median_ratio:f corr:f",
+            lambda s, d: M.shrinkage_ratio(*(T.pseudo_means(s, d).filter(F.col("setting") == k).select(F.lit("b").alias("field"), F.lit(0).alias("i"), "j", "mean") for k in (0, 1))),
+            q("means", "SELECT 'b' AS field, sqrt(sum(x.mean * x.mean)) / sqrt(sum(y.mean * y.mean)) AS norm_ratio, median(abs(x.mean)) / median(abs(y.mean)) AS median_ratio, corr(x.mean, y.mean) AS corr FROM means x JOIN means y USING (j) WHERE x.setting = 0 AND y.setting = 1"),
+        ),
+        "scale_means": Query("field mean:f mean_inverse:f", lambda s, d: M.scale_means(T.pseudo_draws(s, d).withColumn("value", F.abs("value") + 1)), q("draws", "SELECT field, avg(abs(value) + 1) AS mean, avg(1 / (abs(value) + 1)) AS mean_inverse FROM draws GROUP BY 1")),
+        "rank_normalise": Query("field chain:i draw:i rank:f z:f", lambda s, d: M.rank_normalised(T.pseudo_draws(s, d)), q("draws", "SELECT * FROM z", Z)),
+        "rhat_classic": Query("field rhat:f", lambda s, d: M.classic_rhat(T.pseudo_draws(s, d)), q("draws", "SELECT * FROM rh", rhat_sql("draws", "value", "rh", False))),
+        "rhat_split": Query("field bulk:f tail:f rhat:f", lambda s, d: M.rank_rhat(T.pseudo_draws(s, d)), q("draws", "SELECT rb.field, rb.rhat AS bulk, rt.rhat AS tail, greatest(rb.rhat, rt.rhat) AS rhat FROM rb JOIN rt USING (field)", f"{Z}, {FOLDED}, {rhat_sql('z', 'z', 'rb')}, {rhat_sql('fz', 'z', 'rt')}")),
+        "autocovariance": Query("field chain:i lag:i acov:f", lambda s, d: M.autocovariance(T.pseudo_draws(s, d), 5), q("draws", "SELECT x.field, x.chain, y.draw - x.draw AS lag, sum(x.c * y.c) / any_value(x.n) AS acov FROM ac x JOIN ac y ON x.field = y.field AND x.chain = y.chain AND y.draw >= x.draw AND y.draw - x.draw <= 5 GROUP BY 1, 2, 3", "ac AS (SELECT *, value - avg(value) OVER (PARTITION BY field, chain) AS c, count(*) OVER (PARTITION BY field, chain) AS n FROM draws)")),
+        "effective_size": Query("field ess_bulk:f ess_tail:f", lambda s, d: M.effective_sizes(T.pseudo_draws(s, d))),
+        "diagnose": Query("field rhat:f ess_bulk:f ess_tail:f", lambda s, d: M.diagnosed(T.pseudo_draws(s, d))),
+        "chain_budget": Query("n:i field rhat:f ess_bulk:f product:f implied:f", lambda s, d: M.chain_budget(T.pseudo_draws(s, d), [50, 100])),
+        "half_split_stability": Query("median_rho:f p10_rho:f", lambda s, d: M.half_split_stability(T.pseudo_draws(s, d).withColumn("j", F.hash("field")))),
+        "chain_means": Query("field chain:i mean:f sd:f lo:f median:f hi:f", lambda s, d: M.chain_means(T.pseudo_draws(s, d)), q("draws", "SELECT field, chain, avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.975) AS hi FROM draws GROUP BY 1, 2")),
+        "scale_summary": Query("field mean:f lo:f hi:f ratio:f prior_excluded:b distance_sd:f", lambda s, d: M.scale_summary(T.pseudo_draws(s, d), 2.0), q("draws", "SELECT field, avg(value) AS mean, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi, avg(value) / 2 AS ratio, quantile_cont(value, 0.025) > 2 OR quantile_cont(value, 0.975) < 2 AS prior_excluded, (2 - avg(value)) / stddev_samp(value) AS distance_sd FROM draws GROUP BY 1")),
+        "draw_prefixes": Query("n:i field mean:f", lambda s, d: M.prefix(T.pseudo_draws(s, d), [20, 50, 100]).groupBy("n", "field").agg(F.avg("value").alias("mean")), q("draws", "SELECT n, field, avg(value) AS mean FROM draws, (SELECT unnest([20, 50, 100]) AS n) WHERE draw < n GROUP BY 1, 2")),
+        "energy_fraction": Query("chain:i ebfmi:f", lambda s, d: M.energy_fraction(T.pseudo_draws(s, d).filter("field = 'click'").withColumnRenamed("value", "energy")), q("draws", "SELECT chain, sum(dd * dd) / sum(c * c) AS ebfmi FROM (SELECT chain, value - lag(value) OVER (PARTITION BY chain ORDER BY draw) AS dd, value - avg(value) OVER (PARTITION BY chain) AS c FROM draws WHERE field = 'click') GROUP BY 1")),
+        "sampler_summary": Query(
+            "chain:i n_divergent:i mean_depth:f saturated:f step_size:f",
+            lambda s, d: M.sampler_summary(T.pseudo_draws(s, d).filter("field = 'click'").select("chain", "draw", (F.col("value") > 90).alias("diverging"), F.pmod("draw", F.lit(11)).alias("tree_depth"), F.col("value").alias("step_size"))),
+            q("draws", "SELECT chain, count(*) FILTER (value > 90) AS n_divergent, avg(draw % 11) AS mean_depth, avg((draw % 11 >= 10)::INT) AS saturated, arg_max(value, draw) AS step_size FROM draws WHERE field = 'click' GROUP BY 1"),
+        ),
+        "divergence_positions": Query(
+            "x:f position:f",
+            lambda s, d: M.divergence_positions(T.pseudo_draws(s, d).filter("field = 'click'").select("value", (F.pmod("draw", F.lit(50)) == 0).alias("diverging")), "value"),
+            q("draws", "SELECT value AS x, (SELECT count(*) FROM draws p WHERE p.field = 'click' AND p.draw % 50 <> 0 AND p.value < v.value)::DOUBLE / (SELECT count(*) FROM draws p WHERE p.field = 'click' AND p.draw % 50 <> 0) AS position FROM draws v WHERE field = 'click' AND draw % 50 = 0"),
+        ),
+        "slab_summary": Query(
+            "chain:i binding:f halved:f mean_c:f mean_tau:f mean_ratio:f",
+            lambda s, d: M.slab_summary(T.pseudo_draws(s, d).select("chain", (F.abs("value") + 1).alias("lam"), F.lit(0.1).alias("tau"), F.lit(1.2).alias("c")).withColumn("lam_tilde", S.regularised_scale(F.col("lam"), F.col("tau"), F.col("c")))),
+            q("draws", "SELECT chain, avg((r < 0.99)::INT) AS binding, avg((r < 0.5)::INT) AS halved, 1.2 AS mean_c, 0.1 AS mean_tau, avg(r) AS mean_ratio FROM (SELECT chain, sqrt(1.44 * l * l / (1.44 + 0.01 * l * l)) / l AS r FROM (SELECT chain, abs(value) + 1 AS l FROM draws)) GROUP BY 1"),
+        ),
+        "deviation_variance": Query("i:i j:i variance:f", lambda s, d: M.deviation_variance(T.pseudo_draws(s, d).select(F.col("chain").alias("i"), "j", (F.abs("value") / 100).alias("lam"), F.lit(0.5).alias("tau"))), q("draws", "SELECT chain AS i, 0 AS j, avg(0.25 * pow(abs(value) / 100, 2)) AS variance FROM draws GROUP BY 1")),
+        "runs_agree": Query("field z:f", lambda s, d: M.runs_agree(T.pseudo_draws(s, d).filter("chain < 2"), T.pseudo_draws(s, d).filter("chain >= 2"))),
+        "agreement_z": Query(
+            "field z:f",
+            lambda s, d: M.agreement_z(T.pseudo_draws(s, d).groupBy("field", "i", "j").agg(*(f(F.when(F.col("chain") < 2 if k == "a" else F.col("chain") >= 2, F.col("value"))).alias(f"{n}{k}") for k in "ab" for n, f in (("m", F.avg), ("v", F.var_samp), ("e", F.count))))),
+            q("draws", "SELECT field, abs(avg(value) FILTER (chain < 2) - avg(value) FILTER (chain >= 2)) / sqrt(var_samp(value) FILTER (chain < 2) / count(*) FILTER (chain < 2) + var_samp(value) FILTER (chain >= 2) / count(*) FILTER (chain >= 2)) AS z FROM draws GROUP BY 1"),
+        ),
+        "budget_validation": Query(
+            "field median_z:f max_z:f corr:f",
+            lambda s, d: M.budget_validation(*(T.pseudo_means(s, d).filter(F.col("setting") == k).select(F.lit("b").alias("field"), F.lit(0).alias("i"), "j", "mean", F.lit(0.05).alias("se")) for k in (0, 1))),
+            q("means", "SELECT 'b' AS field, median(abs(x.mean - y.mean) / 0.05) AS median_z, max(abs(x.mean - y.mean) / 0.05) AS max_z, corr(x.mean, y.mean) AS corr FROM means x JOIN means y USING (j) WHERE x.setting = 0 AND y.setting = 1"),
+        ),
+        "trace_elements": Query("field chain:i draw:i value:f", lambda s, d: M.traces(T.pseudo_draws(s, d), "click", 1), q("draws", "SELECT field, chain, draw, value FROM draws WHERE field = 'click'")),
+        "ridge_backtest": Query("universe asset t:i t_refit:i predicted:f realised:f benchmark:f", ols_backtest),
+        "gibbs_backtest": Query("universe asset t:i t_refit:i predicted:f realised:f benchmark:f", gibbs_backtest),
+    }
+    return out
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Run]:
+    return {name: x.spark for name, x in all_queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: x.oracle() for name, x in all_queries().items() if x.sql}
