@@ -53,10 +53,10 @@ class Index:
             found = np.flatnonzero(count >= need)
             if len(found) >= least or half > 4:
                 return found if len(found) >= want else np.arange(n)
-            half *= 1.25
+            half *= 1.1
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int = 48, threshold: float = 0.8, width: float = 0.1, share: float = 0.05, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int = 96, threshold: float = 0.75, width: float = 0.2, share: float = 0.25, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest vectors by cosine of each query, its own row excepted: (query_id, rank, vec_id, score).
 
     queries has ids and vectors like vectors. Equal vectors are one entry that keeps its k + 1 least ids (all that ties

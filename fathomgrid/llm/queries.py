@@ -124,7 +124,7 @@ WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7
      bw AS (SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS gram FROM bi),
      di AS (SELECT doc_id, s.m, ws, unnest(range(1, len(ws) - s.m + 2)) AS i FROM d, (SELECT DISTINCT m FROM sized) s WHERE len(ws) >= s.m),
      hits AS (SELECT di.doc_id, di.i, di.m, item_id FROM di JOIN bw ON di.m = bw.m AND array_to_string(di.ws[di.i:di.i + di.m - 1], ' ') = bw.gram),
-     words AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS at FROM hits) GROUP BY doc_id),
+     words AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS pos FROM hits) GROUP BY doc_id),
      items AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(ws) AS contaminated
