@@ -58,8 +58,8 @@ def likelihood_terms(data: Data, sigma: np.ndarray) -> tuple[np.ndarray, np.ndar
     return p, np.einsum("ij,ikj->ik", inverse, data.fr).ravel()
 
 
-def draw_coefficients(data: Data, state: State, precisions: np.ndarray, rng: np.random.Generator) -> None:
-    """(B, b_bar) in one block, deviations having precision D_i^-1 (one (K, K) matrix, or a diagonal (N, K))."""
+def draw_coefficients(data: Data, state: State, precisions: np.ndarray, rng: np.random.Generator, diagonal: bool = False) -> None:
+    """(B, b_bar) in one block, deviations having precision D_i^-1: one (K, K) matrix, or diagonals (N, K)."""
     n, k = data.n, data.k
     p = np.zeros(((n + 1) * k, (n + 1) * k))
     like, rhs = likelihood_terms(data, state.sigma)
@@ -67,7 +67,7 @@ def draw_coefficients(data: Data, state: State, precisions: np.ndarray, rng: np.
     last = slice(n * k, (n + 1) * k)
     total = data.mean_precision.copy()
     for i in range(n):
-        d = np.diag(precisions[i]) if precisions.shape == (n, k) else precisions
+        d = np.diag(precisions[i]) if diagonal else precisions
         own = slice(i * k, (i + 1) * k)
         p[own, own] += d
         p[own, last] = p[last, own] = -d
@@ -106,7 +106,7 @@ def draw_local_variance(theta: np.ndarray, s: float, rate: float, rng: np.random
     x = 4 * rate * rate / y / (1 + np.sqrt(1 + 4 * rate * a / (s * y))) ** 2
     ratio = x * a / (rate * s)
     keep = rng.random(theta.shape) < 1 / (1 + ratio)
-    return 1 / np.where(keep, x, x / np.maximum(ratio, 1e-300) ** 2)
+    return 1 / np.where(keep, x, x / np.maximum(ratio, 1e-150) ** 2)
 
 
 def draw_rate(theta: np.ndarray, s: float, shape: float, rate: float, rng: np.random.Generator, tries: int = 10_000) -> float:
@@ -178,7 +178,7 @@ def _lasso(data: Data, state: State, rng: np.random.Generator, blocked: bool) ->
     if "tau2" not in x:
         x["rate"] = p.rate_rms
         x["tau2"] = np.full((data.n, data.k), 2 / x["rate"] ** 2)
-    draw_coefficients(data, state, 1 / (p.s**2 * x["tau2"]), rng)
+    draw_coefficients(data, state, 1 / (p.s**2 * x["tau2"]), rng, True)
     x["rate"] = draw_rate(state.theta, p.s, p.rate_shape, p.rate_rate, rng)
     x["tau2"] = draw_local_variance(state.theta, p.s, x["rate"], rng)
     draw_sigma(data, state, rng)
@@ -191,7 +191,7 @@ def _horseshoe(data: Data, state: State, rng: np.random.Generator, blocked: bool
     shape = (data.n, data.k)
     if "lam2" not in x:
         x |= {"lam2": np.ones(shape), "nu": np.ones(shape), "tau2": p.tau_0**2, "xi": 1.0}
-    draw_coefficients(data, state, 1 / np.maximum(x["tau2"] * x["lam2"], 1e-18), rng)
+    draw_coefficients(data, state, 1 / np.maximum(x["tau2"] * x["lam2"], 1e-18), rng, True)
     square = state.theta**2
     x["lam2"] = np.clip(_inverse_gamma(1.0, 1 / x["nu"] + square / (2 * x["tau2"]), rng), 1e-12, 1e12)
     x["nu"] = _inverse_gamma(1.0, 1 + 1 / x["lam2"], rng)
@@ -214,7 +214,7 @@ def _regularised(data: Data, state: State, rng: np.random.Generator, blocked: bo
     def normal(v):
         return -0.5 * (np.log(v) + square / v)
 
-    draw_coefficients(data, state, 1 / np.maximum(variance(x["lam"], x["tau"], x["c2"]), 1e-18), rng)
+    draw_coefficients(data, state, 1 / np.maximum(variance(x["lam"], x["tau"], x["c2"]), 1e-18), rng, True)
     square = state.theta**2
     x["lam"] = slice_step(lambda z: normal(variance(z, x["tau"], x["c2"])) + z - np.log1p(np.exp(np.minimum(2 * z, 700))), x["lam"], rng)
     one = lambda g: lambda z: np.array([g(float(v)) for v in np.atleast_1d(z)])
