@@ -19,6 +19,8 @@ from .textops import LOWER, inside, mix, owner, windows, words
 SHARD_KEYS, FLUSH, RESERVE = 1 << 20, 1 << 20, 0.08
 #: A key with more sets is costly: its sets may give it up as far as their slack goes.
 COSTLY = 8
+#: Sets of one key that one task compares at a time.
+WIDE = 2_048
 DELETED, UPPER, DOUBLE = 1, 2, 4
 MOST = (1 << 64) - 1
 
@@ -56,6 +58,57 @@ def digests(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return size, a, mix(per_text(mix(value ^ np.uint64(0x5851F42D4C957F2D)), doc, n) ^ a)
 
 
+def sketches(doc: np.ndarray, value: np.ndarray, n: int) -> list[bytes]:
+    """Parity sketch of each set: bit h mod B flipped for each hash h, B a power of two of 2 to 4 bits a shingle.
+
+    Each shingle that only one of two sets has flips one bit, so two sketches (the longer one folded) never differ in
+    more bits than their sets do in shingles.
+    """
+    edge = np.searchsorted(doc, np.arange(n + 1))
+    out = []
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        bits = max(64, 1 << (2 * (hi - lo) - 1).bit_length()) if hi > lo else 64
+        at = (mix(value[lo:hi] ^ np.uint64(0x94D049BB133111EB)) & np.uint64(bits - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+class Sketches:
+    """Sketches of rows, by length, with the next longer ones folded to it."""
+
+    def __init__(self, rows: list[bytes]):
+        self.words = np.array([len(x) // 8 for x in rows])
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.words).tolist():
+            own, longer = np.flatnonzero(self.words == w), np.flatnonzero(self.words == 2 * w)
+            x = np.frombuffer(b"".join(rows[i] for i in own), np.uint64).reshape(-1, w)
+            if len(longer):
+                y = np.frombuffer(b"".join(rows[i] for i in longer), np.uint64).reshape(-1, 2, w)
+                x = np.concatenate([x, y[:, 0] ^ y[:, 1]])
+            place = np.full(len(rows), -1)
+            place[np.concatenate([own, longer])] = np.arange(len(x))
+            self.levels[w] = x, place
+
+    def distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Least number of shingles that the sets of rows i and j differ in; sets of linked sizes only."""
+        out = np.zeros(len(i), np.int64)
+        least = np.minimum(self.words[i], self.words[j])
+        for w, (x, place) in self.levels.items():
+            use = np.flatnonzero(least == w)
+            step = max(1, (1 << 19) // w)
+            for at in range(0, len(use), step):
+                k = use[at : at + step]
+                a, b = place[i[k]], place[j[k]]
+                ok = (a >= 0) & (b >= 0)
+                out[k[ok]] = np.bitwise_count(x[a[ok]] ^ x[b[ok]]).sum(axis=1)
+        return out
+
+
+def within(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sets of sizes a and b can link, and in how many shingles they then differ at most."""
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b), (a + b) * (100 - percent) // (100 + percent)
+
+
 class Bands:
     """Bands of set sizes whose linked sets lie in the same or the next one, and the segments of each pair of bands.
 
@@ -135,9 +188,11 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
     by 128-bit digests. Each class's set is parted by hashed universe into as many segments as its size band may differ
     in shingles plus one: two linked sets then agree in a segment's subset. Reserve segments are indexed with their
     one-deletion neighbourhoods too and so count double; that slack lets each set give up the costliest keys (sets with
-    an equal key are counted first). Sets under one key are verified exactly: first against a centre, then, for keys
-    whose sets are not yet in one component, the pairs from different components. A null or empty text has 0 shingles
-    and is its own component; rows with equal ids count as one document and give a row each; other columns are dropped.
+    an equal key are counted first). Sets under one key that can link by their parity sketches (which never exclude a
+    link) are verified exactly from their texts: first with a centre; then, for keys whose sets are not yet in one
+    component, each set with the nearest of each other component, and at last all pairs of different components. A
+    null or empty text has 0 shingles and is its own component; rows with equal ids count as one document and give a
+    row each; other columns are dropped.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(id_col, text_col)
@@ -148,12 +203,15 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for lo, hi in slices(texts):
-                count, a, c = digests(*shingles(texts[lo:hi], n), hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["id", "size", "d", "e"])
+                doc, value = shingles(texts[lo:hi], n)
+                count, a, c = digests(doc, value, hi - lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(sketches(doc, value, hi - lo), pa.binary())], ["id", "size", "d", "e", "x"])
 
-    found = materialize(source.mapInArrow(sets, f"id {kind}, size long, d long, e long"))
+    found = materialize(source.mapInArrow(sets, f"id {kind}, size long, d long, e long, x binary"))
     largest = found.agg(F.coalesce(F.max("size"), F.lit(0)).alias("n")).first()["n"]
-    classes = materialize(found.filter("size > 0").groupBy("d", "e").agg(F.min("id").alias("rep"), F.first("size").alias("size")))
+    least = found.filter("size > 0").groupBy("d", "e").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.min("x").alias("x"))
+    classes = materialize(least)
+    found = found.drop("x")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, held, sent = bands(percent, largest), [], set()
@@ -249,36 +307,121 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
     large = heavy.join(distinct.select("key"), "key", "left_semi").select(F.col("key").alias("a"), F.col("node").alias("b"))
     near = rows.filter("kind = 0").select("a", "b").union(joined.filter("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))).distinct()
     groups = materialize(rows.filter("kind = 1").select("a", "b").union(large).distinct())
-    links = materialize(verified(source, classes, near, n, percent, id_col, text_col))
-    linked = components(links)
-    # keys whose sets are not all in one component: verify pairs from different components
-    named = groups.join(classes.select(F.col("d").alias("b"), "rep"), "b")
-    named = named.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    open_keys = named.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("a")
-    rest = materialize(named.join(open_keys, "a", "left_semi").select("a", "b", "c"))
-    other = rest.select("a", F.col("b").alias("b2"), F.col("c").alias("c2"))
-    cross = rest.join(other, "a").filter("c < c2").select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    cross = materialize(cross)
-    if not cross.isEmpty():
-        links = materialize(links.union(verified(source, classes, cross, n, percent, id_col, text_col)))
-        linked = components(links)
-    named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("d", "e", F.coalesce("component", "rep").alias("c"))
-    out = found.join(named, ["d", "e"], "left")
+    near = materialize(_plausible(near, classes, percent))
+    links = materialize(verified(source, near, n, percent, id_col, text_col))
+    tried = near
+    sides = classes.select(F.col("d").alias("b"), "rep", "size", "x")
+    for every in (False, True):
+        named = _components(classes, links).select(F.col("d").alias("b"), "rep", "c").distinct()
+        open_keys = groups.join(named, "b").groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("a", "n")
+        members = groups.join(materialize(open_keys), "a").join(named, "b").join(sides, ["b", "rep"])
+        found_pairs = _across(members.select("a", "n", "rep", "c", "size", "x"), percent, every, kind).distinct()
+        cross = materialize(found_pairs.join(tried, ["u", "v"], "left_anti"))
+        if not cross.isEmpty():
+            links = materialize(links.union(verified(source, cross, n, percent, id_col, text_col)))
+            tried = tried.union(cross)
+    out = found.join(_components(classes, links).select("d", "e", "c"), ["d", "e"], "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
 
 
+def _components(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (d, e, rep) with the least id of their component."""
+    if links.isEmpty():
+        return classes.select("d", "e", "rep", F.col("rep").alias("c"))
+    linked = components(links)
+    return classes.select("d", "e", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("d", "e", "rep", F.coalesce("component", "rep").alias("c"))
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b: digests) that may link by size and sketch, as (u, v: ids of representatives)."""
+    side = classes.select("d", "rep", "size", "x")
+    both = pairs.join(side.toDF("a", "u", "s", "x"), "a").join(side.toDF("b", "v", "t", "y"), "b").filter("u <> v")
+    kind = classes.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            s, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            ok, most = within(s, t, percent)
+            held = Sketches(batch.column(4).to_pylist() + batch.column(5).to_pylist())
+            i = np.flatnonzero(ok)
+            i = i[held.distances(i, i + n) <= most[i]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).take(pa.array(i))
+
+    found = both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.expr("if(u < v, s, t)").alias("s"), F.expr("if(u < v, t, s)").alias("t"), F.expr("if(u < v, x, y)").alias("x"), F.expr("if(u < v, y, x)").alias("y"))
+    return found.mapInArrow(run, f"u {kind}, v {kind}").distinct()
+
+
+def _across(members: DataFrame, percent: int, every: bool, kind: str) -> DataFrame:
+    """Pairs (u, v) of one key's sets in different components that may link by size and sketch.
+
+    Unless every is set, only each set's nearest in each other component. A key of more than WIDE sets is parted into
+    blocks, and each two blocks are a unit of their own.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(WIDE)).cast("int")
+    m = members.withColumn("_k", blocks).withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int"))
+    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    m = m.select(F.xxhash64("a", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("unit"), "rep", "c", "size", "x")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = m.repartition(parts, "unit").sortWithinPartitions("unit")
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        unit, rep, c, size = (t.column(k).to_numpy() for k in ("unit", "rep", "c", "size"))
+        held = Sketches(t.column("x").to_pylist())
+        new = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        ends = np.repeat(np.append(new[1:], len(unit)), np.diff(np.append(new, len(unit))))
+        count = ends - np.arange(len(unit)) - 1
+        total = np.cumsum(count)
+        at = 0
+        while at < len(unit):
+            upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 500_000, side="right")))
+            k = count[at:upto]
+            i = np.repeat(np.arange(at, upto), k)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+            at = upto
+            ok, most = within(size[i], size[j], percent)
+            use = ok & (c[i] != c[j])
+            i, j, most = i[use], j[use], most[use]
+            far = held.distances(i, j)
+            use = far <= most
+            i, j, far = i[use], j[use], far[use]
+            if not every and len(i):
+                order = np.lexsort((far, c[j], i))
+                i, j = i[order], j[order]
+                first = np.concatenate([[True], (i[1:] != i[:-1]) | (c[j][1:] != c[j][:-1])])
+                i, j = i[first], j[first]
+            u, v = rep[i], rep[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if carry is None else pa.concat_tables([carry, t])
+            unit = t.column("unit").to_numpy()
+            whole = int(np.flatnonzero(unit == unit[-1])[0])  # the last unit may go on
+            carry = t.slice(whole)
+            if whole:
+                yield from pairs(t.slice(0, whole))
+        if carry is not None:
+            yield from pairs(carry)
+
+    return m.mapInArrow(run, f"u {kind}, v {kind}")
+
+
 def _rows(kind: int, a: np.ndarray, b: np.ndarray, flags=None, pair=None, cost=None) -> pa.Table:
     zero = np.zeros(len(a), np.int64)
     columns = [np.full(len(a), kind, np.int32), a.view(np.int64), b.view(np.int64), *((zero if x is None else x).astype(t) for x, t in ((flags, np.int32), (pair, np.int32), (cost, np.int64)))]
     return pa.table([pa.array(c) for c in columns], ["kind", "a", "b", "flags", "pair", "cost"])
 
 
-def verified(source: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs of classes (a, b: digests) that link, as (u, v: ids of their representatives), from their texts."""
-    small = classes.select(F.col("d"), F.col("rep"), F.col("size"))
-    named = pairs.join(small.toDF("a", "u", "s"), "a").join(small.toDF("b", "v", "t"), "b")
-    named = materialize(named.filter(f"100 * least(s, t) >= {percent} * greatest(s, t)").select("u", "v"))
-    need = materialize(named.select(F.col("u").alias("id")).union(named.select("v")).distinct())
+def verified(source: DataFrame, pairs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Those pairs (u, v) of documents that link, from the shingles of their texts."""
+    need = materialize(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
     kind = source.schema[id_col].dataType.simpleString()
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +443,6 @@ def verified(source: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, pe
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     texts = source.select(F.col(id_col).alias("id"), text_col).join(checked(need, 8), "id", "left_semi")
-    held = materialize(texts.mapInArrow(blobs, f"id {kind}, x binary").dropDuplicates(["id"]))
-    both = named.join(held.toDF("u", "x"), "u").join(held.toDF("v", "y"), "v").select("u", "v", "x", "y")
+    held = texts.mapInArrow(blobs, f"id {kind}, x binary").dropDuplicates(["id"])
+    both = pairs.join(held.toDF("u", "x"), "u").join(held.toDF("v", "y"), "v").select("u", "v", "x", "y")
     return both.mapInArrow(exact, f"u {kind}, v {kind}")
