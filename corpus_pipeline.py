@@ -3,14 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fathomgrid.llm import jaccard, language, lines
 from fathomgrid.llm import queries as Q
-from fathomgrid.llm.common import materialize, table
+from fathomgrid.llm.common import checked, materialize, table
 
-STAGES = []
+#: SQL can't express the first stage; tests hold each stage against a plain computation.
 ORACLE_SQL = None
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a known language go."""
+    return language.accepted(docs, language.train(docs))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are boilerplate of their source go from the texts; n_chars follows."""
+    found = lines.drop_boilerplate(docs)
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays."""
+    found = materialize(jaccard.similar(docs))
+    return docs.join(checked(found.filter("doc_id <> component_id").select("doc_id").distinct(), 8), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with at least a twentieth of their words in benchmark windows go."""
+    found = materialize(Q.judged(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct())
+    return docs.join(checked(found, 8), "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of what is left."""
+    return Q.packed(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("jaccard_join", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written as Parquet and reread as the next one's documents."""
     docs = table(spark, sf_dir, "documents")

@@ -264,3 +264,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 )
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double, shares array<double>").withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns whose language is known: not `und`, and with a score of least or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    scorers: list[Scorer] = []
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not scorers:
+            scorers.append(Scorer(sent.value))
+        for batch in batches:
+            texts = as_bytes(batch.column(at))
+            for lo, hi in slices(texts, 8 << 20):
+                found = scorers[0].predict(texts[lo:hi]) if sent.value.labels else [None] * (hi - lo)
+                yield batch.slice(lo, hi - lo).filter(pa.array([p is not None and float(p.max()) >= least for p in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
