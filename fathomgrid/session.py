@@ -19,8 +19,12 @@ def local(cores: str | int = "*", partitions: int = 8, **conf: str) -> SparkSess
 
 
 def shipped(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it (clusters may install it instead)."""
+    """Lets Python workers import this package from where the driver has it (clusters may install it instead).
+
+    Workers use one BLAS thread each unless told otherwise: tasks are the unit of parallel work.
+    """
     known = spark.sparkContext.environment
+    known.setdefault("OMP_NUM_THREADS", "1")
     paths = [p for p in known.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
         known["PYTHONPATH"] = ":".join([*paths, ROOT])
