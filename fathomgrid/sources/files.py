@@ -12,10 +12,10 @@ from fathomgrid.operators.panel import month_start, recode_sentinels
 
 # The portfolio sorts by universe, and what marks the monthly sections.
 UNIVERSES = {
-    "size_bm_25": "25_Portfolios_5x5.csv",
-    "size_op_25": "25_Portfolios_ME_OP_5x5.csv",
-    "size_inv_25": "25_Portfolios_ME_INV_5x5.csv",
-    "size_bm_100": "100_Portfolios_10x10.csv",
+    "size_bm_25": "25_Portfolios_BM_5x5.csv",
+    "size_op_25": "25_Portfolios_OP_5x5.csv",
+    "size_inv_25": "25_Portfolios_INV_5x5.csv",
+    "size_bm_100": "100_Portfolios_BM_10x10.csv",
 }
 FACTORS_HEADER, MOMENTUM_HEADER, PORTFOLIO_MARKER = ",Mkt-RF", ",Mom", "Average Value Weighted Returns -- Monthly"
 
