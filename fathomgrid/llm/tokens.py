@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +13,8 @@ from pyspark.sql import DataFrame
 
 from .common import as_bytes
 
-#: Entries of a worker's memo; it is emptied when full, which changes no result.
-MEMO = 300_000
+#: Entries of each of a worker's two memos: the full one becomes the old one, which changes no result.
+MEMO = 500_000
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -37,19 +39,23 @@ class Encoder(dict):
                 parts = self.tok.pre_tokenizer.pre_tokenize_str(small)
                 if len(parts) == 1:
                     self.letters[ord(c)] = parts[0][0]
+        self.plain = re.compile(f"[{''.join(map(chr, self.letters))}]+").fullmatch
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        text = chunk.decode()
-        if self.letters.keys() >= set(map(ord, text)):
-            ids = [t.id for t in self.model.tokenize(text.translate(self.letters))]
-        elif chunk[-1:] in (b".", b",") and len(chunk) > 1 and ord(text[-2]) in self.letters:
-            self[chunk] = got = self[chunk[:-1]] + self[chunk[-1:]]
-            return got
-        else:
-            ids = self.tok.encode(text, add_special_tokens=False).ids
-        self[chunk] = got = np.array(ids, "<u4").tobytes()
+        got = self.old.get(chunk)
+        if got is None:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            text = chunk.decode()
+            if self.plain(text):  # one pre-token, normalised and mapped letter by letter
+                got = array("I", [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
+            elif chunk[-1:] in (b".", b",") and len(chunk) > 1 and ord(text[-2]) in self.letters:
+                got = self[chunk[:-1]] + self[chunk[-1:]]
+            else:
+                got = array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        self[chunk] = got
         return got
 
     def ids(self, text: bytes) -> bytes:
