@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(universe, asset, month, rev): lines are summed by part and by supplier before they meet those tables."""
+    """(universe, asset, month, rev) in one scan: lines meet parts and suppliers, and are summed before the one shuffle.
+
+    Spark broadcasts the two tables where they are small by its own statistics and else shuffles.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.trunc("l_shipdate", "month").alias("month"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("rev"))
-    parts = lines.groupBy("l_partkey", "month").agg(F.sum("rev").alias("rev")).join(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    nations = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-    supplied = lines.groupBy("l_suppkey", "month").agg(F.sum("rev").alias("rev")).join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
-    sides = [(parts, "type", "p_type"), (parts, "brand", "p_brand"), (supplied, "nation", "n_name")]
-    found = [d.groupBy(F.lit(u).alias("universe"), F.col(c).alias("asset"), "month").agg(F.sum("rev").alias("rev")) for d, u, c in sides]
-    return reduce(DataFrame.unionByName, found)
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey").join(nations, "s_nationkey")
+    whole = lines.join(parts, "l_partkey", "left").join(suppliers, "l_suppkey", "left")
+    each = whole.select("month", "rev", F.stack(F.lit(3), F.lit("type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"), F.lit("nation"), F.col("n_name")).alias("universe", "asset"))
+    return each.filter("asset is not null").groupBy("universe", "asset", "month").agg(F.sum("rev").alias("rev"))
 
 
 def raw_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
