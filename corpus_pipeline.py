@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomgrid.llm import jaccard, language, lines
 from fathomgrid.llm import queries as Q
-from fathomgrid.llm.common import checked, materialize, table
+from fathomgrid.llm.common import bounded, checked, materialize, table
 
 #: SQL can't express the first stage; tests hold each stage against a plain computation.
 ORACLE_SQL = None
@@ -15,6 +15,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a known language go."""
+    bounded(spark)
     return language.accepted(docs, language.train(docs))
 
 
@@ -27,6 +28,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays."""
+    bounded(spark)
     found = materialize(jaccard.similar(docs))
     return docs.join(checked(found.filter("doc_id <> component_id").select("doc_id").distinct(), 8), "doc_id", "left_anti").select(docs.columns)
 
@@ -39,6 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left."""
+    bounded(spark)
     return Q.packed(docs)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,9 +15,21 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: Python works on slices of at most so many bytes of text (or one longer text).
 SLICE_BYTES = 1 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+#: Rows that Spark sends a Python worker at a time.
+BATCH_ROWS = 2_000
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Small Arrow batches, so that neither side of a Python stage holds many texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,7 +65,10 @@ def salted(key: str, salts: int) -> Column:
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
-    """UTF-8 of each text; a null is empty."""
+    """UTF-8 of each text; a null is empty. What earlier batches and tasks left unused goes back to the system first."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 

@@ -16,7 +16,7 @@ from .components import components
 from .textops import LOWER, inside, mix, owner, windows, words
 
 #: Keys in a shard (one task's unit), keys that a task gathers before it sends them, share of segments with deletions.
-SHARD_KEYS, FLUSH, RESERVE = 1 << 20, 1 << 20, 0.08
+SHARD_KEYS, FLUSH, RESERVE = 1 << 19, 1 << 19, 0.08
 #: A key with more sets is costly: its sets may give it up as far as their slack goes.
 COSTLY = 8
 #: Sets of one key that one task compares at a time.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from .common import as_bytes
 
 #: Entries of each of a worker's two memos: the full one becomes the old one, which changes no result.
-MEMO = 500_000
+MEMO = 300_000
 _encoders: dict[str, "Encoder"] = {}
 
 
