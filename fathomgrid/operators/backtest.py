@@ -95,11 +95,11 @@ def coefficients(panel: DataFrame, fit: FitFn, start: int = START, every: int =
 
 
 def forecasts(panel: DataFrame, fits: DataFrame, start: int = START, every: int = REFIT_EVERY) -> DataFrame:
-    """Every row from start on with the forecast f'b of its refit and the benchmark."""
+    """Every row from start on with the forecast f'b of its refit and the benchmark; fits with a universe are met by it."""
     rows = expanding_benchmark(panel.filter("r_next is not null"), keys=tuple(k for k in ("universe", "asset") if k in panel.columns))
     rows = rows.filter(F.col("t") >= start).withColumn("t_refit", refit_key(F.col("t"), start, every))
     keys = [c for c in ("universe", "asset", "month", "t", "t_refit") if c in rows.columns]
-    return rows.join(fits, ["asset", "t_refit"]).select(*keys, dot(F.col("f"), F.col("b")).alias("predicted"), F.col("r_next").alias("realised"), "benchmark")
+    return rows.join(fits, [c for c in ("universe", "asset", "t_refit") if c in fits.columns]).select(*keys, dot(F.col("f"), F.col("b")).alias("predicted"), F.col("r_next").alias("realised"), "benchmark")
 
 
 def expanding_window(panel: DataFrame, fit: FitFn, start: int = START, every: int = REFIT_EVERY) -> DataFrame:

@@ -25,6 +25,8 @@ from . import testpanel as T
 from .testpanel import EVERY, START, with_tables
 
 DIGITS = 6
+#: First refit of the fitters' backtests.
+FIRST_REFIT = 24
 Run = Callable[[SparkSession, str], DataFrame]
 #: Normal CDF and quantile in SQL, with the constants of functions.scalar.
 E0, E1, E2, E3, E4 = S.ERF
@@ -174,10 +176,26 @@ def panel_features(spark: SparkSession, d: str) -> DataFrame:
     return p.select("universe", "asset", "month", "t", "r_next", F.size("f").alias("k"), F.aggregate("f", F.lit(0.0), lambda a, x: a + x).alias("f_sum"), S.dot(F.col("f"), F.col("f")).alias("f_norm2"))
 
 
-def fitted(spark: SparkSession, d: str, fit) -> DataFrame:
-    """Forecasts of a fitter for the part types' model panel."""
-    p = T.model_panel(spark, d, 0).filter("universe = 'type'")
-    return B.expanding_window(p, fit, 24, EVERY)
+def fitted(spark: SparkSession, d: str, fit, covariance: bool = False) -> DataFrame:
+    """Forecasts of a fitter for the model panel of every universe, each fitted by itself.
+
+    Refits are at FIRST_REFIT, FIRST_REFIT + EVERY and so on. A fitter that needs the covariance of the assets' returns
+    begins at the first of them with more months than assets, as it has no estimate before. A universe whose months do
+    not reach its first refit has nothing to forecast and is left out.
+    """
+    p = T.model_panel(spark, d, 0)
+    sizes = p.groupBy("universe").agg((F.max("t") + 1).alias("months"), F.countDistinct("asset").alias("assets")).orderBy("universe").collect()
+    fits = None
+    for universe, months, assets in sizes:
+        start = FIRST_REFIT
+        while covariance and start <= assets:
+            start += EVERY
+        if months > start:
+            one = B.coefficients(p.filter(F.col("universe") == universe), fit, start, EVERY).withColumn("universe", F.lit(universe))
+            fits = one if fits is None else fits.unionByName(one)
+    if fits is None:
+        raise ValueError(f"no universe's months reach its first refit: {sizes}")
+    return B.forecasts(p, fits, FIRST_REFIT, EVERY)  # starts are whole steps apart, so the refits' keys are the same
 
 
 def ols_backtest(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +207,7 @@ def ols_backtest(spark: SparkSession, d: str) -> DataFrame:
 def gibbs_backtest(spark: SparkSession, d: str) -> DataFrame:
     from fathomgrid.models.fitters import fitter
 
-    return fitted(spark, d, fitter("gaussian", draws=60, burn=20))
+    return fitted(spark, d, fitter("gaussian"), covariance=True)
 
 
 def predictors_of(spark: SparkSession, d: str) -> DataFrame:
