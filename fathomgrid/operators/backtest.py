@@ -15,6 +15,8 @@ from fathomgrid.functions.scalar import dot
 START, REFIT_EVERY = 240, 12
 #: Bytes of a dense panel that a task is sent; a larger universe goes by training slices instead.
 PANEL_BYTES = 256 << 20
+#: Rows of refits up to which they are broadcast.
+BROADCAST_REFITS = 10_000
 FitFn = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -170,5 +172,11 @@ def intervals(panel: DataFrame, fit_draws: Callable[[np.ndarray, np.ndarray], tu
 
 
 def training_rows(panel: DataFrame, refits: DataFrame) -> DataFrame:
-    """Rows t < t_refit of every refit (range join); for small panels and for tests: fitters slice a dense panel instead."""
-    return panel.join(F.broadcast(refits.limit(10_000)), panel["t"] < refits["t_refit"])
+    """Rows t < t_refit of every refit (range join, within the columns that both sides have); fitters slice a dense panel instead.
+
+    refits is broadcast if it has at most BROADCAST_REFITS rows, else Spark chooses the join.
+    """
+    shared = [c for c in refits.columns if c in panel.columns]
+    side = F.broadcast(refits) if refits.count() <= BROADCAST_REFITS else refits
+    joined = panel.join(side, shared) if shared else panel.crossJoin(side)
+    return joined.filter(F.col("t") < F.col("t_refit"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fathomgrid.operators import backtest as B
 from fathomgrid.plans import registry
 from fathomgrid.plans import testpanel as T
 
@@ -28,3 +29,10 @@ def test_gibbs_backtest_covers_every_universe_with_the_whole_budget(spark, monke
     # 25 assets have no covariance over 24 months
     assert {(r["universe"], r["assets"], r["t"]) for r in rows} == {("type", 6, 24), ("brand", 25, 36), ("nation", 25, 36)}
     assert (used[0]["draws"], used[0]["burn"]) == (500, 100)
+
+
+def test_training_rows_keep_every_refit(spark):
+    p = spark.createDataFrame([("u", "a", 0, 1.0)], "universe string, asset string, t int, r_next double")
+    refits = spark.range(1, 10_051).selectExpr("cast(id AS int) AS t_refit")
+    assert B.training_rows(p, refits).count() == 10_050
+    assert B.training_rows(p, refits.selectExpr("'v' AS universe", "t_refit")).count() == 0
