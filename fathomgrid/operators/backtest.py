@@ -109,8 +109,8 @@ def expanding_window(panel: DataFrame, fit: FitFn, start: int = START, every: in
     return forecasts(panel, coefficients(panel, fit, start, every), start, every)
 
 
-def lookahead(run: Callable[[DataFrame], DataFrame], panel: DataFrame, corrupt_from: int, every: int = REFIT_EVERY, noise: float = 10.0) -> DataFrame:
-    """Largest change of forecasts when returns from corrupt_from on are replaced: (before, after).
+def lookahead(run: Callable[[DataFrame], DataFrame], panel: DataFrame, corrupt_from: int, every: int = REFIT_EVERY, noise: float = 10.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Largest change of forecasts when returns from corrupt_from on are replaced: (by, before, after).
 
     Forecasts of refits with t_refit <= corrupt_from must not change (before = 0), later ones must (after > 0).
     """
@@ -120,7 +120,7 @@ def lookahead(run: Callable[[DataFrame], DataFrame], panel: DataFrame, corrupt_f
     both = a.select(*keys, "predicted").join(b.select(*keys, F.col("predicted").alias("other")), keys)
     change = F.abs(F.col("predicted") - F.col("other"))
     safe = F.col("t_refit") <= corrupt_from
-    return both.agg(F.max(F.when(safe, change)).alias("before"), F.max(F.when(~safe, change)).alias("after"))
+    return both.groupBy(*by).agg(F.max(F.when(safe, change)).alias("before"), F.max(F.when(~safe, change)).alias("after"))
 
 
 def assert_no_lookahead(fit: FitFn, panel: DataFrame, corrupt_from: int, start: int = START, every: int = REFIT_EVERY) -> None:

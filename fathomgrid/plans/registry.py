@@ -113,7 +113,9 @@ def interval_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lookahead_check(spark: SparkSession, d: str) -> DataFrame:
-    return B.lookahead(lambda p: B.ar1_forecasts(p, START, EVERY), T.responses(spark, d).filter("universe = 'type'"), START + EVERY, EVERY)
+    """Over all universes: the largest change before the corruption, the least of their changes after it."""
+    found = B.lookahead(lambda p: B.ar1_forecasts(p, START, EVERY), T.responses(spark, d), START + EVERY, EVERY, by=("universe",))
+    return found.agg(F.max("before").alias("before"), F.min("after").alias("after"))
 
 
 def metrics_by_model(spark: SparkSession, d: str) -> DataFrame:
@@ -234,6 +236,28 @@ HAC = f"""{MODELS},
   ps AS (SELECT x.universe, any_value(x.n) AS n, any_value(x.lags) AS lags, any_value(x.delta) AS delta, sum(CASE WHEN y.i = x.i THEN 1.0 ELSE 2 * (1 - (y.i - x.i) / (x.lags + 1)) END * x.z * y.z / x.n) AS psi FROM zz x JOIN zz y ON x.universe = y.universe AND y.i >= x.i AND y.i - x.i <= x.lags GROUP BY 1)"""
 
 
+# Of these four the queries without _all keep to the part types, as their SQL does; these take every universe.
+def gram_blocks_all(spark: SparkSession, d: str) -> DataFrame:
+    p = predictors_of(spark, d)
+    left = p.select("universe", "month", F.col("asset").alias("i"), F.col("vol12").alias("x"))
+    right = p.select("universe", "month", F.col("asset").alias("j"), F.col("vol12").alias("y"))
+    return left.join(right, ["universe", "month"]).groupBy("universe", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
+
+
+def training_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows of every refit from START to the last month of each universe."""
+    p = T.responses(spark, d)
+    last = p.groupBy("universe").agg(F.max("t").alias("last")).filter(F.col("last") >= START)
+    refits = last.select("universe", F.explode(F.sequence(F.lit(START), F.col("last").cast("int"), F.lit(EVERY))).alias("t_refit"))
+    return B.training_rows(p, refits).groupBy("universe", "t_refit").agg(F.count(F.lit(1)).alias("n"), F.sum("r_next").alias("s"))
+
+
+def restricted_months_all(spark: SparkSession, d: str) -> DataFrame:
+    """Common predictors in the months of each universe; fails when run if a month has none."""
+    months = T.returns(spark, d).select("universe", "month").distinct()
+    return P.restricted(T.common(spark, d), months).join(months, "month")
+
+
 def all_queries() -> dict[str, Query]:
     out = {
         "monthly_revenue": Query("universe asset month:d rev:f", T.revenue, q("revenue", "SELECT * FROM revenue")),
@@ -352,6 +376,14 @@ def all_queries() -> dict[str, Query]:
         "slab_formulas": Query("x:f lam_tilde:f binding:f kappa:f", lambda s, d: s.range(1, 101).select((F.col("id") / 10.0).alias("x")).select("x", S.regularised_scale(F.col("x"), F.lit(0.3), F.lit(1.2)).alias("lam_tilde"), S.slab_binding_probability(F.col("x"), F.lit(1.2)).alias("binding"), S.shrinkage_from_variance(F.lit(50.0), F.lit(0.04), F.col("x"), F.lit(1.1)).alias("kappa")), "\n--\nSELECT x, sqrt(1.44 * x * x / (1.44 + 0.09 * x * x)) AS lam_tilde, 2 / pi() * atan(x / 1.2) AS binding, 1 / (1 + 50.0 * 1.1 * x / 0.04) AS kappa FROM (SELECT unnest(range(1, 101)) / 10.0 AS x)"),
         "gram_blocks": Query("i j g:f", lambda s, d: predictors_of(s, d).filter("universe = 'type'").transform(lambda p: p.select("month", F.col("asset").alias("i"), F.col("vol12").alias("x")).join(p.select("month", F.col("asset").alias("j"), F.col("vol12").alias("y")), "month").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))), q("history common", "SELECT a.asset AS i, b.asset AS j, sum(a.vol12 * b.vol12) AS g FROM kept a JOIN kept b USING (universe, month) WHERE universe = 'type' GROUP BY 1, 2", SCORED)),
         "training_rows": Query("t_refit:i n:i s:f", lambda s, d: B.training_rows(T.responses(s, d).filter("universe = 'type'"), s.range(START, START + 37, EVERY).select(F.col("id").cast("int").alias("t_refit"))).groupBy("t_refit").agg(F.count(F.lit(1)).alias("n"), F.sum("r_next").alias("s")), q("responses", "SELECT t_refit, count(*) AS n, sum(r_next) AS s FROM responses JOIN (SELECT unnest([36, 48, 60, 72]) AS t_refit) ON t < t_refit WHERE universe = 'type' GROUP BY 1")),
+        "gram_blocks_all": Query("universe i j g:f", gram_blocks_all, q("history common", "SELECT a.universe, a.asset AS i, b.asset AS j, sum(a.vol12 * b.vol12) AS g FROM kept a JOIN kept b USING (universe, month) GROUP BY 1, 2, 3", SCORED)),
+        "training_rows_all": Query("universe t_refit:i n:i s:f", training_rows_all, q("responses", f"SELECT r.universe, t_refit, count(*) AS n, sum(r_next) AS s FROM responses r JOIN (SELECT universe, unnest(range({START}, max(t) + 1, {EVERY})) AS t_refit FROM responses GROUP BY 1) f ON r.universe = f.universe AND t < t_refit GROUP BY 1, 2")),
+        "restricted_months_all": Query("universe month:d disc:f", restricted_months_all, q("returns common", "SELECT universe, month, disc FROM common JOIN (SELECT DISTINCT universe, month FROM returns) USING (month)")),
+        "sentinel_recode_all": Query(
+            "universe asset month:d ret:f",
+            lambda s, d: P.recode_sentinels(T.returns(s, d).select("universe", "asset", "month", F.when(F.pmod("t", F.lit(7)) == 0, -99.99).when(F.pmod("t", F.lit(11)) == 0, -999.0).otherwise(F.col("ret")).alias("ret")), ["ret"]),
+            q("returns", "SELECT universe, asset, month, CASE WHEN t % 7 = 0 OR t % 11 = 0 THEN NULL ELSE ret END AS ret FROM returns"),
+        ),
         "ecdf": Query("universe asset sharpe:f ecdf:f", lambda s, d: D.ecdf(D.asset_statistics(T.returns(s, d)), "sharpe", ("universe",)), q("returns", "SELECT *, cume_dist() OVER (PARTITION BY universe ORDER BY sharpe) AS ecdf FROM (SELECT universe, asset, avg(ret) / stddev_samp(ret) * sqrt(12) AS sharpe FROM returns GROUP BY 1, 2)")),
         "share_below": Query("universe share_below:f", lambda s, d: D.share_below(T.returns(s, d), "ret", 0.0, ("universe",)), q("returns", "SELECT universe, avg((ret < 0)::INT) AS share_below FROM returns GROUP BY 1")),
         "quantiles": Query("universe p01:f p05:f p25:f p50:f p75:f p95:f p99:f", lambda s, d: D.quantiles(T.returns(s, d), "ret", ("universe",)), q("returns", "SELECT universe, " + ", ".join(f"quantile_cont(ret, {x}) AS p{round(100 * x):02d}" for x in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + " FROM returns GROUP BY 1")),

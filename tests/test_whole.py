@@ -1,6 +1,7 @@
 """Queries and operators do the whole of their job: all universes, all budgets, all rows."""
 
 import pytest
+from compare import connect, same
 from pyspark.sql import functions as F
 
 from fathomgrid.operators import backtest as B
@@ -31,6 +32,34 @@ def test_gibbs_backtest_covers_every_universe_with_the_whole_budget(spark, monke
     assert (used[0]["draws"], used[0]["burn"]) == (500, 100)
 
 
+@pytest.mark.parametrize("name", ["gram_blocks_all", "training_rows_all", "restricted_months_all", "sentinel_recode_all"])
+def test_whole_query_covers_every_universe(spark, name):
+    rows = ALL[name].spark(spark, SF).toPandas()
+    assert set(rows["universe"]) == UNIVERSES
+    same(rows, connect(SF).execute(ALL[name].oracle()).df())
+    if name == "training_rows_all":  # 81 and 80 rows to an asset
+        assert {u: sorted(g) for u, g in rows.groupby("universe")["t_refit"]} == {u: [36, 48, 60, 72] for u in UNIVERSES}
+
+
+def test_lookahead_check_sees_a_leak_in_any_universe(spark, monkeypatch):
+    forecasts = B.ar1_forecasts
+
+    def leaking(df, *a):
+        last = df.groupBy("universe", "asset").agg(F.max_by("r_next", "t").alias("_last"))
+        out = forecasts(df, *a).join(last, ["universe", "asset"])
+        return out.withColumn("predicted", F.when(F.col("universe") == "nation", F.col("predicted") + F.col("_last")).otherwise(F.col("predicted"))).drop("_last")
+
+    monkeypatch.setattr(registry.B, "ar1_forecasts", leaking)
+    assert ALL["lookahead_check"].spark(spark, SF).first()["before"] > 0
+
+
+def test_training_rows_follow_a_longer_panel(spark, monkeypatch):
+    p = spark.range(0, 100).selectExpr("'u' AS universe", "'a' AS asset", "cast(id AS int) AS t", "1.0D AS r_next")
+    monkeypatch.setattr(registry.T, "responses", lambda *a: p)
+    rows = ALL["training_rows_all"].spark(spark, "").orderBy("t_refit").collect()
+    assert [(r["t_refit"], r["n"]) for r in rows] == [(t, t) for t in (36, 48, 60, 72, 84, 96)]
+
+
 def test_training_rows_keep_every_refit(spark):
     p = spark.createDataFrame([("u", "a", 0, 1.0)], "universe string, asset string, t int, r_next double")
     refits = spark.range(1, 10_051).selectExpr("cast(id AS int) AS t_refit")
