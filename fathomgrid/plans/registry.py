@@ -224,6 +224,16 @@ def sharpe_pairs(spark: SparkSession, d: str) -> DataFrame:
     return L.compared(model_returns(spark, d), [("ar1", "mean")])
 
 
+def bootstrap_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """sharpe_pairs with the stacked portfolio as a fourth universe. A row for each universe and month: few enough to
+    be made once and handed to every block length."""
+    r = every = model_returns(spark, d)
+    for m in ("ar1", "mean"):
+        every = every.unionByName(E.stacked(r.filter(F.col("model") == m)).withColumns({"universe": F.lit("stacked"), "model": F.lit(m)}))
+    pairs = L.compared(every, [("ar1", "mean")])
+    return spark.createDataFrame(pairs.collect(), pairs.schema)
+
+
 def named_corr(spark: SparkSession, d: str) -> DataFrame:
     return D.correlations(predictors_of(spark, d), PRED)
 
@@ -329,7 +339,7 @@ def all_queries() -> dict[str, Query]:
         "diebold_mariano": Query("universe n:i lags:i mean:f stat:f p:f", lambda s, d: E.diebold_mariano(both_models(s, d), "predicted", "prefix"), q("forecasts", f"SELECT *, 2 * (1 - {cdf_sql('abs(stat)')}) AS p FROM tested", LRV.format(d=DM_D, src="forecasts"))),
         "clark_west": Query("universe n:i lags:i mean:f stat:f p:f", lambda s, d: E.clark_west(ar1(s, d)), q("forecasts", f"SELECT *, 1 - {cdf_sql('stat')} AS p FROM tested", LRV.format(d=CW_D, src="forecasts"))),
         "sharpe_diff_hac": Query("universe n:i lags:i delta:f se:f t_stat:f", lambda s, d: L.hac_difference(sharpe_pairs(s, d), ("universe", "a", "b")), q("weights", "SELECT universe, n, lags, delta, sqrt(greatest(psi, 0) / n) AS se, delta / nullif(sqrt(greatest(psi, 0) / n), 0) AS t_stat FROM ps", HAC)),
-        "sharpe_bootstrap": Query("universe n:i delta:f se:f block:i p:f", lambda s, d: L.block_sweep(sharpe_pairs(s, d), ("universe", "a", "b"), (5,), 499)),
+        "sharpe_bootstrap": Query("universe n:i delta:f se:f block:i p:f", lambda s, d: L.block_sweep(bootstrap_pairs(s, d), ("universe", "a", "b"))),
         "cross_sort_stacked": Query("t:i q:f", lambda s, d: E.stacked(portfolio(s, d)), q("weights", "SELECT t, avg(q) AS q FROM portfolio GROUP BY 1")),
         "cross_sort_pooled": Query(
             "portfolio sharpe:f ce:f best_within:b",

@@ -65,3 +65,10 @@ def test_training_rows_keep_every_refit(spark):
     refits = spark.range(1, 10_051).selectExpr("cast(id AS int) AS t_refit")
     assert B.training_rows(p, refits).count() == 10_050
     assert B.training_rows(p, refits.selectExpr("'v' AS universe", "t_refit")).count() == 0
+
+
+def test_sharpe_bootstrap_has_every_block_series_and_replicate(spark):
+    rows = ALL["sharpe_bootstrap"].spark(spark, SF).toPandas()
+    assert {(r.universe, r.block) for r in rows.itertuples()} == {(u, b) for u in UNIVERSES | {"stacked"} for b in (2, 5, 10, 20)}
+    assert len(rows) == 16 and all(abs(p * 5000 - round(p * 5000)) < 0.01 for p in rows["p"])
+    assert any(abs(p * 500 - round(p * 500)) > 0.01 for p in rows["p"])  # steps of 1/5000, not 1/500
