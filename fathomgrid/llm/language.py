@@ -20,13 +20,14 @@ SAMPLE, EPOCHS = 60, 8
 SEGMENT, CONTEXT = 2_048, 64
 #: Words whose scores a worker remembers; forgetting them changes no result.
 MEMO = 250_000
-WORD = re.compile(r"[^\W\d_]+")
+#: A run of letters; one of more than 40 (as in unspaced scripts) is cut into consecutive words of 40 and a rest.
+WORD = re.compile(r"[^\W\d_]{1,40}")
 
 
 def features(word: str) -> list[str]:
     """Affixes, character n-grams and the word itself (for the lexicon)."""
-    w = f"<{word[:40]}>"
-    return [f"={word[:40]}", *(f"^{word[:k]}" for k in (1, 2, 3)), *(f"{word[-k:]}$" for k in (1, 2, 3, 4)), *(w[i : i + k] for k in (1, 2, 3) for i in range(len(w) - k + 1))]
+    w = f"<{word}>"
+    return [f"={word}", *(f"^{word[:k]}" for k in (1, 2, 3)), *(f"{word[-k:]}$" for k in (1, 2, 3, 4)), *(w[i : i + k] for k in (1, 2, 3) for i in range(len(w) - k + 1))]
 
 
 @dataclass
