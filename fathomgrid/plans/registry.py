@@ -372,6 +372,12 @@ def all_queries() -> dict[str, Query]:
             lambda s, d: D.statistic_ranges(D.asset_statistics(T.returns(s, d))).filter("statistic in ('mean_pct', 'sd_pct')"),
             q("returns", "SELECT universe, statistic, min(x) AS lo, median(x) AS mid, max(x) AS hi FROM (SELECT universe, 'mean_pct' AS statistic, mean_pct AS x FROM st UNION ALL SELECT universe, 'sd_pct', sd_pct FROM st) GROUP BY 1, 2", "st AS (SELECT universe, asset, 100 * avg(ret) AS mean_pct, 100 * stddev_samp(ret) AS sd_pct FROM returns GROUP BY 1, 2)"),
         ),
+        # the SQL of statistic_ranges has two of the four statistics
+        "statistic_ranges_all": Query(
+            "universe statistic lo:f mid:f hi:f",
+            lambda s, d: D.statistic_ranges(D.asset_statistics(T.returns(s, d))),
+            q("returns", "SELECT universe, statistic, min(x) AS lo, median(x) AS mid, max(x) AS hi FROM (UNPIVOT st ON mean_pct, sd_pct, sharpe, ar1 INTO NAME statistic VALUE x) GROUP BY 1, 2", "ct AS (SELECT *, ret - avg(ret) OVER (PARTITION BY universe, asset) AS c FROM returns), cl AS (SELECT *, lag(c) OVER (PARTITION BY universe, asset ORDER BY month) AS b FROM ct), st AS (SELECT universe, asset, 100 * avg(ret) AS mean_pct, 100 * stddev_samp(ret) AS sd_pct, avg(ret) / stddev_samp(ret) * sqrt(12) AS sharpe, sum(c * b) / sum(c * c) AS ar1 FROM cl GROUP BY 1, 2)"),
+        ),
         "sample_covariance": Query("universe i j cov:f", lambda s, d: D.covariance(T.returns(s, d)), q("returns", "SELECT a.universe, a.asset AS i, b.asset AS j, covar_samp(a.ret, b.ret) AS cov FROM returns a JOIN returns b USING (universe, month) GROUP BY 1, 2, 3")),
         "corr_matrix": Query("universe a b corr:f", named_corr, q("history common", "SELECT * FROM corr", f"{SCORED}, {CORR_SQL}")),
         "corr_summary": Query("universe n_high:i median_abs:f p99_abs:f n_pairs:i", lambda s, d: D.correlation_summary(named_corr(s, d)), q("history common", "SELECT universe, count(*) FILTER (abs(corr) > 0.9) AS n_high, median(abs(corr)) AS median_abs, quantile_cont(abs(corr), 0.99) AS p99_abs, count(*) AS n_pairs FROM corr GROUP BY 1", f"{SCORED}, {CORR_SQL}")),

@@ -72,3 +72,9 @@ def test_sharpe_bootstrap_has_every_block_series_and_replicate(spark):
     assert {(r.universe, r.block) for r in rows.itertuples()} == {(u, b) for u in UNIVERSES | {"stacked"} for b in (2, 5, 10, 20)}
     assert len(rows) == 16 and all(abs(p * 5000 - round(p * 5000)) < 0.01 for p in rows["p"])
     assert any(abs(p * 500 - round(p * 500)) > 0.01 for p in rows["p"])  # steps of 1/5000, not 1/500
+
+
+def test_statistic_ranges_all_has_every_statistic(spark):
+    rows = ALL["statistic_ranges_all"].spark(spark, SF).toPandas()
+    assert {(r.universe, r.statistic) for r in rows.itertuples()} == {(u, x) for u in UNIVERSES for x in ("mean_pct", "sd_pct", "sharpe", "ar1")}
+    same(rows, connect(SF).execute(ALL["statistic_ranges_all"].oracle()).df())
