@@ -1,6 +1,6 @@
 """Training-data operators do the whole of their job."""
 
-from fathomgrid.llm import language
+from fathomgrid.llm import language, lines
 
 
 def test_the_middle_of_a_long_run_counts():
@@ -15,3 +15,10 @@ def test_every_letter_is_in_a_word():
     words = language.WORD.findall(run)
     assert [len(w) for w in words] == [40, 40, 15] and "".join(words) == run
     assert language.WORD.findall("Donaudampfschiffahrt und so") == ["Donaudampfschiffahrt", "und", "so"]
+
+
+def test_small_hosts_lose_boilerplate_with_a_lower_guard(spark):
+    rows = [(i, f"own {i}\nmenu", "small") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["n_removed"] for r in lines.drop_boilerplate(docs).collect()} == {0}  # as the README says of 5 pages
+    assert {r["kept_text"] for r in lines.drop_boilerplate(docs, min_pages=2).collect()} == {f"own {i}" for i in range(4)}
