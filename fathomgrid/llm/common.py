@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its counted rows times its row width stay below this.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of files that a task reads at least, if there are so many.
+SPLIT_BYTES = 4 << 20
+#: Smaller parts of a table are put together.
+PART_BYTES = 8 << 20
+#: Rows of one key that a task ranks.
+RANKED = 20_000
 #: Python works on slices of at most so many bytes of text (or one longer text).
 SLICE_BYTES = 1 << 20
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -22,34 +29,47 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 BATCH_ROWS = 2_000
 
 
-def bounded(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that neither side of a Python stage holds many texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+def bounded(df: DataFrame) -> DataFrame:
+    """df in a session with small Arrow batches, so that neither side of a Python stage holds many texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data, its small files read together."""
+    return gathered(bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """df in no more partitions than its files have SPLIT_BYTES, which changes nothing for files of the usual size."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.coalesce(min(1 << 30, -(-size // SPLIT_BYTES))) if size else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share, which spark.checkpoint.dir names; without it there is no place for tables."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="fathomgrid-")
-        spark.sparkContext.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return found
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+def materialize(df: DataFrame, files: int = 0) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    files bounds the number of its files from above (where it is known to be small, many tiny files are a burden).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fathomgrid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces_of(size: int) -> int:
+    """Parts of so many bytes that are worth a task or a file of their own."""
+    return max(1, -(-size // PART_BYTES))
+
+
 def checked(small: DataFrame, row_bytes: int) -> DataFrame:
     """small with a broadcast hint if its counted size is below BROADCAST_BYTES, else as it is (a shuffled join)."""
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
@@ -84,17 +104,19 @@ def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
-def rank_within(df: DataFrame, key: str, by: str, name: str, rows: int) -> DataFrame:
-    """df with a rank from 0 within each key. A hot key is split over salts whose counts give each its first rank."""
-    from pyspark.sql import Window as W
+def numbered(values: np.ndarray, key: str) -> Column:
+    """The value that a column of numbers from 0 on stands for."""
+    return F.element_at(F.expr(f"array({', '.join(f'{int(v)}L' for v in values)})"), F.col(key).cast("int") + 1)
+
+
+def rank_within(df: DataFrame, key: str, by: list[str], name: str, counts: np.ndarray) -> DataFrame:
+    """df with a rank from 0 within each key, a number below len(counts) that counts[key] rows have.
 
-    salts = min(1024, max(1, -(-rows // 20_000)))
-    df = df.withColumn("_salt", F.pmod(F.xxhash64(*by.split(",")), F.lit(salts)).cast("int"))
-    counts = df.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    first = counts.select(
-        key,
-        "_salt",
-        F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"),
-    )
-    ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(key, "_salt").orderBy(*by.split(","))))
+    Each key is parted into as many salts as it has RANKED rows; counts by salt give each salt its first rank.
+    """
+    df = df.withColumn("_salt", F.pmod(F.xxhash64(*by), numbered(np.maximum(1, -(-counts // RANKED)), key)))
+    sizes = df.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(key).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
+    first = sizes.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(key, "_salt").orderBy(*by)))
     return ranked.join(first, [key, "_salt"]).withColumn(name, (F.col("_first") + F.col("_rn") - 1).cast("long")).drop("_rn", "_first", "_salt")

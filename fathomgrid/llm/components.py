@@ -31,13 +31,13 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[star]), pa.array(nodes[label[star]])], ["u", "v"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int = 0) -> DataFrame:
     """(node, component) of every node of links (u, v: long), component being its least node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) with joins and minima by node, each round a
-    written table, until no link changes; no node's links are gathered in one place.
+    written table of at most so many files (if given), until no link changes; no node's links are gathered in one place.
     """
-    edges = materialize(links.filter("u <> v").mapInArrow(_contracted, "u long, v long").distinct())
+    edges = materialize(links.filter("u <> v").mapInArrow(_contracted, "u long, v long").distinct(), files)
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -46,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = materialize(small)
+        edges = materialize(small, files)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

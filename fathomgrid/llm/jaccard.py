@@ -7,11 +7,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checked, materialize, slices, text_bytes
+from .common import as_bytes, checked, materialize, pieces_of, slices, text_bytes
 from .components import components
 from .textops import LOWER, inside, mix, owner, windows, words
 
@@ -19,8 +19,10 @@ from .textops import LOWER, inside, mix, owner, windows, words
 SHARD_KEYS, FLUSH, RESERVE = 1 << 19, 1 << 19, 0.08
 #: A key with more sets is costly: its sets may give it up as far as their slack goes.
 COSTLY = 8
-#: Sets of one key that one task compares at a time.
-WIDE = 2_048
+#: Sets, and shingles of sets, of one key or family that make a block: a task compares two blocks at a time.
+WIDE, WIDE_SHINGLES = 2_048, 1 << 21
+#: Pairs of one document that one task verifies.
+PAIRS = 256
 DELETED, UPPER, DOUBLE = 1, 2, 4
 MOST = (1 << 64) - 1
 
@@ -190,13 +192,16 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
     one-deletion neighbourhoods too and so count double; that slack lets each set give up the costliest keys (sets with
     an equal key are counted first). Sets under one key that can link by their parity sketches (which never exclude a
     link) are verified exactly from their texts: first with a centre; then, for keys whose sets are not yet in one
-    component, each set with the nearest of each other component, and at last all pairs of different components. A
-    null or empty text has 0 shingles and is its own component; rows with equal ids count as one document and give a
-    row each; other columns are dropped.
+    component, those that may link across components form families, in which the sets of different components are
+    compared exactly inside one task (by blocks if there are many). Only links that connect a family leave it, never
+    its pairs. A null or empty text has 0 shingles and is its own component; rows with equal ids count as one document
+    with the links of all their texts and give a row each; a text that only rows without an id have is linked with
+    nothing but its copies; other columns are dropped.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(id_col, text_col)
     size = text_bytes(docs, text_col)
+    files = pieces_of(size)
+    source = docs.select(id_col, text_col)
     shards = max(1, -(-size * 8 // (100 * shard_keys)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +212,10 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
                 count, a, c = digests(doc, value, hi - lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(sketches(doc, value, hi - lo), pa.binary())], ["id", "size", "d", "e", "x"])
 
-    found = materialize(source.mapInArrow(sets, f"id {kind}, size long, d long, e long, x binary"))
+    found = materialize(source.mapInArrow(sets, f"id {kind}, size long, d long, e long, x binary"), files)
     largest = found.agg(F.coalesce(F.max("size"), F.lit(0)).alias("n")).first()["n"]
     least = found.filter("size > 0").groupBy("d", "e").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.min("x").alias("x"))
-    classes = materialize(least)
+    classes = materialize(least, files)
     found = found.drop("x")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +295,7 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
         return pa.concat_tables(out)
 
     rows = source.mapInArrow(keys, "s int, key binary, node binary, flags binary, pair binary").groupBy("s").applyInArrow(bucket, "kind int, a long, b long, flags int, pair int, cost long")
-    rows = materialize(rows)
+    rows = materialize(rows, max(shards, files))
     costly = rows.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"), "flags", "pair", "cost")
     # each set gives up its costliest keys, as far as its slack goes
     table = bands(percent, largest)
@@ -299,37 +304,35 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
     chosen = W.partitionBy("node", "pair", F.col("flags").bitwiseAND(UPPER)).orderBy(F.desc("cost"), "key")
     heavy = costly.filter(F.col("flags").bitwiseAND(DELETED) == 0).withColumn("_given", F.sum(weight).over(chosen)).filter(F.col("_given") > slack)
     # deletions of a segment follow no single key, so they stay
-    heavy = materialize(heavy.select("key", "node").union(costly.filter(F.col("flags").bitwiseAND(DELETED) > 0).select("key", "node")).distinct())
-    centres = heavy.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    joined = heavy.join(centres, "key")
+    heavy = materialize(heavy.select("key", "node").union(costly.filter(F.col("flags").bitwiseAND(DELETED) > 0).select("key", "node")).distinct(), files)
+    centres = materialize(heavy.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1"), files)
+    joined = heavy.join(checked(centres, 24), "key")
     members = joined.groupBy("key").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).cast("string").alias("m"), F.first("n").alias("n")).filter("n > 2")
-    distinct = members.groupBy("m", "n").agg(F.min("key").alias("key"))
-    large = heavy.join(distinct.select("key"), "key", "left_semi").select(F.col("key").alias("a"), F.col("node").alias("b"))
+    distinct = materialize(members.groupBy("m", "n").agg(F.min("key").alias("key")).select("key"), files)
+    large = heavy.join(checked(distinct, 8), "key", "left_semi").select(F.col("key").alias("a"), F.col("node").alias("b"))
     near = rows.filter("kind = 0").select("a", "b").union(joined.filter("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))).distinct()
-    groups = materialize(rows.filter("kind = 1").select("a", "b").union(large).distinct())
-    near = materialize(_plausible(near, classes, percent))
-    links = materialize(verified(source, near, n, percent, id_col, text_col))
-    tried = near
-    sides = classes.select(F.col("d").alias("b"), "rep", "size", "x")
-    for every in (False, True):
-        named = _components(classes, links).select(F.col("d").alias("b"), "rep", "c").distinct()
-        open_keys = groups.join(named, "b").groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("a", "n")
-        members = groups.join(materialize(open_keys), "a").join(named, "b").join(sides, ["b", "rep"])
-        found_pairs = _across(members.select("a", "n", "rep", "c", "size", "x"), percent, every, kind).distinct()
-        cross = materialize(found_pairs.join(tried, ["u", "v"], "left_anti"))
-        if not cross.isEmpty():
-            links = materialize(links.union(verified(source, cross, n, percent, id_col, text_col)))
-            tried = tried.union(cross)
-    out = found.join(_components(classes, links).select("d", "e", "c"), ["d", "e"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
-
-
-def _components(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """classes (d, e, rep) with the least id of their component."""
+    groups = materialize(rows.filter("kind = 1").select("a", "b").union(large).distinct(), files)
+    near = materialize(_plausible(near, classes, percent), files)
+    links = materialize(verified(source, near, n, percent, id_col, text_col, files), files)
+    # keys whose sets lie in several components: who may still have a link there, in groups that such links connect
+    named = materialize(_components(classes, links, files), files)
+    sides = groups.join(named.filter(F.col("rep").isNotNull()).select(F.col("d").alias("b"), "rep", "size", "x", "c"), "b")
+    open_keys = materialize(sides.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("a", "n"), files)
+    maybe = materialize(_across(sides.join(checked(open_keys, 16), "a").select(F.col("a").alias("unit"), "n", "rep", "c", "size", "x"), percent, kind), files)
+    if not maybe.isEmpty():
+        family = materialize(components(maybe, files).join(named.groupBy(F.col("rep").alias("node"), "c").agg(F.sum("size").alias("size")), "node"), files)
+        links = materialize(links.union(_within(source, family, n, percent, id_col, text_col, files)), files)
+        named = materialize(_components(classes, links, files), files)
+    out = found.join(named.select("d", "e", "c"), ["d", "e"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("c", "id").alias("component_id")).coalesce(files)
+
+
+def _components(classes: DataFrame, links: DataFrame, files: int) -> DataFrame:
+    """classes with the least id of their component (c)."""
     if links.isEmpty():
-        return classes.select("d", "e", "rep", F.col("rep").alias("c"))
-    linked = components(links)
-    return classes.select("d", "e", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("d", "e", "rep", F.coalesce("component", "rep").alias("c"))
+        return classes.withColumn("c", F.col("rep"))
+    linked = components(links, files)
+    return classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -354,63 +357,131 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return found.mapInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
-def _across(members: DataFrame, percent: int, every: bool, kind: str) -> DataFrame:
-    """Pairs (u, v) of one key's sets in different components that may link by size and sketch.
+def _blocked(members: DataFrame, blocks: Column) -> DataFrame:
+    """Members of a unit in blocks of bounded size: each two blocks, and each with itself, make a unit of their own.
 
-    Unless every is set, only each set's nearest in each other component. A key of more than WIDE sets is parted into
-    blocks, and each two blocks are a unit of their own.
+    Adds whether a row is on the left or the right of its unit (0 or 1; 2 in a unit of one block).
     """
-    blocks = F.ceil(F.col("n") / F.lit(WIDE)).cast("int")
-    m = members.withColumn("_k", blocks).withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int"))
+    m = members.withColumn("_k", F.greatest(blocks.cast("int"), F.lit(1))).withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int"))
     m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    m = m.select(F.xxhash64("a", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("unit"), "rep", "c", "size", "x")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    m = m.repartition(parts, "unit").sortWithinPartitions("unit")
-
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        unit, rep, c, size = (t.column(k).to_numpy() for k in ("unit", "rep", "c", "size"))
-        held = Sketches(t.column("x").to_pylist())
-        new = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-        ends = np.repeat(np.append(new[1:], len(unit)), np.diff(np.append(new, len(unit))))
-        count = ends - np.arange(len(unit)) - 1
-        total = np.cumsum(count)
-        at = 0
-        while at < len(unit):
-            upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 500_000, side="right")))
-            k = count[at:upto]
-            i = np.repeat(np.arange(at, upto), k)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
-            at = upto
-            ok, most = within(size[i], size[j], percent)
-            use = ok & (c[i] != c[j])
-            i, j, most = i[use], j[use], most[use]
-            far = held.distances(i, j)
-            use = far <= most
-            i, j, far = i[use], j[use], far[use]
-            if not every and len(i):
-                order = np.lexsort((far, c[j], i))
-                i, j = i[order], j[order]
-                first = np.concatenate([[True], (i[1:] != i[:-1]) | (c[j][1:] != c[j][:-1])])
-                i, j = i[first], j[first]
-            u, v = rep[i], rep[j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+    side = F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1).cast("int")
+    m = m.withColumn("side", side).withColumn("unit", F.xxhash64("unit", F.least("_b", "_o"), F.greatest("_b", "_o"))).drop("_k", "_b", "_o")
+    return m
+
+
+def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each unit (first column) together, from batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        unit = batch.column(0).to_numpy()
+        edge = np.flatnonzero(unit[1:] != unit[:-1]) + 1
+        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(unit)]):
+            if held and hi > lo and held[0].column(0)[0].as_py() != unit[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _rooted(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after joining those of i with those of j: each row's label is the least of its group."""
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _starred(label: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+    """Links of a unit's groups as stars: one row less than each has members."""
+    at = np.flatnonzero(label != np.arange(len(label)))
+    u, v = rep[label[at]], rep[at]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+
+def _across(members: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Sets of different components under one key that may link by size and sketch, connected as stars (u, v).
+
+    A key of more than WIDE sets is parted into blocks. What leaves a task is fewer rows than came in.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = t if carry is None else pa.concat_tables([carry, t])
-            unit = t.column("unit").to_numpy()
-            whole = int(np.flatnonzero(unit == unit[-1])[0])  # the last unit may go on
-            carry = t.slice(whole)
-            if whole:
-                yield from pairs(t.slice(0, whole))
-        if carry is not None:
-            yield from pairs(carry)
+        for t in _by_unit(batches):
+            rep, c, size, side = (t.column(k).to_numpy() for k in ("rep", "c", "size", "side"))
+            held = Sketches(t.column("x").to_pylist())
+            label = np.arange(len(rep))
+            # rows come by size: partners are the next ones up to the largest that can link
+            last = np.searchsorted(size, size * 100 // percent, side="right")
+            count = np.maximum(last - np.arange(len(rep)) - 1, 0)
+            total = np.cumsum(count)
+            at = 0
+            while at < len(rep):
+                upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 500_000, side="right")))
+                k = count[at:upto]
+                i = np.repeat(np.arange(at, upto), k)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+                at = upto
+                use = (c[i] != c[j]) & ((side[i] == 2) | (side[i] != side[j])) & (label[i] != label[j])
+                i, j = i[use], j[use]
+                ok, most = within(size[i], size[j], percent)
+                use = ok & (held.distances(i, j) <= most)
+                label = _rooted(label, i[use], j[use])
+            yield _starred(label, rep)
+
+    m = _blocked(members, F.ceil(F.col("n") / F.lit(WIDE))).select("unit", "rep", "c", "size", "side", "x")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return m.repartition(parts, "unit").sortWithinPartitions("unit", "size").mapInArrow(run, f"u {kind}, v {kind}").distinct()
 
-    return m.mapInArrow(run, f"u {kind}, v {kind}")
+
+def _within(source: DataFrame, family: DataFrame, n: int, percent: int, id_col: str, text_col: str, files: int) -> DataFrame:
+    """Links between different components of each family (node, component, c, size), verified from the texts.
+
+    A family's sets meet in one task, in blocks of bounded rows and bytes if it is large; its links leave as stars.
+    """
+    kind = source.schema[id_col].dataType.simpleString()
+    wide = family.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_s"))
+    blocks = F.ceil(F.greatest(F.col("_n") / F.lit(WIDE), F.col("_s") / F.lit(WIDE_SHINGLES)))
+    sized = materialize(family.join(wide, "component"), files)
+    sets = _sets(source, sized.select(F.col("node").alias("id")), n, id_col, text_col, files)
+    members = _blocked(sized.select(F.col("component").alias("unit"), F.col("node").alias("rep"), "c", "size", blocks.alias("_blocks")), F.col("_blocks"))
+    m = members.join(sets.withColumnRenamed("id", "rep"), "rep").select("unit", "rep", "c", "side", "x")
+    m = m.repartition(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_unit(batches):
+            size = np.array([len(x.as_buffer()) // 8 for x in t.column("x")])
+            t, size = t.take(np.argsort(size, kind="stable")), np.sort(size)
+            rep, c, side = (t.column(k).to_numpy() for k in ("rep", "c", "side"))
+            flat = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("x")])
+            flat = np.unique(flat, return_inverse=True)[1]
+            edge = np.concatenate([[0], np.cumsum(size)])
+            _, own = np.unique(c, return_inverse=True)
+            label = np.unique(own, return_index=True)[1][own]  # first row of each component
+            label = _rooted(np.arange(len(rep)), np.arange(len(rep)), label)
+            start = label
+            last = np.searchsorted(size, size * 100 // percent, side="right")
+            mark = np.zeros(int(flat.max(initial=-1)) + 1, np.int32)
+            for i in range(len(rep)):
+                lo, hi = i + 1, int(last[i])
+                if hi <= lo or not ((label[lo:hi] != label[i]) & ((side[i] == 2) | (side[lo:hi] != side[i]))).any():
+                    continue
+                mark[flat[edge[i] : edge[i + 1]]] = 1
+                common = np.add.reduceat(mark[flat[edge[lo] : edge[hi]]], edge[lo:hi] - edge[lo])
+                mark[flat[edge[i] : edge[i + 1]]] = 0
+                j = lo + np.flatnonzero(100 * common >= percent * (size[i] + size[lo:hi] - common))
+                if len(j):
+                    label = _rooted(label, np.full(len(j), i), j)
+            # the components that rows came with are known already: one row of each stands for it
+            first = np.flatnonzero(start == np.arange(len(rep)))
+            yield _starred(np.searchsorted(first, label[first]), rep[first])
+
+    return m.mapInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
 def _rows(kind: int, a: np.ndarray, b: np.ndarray, flags=None, pair=None, cost=None) -> pa.Table:
@@ -419,9 +490,8 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray, flags=None, pair=None, cost=N
     return pa.table([pa.array(c) for c in columns], ["kind", "a", "b", "flags", "pair", "cost"])
 
 
-def verified(source: DataFrame, pairs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs (u, v) of documents that link, from the shingles of their texts."""
-    need = materialize(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+def _sets(source: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str, files: int) -> DataFrame:
+    """The shingles of those documents (id, x), sorted; a row for each different text of an id."""
     kind = source.schema[id_col].dataType.simpleString()
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +500,19 @@ def verified(source: DataFrame, pairs: DataFrame, n: int, percent: int, id_col:
             for lo, hi in slices(texts):
                 doc, value = shingles(texts[lo:hi], n)
                 edge = np.searchsorted(doc, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([value[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())], ["id", "x"])
+                d = digests(doc, value, hi - lo)[1]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(d.view(np.int64)), pa.array([value[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())], ["id", "d", "x"])
+
+    texts = source.select(F.col(id_col).alias("id"), text_col).join(checked(materialize(ids.distinct(), files), 8), "id", "left_semi")
+    return texts.mapInArrow(blobs, f"id {kind}, d long, x binary").filter(F.length("x") > 0).dropDuplicates(["id", "d"]).drop("d")
+
+
+def verified(source: DataFrame, pairs: DataFrame, n: int, percent: int, id_col: str, text_col: str, files: int) -> DataFrame:
+    """Those pairs (u, v: a table) of documents that link, from the shingles of their texts.
+
+    A document with many pairs, as a centre is, goes to as many places as it has PAIRS pairs.
+    """
+    kind = source.schema[id_col].dataType.simpleString()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,7 +524,15 @@ def verified(source: DataFrame, pairs: DataFrame, n: int, percent: int, id_col:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = source.select(F.col(id_col).alias("id"), text_col).join(checked(need, 8), "id", "left_semi")
-    held = texts.mapInArrow(blobs, f"id {kind}, x binary").dropDuplicates(["id"])
-    both = pairs.join(held.toDF("u", "x"), "u").join(held.toDF("v", "y"), "v").select("u", "v", "x", "y")
+    held = _sets(source, pairs.select(F.col("u").alias("id")).union(pairs.select("v")), n, id_col, text_col, files)
+    ends = pairs.select(F.col("u").alias("id"), F.lit("u").alias("end")).union(pairs.select("v", F.lit("v")))
+    busy = materialize(ends.groupBy("id", "end").count().filter(F.col("count") > PAIRS).select("id", "end", F.ceil(F.col("count") / PAIRS).cast("int").alias("k")), files)
+
+    def spread(df: DataFrame, here: str, there: str, blob: str) -> DataFrame:
+        many = checked(busy.filter(F.col("end") == here).select(F.col("id").alias(here), "k"), 12)
+        salted = df.join(many, here, "left").withColumn("_s", F.coalesce(F.pmod(F.xxhash64(there), F.col("k")).cast("int"), F.lit(0))).drop("k")
+        copies = held.toDF(here, blob).join(many, here, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k"), F.lit(1)) - 1))).drop("k")
+        return salted.join(copies, [here, "_s"]).drop("_s")
+
+    both = spread(spread(pairs, "u", "v", "x"), "v", "u", "y").select("u", "v", "x", "y")
     return both.mapInArrow(exact, f"u {kind}, v {kind}")
