@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, slices
@@ -183,6 +183,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, k: int = 8
     return merged.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(F.col("id.id").alias(id_col), "n_words", "n_hit", "items", "spans")
 
 
+def judged() -> Column:
+    """Whether a row of decontaminate() is contaminated: a twentieth of its words or more are hit."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
 def _united(column: str):
     """Union of sorted half-open spans."""
     empty = F.array().cast("array<struct<first:bigint,end:bigint>>")

@@ -7,16 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, rank_within
+from .common import as_bytes, materialize, numbered, pieces_of, rank_within
 from .tokens import encoder
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Each document's ids followed by id 0, cut every size ids: (id, piece, start, length, ids_crc32[, ids binary])."""
+    """Each document's ids followed by id 0, cut every size ids: (id, piece, start, length, ids_crc32[, ids binary]).
+
+    A null or empty text is the one piece of id 0. Null and repeated ids are documents like others; other columns are
+    dropped.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,17 +124,17 @@ def filled(bins: np.ndarray, items: np.ndarray, capacity: int) -> tuple[np.ndarr
     return np.array(plan, np.int64).reshape(-1, 6), new
 
 
-def _lookup(df: DataFrame, keys: list[str], fn, adds: str) -> DataFrame:
-    """df with columns computed by fn from NumPy columns, against a plan whose size doesn't depend on the corpus."""
-    names = [a.split()[0] for a in adds.split(", ")]
-    kept = df.columns
+def _ranges(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A plan's rows, whose number depends on the distinct lengths and not on the corpus, for a broadcast join."""
+    return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names.split())))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = fn(*(batch.column(kept.index(k)).to_numpy(zero_copy_only=False) for k in keys))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in new)], [*kept, *names])
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {adds}")
+def _by_length(df: DataFrame, column: str, size: int) -> np.ndarray:
+    """Rows for each value of a column from 0 to size (at most size + 1 rows reach the driver)."""
+    counts = np.zeros(size + 1, np.int64)
+    for r in df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r[0]] = r[1]
+    return counts
 
 
 def pack(items: DataFrame, size: int = 2048, groups: int = 48, small: int = 896) -> DataFrame:
@@ -139,75 +143,54 @@ def pack(items: DataFrame, size: int = 2048, groups: int = 48, small: int = 896)
     Lengths above small are parted into groups of equal cardinality and rounded up to the longest of their group;
     column generation finds how often each configuration of the few sizes is used; documents take their groups' places
     by rank. What is left over and the small ones then go best-fit into the true free space. Only counts by length
-    (at most size of them) reach the driver. An empty table stays empty; pieces of full size are sequences of their own.
+    (at most size of them) reach the driver; the plans made of them are joined by length and range of ranks. Pieces of
+    full size are sequences of their own and need no rank. An empty table stays empty; null ids and repeated rows are
+    pieces like others.
     """
     spark = items.sparkSession
-    rows = items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most size rows
-    counts = np.zeros(size + 1, np.int64)
-    for r in rows:
-        counts[r["length"]] = r["n"]
-    total = int(counts.sum())
-    ranked = materialize(rank_within(items, "length", "id,piece", "_rank", total))
-    inner = counts.copy()
+    by = [c for c in items.columns if c != "length"]
+    inner = _by_length(items, "length", size)
+    files = pieces_of(32 * int(inner.sum()))
     inner[size] = 0
+    ranked = materialize(rank_within(items.filter(F.col("length") < size), "length", by, "_rank", inner), files)
     large = grouped(inner, small, groups)
     patterns = configurations([g[0] for g in large], [g[2] - g[1] for g in large], size) if large else []
     # places of each group: as many ranks as its patterns hold, from the group's longest on
-    slots, sequences = [[] for _ in large], 0
+    slots, sequences = [], 0
     used = np.zeros(len(large), np.int64)
     for pattern, times in patterns:
         for g in np.flatnonzero(pattern):
             for _ in range(pattern[g]):
                 take = min(times, large[g][2] - large[g][1] - int(used[g]))
                 if take > 0:
-                    slots[g].append((large[g][1] + int(used[g]), take, sequences))
+                    slots.append((large[g][1] + int(used[g]), take, sequences))
                     used[g] += take
         sequences += times
-    table = np.array(sorted(x for g in slots for x in g), np.int64).reshape(-1, 3)
     above = np.concatenate([[0], np.cumsum(inner[::-1])])[:-1][::-1]  # items longer than each length
-    first, last = table[:, 0], table[:, 0] + table[:, 1]
-
-    def place(length: np.ndarray, rank: np.ndarray) -> tuple:
-        at = above[length] + rank
-        k = np.searchsorted(first, at, side="right") - 1
-        ok = (length > small) & (length < size) & (k >= 0)
-        k = np.maximum(k, 0)
-        if len(table):
-            ok &= at < last[k]
-            return (np.where(ok, table[k, 2] + at - first[k], -1),)
-        return (np.full(len(at), -1, np.int64),)
-
-    placed = _lookup(ranked, ["length", "_rank"], place, "_seq long")
-    grown = W.partitionBy("_seq").orderBy(F.desc("length"), "id", "piece")  # a few rows each
-    fixed = placed.filter("_seq >= 0").withColumn("offset", F.sum("length").over(grown) - F.col("length"))
-    fixed = materialize(fixed.drop("_rank"))
+    places = []
+    for first, take, sequence in slots:
+        for length in np.flatnonzero((inner > 0) & (above < first + take) & (above + inner > first)):
+            base = int(above[length])
+            lo, hi = max(first, base), min(first + take, base + int(inner[length]))
+            places.append((int(length), lo - base, hi - base, sequence + base - first))
+    here = _ranges(spark, places, "_l _lo _hi _base")
+    inside = (F.col("length") == F.col("_l")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
+    placed = ranked.join(here, inside, "left").withColumn("_seq", F.col("_base") + F.col("_rank")).drop("_l", "_lo", "_hi", "_base", "_rank")
+    grown = W.partitionBy("_seq").orderBy(F.desc("length"), *by)  # a few rows each
+    fixed = materialize(placed.filter(F.col("_seq").isNotNull()).withColumn("offset", F.sum("length").over(grown) - F.col("length")), files)
     seqs = fixed.groupBy("_seq").agg((F.lit(size) - F.sum("length")).cast("long").alias("_free"))
-    free_counts = np.zeros(size + 1, np.int64)
-    for r in seqs.groupBy("_free").agg(F.count(F.lit(1)).alias("n")).collect():  # at most size rows
-        free_counts[r["_free"]] = r["n"]
-    rest = placed.filter((F.col("_seq") < 0) & (F.col("length") < size)).drop("_seq", "_rank")
-    rest = materialize(rank_within(rest, "length", "id,piece", "_rank", total))
-    rest_counts = np.zeros(size + 1, np.int64)
-    for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
-        rest_counts[r["length"]] = r["n"]
-    plan, new = filled(free_counts, rest_counts, size)
-    base = np.concatenate([[0], np.cumsum(free_counts)])  # numbers of sequences by class; new ones follow
-    offset_of_class = np.append(base[: size + 1], base[size + 1])
-    reach = max(1, int(rest_counts.max()) if total else 1) + 1
-    keys = plan[:, 0] * reach + plan[:, 1]
-    order = np.argsort(keys)
-    plan, keys = plan[order], keys[order]
-
-    def fill(length: np.ndarray, rank: np.ndarray) -> tuple:
-        k = np.searchsorted(keys, length * reach + rank, side="right") - 1
-        p = plan[k]
-        return offset_of_class[p[:, 3]] + p[:, 4] + rank - p[:, 1], p[:, 5]
-
-    seqs = rank_within(seqs, "_free", "_seq", "_rank", int(base[-1]))
-    names = _lookup(seqs, ["_free", "_rank"], lambda free, rank: (offset_of_class[free] + rank,), "sequence_id long").select("_seq", "sequence_id")
-    out = [c for c in items.columns] + ["sequence_id", "offset"]
-    a = fixed.join(names, "_seq").select(out)
-    b = _lookup(rest, ["length", "_rank"], fill, "sequence_id long, offset long").select(out)
-    start = int(base[-1]) + new
-    c = placed.filter(F.col("length") == size).withColumn("sequence_id", F.col("_rank") + F.lit(start)).withColumn("offset", F.lit(0).cast("long")).select(out)
-    return a.unionByName(b).unionByName(c)
+    free = _by_length(seqs, "_free", size)
+    rest = placed.filter(F.col("_seq").isNull()).drop("_seq")
+    left = _by_length(rest, "length", size)
+    rest = rank_within(rest, "length", by, "_rank", left)
+    plan, new = filled(free, left, size)
+    base = np.concatenate([[0], np.cumsum(free)])  # numbers of sequences by free space; new ones follow
+    fills = [(length, lo, hi, int(base[kind]) + at - lo, offset) for length, lo, hi, kind, at, offset in plan.tolist()]
+    here = _ranges(spark, fills, "_l _lo _hi _base offset")
+    seqs = rank_within(seqs, "_free", ["_seq"], "_rank", free)
+    number = numbered(base, "_free") + F.col("_rank")
+    out = [*items.columns, "sequence_id", "offset"]
+    a = fixed.join(seqs.select("_seq", number.alias("sequence_id")), "_seq").select(out)
+    b = rest.join(here, inside).withColumn("sequence_id", F.col("_base") + F.col("_rank")).select(out)
+    c = items.filter(F.col("length") == size).withColumn("sequence_id", F.lit(int(base[-1]) + new) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).select(out)
+    return a.unionByName(b).unionByName(c).coalesce(files)

@@ -42,22 +42,18 @@ def packed(docs: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    out = contamination.decontaminate(docs, benchmark)
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contamination.judged().alias("contaminated"),
     )
 
 
-def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 

@@ -14,15 +14,29 @@ from pyspark.sql import DataFrame
 from .common import as_bytes
 
 #: Entries of each of a worker's two memos: the full one becomes the old one, which changes no result.
-MEMO = 300_000
+MEMO = 200_000
+#: A longer text is encoded in pieces that end at white space.
+PIECE_BYTES = 1 << 20
+SPACES = re.compile(rb"[ \t\n\r]")
 _encoders: dict[str, "Encoder"] = {}
 
 
-class Encoder(dict):
+class Memo(dict):
+    """Ids (little-endian 32 bits each) of white-space-parted chunks, found by an encoder when first asked for."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        got = self[chunk] = self.find(chunk)
+        return got
+
+
+class Encoder:
     """Exact ids of texts under a tokenizer that drops white space and lower-cases, from ids of white-space-parted chunks.
 
     Its normaliser acts within chunks, no pre-token crosses white space and its merges stay inside pre-tokens,
-    so a text's ids are its chunks' ids in order. The dict maps a chunk to its ids (little-endian 32 bits).
+    so a text's ids are its chunks' ids in order. A tokenizer that doesn't pass a trial of this is refused.
     """
 
     def __init__(self, path: str):
@@ -31,38 +45,51 @@ class Encoder(dict):
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.letters: dict[int, str] = {}
+        normal = self.tok.normalizer
+        if normal is None or normal.normalize_str("Aa") != "aa" or self._library("Ab  cD\n\tab") != self._library("ab") + self._library("cd") + self._library("ab"):
+            raise ValueError(f"{path} doesn't lower-case or doesn't drop white space")
         for c in map(chr, range(0x41, 0x250)):
-            small = self.tok.normalizer.normalize_str(c)
+            small = normal.normalize_str(c)
             if c.isalpha() and len(small) == 1 and small.isalpha():
                 parts = self.tok.pre_tokenizer.pre_tokenize_str(small)
                 if len(parts) == 1:
                     self.letters[ord(c)] = parts[0][0]
         self.plain = re.compile(f"[{''.join(map(chr, self.letters))}]+").fullmatch
-        self.old: dict[bytes, bytes] = {}
+        self.memo, self.old = Memo(self._found), {}
 
-    def __missing__(self, chunk: bytes) -> bytes:
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _found(self, chunk: bytes) -> bytes:
         got = self.old.get(chunk)
         if got is None:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
             text = chunk.decode()
             if self.plain(text):  # one pre-token, normalised and mapped letter by letter
                 got = array("I", [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
             elif chunk[-1:] in (b".", b",") and len(chunk) > 1 and ord(text[-2]) in self.letters:
-                got = self[chunk[:-1]] + self[chunk[-1:]]
+                got = self.memo[chunk[:-1]] + self.memo[chunk[-1:]]
             else:
-                got = array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-        self[chunk] = got
+                got = self._library(text)
         return got
 
     def ids(self, text: bytes) -> bytes:
         """The text's ids, as little-endian 32 bits each."""
+        if len(text) > PIECE_BYTES:
+            parts, at = [], 0
+            while at < len(text):
+                end = SPACES.search(text, at + PIECE_BYTES)
+                parts.append(self._piece(text[at : end.start() if end else len(text)]))
+                at = end.start() if end else len(text)
+            return b"".join(parts)
+        return self._piece(text)
+
+    def _piece(self, text: bytes) -> bytes:
+        if len(self.memo) >= MEMO:
+            self.memo, self.old = Memo(self._found), self.memo
         if b"<|" in text:  # lower-casing first could make a special string
-            return b"".join(map(self.__getitem__, text.split()))
-        return b"".join(map(self.__getitem__, text.lower().split()))
+            return b"".join(map(self.memo.__getitem__, text.split()))
+        return b"".join(map(self.memo.__getitem__, text.lower().split()))
 
     def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and first characters of the tokens, from the library in one call."""
