@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,16 +13,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, checked, materialize, slices
 
-#: Documents of each language that training takes (those of least hash), and passes over their words.
-SAMPLE, EPOCHS = 60, 8
-#: Words in a segment of a long text, and words of context on each side of it.
-SEGMENT, CONTEXT = 2_048, 64
+#: Documents of each language that training takes (those of least hash), their most bytes, sequences spliced of them
+#: for a pass, and passes over these.
+SAMPLE, LONGEST, SEQUENCES, EPOCHS = 60, 1 << 20, 4_000, 8
+#: Words in a segment of a long text.
+SEGMENT = 2_048
 #: Words whose scores a worker remembers; forgetting them changes no result.
 MEMO = 250_000
+
+
 #: A run of letters; one of more than 40 (as in unspaced scripts) is cut into consecutive words of 40 and a rest.
 WORD = re.compile(r"[^\W\d_]{1,40}")
+#: Number signs that are neither letters nor digits but that a regular expression takes for word characters.
+SIGNS = re.compile(f"[{''.join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())}]")
+
+
+def words(text: str) -> list[str]:
+    """The words of a text in lower case: runs of letters, and nothing else."""
+    return WORD.findall(SIGNS.sub(" ", text).lower())
 
 
 def features(word: str) -> list[str]:
@@ -66,22 +77,26 @@ def marginals(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> tup
             to /= to.sum(axis=1, keepdims=True)
             live = (t < lengths)[:, None]
             joint = forward[:, t - 1][:, :, None] * a[None] * to[:, None, :]
-            if pairs is not None and n <= 1024:
-                total = joint.sum(axis=(1, 2), keepdims=True)
-                pairs += np.where(live[:, :, None], joint / total, 0).sum(axis=0)
+            total = joint.sum(axis=(1, 2), keepdims=True)
+            pairs += np.where(live[:, :, None], joint / total, 0).sum(axis=0)
             back = to @ a.T
         both[:, t] = p
     return both, pairs
 
 
-def posteriors(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Label marginals only, of padded sequences (time, batch, label)."""
+def posteriors(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+    """Label marginals only, of padded sequences (time, batch, label).
+
+    A sequence that continues another has the forward message of that one's last word in before, one that goes on the
+    backward message of its own last word in after; rows of before that are zero begin.
+    """
     steps, n, k = scores.shape
     e = np.exp(scores - scores.max(axis=2, keepdims=True))
     a = np.exp(moves - moves.max()).astype(e.dtype)
     at = np.ascontiguousarray(a.T)
     forward = np.empty_like(e)
-    x = e[0] / e[0].sum(axis=1, keepdims=True)
+    x = e[0] if before is None else e[0] * np.where(before.any(axis=1, keepdims=True), before @ a, 1)
+    x = x / x.sum(axis=1, keepdims=True)
     forward[0] = x
     for t in range(1, steps):
         x = x @ a
@@ -92,7 +107,8 @@ def posteriors(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np
     back = np.ones((n, k), e.dtype)
     for t in range(steps - 1, -1, -1):
         if ends[t]:
-            back[lengths - 1 == t] = 1
+            last = lengths - 1 == t
+            back[last] = 1 if after is None else after[last]
         forward[t] *= back
         back = (e[t] * back) @ at
         back /= back.sum(axis=1, keepdims=True)
@@ -100,11 +116,30 @@ def posteriors(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np
     return forward
 
 
+def transfers(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Weights (batch, from, to) of all paths through padded sequences (time, batch, label).
+
+    They lead from the label before a sequence to its last one; where a sequence begins a text, from its first one.
+    """
+    steps, n, k = scores.shape
+    e = np.exp(scores - scores.max(axis=2, keepdims=True))
+    a = np.exp(moves - moves.max()).astype(e.dtype)
+    x = np.where(begins[:, None, None], np.eye(k), a) * e[0][:, None, :]
+    for t in range(1, steps):
+        live = int(np.searchsorted(-lengths, -t))  # longest first
+        y = (x[:live].reshape(-1, k) @ a).reshape(live, k, k) * e[t, :live, None, :]
+        x[:live] = y / y.sum(axis=(1, 2), keepdims=True) if t % 4 == 0 else y
+    return x / x.sum(axis=(1, 2), keepdims=True)
+
+
 def fit(texts: list[str], langs: list[str], seed: int = 7, span: int = 16, steps: int = 64, epochs: int = EPOCHS) -> Model:
-    """Trains on sequences spliced from spans of the texts, so that moves between languages are seen (Adagrad)."""
+    """Trains on sequences spliced from spans of the texts, so that moves between languages are seen (Adagrad).
+
+    A pass takes as many sequences of steps words as the texts have words for, at most SEQUENCES of them.
+    """
     labels = sorted(set(langs))
     k = len(labels)
-    found = [WORD.findall(t.lower()) for t in texts]
+    found = [words(t) for t in texts]
     vocabulary: dict[str, int] = {}
     index: dict[str, int] = {}
     seen: dict[str, int] = {}
@@ -128,7 +163,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, span: int = 16, steps
     y_of = np.array([labels.index(x) for x in langs])
     usable = [np.array([i for i in range(len(docs)) if y_of[i] == j and len(docs[i])]) for j in range(k)]
     live = [j for j in range(k) if len(usable[j])]
-    count = max(64, min(4_000, sum(map(len, docs)) // steps))
+    count = max(64, min(SEQUENCES, sum(map(len, docs)) // steps))
     grad_w, grad_m = np.full(weights.shape, 1e-8), np.full(moves.shape, 1e-8)
     for _ in range(epochs):
         x, y = np.empty((count, steps), np.int64), np.empty((count, steps), np.int64)
@@ -169,9 +204,12 @@ class Scorer(dict):
     """Row of the score table of each word met."""
 
     def __init__(self, model: Model):
-        self.model, self.table, self.n = model, np.zeros((1 << 12, len(model.labels)), np.float32), 0
+        self.model, self.table, self.n = model, np.zeros((1 << 12, len(model.labels))), 0
 
     def __missing__(self, word: str) -> int:
+        if SIGNS.search(word):
+            self[word] = -1
+            return -1
         if self.n == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         get = self.model.index.get
@@ -186,35 +224,71 @@ class Scorer(dict):
         if self.n > MEMO:
             self.clear()
             self.n = 0
-        row = self.__getitem__
-        return [np.fromiter(map(row, WORD.findall(t.decode().lower())), np.int32) for t in texts]
+        row, out = self.__getitem__, []
+        for t in texts:
+            text = t.decode()
+            found = np.fromiter(map(row, WORD.findall(text.lower())), np.int32)
+            if len(found) and found.min() < 0:
+                found = np.fromiter(map(row, words(text)), np.int32)
+            out.append(found)
+        return out
+
+    def messages(self, rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of long texts: forward messages into and backward messages out of their segments, from transfers."""
+        parts = sorted(((min(SEGMENT, len(r) - at), i, at) for i, r in enumerate(rows) for at in range(0, len(r), SEGMENT)), reverse=True)
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for lo in range(0, len(parts), 64):
+            some = parts[lo : lo + 64]
+            lengths = np.array([n for n, _, _ in some])
+            x = np.zeros((lengths[0], len(some)), np.int32)
+            for c, (n, i, at) in enumerate(some):
+                x[:n, c] = rows[i][at : at + n]
+            got = transfers(self.table[x], self.model.moves, lengths, np.array([at == 0 for _, _, at in some]))
+            held.update(((i, at // SEGMENT), m) for (_, i, at), m in zip(some, got))
+        out = []
+        for i, r in enumerate(rows):
+            m = [held[i, s] for s in range(-(-len(r) // SEGMENT))]
+            before, after = np.zeros((len(m), len(self.model.labels))), np.ones((len(m), len(self.model.labels)))
+            for s in range(1, len(m)):
+                x = (before[s - 1] if s > 1 else np.ones(len(self.model.labels))) @ m[s - 1]
+                before[s] = x / x.sum()
+            for s in range(len(m) - 1, 0, -1):
+                x = m[s] @ after[s]
+                after[s - 1] = x / x.sum()
+            out.append((before, after))
+        return out
 
     def predict(self, texts: list[bytes]) -> list[np.ndarray | None]:
         """Marginals summed over the words of each text; None where it has no letter."""
         k = len(self.model.labels)
         rows = self.spans(texts)
-        jobs = []  # (text, first row, end row, first and end word that count)
+        begin = np.zeros(k), np.ones(k)
+        long = [i for i, r in enumerate(rows) if len(r) > SEGMENT]
+        handed = dict(zip(long, self.messages([rows[i] for i in long])))
+        jobs = []  # (words, text, first word, messages)
         for i, r in enumerate(rows):
-            for at in range(0, len(r), SEGMENT):
-                lo, hi, end = max(0, at - CONTEXT), min(len(r), at + SEGMENT + CONTEXT), min(len(r), at + SEGMENT)
-                jobs.append((hi - lo, i, lo, at - lo, end - lo))
-        jobs.sort()
+            if len(r) <= SEGMENT:
+                if len(r):
+                    jobs.append((len(r), i, 0, begin))
+            else:
+                before, after = handed[i]
+                jobs += [(min(SEGMENT, len(r) - at), i, at, (before[s], after[s])) for s, at in enumerate(range(0, len(r), SEGMENT))]
+        jobs.sort(key=lambda j: j[:3])
         total = np.zeros((len(texts), k))
         at = 0
         while at < len(jobs):
             end, longest = at, 0
-            while end < len(jobs) and (end == at or (end - at + 1) * jobs[end][0] <= 300_000):
+            while end < len(jobs) and (end == at or (end - at + 1) * jobs[end][0] <= 150_000):
                 longest = jobs[end][0]
                 end += 1
             group = jobs[at:end]
             lengths = np.array([j[0] for j in group])
             x = np.zeros((longest, len(group)), np.int32)
-            for c, (n, i, lo, _, _) in enumerate(group):
+            for c, (n, i, lo, _) in enumerate(group):
                 x[:n, c] = rows[i][lo : lo + n]
-            p = posteriors(self.table[x], self.model.moves, lengths)
-            step = np.arange(longest)[:, None]
-            counts = (step >= np.array([j[3] for j in group])) & (step < np.array([j[4] for j in group]))
-            np.add.at(total, np.array([j[1] for j in group]), np.einsum("tnk,tn->nk", p, counts.astype(p.dtype)))
+            p = posteriors(self.table[x], self.model.moves, lengths, *(np.array([j[3][m] for j in group]) for m in (0, 1)))
+            counts = (np.arange(longest)[:, None] < lengths).astype(p.dtype)
+            np.add.at(total, np.array([j[1] for j in group]), np.einsum("tnk,tn->nk", p, counts))
             at = end
         return [total[i] / len(r) if len(r) else None for i, r in enumerate(rows)]
 
@@ -224,12 +298,17 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of the documents' languages, from at most sample documents of each, never from held-out ones."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """A model of the documents' languages, from at most sample documents of each, never from held-out ones.
+
+    Only documents of at most longest bytes are in the sample, one row for each id. Rows without id, text or language
+    teach nothing.
+    """
     rank = F.row_number().over(W.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(text_col) <= longest) & ~held_out(id_col))
     chosen = known.select(id_col, lang_col).withColumn("_r", rank).filter(F.col("_r") <= sample).select(id_col).distinct()
-    rows = known.join(F.broadcast(chosen), id_col, "left_semi").select(id_col, lang_col, text_col).orderBy(lang_col, id_col, text_col).collect()  # the bounded sample
+    one = F.row_number().over(W.partitionBy(lang_col, id_col).orderBy(text_col))
+    rows = known.join(checked(materialize(chosen), 16), id_col, "left_semi").select(id_col, lang_col, text_col).withColumn("_r", one).filter("_r = 1").orderBy(lang_col, id_col).collect()  # the bounded sample
     return fit([r[2] for r in rows], [r[1] for r in rows])
 
 
@@ -237,7 +316,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Language of every whole text: (id, lang_pred, score, shares).
 
     score is the mean over words of the marginal of lang_pred, shares the mean marginals by label. A text longer than
-    SEGMENT words is labelled in segments with CONTEXT words on each side. A null text or one without a letter is `und`
+    SEGMENT words is labelled in segments that hand on their messages, so that the result is that of the whole. A null text or one without a letter is `und`
     with score 0 and no shares, as is every text if nothing could be learned. A row out for each row in; other columns
     are dropped.
     """
