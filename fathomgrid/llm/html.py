@@ -18,18 +18,22 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|disp
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：؟،]")
 PARTS = re.compile(r"[a-z]+|[0-9]+")
 
-# Names of HTML elements and of page furniture.
+# Names of HTML elements, words of page furniture and of layout.
 RAW = frozenset("script style noscript template iframe textarea title select svg math object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br input button".split())
-DROPPED = frozenset("nav footer aside form button fieldset dialog menu head".split())
+ASIDE = frozenset("nav footer aside form button fieldset dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promoted nav navbar navigation menu menus breadcrumb breadcrumbs crumbs "
     "sidebar sidebars aside rail widget widgets footer foot header masthead banner topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social related recommended recommendations trending popular comment comments commentlist disqus respond replies reply pagination pager "
-    "copyright legal disclaimer skip hidden".split()
+    "subscription signup login share sharing social related recommended recommendations trending popular pagination pager copyright legal disclaimer skip".split()
 )
+READERS = frozenset("comment comments commentlist commenter disqus respond replies reply".split())
+LAYOUT = frozenset("wrap wrapper container layout page content main body with has no site article post entry story".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = HEADINGS | frozenset("p li pre td th dt dd blockquote figcaption".split())
+NOTICE = re.compile(r"©|\(c\) ?\d{4}|\bcopyright\b|\ball rights reserved\b|\bcookies?\b.*\b(?:use|uses|accept|consent|agree|site|website|policy)\b|\b(?:use|uses|accept|consent|agree|site|website|policy)\b.*\bcookies?\b", re.I | re.S)
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
     "li": frozenset(["li"]),
@@ -40,72 +44,130 @@ CLOSED_BY = {
     "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "option": frozenset(["option", "optgroup"]),
 }
-HEADER_SCOPES = frozenset(["article", "main", "section"])
+SCOPES = ("article", "main", "section")
+#: What a block's score is multiplied by for each furniture element above it, and for an ambiguous class.
+FAINT, UNSURE = 0.05, 0.3
+#: What a path's score is multiplied by at the ends of an article or main element.
+NAMED = 1_000
+
+
+class Page:
+    """A page's nodes and blocks of text, in page order.
+
+    Nodes have numbers, larger than their parent's; a tag path is a number too, found from the parent's path and the
+    step, so that no work grows with a node's depth.
+    """
+
+    def __init__(self):
+        self.parent, self.path, self.name, self.weight, self.sticky, self.main = [-1], [0], [""], [1.0], [False], [False]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.blocks: list[Block] = []
+
+    def add(self, parent: int, name: str, step: str, weight: float, sticky: bool, main: bool) -> int:
+        self.parent.append(parent)
+        self.path.append(self.paths.setdefault((self.path[parent], step), len(self.paths) + 1))
+        self.name.append(name)
+        self.weight.append(weight)
+        self.sticky.append(sticky)
+        self.main.append(main)
+        return len(self.parent) - 1
 
 
 class Block:
-    """Text between block boundaries: its path of block elements, parts of text, characters of links."""
+    """Text between block boundaries: its node, parts of text, characters of links."""
 
-    __slots__ = ("path", "nodes", "parts", "linked", "dropped", "text", "score")
+    __slots__ = ("node", "parts", "linked", "text", "score")
 
-    def __init__(self, path: tuple[str, ...], nodes: tuple[int, ...], dropped: bool):
-        self.path, self.nodes, self.dropped = path, nodes, dropped
+    def __init__(self, node: int):
+        self.node = node
         self.parts: list[str] = []
         self.linked = 0
         self.text, self.score = "", 0.0
 
 
-def furniture(name: str, attributes: str, stack: list[tuple]) -> bool:
-    """Whether an element is a menu, notice or the like, by its name, role or the words of its class and id."""
-    if name in DROPPED:
-        return True
-    if name == "header" and not any(s[0] in HEADER_SCOPES for s in stack):
-        return True
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    if name in ("body", "html", "main", "article"):
-        return False
-    for m in MARKS.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        if m[0][:4].lower() == "role":
-            if value in ROLES:
-                return True
-        elif any(w in FURNITURE for w in PARTS.findall(value)):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[Block]:
-    """Blocks of text in page order. Broken pages are read as they come: implied ends, unclosed and stray tags."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # name, path step, dropped, number of the node
-    path: tuple[str, ...] = ()
-    nodes: tuple[int, ...] = ()
+def weighed(name: str, attributes: str, inside: dict[str, int]) -> tuple[float, bool]:
+    """How much an element by itself speaks for (1) or against its text, and whether it holds readers' comments.
+
+    inside counts the open elements by name. No element or class word excludes text: these are weights of scores.
+    """
+    weight, readers = 1.0, False
+    if name in ASIDE or name == "header" and not any(inside.get(x) for x in SCOPES):
+        weight = FAINT
+    if attributes and ("=" in attributes or "hidden" in attributes):
+        if HIDDEN.search(attributes):
+            weight *= FAINT
+        for m in MARKS.finditer(attributes):
+            value = (m[1] or m[2] or m[3] or "").lower()
+            if m[0][:4].lower() == "role":
+                if value in ROLES:
+                    weight = min(weight, FAINT)
+                continue
+            if name in ("body", "html"):
+                continue
+            found = set(PARTS.findall(value))
+            if found & READERS and "no" not in found:
+                weight, readers = min(weight, FAINT), True
+            bad = found & FURNITURE
+            if any(inside.get(x) for x in SCOPES):
+                bad -= {"header"}
+            if bad and name != "main":
+                weight = min(weight, UNSURE if found & LAYOUT else FAINT)
+    return weight, readers
+
+
+def parsed(page: str) -> Page:
+    """Nodes and blocks of text. Broken pages are read as they come: implied ends, unclosed and stray tags."""
+    out = Page()
+    stack: list[tuple[str, int]] = []  # name and node of open elements
+    inside: dict[str, int] = {}
+    unclosed: set[str] = set()  # names without an end tag in the rest of the page
     current: Block | None = None
-    links = serial = at = 0
-    dropped = False
-
-    def moved() -> None:
-        nonlocal path, nodes, dropped, current
-        path = tuple(s[1] for s in stack)
-        nodes = tuple(s[3] for s in stack)
-        dropped = any(s[2] for s in stack)
-        current = None
+    links = at = 0
 
     def text(piece: str) -> None:
         nonlocal current
         if not piece:
             return
         if current is None:
-            current = Block(path, nodes, dropped)
-            out.append(current)
+            current = Block(stack[-1][1] if stack else 0)
+            out.blocks.append(current)
         piece = html.unescape(piece)
         current.parts.append(piece)
         if links:
             current.linked += len(piece)
 
+    def pop() -> str:
+        nonlocal current
+        name = stack.pop()[0]
+        inside[name] -= 1
+        current = None
+        return name
+
+    def push(name: str, attributes: str) -> None:
+        nonlocal current
+        up = stack[-1][1] if stack else 0
+        weight, readers = weighed(name, attributes, inside)
+        kind = MARKS.search(attributes) if attributes else None
+        step = name if kind is None else f"{name}.{(kind[1] or kind[2] or kind[3] or '').lower()}"
+        sticky = out.sticky[up] or readers
+        main = not sticky and weight == 1 and name in ("article", "main")
+        held = out.weight[up]
+        if main and not sticky and (name == "main" or held == UNSURE):
+            held = 1.0  # what stands around the main element says nothing of it
+        stack.append((name, out.add(up, name, step, held * weight, sticky, main or out.main[up] and weight == 1)))
+        inside[name] = inside.get(name, 0) + 1
+        current = None
+
+    def skipped(name: str) -> int | None:
+        """Where the element's end tag ends, if it has one."""
+        if name in unclosed:
+            return None
+        close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
+        if close is None:
+            unclosed.add(name)
+            return None
+        return page.find(">", close.start()) + 1 or len(page)
+
     end = len(page)
     while at < end:
         lt = page.find("<", at)
@@ -114,9 +176,8 @@ def blocks(page: str) -> list[Block]:
             break
         m = TAG.match(page, lt)
         if m is None:  # a lone less-than sign
-            nxt = page.find("<", lt + 1)
-            text(page[at : nxt if nxt > 0 else end])
-            at = nxt if nxt > 0 else end
+            text(page[at : lt + 1])
+            at = lt + 1
             continue
         text(page[at:lt])
         at = m.end()
@@ -129,118 +190,127 @@ def blocks(page: str) -> list[Block]:
         closing, name, attributes = bool(m[1]), m[2].lower(), m[3]
         if name in RAW and not closing:
             if name in ("title", "script", "style", "textarea") or not attributes.endswith("/"):
-                close = re.compile(f"</{name}[\\s/>]", re.I).search(page, at)
-                at = end if close is None else page.find(">", close.start()) + 1 or end
-            continue
-        if name == "br":
+                at = skipped(name) or end
+        elif name == "br":
             text(" ")
-            continue
-        if name in VOID:
+        elif name in VOID:
             if name == "hr":
                 current = None
-            continue
-        if name in INLINE:
+        elif name in INLINE:
             if name == "a":
                 links = 0 if closing else 1
             elif name == "button" and not closing:
-                close = re.compile(r"</button\s*>", re.I).search(page, at)
-                if close:
-                    at = close.end()
-            elif not closing and attributes and furniture(name, attributes, stack):
-                # an inline notice: it is a node of its own until it closes
-                serial += 1
-                stack.append((name, name, True, serial))
-                moved()
-            elif closing and any(s[0] == name and s[2] for s in stack):
-                while stack[-1][0] != name:
-                    stack.pop()
-                stack.pop()
-                moved()
-            continue
-        if closing:
-            if any(s[0] == name for s in stack):
-                while stack[-1][0] != name:
-                    stack.pop()
-                stack.pop()
-            moved()
+                at = skipped(name) or at
+            elif not closing and attributes and weighed(name, attributes, inside)[0] < 1:
+                push(name, attributes)  # an inline notice: it is a node of its own until it closes
+            elif closing and inside.get(name):
+                while pop() != name:
+                    pass
+        elif closing:
+            if inside.get(name):
+                while pop() != name:
+                    pass
+            current = None
             links = 0
-            continue
-        while stack and name in CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()
-        if attributes.endswith("/") and name not in ("p", "div"):
-            moved()
-            continue
-        serial += 1
-        kind = MARKS.search(attributes) if attributes else None
-        step = name if kind is None else f"{name}.{(kind[1] or kind[2] or kind[3] or '').lower()}"
-        stack.append((name, step, furniture(name, attributes, stack), serial))
-        links = 0
-        moved()
-    for b in out:
+        else:
+            while stack and name in CLOSED_BY.get(stack[-1][0], ()):
+                pop()
+            links = 0
+            current = None
+            if not attributes.endswith("/") or name in ("p", "div"):
+                push(name, attributes)
+    for b in out.blocks:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in out if b.text]
+        b.parts = []
+    out.blocks = [b for b in out.blocks if b.text]
+    return out
 
 
-def extract(page: str, smoothing: float = 1.0, share: float = 0.8) -> str:
+def extract(page: str, smoothing: float = 1.0, share: float = 0.75, threshold: float = 0.5, tail: float = 0.1) -> str:
     """Main text of a page: its content blocks in page order, joined by an empty line.
 
     Text length and punctuation are summed by tag path and divided by the path's number of blocks; both ratios are
-    smoothed over the blocks in page order (Gaussian weights), fused as a product damped by the share of links, and
-    paths above half the mean score are content. The content node is the deepest that holds share of all score; an
-    article or main element wins. Of its blocks, those are kept that aren't furniture and whose path isn't links only.
+    smoothed over the blocks in page order (Gaussian weights) and fused as a product, damped by the share of links and
+    weighed by what elements and class words tell. Paths that reach threshold times the mean score are content. The
+    content node is the lowest one that holds share of their score; what stands in it is the main text, but for blocks
+    that are furniture within it, and for those before the first or after the last content whose path by itself doesn't
+    reach tail of the threshold (an article or main element multiplies its score by NAMED). A page's time grows with its length only.
     """
-    found = [b for b in blocks(page) if not b.dropped]
+    tree = parsed(page)
+    found = tree.blocks
     if not found:
         return ""
-    sums: dict[tuple[str, ...], list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in found:
-        s = sums.setdefault(b.path, [0, 0, 0, 0])
+        s = sums.setdefault(tree.path[b.node], [0, 0, 0, 0])
         s[0] += len(b.text)
         s[1] += len(PUNCTUATION.findall(b.text))
         s[2] += 1
         s[3] += min(b.linked, len(b.text))
+    linked = {p: s[3] / s[0] for p, s in sums.items()}
     weights = [math.exp(-(d * d) / (2 * smoothing * smoothing)) for d in range(3)]
-    raw = [(sums[b.path][0] / sums[b.path][2], (sums[b.path][1] + 0.1) / sums[b.path][2]) for b in found]
+    raw = [(s[0] / s[2], (s[1] + 0.1) / s[2]) for s in (sums[tree.path[b.node]] for b in found)]
+    by_path: dict[int, list[float]] = {}
     for i, b in enumerate(found):
         near = [(weights[abs(j - i)], raw[j]) for j in range(max(0, i - 2), min(len(found), i + 3))]
         total = sum(w for w, _ in near)
         length, marks = (sum(w * r[k] for w, r in near) / total for k in (0, 1))
-        links = sums[b.path][3] / max(1, sums[b.path][0])
-        b.score = length * marks * (1 - links) ** 2
-    mean = sum(b.score for b in found) / len(found)
-    by_path: dict[tuple[str, ...], list[float]] = {}
+        p = tree.path[b.node]
+        b.score = length * marks * (1 - linked[p]) ** 2 * tree.weight[b.node]
+        held = by_path.setdefault(p, [0.0, 0])
+        held[0] += b.score
+        held[1] += 1
+    least = threshold * sum(b.score for b in found) / len(found)
+    content = {p for p, (total, n) in by_path.items() if total / n >= least}
+
+    # mass of content below each node, and the lowest node with its share
+    mass = [0.0] * len(tree.parent)
     for b in found:
-        by_path.setdefault(b.path, []).append(b.score)
-    content = {p for p, x in by_path.items() if sum(x) / len(x) >= 0.5 * mean}
-    named = [next((n for n, step in zip(b.nodes, b.path) if step.split(".")[0] in ("article", "main")), 0) for b in found]
-    held: dict[int, float] = {}
-    for b, n in zip(found, named):
-        if n and b.path in content:
-            held[n] = held.get(n, 0) + b.score * len(b.text)
-    if held:
-        root = {n for n, v in held.items() if v >= 0.1 * max(held.values())}
-        chosen = [b for b, n in zip(found, named) if n in root]
-    else:
-        mass: dict[int, float] = {}
-        for b in found:
-            for n in b.nodes:
-                mass[n] = mass.get(n, 0) + (b.score * len(b.text) if b.path in content else 0)
-        whole = sum(b.score * len(b.text) for b in found if b.path in content)
-        deep = max((b for b in found if b.path in content), key=lambda b: b.score * len(b.text), default=None)
-        top = None
-        if deep is not None:
-            for n, step in zip(deep.nodes, deep.path):
-                if step.split(".")[0] not in ("p", "li", "pre", "td", "h1") and mass[n] >= share * whole:
-                    top = n
-        chosen = [b for b in found if top is None or top in b.nodes]
-    kept = [b for b in chosen if b.path in content or sums[b.path][3] < 0.5 * sums[b.path][0]]
-    return "\n\n".join(b.text for b in kept)
+        if tree.path[b.node] in content:
+            mass[b.node] += b.score * len(b.text)
+    for node in range(len(mass) - 1, 0, -1):
+        mass[tree.parent[node]] += mass[node]
+    top = 0
+    for node in range(1, len(mass)):
+        if tree.parent[node] == top and tree.name[node] not in LEAVES and mass[node] >= share * mass[0] > 0:
+            top = node
+    inside = [node == top for node in range(len(mass))]
+    for node in range(top + 1, len(mass)):
+        inside[node] = inside[tree.parent[node]]
+
+    # within it: content paths, and other blocks that are no furniture there
+    usual = tree.weight[top] or 1.0
+    region = [b for b in found if inside[b.node]]
+    strong = [tree.path[b.node] in content and not (tree.sticky[b.node] and not tree.sticky[top]) for b in region]
+    known = [i for i, x in enumerate(strong) if x]
+    if not known:
+        return ""
+    first, last = known[0], known[-1]
+    kept = list(strong)
+    for i, b in enumerate(region):
+        p = tree.path[b.node]
+        if kept[i] or tree.weight[b.node] < 0.5 * usual or linked[p] >= 0.5:
+            continue
+        s = sums[p]
+        own = s[0] * (s[1] + 0.1) / s[2] ** 2 * (1 - linked[p]) ** 2 * tree.weight[b.node]
+        kept[i] = first < i < last or own * (NAMED if tree.main[b.node] else 1) >= tail * least
+    for i in range(len(region) - 2, -1, -1):  # a heading stays with what follows it
+        b = region[i]
+        if not kept[i] and kept[i + 1] and tree.name[b.node] in HEADINGS and tree.weight[b.node] >= 0.5 * usual:
+            kept[i] = True
+    texts = [b for b, keep in zip(region, kept) if keep]
+    # notices that have no element of their own to tell them by, at the ends of a text outside article and main
+    while len(texts) > 1 and not tree.main[texts[0].node] and len(texts[0].text) < 300 and NOTICE.search(texts[0].text):
+        texts.pop(0)
+    while len(texts) > 1 and not tree.main[texts[-1].node] and len(texts[-1].text) < 300 and NOTICE.search(texts[-1].text):
+        texts.pop()
+    return "\n\n".join(b.text for b in texts)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """Main text of every page: (page_id, url, text, n_chars). A null page, or one without content, has an empty text.
 
-    One row out for each row in; other columns are dropped.
+    One row out for each row in, whatever its id and url are; other columns are dropped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

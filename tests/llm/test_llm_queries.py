@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -132,7 +133,19 @@ def test_long_text_is_segmented():
         whole = language.Scorer(model).predict([text])[0]
     finally:
         language.SEGMENT = old
-    np.testing.assert_allclose(one, whole, atol=1e-3)
+    np.testing.assert_allclose(one, whole, atol=1e-9)
+
+
+def test_number_signs_are_no_letters():
+    scorer = language.Scorer(language.fit(["uno dos tres", "one two three"] * 5, ["es", "en"] * 5))
+    assert scorer.predict(["½ ② 12".encode(), b"12 _", "x½".encode()])[:2] == [None, None]
+
+
+def test_many_sequences_have_expected_moves():
+    rng = np.random.default_rng(3)
+    scores, moves = rng.normal(size=(1500, 3, 2)), rng.normal(size=(2, 2))
+    _, pairs = language.marginals(scores, moves, np.full(1500, 3))
+    assert pairs.sum() == pytest.approx(3000)
 
 
 def removed_brute(rows, k):
@@ -283,6 +296,38 @@ def test_html_of_generated_pages(spark):
     assert bad == 0
 
 
+MENU = "<body><div class=x><ul><li>Home</li><li>About us</li><li>News</li><li>Contact</li></ul><p>One text, long. Indeed it is.</p><p>And more, yes; here it is, for all to read.</p></div></body>"
+TEXT = "One text, long. Indeed it is."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<div class="content-sidebar-wrap"><main><article><h1>T</h1><p>{TEXT}</p></article></main><div class="sidebar"><p>Other, thing. Here.</p></div></div>', f"T\n\n{TEXT}"),
+        (f'<article><div class="post-header"><h1>My title</h1></div><p>{TEXT}</p></article>', f"My title\n\n{TEXT}"),
+        (f'<main><article><h1>T</h1><p>{TEXT}</p></article><article class="comment"><p>I say this at length, with commas. Indeed.</p></article></main><article class="comment"><p>I, too.</p></article>', f"T\n\n{TEXT}"),
+        (f"<body><div>We use cookies on this site, please accept.</div><div><p>{TEXT}</p><p>And more, yes.</p></div><div>Copyright 2024 Some Company. All rights reserved.</div></body>", f"{TEXT}\n\nAnd more, yes."),
+        (f"<body><p>We use cookies on this site, please accept.</p><p>{TEXT}</p><p>And more, yes.</p><p>© 2024 Some Company.</p></body>", f"{TEXT}\n\nAnd more, yes."),
+        ("<article><h1>Cake</h1><p>A cake, the best. Try it.</p><ul><li>2 eggs</li><li>Milk</li></ul></article>", "Cake\n\nA cake, the best. Try it.\n\n2 eggs\n\nMilk"),
+        (f"<form><div><p>{TEXT}</p><p>And more, yes.</p></div></form>", f"{TEXT}\n\nAnd more, yes."),
+        (MENU, f"{TEXT}\n\nAnd more, yes; here it is, for all to read."),
+    ],
+)
+def test_html_scores_decide(page, want):
+    assert html.extract(page) == want
+
+
+def test_html_without_threshold_differs():
+    assert "About us" in html.extract(MENU, threshold=0.0) and "About us" not in html.extract(MENU)
+
+
+@pytest.mark.parametrize("unit", ["<div>x ", "<div>", "<div></b>", "<button>", "<p>x</div>", "<svg>", "<"])
+def test_html_time_is_linear(unit):
+    began = time.perf_counter()
+    html.extract(unit * 100_000)
+    assert time.perf_counter() - began < 15
+
+
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 16)).astype("float32")
