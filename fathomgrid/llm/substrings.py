@@ -8,13 +8,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted, text_bytes
+from .common import text_bytes
 from .textops import covered, inside, mix, owner, windows, words
 
 #: Bytes of text in a block (one task's unit), windows in a shard of the sketch, cells for each window in each row.
 BLOCK_BYTES, SHARD_WINDOWS, CELLS = 8 << 20, 1 << 21, 8
 ROWS = (0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9)
-#: Stands for a null id, which so is larger than every other.
+#: Stands for a null id, which so is as large as any other.
 NO_ID = (1 << 63) - 1
 
 
@@ -34,10 +34,10 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
 class Block:
     """Windows of the documents of one block, the same each time it is read: documents in order of id and text."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], k: int):
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        self.ids = ids[self.order]
-        self.texts = [texts[i] for i in self.order]
+    def __init__(self, ids: np.ndarray, none: np.ndarray, texts: list[bytes], k: int):
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], none[i], texts[i]))
+        self.ids, self.none, self.k = ids[order], none[order], k
+        self.texts = [texts[i] for i in order]
         parts, sizes = [], []
         start = size = 0
         for i, text in enumerate([*self.texts, b""]):
@@ -59,6 +59,10 @@ class Block:
         self.unique, self.first = ordered[new], order[new]
         self.least = self.ids[self.doc[self.first]] if len(new) else np.empty(0, np.int64)
 
+    def second(self) -> np.ndarray:
+        """Hashes of the same windows in the second lane."""
+        return windows(words_of(self), self.k, 1)[self.at]
+
     def shards(self, n: int):
         """(shard, slice of the unique windows); windows are parted by their high bits, so each is one run."""
         edge = np.searchsorted(self.unique, np.array([-(-(s << 64) // n) for s in range(1, n)], np.uint64))
@@ -79,19 +83,21 @@ def drop_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col:
     are summed, and each block learns which of its cells count two blocks or more. These counts overestimate, so no
     repeated window is lost. Second pass: only windows whose cells all do are sent, with 128-bit hashes, and grouped
     exactly for the smallest id. Repeats inside a block are found there. Shards and blocks are sized by the corpus and
-    bound every task's memory; a frequent window counts once a block. A null or empty text has 0 words and an empty
-    kept_text; rows with equal ids count as one document for the rule and give a row each, a null id
-    counts as the largest; other columns are dropped.
+    bound every task's memory; a frequent window counts once a block, and rows are dealt to blocks by id and text, so
+    that rows of one id or without id spread. Windows are equal if both of their 64-bit hashes are. A null or empty text
+    has 0 words and an empty kept_text; rows with equal ids count as one document for the rule and give a row each, a
+    null id counts as the largest; other columns are dropped.
     """
     size = text_bytes(docs, text_col)
     blocks, shards = max(1, -(-size // block_bytes)), max(1, -(-size // (6 * shard_windows)))
     width = CELLS * min(shard_windows, max(1 << 12, size // 4))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(salted(id_col, blocks).alias("b"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    dealt = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int")
+    source = docs.select(dealt.alias("b"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(id_col).isNull().alias("none"), F.col(text_col).cast("binary").alias("text"))
     source = source.repartition(max(parts, min(blocks, 10_000)), "b")
 
     def block(t: pa.Table) -> Block:
-        return Block(t.column("id").combine_chunks().to_numpy(zero_copy_only=False), [x or b"" for x in t.column("text").to_pylist()], k)
+        return Block(*(t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("id", "none")), [x or b"" for x in t.column("text").to_pylist()], k)
 
     def sketch(t: pa.Table) -> pa.Table:
         b, found = block(t), []
@@ -115,7 +121,7 @@ def drop_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col:
         masks = {r["s"]: r for r in right.to_pylist()}
         if left.num_rows and masks:
             b = block(left)
-            second = windows(words_of(b), k, 1)[b.at]
+            second = b.second()
             for s, part in b.shards(shards):
                 ok = np.ones(part.stop - part.start, bool)
                 for r in (0, 1):
@@ -150,7 +156,13 @@ def drop_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col:
         for data in right.column("h").to_pylist():
             repeated[np.searchsorted(b.unique, unpacked(data, np.uint64))] = True
         which = np.searchsorted(b.unique, b.grams)
-        gone = repeated[which] | (b.least[which] < b.ids[b.doc]) if len(b.grams) else np.empty(0, bool)
+        gone = np.empty(0, bool)
+        if len(b.grams):
+            here = b.least[which] < b.ids[b.doc]  # by one hash; the other decides
+            if here.any():
+                second = b.second()
+                here &= second == second[b.first[which]]
+            gone = repeated[which] | here
         removed = covered(b.at[gone], k, len(b.hashes))
         kept = []
         for i, text in enumerate(b.texts):
@@ -158,14 +170,14 @@ def drop_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col:
             found = text.split()
             kept.append(b" ".join(found if not lost.any() else [w for w, x in zip(found, lost.tolist()) if not x]))
         total = np.concatenate([[0], np.cumsum(removed)])
-        return pa.table([pa.array(b.ids), pa.array(np.diff(b.bounds), pa.int64()), pa.array(total[b.bounds[1:]] - total[b.bounds[:-1]], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
+        return pa.table([pa.array(b.ids, mask=b.none), pa.array(np.diff(b.bounds), pa.int64()), pa.array(total[b.bounds[1:]] - total[b.bounds[:-1]], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
     grouped = source.groupBy("b")
     masks = grouped.applyInArrow(sketch, "s int, b int, r0 binary, r1 binary").groupBy("s").applyInArrow(merge, "b int, s int, m0 binary, m1 binary")
     sent = grouped.cogroup(masks.groupBy("b")).applyInArrow(candidates, "s int, b int, h binary, h2 binary, ids binary")
     repeats = sent.groupBy("s").applyInArrow(group, "b int, s int, h binary")
     out = grouped.cogroup(repeats.groupBy("b")).applyInArrow(cut, "id long, n_words long, n_removed long, kept_text string")
-    return out.withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("id", id_col)
 
 
 def words_of(b: Block) -> np.ndarray:
