@@ -13,59 +13,75 @@ from pyspark.sql import functions as F
 from .common import materialize, salted
 
 #: Vectors in a block of the index and queries in a block of searches: together they bound a task's memory.
-BLOCK, SEARCHES = 1 << 15, 1 << 11
+BLOCK, SEARCHES = 1 << 13, 1 << 15
+#: By how much a step of virtual rehashing widens the windows.
+WIDEN = 1.02
+#: Steps below the query before's last one at which the next query begins.
+BEHIND = 6
 
 
-def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def cosines(q: np.ndarray, x: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
     """Cosine of q with each row, summed in the same order for every row, so that equal vectors get equal values."""
-    return np.sum(x * q, axis=1) / (np.sqrt(np.sum(q * q)) * np.sqrt(np.sum(x * x, axis=1)))
+    norms = np.sqrt(np.sum(x * x, axis=1)) if norms is None else norms
+    return np.sum(x * q, axis=1) / (np.sqrt(np.sum(q * q)) * norms)
 
 
 class Index:
     """Sorted projections of unit vectors. All m functions have one projection each and no fixed buckets."""
 
     def __init__(self, unit: np.ndarray, projections: np.ndarray):
-        self.values = (unit @ projections).T.copy()
-        self.order = np.argsort(self.values, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(self.values, self.order, axis=1)
+        values = (unit @ projections).T
+        self.m, self.n = values.shape
+        self.order = np.argsort(values, axis=1, kind="stable").ravel()
+        # projections lie in [-1, 1]: one array holds them all, each four further on than the one before
+        self.shift = 4.0 * np.arange(self.m)
+        self.sorted = (np.sort(values, axis=1) + self.shift[:, None]).ravel()
+        self.guess = 0
+
+    def bounds(self, point: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows of this half width around the query (its projections) begin and end."""
+        at = point + self.shift
+        return np.searchsorted(self.sorted, at - half, side="left"), np.searchsorted(self.sorted, at + half, side="right")
+
+    def collisions(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([self.order[a:b] for a, b in zip(lo.tolist(), hi.tolist())]), minlength=self.n)
 
     def candidates(self, point: np.ndarray, want: int, threshold: float, width: float, least: int) -> np.ndarray:
-        """Vectors that collide with the query (its projections) in threshold of the windows around it.
+        """The vectors that collide with the query in threshold of the windows, the narrowest with least such vectors.
 
-        Windows are centred on the query; virtual rehashing widens them all until least vectors are that frequent.
+        Virtual rehashing widens all windows by WIDEN at a time and counts what they add. It begins BEHIND steps before
+        where the query before ended and goes back if that is too wide already, so that the result is the query's own.
         """
-        m, n = self.values.shape
-        need = int(np.ceil(threshold * m))
-        least = min(n, max(least, want))
-        half = width / 2
-        done_lo = np.array([np.searchsorted(self.sorted[j], point[j]) for j in range(m)])
-        done_hi = done_lo.copy()
-        count = np.zeros(n, np.int16)
+        need = int(np.ceil(threshold * self.m))
+        least = min(self.n, max(least, want))
+        half = lambda k: min(3.0, width / 2 * WIDEN**k)  # noqa: E731  from 2 on a window holds everything
+        k = max(0, self.guess - BEHIND)
         while True:
-            parts = []
-            for j in range(m):
-                lo = int(np.searchsorted(self.sorted[j], point[j] - half, side="left"))
-                hi = int(np.searchsorted(self.sorted[j], point[j] + half, side="right"))
-                lo, hi = min(lo, int(done_lo[j])), max(hi, int(done_hi[j]))
-                parts += [self.order[j, lo : done_lo[j]], self.order[j, done_hi[j] : hi]]
-                done_lo[j], done_hi[j] = lo, hi
-            count += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
-            found = np.flatnonzero(count >= need)
-            if len(found) >= least or half > 4:
-                return found if len(found) >= want else np.arange(n)
-            half *= 1.1
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int = 96, threshold: float = 0.75, width: float = 0.2, share: float = 0.25, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+            lo, hi = self.bounds(point, half(k))
+            count = self.collisions(lo, hi)
+            if k == 0 or np.count_nonzero(count >= need) < least:
+                break
+            k = max(0, k - BEHIND)
+        while np.count_nonzero(count >= need) < least:
+            k += 1
+            left, right = self.bounds(point, half(k))
+            count += self.collisions(np.concatenate([left, hi]), np.concatenate([lo, right]))
+            lo, hi = left, right
+        self.guess = k
+        return np.flatnonzero(count >= need)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int = 96, threshold: float = 0.6, width: float = 0.1, share: float = 0.2, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest vectors by cosine of each query, its own row excepted: (query_id, rank, vec_id, score).
 
     queries has ids and vectors like vectors. Equal vectors are one entry that keeps its k + 1 least ids (all that ties
     to smaller ids can need). Entries are parted into blocks of bounded size, each with sorted arrays of its
     projections; every block of queries meets every block of the index, expands its windows and verifies exactly, in
     double precision, what collides in threshold of the projections, at least share of the block; then the best k of
-    all blocks stay. A query gets all other vectors if they are fewer than k. Vectors that are null, of another length
+    all blocks stay. Work grows with queries times vectors, each task's with one block and SEARCHES queries. A query gets all other vectors if they are fewer than k. Vectors that are null, of another length
     than most, zero, or holding null or non-finite components take no part; ids that are null neither; repeated rows
-    are one. Other columns are dropped.
+    are one. Of several vectors under one id the best counts, for queries as for neighbours, which are listed once.
+    Other columns are dropped.
     """
     good = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     shape = F.col(vector_col).cast("array<double>").alias("v")
@@ -86,18 +102,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int
         """Queries of one group in one block of the index."""
         x = np.array(left.column("v").combine_chunks().flatten()).reshape(-1, dim)
         ids = left.column("ids").to_pylist()
-        index = Index(x / np.sqrt(np.sum(x * x, axis=1, keepdims=True)), directions)
+        norms = np.sqrt(np.sum(x * x, axis=1))
+        index = Index(x / norms[:, None], directions)
         least = int(np.ceil(share * len(x)))
         points = np.array(right.column("v").combine_chunks().flatten()).reshape(-1, dim)
         out: list[tuple[int, int, float]] = []
         for q, point in zip(right.column("q").to_pylist(), points):
             at = index.candidates((point / np.sqrt(np.sum(point * point))) @ directions, k + 1, threshold, width, least)
-            score = cosines(point, x[at])
-            if len(at) > k + 1:
-                edge = np.partition(score, len(at) - k - 1)[len(at) - k - 1]
-                at, score = at[score >= edge], score[score >= edge]
-            best = sorted((-s, i) for s, a in zip(score.tolist(), at.tolist()) for i in ids[a] if i != q)[:k]
-            out += [(q, i, -s) for s, i in best]
+            score = cosines(point, x[at], norms[at])
+            best: dict[int, float] = {}
+            top = 4 * (k + 1)
+            while len(best) < k:  # more than the first few only where ids have several vectors
+                edge = np.partition(score, len(at) - top)[len(at) - top] if top < len(at) else -np.inf
+                some = np.flatnonzero(score >= edge)
+                best = {}
+                for s, i in sorted((-score[a], i) for a in some.tolist() for i in ids[at[a]] if i != q):
+                    best.setdefault(i, -s)
+                    if len(best) == k:
+                        break
+                if top >= len(at):
+                    break
+                top *= 8
+            out += [(q, i, float(s)) for i, s in best.items()]
         return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.int64(), pa.float64()))], ["q", "id", "score"])
 
     def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -109,6 +135,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int
     index = entries.select("v", "ids", F.pmod(number, F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     search_for = asked.select("q", "v", salted("q", groups).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     found = index.groupBy("b", "g").cogroup(search_for.groupBy("b", "g")).applyInArrow(pairs, "q long, id long, score double")
+    found = found.groupBy("q", "id").agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
     return ranked.select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 
