@@ -10,15 +10,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checked, materialize
+from .common import as_bytes, checked, materialize, shared_dir
 
 #: Little-endian magic number of the frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
+#: An empty skippable frame, which ends an archive (magic number and length 0).
+END_FRAME = "P*M\x18\0\0\0\0"
+#: Magic numbers of skippable frames differ in their last four bits.
+SKIPPABLE = 0x184D2A50
 #: Bytes of records in an archive, bytes of a dictionary and of the records it is built from.
-ARCHIVE_BYTES, DICTIONARY_BYTES, TRAINING_BYTES = 16 << 20, 32 << 10, 1 << 20
+ARCHIVE_BYTES, DICTIONARY_BYTES, TRAINING_BYTES = 32 << 20, 32 << 10, 1 << 20
 #: Bytes that a reader is given at a time.
 STEP = 8 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -63,15 +67,16 @@ def archive(records: list[bytes]) -> bytes:
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of an archive."""
-    magic, size = struct.unpack_from("<II", data)
-    at, found = 0, None
-    if magic == DICTIONARY_FRAME:
-        raw = data[8 : 8 + size]
-        at = 8 + size
-        trained = raw[:4] == b"\x37\xa4\x30\xec"
-        found = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
-    reader = zstandard.ZstdDecompressor(dict_data=found)
+    at, reader = 0, zstandard.ZstdDecompressor()
     while at < len(data):
+        magic, size = struct.unpack_from("<II", data, at)
+        if magic & ~15 == SKIPPABLE:
+            raw = data[at + 8 : at + 8 + size]
+            at += 8 + size
+            if magic == DICTIONARY_FRAME:
+                trained = raw[:4] == b"\x37\xa4\x30\xec"
+                reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT))
+            continue
         one, parts = reader.decompressobj(), []
         while not one.eof and at < len(data):
             parts.append(one.decompress(data[at : at + STEP]))
@@ -85,11 +90,12 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def write(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Archives of pages, as a table (archive, content: bytes of a .warc.zst file) in the shared folder.
+    """Writes pages as files *.warc.zst in a new part of the shared folder; returns them (path, length, content).
 
     Of pages with equal payloads of min_bytes or more, rows with the largest id are responses and the others revisit
     it; a null payload is empty, a null id is never the largest (alone it is a response). Only (digest, largest id) of
-    repeated payloads is shuffled, and broadcast if its counted size allows. A task holds one archive at a time.
+    repeated payloads is shuffled, and broadcast if its counted size allows. A task holds one archive at a time. White
+    space is cut out of a URL, a null one becomes urn:none; repeated rows are records of their own.
     """
     kind = F.coalesce(F.col(text_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), kind.alias("html"), F.sha1(kind.cast("binary")).alias("sha"))
@@ -98,10 +104,10 @@ def write(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col
     chosen = rows.join(checked(repeated, 64), "sha", "left").withColumn("of", F.when(F.octet_length("html") >= min_bytes, F.when(F.col("page").isNull() | (F.col("page") < F.col("of")), F.col("of"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, name = [], 0, ""
+        held, size = [], 0
 
         def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([archive(held)], pa.binary())], ["archive", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([archive(held)], pa.binary())], ["content"])
 
         for batch in batches:
             ids, urls, of = (batch.column(i).to_pylist() for i in (0, 1, 3))
@@ -109,14 +115,31 @@ def write(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col
                 if held and size + len(payload) > archive_bytes:
                     yield full()
                     held, size = [], 0
-                if not held:
-                    name = f"pages-{page}-{uuid.uuid4().hex[:8]}.warc.zst"
                 held.append(record(page, url, payload, target))
                 size += len(held[-1])
         if held:
             yield full()
 
-    return materialize(chosen.select("page", "url", "html", "of").mapInArrow(run, "archive string, content binary"))
+    spark = pages.sparkSession
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    archives = chosen.select("page", "url", "html", "of").mapInArrow(run, "content binary")
+    # the text writer puts a string's bytes and its line end into a file as they are, here an archive in each
+    archives.select(F.col("content").cast("string")).write.option("lineSep", END_FRAME).option("maxRecordsPerFile", 1).text(folder)
+    named(spark, folder)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "length", "content")
+
+
+def named(spark: SparkSession, folder: str) -> None:
+    """Gives the archives of a folder their names, by Hadoop's file system, whichever it is. Files without one go."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(at):
+        path = status.getPath()
+        if path.getName().startswith("part-"):
+            if status.getLen():
+                fs.rename(path, spark._jvm.org.apache.hadoop.fs.Path(at, path.getName().removesuffix(".txt") + ".warc.zst"))
+            else:  # a task without rows
+                fs.delete(path, False)
 
 
 def read(archives: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import shutil
+import subprocess
 import time
 import zlib
 
@@ -178,6 +180,13 @@ def test_substring_dedup_with_small_blocks(spark):
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == removed_brute(rows, 5)
 
 
+def test_substring_ids(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(5, text), ((1 << 63) - 1, text), (None, text), (5, text), (5, text + " more")]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"]) for r in substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=64).collect())
+    assert got == [(False, 5, 0), (False, 5, 0), (False, 5, 0), (False, (1 << 63) - 1, 20), (True, 0, 20)]
+
+
 def test_substring_edges(spark, edge, empty):
     got = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.drop_repeats(edge).collect()}
     assert (1, 15, 0) in got and (2, 15, 15) in got and (None, 15, 15) in got and (3, 0, 0) in got and (6, 30_000, 0) in got
@@ -356,6 +365,23 @@ def test_neighbours_edges(spark):
     assert neighbours.nearest(few, few.filter("vec_id = 0")).orderBy("rank").toPandas()["vec_id"].tolist() == [1, 2]
 
 
+def test_neighbours_with_several_vectors_under_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [0.1, 1.0]), (2, [0.5, 1.0]), (3, [-1.0, -1.0])]
+    got = neighbours.nearest(*(spark.createDataFrame(rows, "vec_id long, embedding array<double>").filter(c) for c in ("true", "vec_id = 0"))).orderBy("rank").toPandas()
+    assert got["vec_id"].tolist() == [1, 2, 3] and got["rank"].tolist() == [1, 2, 3]
+
+
+def test_widths_do_not_depend_on_the_query_before():
+    x = np.random.default_rng(8).normal(size=(500, 12))
+    d = np.random.default_rng(9).normal(size=(12, 40))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d /= np.linalg.norm(d, axis=0)
+    one, again = neighbours.Index(x, d), neighbours.Index(x, d)
+    forth = [set(one.candidates(x[i] @ d, 6, 0.6, 0.1, 100)) for i in range(30)]
+    back = [set(again.candidates(x[i] @ d, 6, 0.6, 0.1, 100)) for i in reversed(range(30))][::-1]
+    assert forth == back and all(len(c) >= 100 for c in forth)
+
+
 def test_neighbours_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], "vec_id long, embedding array<double>")
@@ -374,8 +400,12 @@ def test_warc_round_trip(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("page", F.lit(1)).withColumn("sha", F.lit(1))
     archives = warc.write(df, archive_bytes=4_000)
     assert archives.count() > 1
-    data = archives.first()["content"]
-    assert data[:4] == bytes.fromhex("5d2a4d18")
+    path, _, data = archives.first()
+    assert path.endswith(".warc.zst") and data[:4] == bytes.fromhex("5d2a4d18")
+    with open(path.removeprefix("file:"), "rb") as f:
+        assert f.read() == data
+    if shutil.which("zstd"):
+        assert subprocess.run(["zstd", "--list", path.removeprefix("file:")], capture_output=True).returncode == 0
     got = warc.read(archives).toPandas()
     assert len(got) == len(rows)
     last = {}
