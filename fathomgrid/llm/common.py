@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if its counted rows times its row width stay below this.
 BROADCAST_BYTES = 32 << 20
-#: Bytes of files that a task reads at least, if there are so many.
-SPLIT_BYTES = 4 << 20
-#: Smaller parts of a table are put together.
-PART_BYTES = 8 << 20
+#: Bytes of files that a task reads at least, if all cores then have one.
+SPLIT_BYTES = 32 << 20
+#: Bytes of a file of a small table, and what such a table has at most.
+FILE_BYTES, SMALL_BYTES = 32 << 20, 256 << 20
 #: Rows of one key that a task ranks.
 RANKED = 20_000
 #: Python works on slices of at most so many bytes of text (or one longer text).
@@ -41,9 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def gathered(df: DataFrame) -> DataFrame:
-    """df in no more partitions than its files have SPLIT_BYTES, which changes nothing for files of the usual size."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.coalesce(min(1 << 30, -(-size // SPLIT_BYTES))) if size else df
+    """df in no more partitions than its files have SPLIT_BYTES (but one for each core): many tiny files are a burden.
+
+    Files of the usual size are read as they are.
+    """
+    return df.coalesce(min(1 << 30, max(-(-planned_bytes(df) // SPLIT_BYTES), df.sparkSession.sparkContext.defaultParallelism)))
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """What the optimizer takes df's size for: for a table, its files' bytes. Sizes tasks, never decides a result."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,20 +61,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, files: int = 0) -> DataFrame:
+def materialize(df: DataFrame, files: int = 0, gather: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
-    files bounds the number of its files from above (where it is known to be small, many tiny files are a burden).
+    A small table (see small_files) gets so many files at most, by a shuffle of its rows if gather is set, else by
+    fewer tasks in its last stage. 0 leaves it as it is.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fathomgrid-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(path)
+    if files:
+        df = df.repartition(files) if gather else df.coalesce(files)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces_of(size: int) -> int:
-    """Parts of so many bytes that are worth a task or a file of their own."""
-    return max(1, -(-size // PART_BYTES))
+def small_files(size: int) -> int:
+    """How many files a table of about so many bytes should have; 0 if it isn't small."""
+    return max(1, -(-size // FILE_BYTES)) if size <= SMALL_BYTES else 0
 
 
 def checked(small: DataFrame, row_bytes: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checked, materialize, pieces_of, slices, text_bytes
+from .common import as_bytes, checked, materialize, slices, small_files, text_bytes
 from .components import components
 from .textops import LOWER, inside, mix, owner, windows, words
 
@@ -200,7 +200,7 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
     """
     kind = docs.schema[id_col].dataType.simpleString()
     size = text_bytes(docs, text_col)
-    files = pieces_of(size)
+    files = small_files(size // 8)
     source = docs.select(id_col, text_col)
     shards = max(1, -(-size * 8 // (100 * shard_keys)))
 
@@ -212,7 +212,7 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
                 count, a, c = digests(doc, value, hi - lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(sketches(doc, value, hi - lo), pa.binary())], ["id", "size", "d", "e", "x"])
 
-    found = materialize(source.mapInArrow(sets, f"id {kind}, size long, d long, e long, x binary"), files)
+    found = materialize(source.mapInArrow(sets, f"id {kind}, size long, d long, e long, x binary"), files, True)
     largest = found.agg(F.coalesce(F.max("size"), F.lit(0)).alias("n")).first()["n"]
     least = found.filter("size > 0").groupBy("d", "e").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.min("x").alias("x"))
     classes = materialize(least, files)
@@ -295,7 +295,7 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
         return pa.concat_tables(out)
 
     rows = source.mapInArrow(keys, "s int, key binary, node binary, flags binary, pair binary").groupBy("s").applyInArrow(bucket, "kind int, a long, b long, flags int, pair int, cost long")
-    rows = materialize(rows, max(shards, files))
+    rows = materialize(rows, files, True)
     costly = rows.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"), "flags", "pair", "cost")
     # each set gives up its costliest keys, as far as its slack goes
     table = bands(percent, largest)
@@ -312,19 +312,20 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
     large = heavy.join(checked(distinct, 8), "key", "left_semi").select(F.col("key").alias("a"), F.col("node").alias("b"))
     near = rows.filter("kind = 0").select("a", "b").union(joined.filter("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))).distinct()
     groups = materialize(rows.filter("kind = 1").select("a", "b").union(large).distinct(), files)
-    near = materialize(_plausible(near, classes, percent), files)
-    links = materialize(verified(source, near, n, percent, id_col, text_col, files), files)
+    near = materialize(_plausible(near, classes, percent), files, True)
+    links = materialize(verified(source, near, n, percent, id_col, text_col, files), files, True)
     # keys whose sets lie in several components: who may still have a link there, in groups that such links connect
     named = materialize(_components(classes, links, files), files)
     sides = groups.join(named.filter(F.col("rep").isNotNull()).select(F.col("d").alias("b"), "rep", "size", "x", "c"), "b")
     open_keys = materialize(sides.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("a", "n"), files)
-    maybe = materialize(_across(sides.join(checked(open_keys, 16), "a").select(F.col("a").alias("unit"), "n", "rep", "c", "size", "x"), percent, kind), files)
+    maybe = materialize(_across(sides.join(checked(open_keys, 16), "a").select(F.col("a").alias("unit"), "n", "rep", "c", "size", "x"), percent, kind), files, True)
     if not maybe.isEmpty():
         family = materialize(components(maybe, files).join(named.groupBy(F.col("rep").alias("node"), "c").agg(F.sum("size").alias("size")), "node"), files)
-        links = materialize(links.union(_within(source, family, n, percent, id_col, text_col, files)), files)
+        links = materialize(links.union(_within(source, family, n, percent, id_col, text_col, files)), files, True)
         named = materialize(_components(classes, links, files), files)
     out = found.join(named.select("d", "e", "c"), ["d", "e"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("c", "id").alias("component_id")).coalesce(files)
+    out = out.coalesce(files) if files else out
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
 
 
 def _components(classes: DataFrame, links: DataFrame, files: int) -> DataFrame:

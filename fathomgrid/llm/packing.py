@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, numbered, pieces_of, rank_within
+from .common import as_bytes, materialize, numbered, rank_within, small_files
 from .tokens import encoder
 
 
@@ -150,7 +150,7 @@ def pack(items: DataFrame, size: int = 2048, groups: int = 48, small: int = 896)
     spark = items.sparkSession
     by = [c for c in items.columns if c != "length"]
     inner = _by_length(items, "length", size)
-    files = pieces_of(32 * int(inner.sum()))
+    files = small_files(32 * int(inner.sum()))
     inner[size] = 0
     ranked = materialize(rank_within(items.filter(F.col("length") < size), "length", by, "_rank", inner), files)
     large = grouped(inner, small, groups)
@@ -193,4 +193,5 @@ def pack(items: DataFrame, size: int = 2048, groups: int = 48, small: int = 896)
     a = fixed.join(seqs.select("_seq", number.alias("sequence_id")), "_seq").select(out)
     b = rest.join(here, inside).withColumn("sequence_id", F.col("_base") + F.col("_rank")).select(out)
     c = items.filter(F.col("length") == size).withColumn("sequence_id", F.lit(int(base[-1]) + new) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).select(out)
-    return a.unionByName(b).unionByName(c).coalesce(files)
+    every = a.unionByName(b).unionByName(c)
+    return every.coalesce(files) if files else every

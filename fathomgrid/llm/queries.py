@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contamination, html, jaccard, language, lines, neighbours, packing, substrings, tokens, warc
-from .common import materialize, table
+from .common import materialize, planned_bytes, small_files, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -38,7 +38,8 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    out = packing.pack(materialize(packing.pieces(docs, tokenizer_path())))
+    files = small_files(planned_bytes(docs) // 8)
+    out = packing.pack(materialize(packing.pieces(docs, tokenizer_path()), files, True))
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
