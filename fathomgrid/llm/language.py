@@ -200,39 +200,49 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, span: int = 16, steps
     return Model(labels, index, weights.astype(np.float32), moves.astype(np.float32))
 
 
-class Scorer(dict):
-    """Row of the score table of each word met."""
+class Scorer:
+    """Rows of a score table of the words met."""
 
     def __init__(self, model: Model):
-        self.model, self.table, self.n = model, np.zeros((1 << 12, len(model.labels))), 0
-
-    def __missing__(self, word: str) -> int:
-        if SIGNS.search(word):
-            self[word] = -1
-            return -1
-        if self.n == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        get = self.model.index.get
-        rows = [i for f in features(word) if (i := get(f)) is not None]
-        self.table[self.n] = self.model.weights[rows].sum(axis=0) if rows else 0
-        self[word] = at = self.n
-        self.n += 1
-        return at
+        self.model, self.rows = model, {}
+        self.table = np.zeros((0, len(model.labels)))
+
+    def learn(self, new: set[str]) -> None:
+        """Scores runs of word characters that aren't in the table yet; one with a number sign is no word: -1."""
+        get, flat, sizes = self.model.index.get, [], []
+        for word in new:
+            if not word.isascii() and SIGNS.search(word):
+                self.rows[word] = -1
+                continue
+            self.rows[word] = len(self.table) + len(sizes)
+            before = len(flat)
+            flat += [i for f in features(word) if (i := get(f)) is not None]
+            sizes.append(len(flat) - before)
+        sizes = np.array(sizes, np.int64)
+        scores = np.zeros((len(sizes), len(self.model.labels)))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            first = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+            scores[some] = np.add.reduceat(self.model.weights[np.array(flat, np.int64)].astype(np.float64), first, axis=0)
+        self.table = np.concatenate([self.table, scores])
 
     def spans(self, texts: list[bytes]) -> list[np.ndarray]:
         """Rows of the words of each text."""
-        if self.n > MEMO:
-            self.clear()
-            self.n = 0
-        row, out = self.__getitem__, []
-        for t in texts:
-            text = t.decode()
-            found = np.fromiter(map(row, WORD.findall(text.lower())), np.int32)
-            if len(found) and found.min() < 0:
-                found = np.fromiter(map(row, words(text)), np.int32)
-            out.append(found)
+        if len(self.rows) > MEMO:
+            self.rows.clear()
+            self.table = self.table[:0]
+        found = [WORD.findall(t.decode().lower()) for t in texts]
+        out = self._rows(found)
+        odd = [i for i, r in enumerate(out) if len(r) and r.min() < 0]
+        for i, r in zip(odd, self._rows([words(texts[i].decode()) for i in odd])):
+            out[i] = r
         return out
 
+    def _rows(self, found: list[list[str]]) -> list[np.ndarray]:
+        self.learn(set().union(*found).difference(self.rows))
+        row = self.rows.__getitem__
+        return [np.fromiter(map(row, ws), np.int32, len(ws)) for ws in found]
+
     def messages(self, rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of long texts: forward messages into and backward messages out of their segments, from transfers."""
         parts = sorted(((min(SEGMENT, len(r) - at), i, at) for i, r in enumerate(rows) for at in range(0, len(r), SEGMENT)), reverse=True)
