@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, materialize, slices
 from .textops import ALNUM, covered, inside, windows, words
 
 #: Words of benchmark items that one pass over the documents holds in each Python worker; more items take more passes.
@@ -109,7 +109,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, k: int = 8
 
     items are the ids (as strings, sorted) of items with a window in the document, spans the half-open word ranges hit.
     Words are runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII characters. The benchmark is read in
-    passes of PASS_WORDS words at most, each sent to the workers; more passes are joined by document. A null or empty
+    passes of PASS_WORDS words at most, of which the driver holds one at a time and sends it to the workers; if there are
+    more, each pass's hits are written and joined by document. A null or empty
     text has no words; an item without words never occurs; an empty benchmark hits nothing; repeated rows of documents
     give a row each, repeated items count once. Other columns are dropped.
     """
@@ -154,33 +155,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, k: int = 8
 
         return source.mapInArrow(run, f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<first:long,end:long>>")
 
-    passes: list[tuple[list[str], list[bytes]]] = [([], [])]
-    size = 0
-    for row in items.toLocalIterator():  # one pass of items in memory here at a time; PASS_WORDS bounds what is sent
+    names, texts, size = [], [], 0
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("k"), text_col)
+    written = []
+    for row in items.toLocalIterator():
         text = row["t"].encode()
         count = len(text.translate(ALNUM).split())
         if size and size + count > PASS_WORDS:
-            passes.append(([], []))
-            size = 0
-        passes[-1][0].append(row["i"])
-        passes[-1][1].append(text)
+            kind = keyed.schema["k"].dataType.simpleString()
+            hits = one_pass(names, texts, keyed).filter("n_hit > 0").select("id", "items", "spans").distinct()
+            written.append(materialize(hits))
+            names, texts, size = [], [], 0
+        names.append(row["i"])
+        texts.append(text)
         size += count
-    if len(passes) == 1:
-        return one_pass(*passes[0], docs).withColumnRenamed("id", id_col)
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("k"), text_col)
-    kind = keyed.schema["k"].dataType.simpleString()
-    parts = [one_pass(*p, keyed) for p in passes]
-    every = parts[0]
-    for part in parts[1:]:
+    if not written:
+        return one_pass(names, texts, docs).withColumnRenamed("id", id_col)
+    every = written[0]
+    for part in written[1:]:
         every = every.unionByName(part)
-    merged = every.groupBy("id").agg(
-        F.max("n_words").alias("n_words"),
-        (F.count(F.lit(1)) / F.lit(len(parts))).cast("int").alias("_copies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("_all"),
-    )
-    merged = merged.withColumn("spans", _united("_all")).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"]))
-    return merged.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(F.col("id.id").alias(id_col), "n_words", "n_hit", "items", "spans")
+    lists = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  at most a row for each pass
+    every = every.groupBy("id").agg(lists("items").alias("_items"), lists("spans").alias("_spans"))
+    rows = one_pass(names, texts, keyed).join(every, "id", "left")
+    none = F.array().cast("array<string>"), F.array().cast("array<struct<first:bigint,end:bigint>>")
+    more = [F.array_sort(F.array_distinct(F.concat(c, F.coalesce(f"_{c}", n)))) for c, n in zip(("items", "spans"), none)]
+    out = rows.withColumn("items", more[0]).withColumn("spans", _united(more[1]))
+    return out.select(F.col("id.id").alias(id_col), "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"]).alias("n_hit"), "items", "spans")
 
 
 def judged() -> Column:
@@ -188,7 +188,7 @@ def judged() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def _united(column: str):
+def _united(column: Column) -> Column:
     """Union of sorted half-open spans."""
     empty = F.array().cast("array<struct<first:bigint,end:bigint>>")
 
