@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if its counted rows times its row width stay below this.
 BROADCAST_BYTES = 32 << 20
-#: Bytes of files that a task reads at least, if all cores then have one.
+#: Bytes of files that a task reads at least, if all cores then have two tasks.
 SPLIT_BYTES = 32 << 20
 #: Bytes of a file of a small table, and what such a table has at most.
 FILE_BYTES, SMALL_BYTES = 32 << 20, 256 << 20
@@ -25,13 +25,15 @@ SLICE_BYTES = 1 << 20
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-#: Rows that Spark sends a Python worker at a time.
-BATCH_ROWS = 2_000
+#: Rows that Spark sends a Python worker at a time, and that it reads of a Parquet file.
+BATCH_ROWS, READ_ROWS = 1_000, 512
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df in a session with small Arrow batches, so that neither side of a Python stage holds many texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """df in a session with small batches, so that neither readers nor either side of a Python stage hold many texts."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     return df
 
 
@@ -41,11 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def gathered(df: DataFrame) -> DataFrame:
-    """df in no more partitions than its files have SPLIT_BYTES (but one for each core): many tiny files are a burden.
+    """df in no more partitions than its files have SPLIT_BYTES (but two for each core): many tiny files are a burden.
 
     Files of the usual size are read as they are.
     """
-    return df.coalesce(min(1 << 30, max(-(-planned_bytes(df) // SPLIT_BYTES), df.sparkSession.sparkContext.defaultParallelism)))
+    return df.coalesce(min(1 << 30, max(-(-planned_bytes(df) // SPLIT_BYTES), 2 * df.sparkSession.sparkContext.defaultParallelism)))
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -72,7 +74,17 @@ def materialize(df: DataFrame, files: int = 0, gather: bool = False) -> DataFram
     if files:
         df = df.repartition(files) if gather else df.coalesce(files)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_files(size: int) -> int:

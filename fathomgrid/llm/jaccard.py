@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checked, materialize, slices, small_files, text_bytes
+from .common import as_bytes, checked, discard, materialize, slices, small_files, text_bytes
 from .components import components
 from .textops import LOWER, inside, mix, owner, windows, words
 
@@ -318,11 +318,14 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
     named = materialize(_components(classes, links, files), files)
     sides = groups.join(named.filter(F.col("rep").isNotNull()).select(F.col("d").alias("b"), "rep", "size", "x", "c"), "b")
     open_keys = materialize(sides.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("a", "n"), files)
+    discard(rows, heavy, centres, distinct, near)
     maybe = materialize(_across(sides.join(checked(open_keys, 16), "a").select(F.col("a").alias("unit"), "n", "rep", "c", "size", "x"), percent, kind), files, True)
     if not maybe.isEmpty():
         family = materialize(components(maybe, files).join(named.groupBy(F.col("rep").alias("node"), "c").agg(F.sum("size").alias("size")), "node"), files)
-        links = materialize(links.union(_within(source, family, n, percent, id_col, text_col, files)), files, True)
-        named = materialize(_components(classes, links, files), files)
+        every = materialize(links.union(_within(source, family, n, percent, id_col, text_col, files)), files, True)
+        discard(named, links, family)
+        links, named = every, materialize(_components(classes, every, files), files)
+    discard(groups, open_keys, maybe, classes, links)
     out = found.join(named.select("d", "e", "c"), ["d", "e"], "left")
     out = out.coalesce(files) if files else out
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
