@@ -26,24 +26,90 @@ def build(spark, a):
         stores.save_panel(panel, f"{a.store}/{u}", names, a.drop)
 
 
+# Names of the prior's settings by model, and of the options that give them.
+PRIORS = {
+    "gaussian": {"prior": "prior", "target_r2": "target_r2"},
+    "lasso": {"target_r2": "target_r2", "multiplier": "lambda_multiplier"},
+    "horseshoe": {"target_r2": "target_r2", "p0": "p0", "n_choice": "n_choice"},
+    "regularised": {"target_r2": "target_r2", "p0": "p0", "n_choice": "n_choice", "nu": "nu", "slab_scale": "slab_scale"},
+}
+
+
+def prior_settings(a) -> dict:
+    """The options that were given; one that the model's prior doesn't have is refused."""
+    given = {o: getattr(a, o) for m in PRIORS.values() for o in m.values() if getattr(a, o) is not None}
+    own = PRIORS[a.model]
+    if unknown := set(given) - set(own.values()):
+        raise SystemExit(f"{a.model} has no {', '.join(sorted(unknown))}")
+    return {name: given[o] for name, o in own.items() if o in given}
+
+
 def fit(spark, a):
     """Chains of a model on a whole panel."""
+    if a.sequential and a.model != "gaussian":
+        raise SystemExit("only the gaussian model has a sequential scan")
     _, r, f = B.dense(stores.load_panel(spark, f"{a.store}/{a.universe}"))
-    settings = {} if a.p0 is None or a.model in ("gaussian", "lasso") else {"p0": a.p0}
-    prior = fitters.prior_of(a.model, r, f, target_r2=a.target_r2, **settings)
-    out = fitters.chains(spark, a.model, r, f, prior, a.chains, a.draws, a.burn, a.seed)
+    out = fitters.chains(spark, a.model, r, f, fitters.prior_of(a.model, r, f, **prior_settings(a)), a.chains, a.draws, a.burn, a.seed, blocked=not a.sequential)
     for name, value in (("setting", a.setting), ("model", a.model), ("universe", a.universe)):
         out = out.withColumn(name, F.lit(value))
     stores.save_draws(out, f"{a.store}/draws")
 
 
 def diagnose(spark, a):
-    """Convergence of stored chains and the largest predictors."""
-    d = stores.load_chains(spark, f"{a.store}/draws", a.universe, a.model, a.setting).filter(F.col("field").isin(a.fields))
+    """Convergence of stored chains, their scales, local variances and rankings, and how far other settings agree.
+
+    A setting is NAME or MODEL:NAME; the first one's chains are diagnosed, the others compared by their rankings.
+    """
+    path = f"{a.store}/{a.universe}"
+    named = [s.rpartition(":") for s in a.setting]
+    load = lambda model, setting: stores.load_chains(spark, f"{a.store}/draws", a.universe, model or a.model, setting)
+    every = load(named[0][0], named[0][2])
+    d = every.filter(F.col("field").isin(a.fields))
     M.diagnosis_summary(M.diagnosed(d)).show(100, False)
-    means = M.posterior_mean(d.filter("field = 'b_bar'")).withColumn("setting", F.lit(a.setting))
-    M.top_k(means, a.top).show(a.top, False)
     M.excluding_zero(M.credible_interval(d)).show(100, False)
+    b_bar = every.filter("field = 'b_bar'")
+    M.half_split_stability(b_bar, a.repetitions, a.top).show()
+    means = None
+    for model, _, setting in named:
+        one = M.posterior_mean(load(model, setting).filter("field = 'b_bar'")).withColumn("setting", F.lit(f"{model or a.model}:{setting}"))
+        means = one if means is None else means.unionByName(one)
+    M.top_k(means, a.top).show(a.top * len(named), False)
+    if len(named) > 1:
+        M.rank_stability(means, a.top).show(100, False)
+        M.stable_core(means, a.top).filter("core").show(1000, False)
+    scales = every.filter(F.col("field").isin("tau", "lam", "c") & (F.col("i") == 0) & (F.col("j") == 0))
+    M.chain_means(scales).show(100, False)
+    _, r, f = B.dense(stores.load_panel(spark, path))
+    prior = fitters.prior_of(a.model, r, f, **prior_settings(a))
+    if a.model in ("horseshoe", "regularised"):
+        M.scale_summary(every.filter("field = 'tau'"), prior.tau_0).show(1, False)
+    if a.model == "regularised":
+        scalar = every.filter("field in ('tau', 'c')").groupBy("chain", "draw").pivot("field", ["tau", "c"]).agg(F.first("value"))
+        local = every.filter("field in ('lam_local', 'lam_tilde')").groupBy("chain", "draw", "i", "j").pivot("field", ["lam_local", "lam_tilde"]).agg(F.first("value"))
+        M.slab_summary(local.withColumnRenamed("lam_local", "lam").join(scalar, ["chain", "draw"])).show(100, False)
+    variance = deviation_variance(a.model, every, prior)
+    if variance is not None:
+        names = stores.load_predictor_names(spark, path, a.universe, f.shape[2])
+        group = F.element_at(F.array(*(F.lit(group_of(n)) for n in names)), F.col("j") + 1)
+        D.group_means(variance.withColumn("setting", F.lit(a.setting[0])), "variance", group, ("setting",)).show(10, False)
+
+
+def deviation_variance(model, every, prior):
+    """Mean prior variance of each deviation (j, variance[, i]) of a model, where its draws have what that needs."""
+    if model == "gaussian":
+        return M.gaussian_deviation_variance(every.filter("field = 'Delta_b_diag'"))
+    if model == "lasso":
+        return M.lasso_deviation_variance(t, prior.s) if not (t := every.filter("field = 'tau2_mean'")).isEmpty() else None
+    lam = every.filter(F.col("field") == ("lam_local" if model == "horseshoe" else "lam_tilde"))
+    tau = every.filter("field = 'tau'").select("chain", "draw", F.col("value").alias("tau"))
+    return M.deviation_variance(lam.withColumnRenamed("value", "lam").join(tau, ["chain", "draw"]))
+
+
+def group_of(name: str) -> str:
+    """Group of a predictor by its name."""
+    if name == "intercept":
+        return name
+    return "interaction" if "_x_" in name else "common" if name in (*dataset.MACRO, *dataset.FACTORS) else "own"
 
 
 def backtest(spark, a):
@@ -114,10 +180,12 @@ def parser() -> argparse.ArgumentParser:
     universe, setting = ("--universe", {"required": True}), ("--setting", {"default": "main"})
     model, seed = ("--model", {"required": True}), ("--seed", {"type": int, "default": 0})
     number = lambda n, d: (n, {"type": int, "default": d})
+    real = lambda n: (n, {"type": float, "default": None})
+    priors = [("--prior", {"choices": ["default", "rescaled"], "default": None}), real("--target-r2"), real("--lambda-multiplier"), number("--p0", None), ("--n-choice", {"choices": ["T", "NT"], "default": None}), real("--nu"), real("--slab-scale")]
     window = [number("--start", B.START), number("--refit-every", B.REFIT_EVERY), number("--draws", None), number("--burn", None)]
     command(build, ("--universe", {"nargs": "+", "required": True}), *((n, {"required": True}) for n in ("--folder", "--five", "--momentum", "--macro")), ("--drop", {"nargs": "*", "default": []}), number("--stabilisation", dataset.STABILISATION))
-    command(fit, universe, model, setting, seed, number("--chains", 4), number("--draws", 3000), number("--burn", 1000), number("--p0", None), ("--target-r2", {"type": float, "default": 0.05}))
-    command(diagnose, universe, model, setting, number("--top", 10), ("--fields", {"nargs": "+", "default": ["b_bar", "Sigma", "tau", "lam", "c"]}))
+    command(fit, universe, model, setting, seed, number("--chains", 4), number("--draws", 3000), number("--burn", 1000), ("--sequential", {"action": "store_true"}), *priors)
+    command(diagnose, universe, model, ("--setting", {"nargs": "+", "default": ["main"]}), number("--top", 20), number("--repetitions", 40), ("--fields", {"nargs": "+", "default": ["b_bar", "Sigma", "tau", "lam", "lam_local", "tau2_track", "c"]}), *priors)
     command(backtest, universe, model, setting, *window, ("--skip-lookahead", {"action": "store_true"}))
     command(intervals, universe, model, *window)
     command(sharpe_test, setting, seed, ("--pairs", {"nargs": "+", "required": True}), ("--block", {"nargs": "+", "type": int, "default": [5]}), number("--replicates", L.REPLICATES), ("--out", {"default": ""}))

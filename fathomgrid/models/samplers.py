@@ -132,19 +132,28 @@ def _inverse_gamma(shape: float | np.ndarray, scale: np.ndarray, rng: np.random.
     return scale / np.maximum(rng.gamma(shape, size=np.shape(scale)), 1e-300)
 
 
+#: Steps of a slice update, of which tens are usual; a variance below which a deviation is zero to double precision.
+STEPS, LEAST_VARIANCE = 2_000, 1e-18
+
+
 def slice_step(log_density: Callable[[np.ndarray], np.ndarray], x: np.ndarray, rng: np.random.Generator, width: float = 1.0) -> np.ndarray:
-    """One slice update of each element on its own (stepping out, then shrinking); log_density works by element."""
+    """One slice update of each element on its own (stepping out, then shrinking); log_density works by element.
+
+    Both go on until they are done; one that takes STEPS steps fails, as ending it early would change the target.
+    """
     level = log_density(x) + np.log(np.maximum(rng.random(x.shape), 1e-300))
     lo = x - width * rng.random(x.shape)
     hi = lo + width
     for edge, sign in ((lo, -1), (hi, 1)):
-        for _ in range(20):
+        for _ in range(STEPS):
             out = log_density(edge) > level
             if not out.any():
                 break
             edge[out] += sign * width
+        else:
+            raise RuntimeError("a slice has no end")
     new, todo = x.copy(), np.ones(x.shape, bool)
-    for _ in range(60):
+    for _ in range(STEPS):
         trial = lo + (hi - lo) * rng.random(x.shape)
         ok = todo & (log_density(trial) >= level)
         new[ok] = trial[ok]
@@ -153,6 +162,8 @@ def slice_step(log_density: Callable[[np.ndarray], np.ndarray], x: np.ndarray, r
             break
         left = todo & (trial < x)
         lo[left], hi[todo & ~left] = trial[left], trial[todo & ~left]
+    else:
+        raise RuntimeError("no point of a slice was found")
     return new
 
 
@@ -191,9 +202,10 @@ def _horseshoe(data: Data, state: State, rng: np.random.Generator, blocked: bool
     shape = (data.n, data.k)
     if "lam2" not in x:
         x |= {"lam2": np.ones(shape), "nu": np.ones(shape), "tau2": p.tau_0**2, "xi": 1.0}
-    draw_coefficients(data, state, 1 / np.maximum(x["tau2"] * x["lam2"], 1e-18), rng, True)
+    draw_coefficients(data, state, 1 / np.maximum(x["tau2"] * x["lam2"], LEAST_VARIANCE), rng, True)
     square = state.theta**2
-    x["lam2"] = np.clip(_inverse_gamma(1.0, 1 / x["nu"] + square / (2 * x["tau2"]), rng), 1e-12, 1e12)
+    # a half-Cauchy scale passes these bounds with a probability below 1e-70
+    x["lam2"] = np.clip(_inverse_gamma(1.0, 1 / x["nu"] + square / (2 * x["tau2"]), rng), 1e-150, 1e150)
     x["nu"] = _inverse_gamma(1.0, 1 + 1 / x["lam2"], rng)
     x["tau2"] = float(_inverse_gamma((data.n * data.k + 1) / 2, np.array(1 / x["xi"] + (square / (2 * x["lam2"])).sum()), rng))
     x["xi"] = float(_inverse_gamma(1.0, np.array(1 / p.tau_0**2 + 1 / x["tau2"]), rng))
@@ -214,7 +226,7 @@ def _regularised(data: Data, state: State, rng: np.random.Generator, blocked: bo
     def normal(v):
         return -0.5 * (np.log(v) + square / v)
 
-    draw_coefficients(data, state, 1 / np.maximum(variance(x["lam"], x["tau"], x["c2"]), 1e-18), rng, True)
+    draw_coefficients(data, state, 1 / np.maximum(variance(x["lam"], x["tau"], x["c2"]), LEAST_VARIANCE), rng, True)
     square = state.theta**2
     x["lam"] = slice_step(lambda z: normal(variance(z, x["tau"], x["c2"])) + z - np.log1p(np.exp(np.minimum(2 * z, 700))), x["lam"], rng)
     one = lambda g: lambda z: np.array([g(float(v)) for v in np.atleast_1d(z)])

@@ -28,18 +28,24 @@ class Simulated:
         return self.b - self.b_bar
 
 
-def random_covariance(n: int, rng: np.random.Generator, scale: float = 1.0) -> np.ndarray:
-    """A Wishart matrix with n + 2 degrees of freedom and mean scale * I."""
-    x = rng.standard_normal((n + 2, n)) * np.sqrt(scale / (n + 2))
-    return x.T @ x
+# Degrees of freedom beyond the dimension, and what is added to the diagonal.
+EXTRA, RIDGE = 5, 1e-6
+
+
+def random_covariance(n: int, rng: np.random.Generator, scale: float = 1.0, extra: int = EXTRA) -> np.ndarray:
+    """A Wishart matrix with n + extra degrees of freedom and mean scale * I, kept off the edge by RIDGE * I."""
+    x = np.sqrt(scale / (n + extra)) * rng.standard_normal((n + extra, n))
+    return x.T @ x + RIDGE * np.eye(n)
 
 
 def gaussian_deviations(n: int, cov: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return rng.multivariate_normal(np.zeros(len(cov)), cov, size=n)
 
 
-def sparse_deviations(n: int, k: int, rng: np.random.Generator, zero: float = 0.7, sd: float = 1.0) -> np.ndarray:
-    return np.where(rng.random((n, k)) < zero, 0.0, sd * rng.standard_normal((n, k)))
+def sparse_deviations(n: int, cov: np.ndarray, rng: np.random.Generator, zero: float = 0.7, active: float = 1.0) -> np.ndarray:
+    """Exactly zero with probability zero, else normal with active times the deviation of its own predictor."""
+    sd = active * np.sqrt(np.diag(cov))
+    return np.where(rng.random((n, len(cov))) < zero, 0.0, sd * rng.standard_normal((n, len(cov))))
 
 
 def predictors(n: int, t: int, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -52,14 +58,19 @@ def noise(t: int, sigma: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.linalg.cholesky(sigma) @ rng.standard_normal((len(sigma), t))
 
 
-def simulate(n: int, k: int, t: int, seed: int = 0, deviations: str = "gaussian", dev_sd: float = 0.1, noise_scale: float = 1.0) -> Simulated:
+def simulate(n: int, k: int, t: int, seed: int = 0, deviations: str = "gaussian", dev_sd: float = 0.1, noise_scale: float = 1.0, b_bar: np.ndarray | None = None, dev_cov: np.ndarray | None = None, sigma: np.ndarray | None = None) -> Simulated:
+    """Data whose pooled coefficients, covariance of deviations (dev_sd^2 I) and of residuals may be given."""
     rng = np.random.default_rng(seed)
-    f, sigma = predictors(n, t, k, rng), random_covariance(n, rng, noise_scale)
-    b_bar = 0.3 * rng.standard_normal(k)
+    f = predictors(n, t, k, rng)
+    sigma = random_covariance(n, rng, noise_scale) if sigma is None else np.asarray(sigma, float)
+    b_bar = 0.3 * rng.standard_normal(k) if b_bar is None else np.asarray(b_bar, float)
+    cov = dev_sd**2 * np.eye(k) if dev_cov is None else np.asarray(dev_cov, float)
+    if b_bar.shape != (k,) or cov.shape != (k, k) or sigma.shape != (n, n):
+        raise ValueError(f"given parameters don't have the shapes of {n} assets and {k} predictors")
     if deviations == "gaussian":
-        theta = gaussian_deviations(n, dev_sd**2 * np.eye(k), rng)
+        theta = gaussian_deviations(n, cov, rng)
     elif deviations == "sparse":
-        theta = sparse_deviations(n, k, rng, sd=dev_sd)
+        theta = sparse_deviations(n, cov, rng)
     else:
         raise ValueError(f"deviations are gaussian or sparse, not {deviations!r}")
     b = b_bar + theta

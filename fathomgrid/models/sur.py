@@ -36,6 +36,13 @@ def log_likelihood_gradient(r: np.ndarray, f: np.ndarray, b: np.ndarray, sigma:
     return value, np.einsum("ntk,nt->nk", f, np.linalg.solve(low.T, white))
 
 
+def log_likelihood_sigma_gradient(r: np.ndarray, f: np.ndarray, b: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """The log-likelihood's gradient in the entries of sigma, taken as free: (Sigma^-1 E E' Sigma^-1 - T Sigma^-1) / 2."""
+    inverse = spd_inverse(sigma)
+    white = inverse @ residuals(r, f, b)
+    return 0.5 * (white @ white.T - r.shape[1] * inverse)
+
+
 def cross_products(f: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """f_i'f_j as (N, K, N, K) and f_i'r_j as (N, K, N): what every sweep needs of the data."""
     n, t, k = f.shape
@@ -97,14 +104,35 @@ def packed_inverse_wishart_logpdf(x: np.ndarray, df: float, scale: np.ndarray) -
     return inverse_wishart_logpdf(low @ low.T, df, scale) + cholesky_jacobian(low)
 
 
+def packed_inverse_wishart_gradient(x: np.ndarray, df: float, scale: np.ndarray) -> np.ndarray:
+    """Gradient of that log density in the packed coordinates."""
+    p = len(scale)
+    low = unpacked(x, p)
+    inverse = spd_inverse(low @ low.T)
+    sigma = 0.5 * (inverse @ scale @ inverse - (df + p + 1) * inverse)
+    return packed_gradient(low, sigma, p - np.arange(p) + 1.0)
+
+
+def packed_gradient(low: np.ndarray, sigma: np.ndarray, jacobian: np.ndarray | float = 0.0) -> np.ndarray:
+    """From a gradient in sigma = L L' to one in packed(L); jacobian is what the logs of the diagonal add."""
+    g = np.tril((sigma + sigma.T) @ low)
+    at = np.arange(len(low))
+    g[at, at] = np.diag(g) * np.diag(low) + jacobian
+    return g[np.tril_indices(len(low))]
+
+
 def sigma_reference(r: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Residual covariance of least squares, and the scales (1/sqrt(T)) of its packed Cholesky coordinates."""
+    """Cholesky factor of the sample covariance of least-squares residuals, and the scales of its packed coordinates.
+
+    A diagonal entry's logarithm varies by 1/sqrt(2 T), another entry by its column's diagonal over sqrt(T).
+    """
     from .priors import least_squares
 
     e = residuals(r, f, least_squares(r, f))
-    low = np.linalg.cholesky(e @ e.T / max(1, r.shape[1] - f.shape[2]))
-    scale = np.sqrt(np.outer(np.diag(low), np.ones(len(low))) ** 2 / r.shape[1])
-    scale[np.arange(len(low)), np.arange(len(low))] = 1 / math.sqrt(2 * r.shape[1])
+    low = np.linalg.cholesky(np.atleast_2d(np.cov(e, ddof=1)))
+    months = r.shape[1]
+    scale = np.tile(np.diag(low) / math.sqrt(months), (len(low), 1))
+    np.fill_diagonal(scale, 1 / math.sqrt(2 * months))
     return low, scale[np.tril_indices(len(low))]
 
 

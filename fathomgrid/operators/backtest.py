@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathomgrid.functions.scalar import dot
 
 START, REFIT_EVERY = 240, 12
-#: Bytes of a dense panel that a task is sent; a larger universe goes by training slices instead.
+#: Bytes of a dense panel that a task is sent. A larger universe is refused: its assets' joint covariance needs it whole.
 PANEL_BYTES = 256 << 20
 #: Rows of refits up to which they are broadcast.
 BROADCAST_REFITS = 10_000
@@ -31,8 +31,9 @@ def expanding_benchmark(df: DataFrame, value: str = "r_next", keys: tuple[str, .
     return df.withColumn("benchmark", F.avg(value).over(before))
 
 
-def ar1_forecasts(df: DataFrame, start: int = START, every: int = REFIT_EVERY) -> DataFrame:
-    """Forecasts of r_next by its regression on ret over the rows before each refit, all as window aggregates."""
+def ar1_fits(df: DataFrame, start: int = START, every: int = REFIT_EVERY) -> DataFrame:
+    """Rows from start on with the regression of r_next on ret over the rows before their refit (a, b), the mean of
+    those rows (prefix) and the benchmark; all as window aggregates."""
     w = W.partitionBy("universe", "asset").orderBy("t").rowsBetween(W.unboundedPreceding, -1)
     fits = expanding_benchmark(df.filter("r_next is not null and ret is not null")).withColumns(
         {"a": F.regr_intercept("r_next", "ret").over(w), "b": F.regr_slope("r_next", "ret").over(w)}
@@ -40,15 +41,23 @@ def ar1_forecasts(df: DataFrame, start: int = START, every: int = REFIT_EVERY) -
     # the refit's coefficients stand on its own row, so the same partitioning serves
     at = W.partitionBy("universe", "asset", "t_refit").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
     out = fits.filter(F.col("t") >= start).withColumn("t_refit", refit_key(F.col("t"), start, every))
-    out = out.withColumns({"a": F.first("a").over(at), "b": F.first("b").over(at)})
-    return out.select("universe", "asset", "month", "t", "t_refit", (F.col("a") + F.col("b") * F.col("ret")).alias("predicted"), F.col("r_next").alias("realised"), "benchmark")
+    out = out.withColumns({"a": F.first("a").over(at), "b": F.first("b").over(at), "prefix": F.first("benchmark").over(at)})
+    return out.select("universe", "asset", "month", "t", "t_refit", "a", "b", "ret", "prefix", F.col("r_next").alias("realised"), "benchmark")
+
+
+def ar1_forecasts(df: DataFrame, start: int = START, every: int = REFIT_EVERY) -> DataFrame:
+    """Forecasts of r_next by its regression on ret over the rows before each refit."""
+    return ar1_fits(df, start, every).select("universe", "asset", "month", "t", "t_refit", (F.col("a") + F.col("b") * F.col("ret")).alias("predicted"), "realised", "benchmark")
+
+
+def ar1_coefficients(df: DataFrame, start: int = START, every: int = REFIT_EVERY) -> DataFrame:
+    """Intercept and slope of every refit: (universe, asset, t_refit, b array)."""
+    return ar1_fits(df, start, every).filter(F.col("t") == F.col("t_refit")).select("universe", "asset", "t_refit", F.array("a", "b").alias("b"))
 
 
 def prefix_mean_forecasts(df: DataFrame, start: int = START, every: int = REFIT_EVERY) -> DataFrame:
     """Forecasts by the mean of the rows before each refit."""
-    out = expanding_benchmark(df.filter("r_next is not null and ret is not null")).filter(F.col("t") >= start).withColumn("t_refit", refit_key(F.col("t"), start, every))
-    at = W.partitionBy("universe", "asset", "t_refit").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
-    return out.select("universe", "asset", "month", "t", "t_refit", F.first("benchmark").over(at).alias("predicted"), F.col("r_next").alias("realised"), "benchmark")
+    return ar1_fits(df, start, every).select("universe", "asset", "month", "t", "t_refit", F.col("prefix").alias("predicted"), "realised", "benchmark")
 
 
 def dense(panel: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -114,8 +123,7 @@ def lookahead(run: Callable[[DataFrame], DataFrame], panel: DataFrame, corrupt_f
 
     Forecasts of refits with t_refit <= corrupt_from must not change (before = 0), later ones must (after > 0).
     """
-    changed = F.when(F.col("t") >= corrupt_from, F.lit(noise) * F.sin(F.col("t") * 12.9898 + F.length("asset"))).otherwise(F.col("r_next"))
-    a, b = run(panel), run(panel.withColumn("r_next", changed))
+    a, b = run(panel), run(_corrupted(panel, corrupt_from, noise))
     keys = [c for c in ("universe", "asset", "t", "t_refit") if c in a.columns]
     both = a.select(*keys, "predicted").join(b.select(*keys, F.col("predicted").alias("other")), keys)
     change = F.abs(F.col("predicted") - F.col("other"))
@@ -123,10 +131,26 @@ def lookahead(run: Callable[[DataFrame], DataFrame], panel: DataFrame, corrupt_f
     return both.groupBy(*by).agg(F.max(F.when(safe, change)).alias("before"), F.max(F.when(~safe, change)).alias("after"))
 
 
+def lookahead_coefficients(run: Callable[[DataFrame], DataFrame], panel: DataFrame, corrupt_from: int, noise: float = 10.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same of coefficients (keys, t_refit, b array): their largest change by refits up to corrupt_from and after."""
+    a, b = run(panel), run(_corrupted(panel, corrupt_from, noise))
+    keys = [c for c in ("universe", "asset", "t_refit") if c in a.columns]
+    both = a.select(*keys, F.posexplode("b").alias("k", "x")).join(b.select(*keys, F.posexplode("b").alias("k", "y")), [*keys, "k"])
+    change, safe = F.abs(F.col("x") - F.col("y")), F.col("t_refit") <= corrupt_from
+    return both.groupBy(*by).agg(F.max(F.when(safe, change)).alias("before"), F.max(F.when(~safe, change)).alias("after"))
+
+
+def _corrupted(panel: DataFrame, corrupt_from: int, noise: float) -> DataFrame:
+    return panel.withColumn("r_next", F.when(F.col("t") >= corrupt_from, F.lit(noise) * F.sin(F.col("t") * 12.9898 + F.length("asset"))).otherwise(F.col("r_next")))
+
+
 def assert_no_lookahead(fit: FitFn, panel: DataFrame, corrupt_from: int, start: int = START, every: int = REFIT_EVERY) -> None:
     found = lookahead(lambda p: expanding_window(p, fit, start, every), panel, corrupt_from, every).first()
     if found["before"] != 0.0:
         raise AssertionError(f"forecasts before the corruption changed by {found['before']}")
+    fits = lookahead_coefficients(lambda p: coefficients(p, fit, start, every), panel, corrupt_from).first()
+    if fits["before"] != 0.0:
+        raise AssertionError(f"coefficients before the corruption changed by {fits['before']}")
     if not found["after"] > 0:
         raise AssertionError("forecasts after the corruption did not change: the test has no power")
 

@@ -31,10 +31,14 @@ def statistic_ranges(stats: DataFrame) -> DataFrame:
 
 
 def covariance(df: DataFrame, value: str = "ret") -> DataFrame:
-    """Sample covariance of assets over months, long (i, j, cov); an asset-by-asset self-join on the month."""
-    a = df.select(*U, "month", F.col("asset").alias("i"), F.col(value).alias("x"))
-    b = df.select(*U, "month", F.col("asset").alias("j"), F.col(value).alias("y"))
-    return a.join(b, [*U, "month"]).groupBy(*U, "i", "j").agg(F.covar_samp("x", "y").alias("cov"))
+    """Sample covariance of assets over months, long (i, j, cov): the outer product of each month's vector, its upper
+    triangle summed within tasks before the shuffle and mirrored after it."""
+    months = df.groupBy(*U, "month").agg(F.array_sort(F.collect_list(F.struct("asset", F.col(value).alias("x")))).alias("v"))
+    left = months.select(*U, F.posexplode("v").alias("at", "a"), "v")
+    pairs = left.select(*U, "a", F.explode(F.slice("v", F.col("at") + 1, F.size("v"))).alias("b"))
+    upper = pairs.groupBy(*U, F.col("a.asset").alias("i"), F.col("b.asset").alias("j")).agg(F.covar_samp("a.x", "b.x").alias("cov"))
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return upper.select(*U, "cov", F.explode(sides).alias("p")).select(*U, "p.i", "p.j", "cov")
 
 
 def positive_definite(cov: DataFrame) -> bool:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from fathomgrid.functions.scalar import normal_quantile
 
 P = ("field", "i", "j")
+#: Ranges of values that divergence_positions ranks by themselves.
+RANK_PARTS = 64
 
 
 def truncated(draws: DataFrame, by: tuple[str, ...] = P) -> DataFrame:
@@ -72,11 +74,19 @@ def sampler_summary(stats: DataFrame, max_depth: int = 10) -> DataFrame:
 
 def divergence_positions(stats: DataFrame, value: str) -> DataFrame:
     """For each divergent draw: the share of other draws with smaller values, by rank instead of by pairs."""
-    plain = stats.filter(~F.col("diverging")).select(F.col(value).alias("x"), F.lit(1).alias("n"), F.lit(None).cast("long").alias("id"))
-    marked = stats.filter("diverging").select(F.col(value).alias("x"), F.lit(0).alias("n"), F.monotonically_increasing_id().alias("id"))
-    total = plain.count()
-    below = F.sum("n").over(W.orderBy("x").rangeBetween(W.unboundedPreceding, 0)) - F.sum("n").over(W.partitionBy("x"))
-    return plain.union(marked).withColumn("below", below / F.lit(max(1, total))).filter("id is not null").select("x", F.col("below").alias("position"))
+    edges = sorted(set(stats.approxQuantile(value, [i / RANK_PARTS for i in range(1, RANK_PARTS)], 0.001)))
+    part = F.lit(0)
+    for e in edges:
+        part = part + (F.col("x") >= e).cast("int")
+    x = stats.select(F.col(value).alias("x"), (~F.col("diverging")).cast("int").alias("n")).withColumn("part", part)
+    # draws in lower parts, a row for each part, and those below in its own
+    sizes = x.groupBy("part").agg(F.sum("n").alias("size"))
+    before = F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    first = F.broadcast(sizes.select("part", before.alias("first"), F.sum("size").over(W.partitionBy()).alias("total")))  # RANK_PARTS rows
+    own = W.partitionBy("part")
+    below = F.sum("n").over(own.orderBy("x").rangeBetween(W.unboundedPreceding, 0)) - F.sum("n").over(W.partitionBy("part", "x"))
+    ranked = x.withColumn("below", below).filter("n = 0").join(first, "part")
+    return ranked.select("x", ((F.col("first") + F.col("below")) / F.greatest("total", F.lit(1))).alias("position"))
 
 
 def rank_normalised(draws: DataFrame, by: tuple[str, ...] = P, value: str = "value") -> DataFrame:
@@ -132,6 +142,21 @@ def _acov(x: np.ndarray) -> np.ndarray:
     return np.fft.irfft(f * np.conj(f), axis=1)[:, :n] / n
 
 
+def single_effective_size(x: np.ndarray) -> float:
+    """Effective draws of one chain as it is, not split: 1 + 2 sums of autocorrelations up to the last pair of lags
+    (2k - 1, 2k) before one whose sum is negative. A chain that doesn't vary counts whole."""
+    x = np.asarray(x, float)
+    n = len(x)
+    a = _acov(x[None])[0]
+    if not a[0] > 0:
+        return float(n)
+    rho = a[1 : n - 1] / a[0]
+    pairs = rho[: len(rho) // 2 * 2].reshape(-1, 2).sum(axis=1)
+    negative = np.flatnonzero(pairs < 0)
+    used = 2 * negative[0] if len(negative) else max(0, len(rho) - 2)
+    return float(n / max(1.0, 1 + 2 * rho[:used].sum()))
+
+
 def effective_size(chains: np.ndarray) -> float:
     """Effective draws of raw chains (chains, draws), split in halves, by initial positive pairs of autocorrelations."""
     half = chains.shape[1] // 2
@@ -229,18 +254,30 @@ def stable_core(means: DataFrame, k: int, setting: str = "setting") -> DataFrame
     return member.crossJoin(F.broadcast(n)).select("j", "n_settings", (F.col("n_settings") == F.col("_n")).alias("core"))
 
 
-def half_split_stability(draws: DataFrame, reps: int = 20, k: int = 10) -> DataFrame:
-    """Rank correlation of |means| of random halves of one setting's draws: median and p10 over repetitions.
+# Multipliers and modulus of the order in which half_split_stability deals draws.
+SHUFFLE, MODULUS = (7919, 104_729, 1_299_709, 48_271), (1 << 31) - 1
+
+
+def half_split_stability(draws: DataFrame, reps: int = 20, k: int = 20) -> DataFrame:
+    """How well rankings of |means| from two random halves of one setting's draws (j, chain, draw, value) agree.
 
-    The halves order draws by a hash of repetition and draw, so that they are the same on every run.
+    Median and 10 % quantile over repetitions of the rank correlation and of the overlap of the k largest. Chains are
+    cut to the shortest; a repetition orders the pooled draws by a generator's numbers, the first half of them (rounded
+    down) is a, the rest b.
     """
-    d = draws.select("j", "chain", "draw", "value", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    d = d.withColumn("setting", F.when(F.pmod(F.xxhash64("rep", "chain", "draw"), F.lit(2)) == 0, "a").otherwise("b"))
-    means = d.groupBy("rep", "setting", "j").agg(F.avg("value").alias("mean"))
-    r = means.withColumn("r", F.row_number().over(W.partitionBy("rep", "setting").orderBy(F.abs("mean"), "j")).cast("double"))
-    a, b = (r.filter(F.col("setting") == n).select("rep", "j", F.col("r").alias(n)) for n in "ab")
-    rho = a.join(b, ["rep", "j"]).groupBy("rep").agg(F.corr("a", "b").alias("rho"))
-    return rho.agg(F.median("rho").alias("median_rho"), F.percentile("rho", 0.1).alias("p10_rho"))
+    kept = truncated(draws.select("j", "chain", "draw", "value"), ("j",))
+    a1, a2, a3, a4 = SHUFFLE
+    mixed = (((F.col("chain") + 1) * a1 + (F.col("draw") + 1) * a2 + (F.col("rep") + 1) * a3).cast("long") % MODULUS * a4) % MODULUS
+    pooled = kept.select("chain", "draw").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    at = F.row_number().over(W.partitionBy("rep").orderBy(mixed, "chain", "draw"))
+    half = F.floor(F.count(F.lit(1)).over(W.partitionBy("rep")) / 2)
+    dealt = pooled.withColumn("setting", F.when(at <= half, "a").otherwise("b"))
+    means = kept.join(dealt, ["chain", "draw"]).groupBy("rep", "setting", "j").agg(F.avg("value").alias("mean"))
+    w = W.partitionBy("rep", "setting")
+    r = means.withColumn("r", F.row_number().over(w.orderBy(F.abs("mean"), "j")).cast("double")).withColumn("top", F.row_number().over(w.orderBy(F.desc(F.abs("mean")), "j")) <= k)
+    a, b = (r.filter(F.col("setting") == n).select("rep", "j", F.col("r").alias(n), F.col("top").alias(f"top_{n}")) for n in "ab")
+    one = a.join(b, ["rep", "j"]).groupBy("rep").agg(F.corr("a", "b").alias("rho"), (F.count_if(F.col("top_a") & F.col("top_b")) / F.lit(float(k))).alias("overlap"))
+    return one.agg(*(f.alias(f"{n}_{c}") for c in ("rho", "overlap") for n, f in (("median", F.median(c)), ("p10", F.percentile(c, 0.1)))))
 
 
 def traces(draws: DataFrame, field: str, n: int = 3, seed: int = 0) -> DataFrame:
@@ -273,12 +310,38 @@ def slab_summary(draws: DataFrame, tolerance: float = 0.99, halved: float = 0.5)
     return draws.groupBy("chain").agg(F.avg((ratio < tolerance).cast("double")).alias("binding"), F.avg((ratio < halved).cast("double")).alias("halved"), F.avg("c").alias("mean_c"), F.avg("tau").alias("mean_tau"), F.avg(ratio).alias("mean_ratio"))
 
 
+def _chain_mean(draws: DataFrame, by: tuple[str, ...], *columns: str) -> DataFrame:
+    """Means over chains of the chains' means."""
+    own = draws.groupBy(*by, "chain").agg(*(F.avg(c).alias(c) for c in columns))
+    return own.groupBy(*by).agg(*(F.avg(c).alias(c) for c in columns))
+
+
 def deviation_variance(draws: DataFrame, by: tuple[str, ...] = ("i", "j")) -> DataFrame:
-    """Prior variance of deviations averaged over draws: tau^2 lam^2 of wide rows (tau, lam)."""
-    return draws.groupBy(*by).agg(F.avg(F.col("tau") * F.col("tau") * F.col("lam") * F.col("lam")).alias("variance"))
+    """Prior variance of deviations under a horseshoe: (mean tau x mean lam)^2 of wide rows (chain, tau, lam).
+
+    lam is the local scale, or its regularised form; means are of the chains' means.
+    """
+    product = F.col("tau") * F.col("lam")
+    return _chain_mean(draws, by, "tau", "lam").select(*by, (product * product).alias("variance"))
+
+
+def gaussian_deviation_variance(draws: DataFrame, by: tuple[str, ...] = ("j",)) -> DataFrame:
+    """The same under the Gaussian prior, for every asset alike: mean of the diagonal (chain, j, value)."""
+    return _chain_mean(draws, by, "value").withColumnRenamed("value", "variance")
+
 
+def lasso_deviation_variance(draws: DataFrame, s: float, by: tuple[str, ...] = ("i", "j")) -> DataFrame:
+    """The same under the LASSO of scale s: s^2 times the mean of tau^2 (chain, i, j, value)."""
+    return _chain_mean(draws, by, "value").select(*by, (F.col("value") * s * s).alias("variance"))
 
-def budget_validation(a: DataFrame, b: DataFrame, by: tuple[str, ...] = P) -> DataFrame:
-    """Short-run means against long-run means: median z in Monte Carlo errors (column se of b), and correlation."""
-    both = a.select(*by, F.col("mean").alias("x")).join(b.select(*by, F.col("mean").alias("y"), "se"), list(by))
-    return both.groupBy("field").agg(F.median(F.try_divide(F.abs(F.col("x") - F.col("y")), F.col("se"))).alias("median_z"), F.max(F.try_divide(F.abs(F.col("x") - F.col("y")), F.col("se"))).alias("max_z"), F.corr("x", "y").alias("corr"))
+
+def budget_validation(short: DataFrame, reference: DataFrame, reference_size: float, by: tuple[str, ...] = P) -> DataFrame:
+    """A short run's draws against a full run's means: |difference of means| in Monte Carlo standard errors.
+
+    The error is the short run's deviation times sqrt(1 / its draws + 1 / the full run's effective size). Returns by
+    field median_z, max_z, the share of z below 3 (one without error isn't) and the correlation of the means.
+    """
+    own = short.groupBy(*by).agg(F.avg("value").alias("x"), (F.stddev_pop("value") * F.sqrt(1.0 / F.count("value") + 1.0 / reference_size)).alias("se"))
+    both = own.join(reference.select(*by, F.col("mean").alias("y")), list(by))
+    z = both.withColumn("z", F.try_divide(F.abs(F.col("x") - F.col("y")), "se"))
+    return z.groupBy("field").agg(F.median("z").alias("median_z"), F.max("z").alias("max_z"), F.avg(F.coalesce(F.col("z") < 3, F.lit(False)).cast("double")).alias("within_3"), F.corr("x", "y").alias("corr"))

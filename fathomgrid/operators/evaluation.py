@@ -66,6 +66,11 @@ def certainty_equivalent(df: DataFrame, gamma: float = 3.0, by: tuple[str, ...]
     return df.groupBy(*by).agg(((F.avg(value) - gamma / 2 * F.var_samp(value)) * (12.0 if annual else 1.0)).alias("ce"))
 
 
+def scores(df: DataFrame, by: tuple[str, ...] = U, gamma: float = 3.0, value: str = "q") -> DataFrame:
+    """Annual Sharpe ratio and certainty equivalent in one pass."""
+    return df.groupBy(*by).agg(_sharpe(value).alias("sharpe"), (12.0 * (F.avg(value) - gamma / 2 * F.var_samp(value))).alias("ce"))
+
+
 def long_run_variance(df: DataFrame, value: str, by: tuple[str, ...] = U, lags: int | None = None) -> DataFrame:
     """Newey-West: (n, mean, lags, lrv) of each group's series over t, Bartlett weights, floor(4 (n/100)^(2/9)) lags."""
     w = W.partitionBy(*by)
@@ -130,12 +135,17 @@ def same_months(df: DataFrame) -> DataFrame:
 
 
 def cross_sort(df: DataFrame, gamma: float = 3.0) -> DataFrame:
-    """Pooled, stacked and within-universe portfolios: (portfolio, sharpe, ce), and which universe is best."""
-    within = portfolio(weights(df)).select(F.col("universe").alias("portfolio"), "t", "q")
-    pooled = portfolio(pooled_weights(df), ("t",)).select(F.lit("pooled").alias("portfolio"), "t", "q")
-    both = stacked(within).select(F.lit("stacked").alias("portfolio"), "t", "q")
-    every = within.unionByName(pooled).unionByName(both)
-    out = sharpe(every, ("portfolio",)).join(certainty_equivalent(every, gamma, ("portfolio",)), "portfolio")
+    """Pooled, stacked and within-universe portfolios: (portfolio, sharpe, ce), and which universe is best.
+
+    One pass over the forecasts: both weights stand on each row, and a month's first universe carries the two others.
+    """
+    rows = pooled_weights(weights(df).withColumnRenamed("w", "_w"))
+    q = rows.groupBy("universe", "t").agg(F.sum(F.col("_w") * F.col("realised")).alias("q"), F.sum(F.col("w") * F.col("realised")).alias("p"))
+    month = W.partitionBy("t")
+    q = q.withColumns({"stacked": F.avg("q").over(month), "pooled": F.sum("p").over(month), "first": F.row_number().over(month.orderBy("universe")) == 1})
+    kinds = [F.struct(n.alias("portfolio"), F.col(c).alias("q"), k.alias("keep")) for n, c, k in ((F.col("universe"), "q", F.lit(True)), (F.lit("pooled"), "pooled", F.col("first")), (F.lit("stacked"), "stacked", F.col("first")))]
+    every = q.select(F.explode(F.array(*kinds)).alias("x")).select("x.*").filter("keep")
+    out = scores(every, ("portfolio",), gamma)
     inside = ~F.col("portfolio").isin("pooled", "stacked")
     return out.withColumn("best_within", inside & (F.col("sharpe") == F.max(F.when(inside, F.col("sharpe"))).over(W.partitionBy())))
 

@@ -91,14 +91,12 @@ def bootstrap_p(df: DataFrame, by: tuple[str, ...], block: int = 5, replicates:
 
 
 def compared(returns: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(universe, a, b, t, r1, r2) of pairs of models from (universe, model, t, q)."""
-    out = None
-    for a, b in pairs:
-        x = returns.filter(F.col("model") == a).select("universe", "t", F.col("q").alias("r1"))
-        y = returns.filter(F.col("model") == b).select("universe", "t", F.col("q").alias("r2"))
-        one = x.join(y, ["universe", "t"]).select("universe", F.lit(a).alias("a"), F.lit(b).alias("b"), "t", "r1", "r2")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(universe, a, b, t, r1, r2) of pairs of models from (universe, model, t, q), months that both have; one pass."""
+    models = sorted({m for p in pairs for m in p})
+    month = returns.filter(F.col("model").isin(models)).groupBy("universe", "t").agg(*(F.max(F.when(F.col("model") == m, F.col("q"))).alias(f"_{i}") for i, m in enumerate(models)))
+    at = {m: f"_{i}" for i, m in enumerate(models)}
+    sides = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(at[a]).alias("r1"), F.col(at[b]).alias("r2")) for a, b in pairs))
+    return month.select("universe", "t", F.explode(sides).alias("p")).select("universe", "p.a", "p.b", "t", "p.r1", "p.r2").filter("r1 is not null and r2 is not null")
 
 
 def block_sweep(df: DataFrame, by: tuple[str, ...], blocks: tuple[int, ...] = BLOCKS, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:

@@ -85,8 +85,7 @@ def ar1(spark: SparkSession, d: str) -> DataFrame:
 
 def both_models(spark: SparkSession, d: str) -> DataFrame:
     """Forecasts of both models side by side: predicted (AR(1)) and prefix (mean)."""
-    other = B.prefix_mean_forecasts(T.responses(spark, d), START, EVERY).select("universe", "asset", "t", F.col("predicted").alias("prefix"))
-    return ar1(spark, d).join(other, ["universe", "asset", "t"])
+    return B.ar1_fits(T.responses(spark, d), START, EVERY).withColumn("predicted", F.col("a") + F.col("b") * F.col("ret"))
 
 
 def portfolio(spark: SparkSession, d: str) -> DataFrame:
@@ -94,11 +93,11 @@ def portfolio(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_returns(spark: SparkSession, d: str) -> DataFrame:
-    """Portfolio returns (universe, model, t, q) of the AR(1) forecasts and of their negatives' half."""
-    f = ar1(spark, d)
-    a = E.portfolio(E.weights(f)).withColumn("model", F.lit("ar1"))
-    b = E.portfolio(E.weights(f.withColumn("predicted", F.col("benchmark")))).withColumn("model", F.lit("mean"))
-    return a.unionByName(b)
+    """Portfolio returns (universe, model, t, q) of the AR(1) forecasts and of the benchmark's."""
+    models = F.array(*(F.struct(F.lit(m).alias("model"), F.col(c).alias("predicted")) for m, c in (("ar1", "predicted"), ("mean", "benchmark"))))
+    f = ar1(spark, d).select("universe", "asset", "t", "realised", F.explode(models).alias("m")).select("universe", "asset", "t", "realised", "m.*")
+    by = ("universe", "model", "t")
+    return E.portfolio(E.weights(f, by), by)
 
 
 def excess(spark: SparkSession, d: str) -> DataFrame:
@@ -119,9 +118,7 @@ def lookahead_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metrics_by_model(spark: SparkSession, d: str) -> DataFrame:
-    r = model_returns(spark, d)
-    by = ("universe", "model")
-    return E.sharpe(r, by).join(E.certainty_equivalent(r, 3.0, by), list(by))
+    return E.scores(model_returns(spark, d), ("universe", "model"))
 
 
 LRV = """s AS (SELECT universe, t, {d} AS d FROM {src} GROUP BY universe, t),
@@ -153,6 +150,44 @@ def rhat_sql(src: str, value: str, name: str, halves: bool = True) -> str:
   {name} AS (SELECT field, CASE WHEN avg(v) > 0 THEN sqrt(((min(n) - 1) / min(n)::DOUBLE * avg(v) + var_samp(m)) / avg(v)) END AS rhat FROM {name}_c GROUP BY 1)"""
 
 
+def ess_sql(src: str, value: str, name: str, by: str = "field") -> str:
+    """Effective sizes of a table (by, chain, draw, ...) as name (by, ess): halves of the chains, sums of products at all
+    lags, pairs of autocorrelations up to the first that isn't positive."""
+    return f"""{name}_p AS (SELECT {by}, chain, {value} AS x, row_number() OVER (PARTITION BY {by}, chain ORDER BY draw) - 1 AS pos FROM {src}),
+  {name}_l AS (SELECT {by}, min(k) AS n FROM (SELECT {by}, chain, count(*) AS k FROM {name}_p GROUP BY ALL) GROUP BY ALL),
+  {name}_h AS (SELECT {by}, chain, pos >= n // 2 AS half, pos - CASE WHEN pos < n // 2 THEN 0 ELSE n - n // 2 END AS i, x::DOUBLE AS x, n // 2 AS n FROM {name}_p JOIN {name}_l USING ({by}) WHERE pos < n // 2 OR pos >= n - n // 2 AND pos < n),
+  {name}_c AS (SELECT *, x - avg(x) OVER (PARTITION BY {by}, chain, half) AS c FROM {name}_h),
+  {name}_a AS (SELECT {', '.join(f'a.{b} AS {b}' for b in by.split(', '))}, a.chain, a.half, b.i - a.i AS lag, sum(a.c * b.c) / any_value(a.n) AS g, any_value(a.n) AS n FROM {name}_c a JOIN {name}_c b ON {' AND '.join(f'a.{b} = b.{b}' for b in by.split(', '))} AND a.chain = b.chain AND a.half = b.half AND b.i >= a.i GROUP BY ALL),
+  {name}_m AS (SELECT {by}, chain, half, avg(x) AS m FROM {name}_h GROUP BY ALL),
+  {name}_w AS (SELECT {by}, max(n) AS n, count(*) AS k, avg(g * n / (n - 1)) AS w FROM {name}_a WHERE lag = 0 GROUP BY ALL),
+  {name}_v AS (SELECT {by}, var_samp(m) AS b FROM {name}_m GROUP BY ALL),
+  {name}_t AS (SELECT {by}, n, k, w, (n - 1) / n::DOUBLE * w + b AS total FROM {name}_w JOIN {name}_v USING ({by})),
+  {name}_g AS (SELECT {by}, lag, avg(g) AS g FROM {name}_a GROUP BY ALL),
+  {name}_r AS (SELECT {by}, lag, CASE WHEN lag = 0 THEN 1 ELSE 1 - (w - g) / total END AS rho FROM {name}_g JOIN {name}_t USING ({by}) WHERE lag < n // 2 * 2),
+  {name}_q AS (SELECT {by}, lag // 2 AS pair, sum(rho) AS p FROM {name}_r GROUP BY ALL),
+  {name}_s AS (SELECT {by}, sum(p) AS s FROM (SELECT *, min(CASE WHEN p <= 0 THEN pair END) OVER (PARTITION BY {by}) AS stop FROM {name}_q) WHERE stop IS NULL OR pair < stop GROUP BY ALL),
+  {name} AS (SELECT {by}, CASE WHEN n >= 4 AND w > 0 THEN k * n / greatest(-1 + 2 * s, 1 / log10(greatest(k * n, 11))) END AS ess FROM {name}_t JOIN {name}_s USING ({by}))"""
+
+
+def sizes_sql(src: str, name: str, by: str = "field") -> str:
+    """Bulk and tail sizes of a table (by, chain, draw, value) as name (by, ess_bulk, ess_tail)."""
+    tails = f"""{name}_x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}, chain ORDER BY draw) AS pos FROM {src}) JOIN (SELECT {by}, min(k) AS k FROM (SELECT {by}, chain, count(*) AS k FROM {src} GROUP BY ALL) GROUP BY ALL) USING ({by}) WHERE pos <= k),
+  {name}_e AS (SELECT {by}, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM {name}_x GROUP BY ALL),
+  {name}_i AS (SELECT {by}, chain, draw, (value < lo)::INT AS low, (value > hi)::INT AS high FROM {name}_x JOIN {name}_e USING ({by}))"""
+    parts = [ess_sql(src, "value", f"{name}_bulk", by), tails, ess_sql(f"{name}_i", "low", f"{name}_low", by), ess_sql(f"{name}_i", "high", f"{name}_high", by)]
+    return ",\n  ".join(parts) + f""",
+  {name} AS (SELECT {by}, b.ess AS ess_bulk, CASE WHEN l.ess IS NOT NULL AND h.ess IS NOT NULL THEN least(l.ess, h.ess) END AS ess_tail FROM {name}_bulk b JOIN {name}_low l USING ({by}) JOIN {name}_high h USING ({by}))"""
+
+
+def budget_sql(n: int) -> str:
+    """Diagnosis of the first n draws as d{n}."""
+    src = f"draws{n}"
+    z = RANKED.format(src, quantile_sql("((rank - 0.375) / (s + 0.25))")).replace("rk ", f"rk{n} ").replace("FROM rk", f"FROM rk{n}").replace(" z AS (", f" z{n} AS (")
+    folded = FOLDED.replace("fd ", f"fd{n} ").replace("FROM fd", f"FROM fd{n}").replace("fr ", f"fr{n} ").replace("FROM fr", f"FROM fr{n}").replace("fz ", f"fz{n} ").replace("FROM draws", f"FROM {src}")
+    return f"""{src} AS (SELECT * FROM draws WHERE draw < {n}), {z}, {folded}, {rhat_sql(f'z{n}', 'z', f'rb{n}')}, {rhat_sql(f'fz{n}', 'z', f'rt{n}')}, {sizes_sql(src, f'es{n}')},
+  d{n} AS (SELECT {n} AS n, field, greatest(b.rhat, t.rhat) AS rhat, ess_bulk FROM rb{n} b JOIN rt{n} t USING (field) JOIN es{n} USING (field))"""
+
+
 OWN = X.OWN
 OWN_F = " ".join(f"{c}:f" for c in OWN)
 
@@ -212,6 +247,12 @@ def gibbs_backtest(spark: SparkSession, d: str) -> DataFrame:
     return fitted(spark, d, fitter("gaussian"), covariance=True)
 
 
+def budget_validation(draws: DataFrame) -> DataFrame:
+    """The first 50 draws of each chain as the short run; events' types are the parameters of one field."""
+    named = draws.select(F.lit("b").alias("field"), F.lit(0).alias("i"), F.col("field").alias("j"), "chain", "draw", "value")
+    return M.budget_validation(named.filter("draw < 50"), named.groupBy(*M.P).agg(F.avg("value").alias("mean")), 300.0)
+
+
 def predictors_of(spark: SparkSession, d: str) -> DataFrame:
     return P.complete(P.stabilised(T.scored(spark, d)), ["ret_lag1", "vol12", *T.COMMON, "r_next"])
 
@@ -362,6 +403,11 @@ def all_queries() -> dict[str, Query]:
             q("forecasts", "SELECT universe, count(*) AS n, avg((realised BETWEEN predicted - s AND predicted + s)::INT) AS cover_coef, avg((realised BETWEEN predicted - 2 * s AND predicted + 2 * s)::INT) AS cover_full, avg(2 * s) AS width_coef, avg(4 * s) AS width_full, 0.5 AS width_ratio, sqrt(0.0475 / count(*)) AS se FROM iv WHERE s IS NOT NULL GROUP BY 1", INTERVALS),
         ),
         "lookahead_check": Query("before:f changed:b", lambda s, d: lookahead_check(s, d).select("before", (F.col("after") > 0).alias("changed")), "\n--\nSELECT 0.0 AS before, true AS changed"),
+        "lookahead_coefficients": Query(
+            "universe before:f changed:b",
+            lambda s, d: B.lookahead_coefficients(lambda p: B.ar1_coefficients(p, START, EVERY), T.responses(s, d), START + EVERY, by=("universe",)).select("universe", "before", (F.col("after") > 0).alias("changed")),
+            q("responses", "SELECT DISTINCT universe, 0.0 AS before, true AS changed FROM responses"),
+        ),
         "asset_descriptives": Query(
             "universe asset mean_pct:f sd_pct:f sharpe:f ar1:f",
             lambda s, d: D.asset_statistics(T.returns(s, d)),
@@ -428,10 +474,30 @@ def all_queries() -> dict[str, Query]:
         "rhat_classic": Query("field rhat:f", lambda s, d: M.classic_rhat(T.pseudo_draws(s, d)), q("draws", "SELECT * FROM rh", rhat_sql("draws", "value", "rh", False))),
         "rhat_split": Query("field bulk:f tail:f rhat:f", lambda s, d: M.rank_rhat(T.pseudo_draws(s, d)), q("draws", "SELECT rb.field, rb.rhat AS bulk, rt.rhat AS tail, greatest(rb.rhat, rt.rhat) AS rhat FROM rb JOIN rt USING (field)", f"{Z}, {FOLDED}, {rhat_sql('z', 'z', 'rb')}, {rhat_sql('fz', 'z', 'rt')}")),
         "autocovariance": Query("field chain:i lag:i acov:f", lambda s, d: M.autocovariance(T.pseudo_draws(s, d), 5), q("draws", "SELECT x.field, x.chain, y.draw - x.draw AS lag, sum(x.c * y.c) / any_value(x.n) AS acov FROM ac x JOIN ac y ON x.field = y.field AND x.chain = y.chain AND y.draw >= x.draw AND y.draw - x.draw <= 5 GROUP BY 1, 2, 3", "ac AS (SELECT *, value - avg(value) OVER (PARTITION BY field, chain) AS c, count(*) OVER (PARTITION BY field, chain) AS n FROM draws)")),
-        "effective_size": Query("field ess_bulk:f ess_tail:f", lambda s, d: M.effective_sizes(T.pseudo_draws(s, d))),
-        "diagnose": Query("field rhat:f ess_bulk:f ess_tail:f", lambda s, d: M.diagnosed(T.pseudo_draws(s, d))),
-        "chain_budget": Query("n:i field rhat:f ess_bulk:f product:f implied:f", lambda s, d: M.chain_budget(T.pseudo_draws(s, d), [50, 100])),
-        "half_split_stability": Query("median_rho:f p10_rho:f", lambda s, d: M.half_split_stability(T.pseudo_draws(s, d).withColumn("j", F.hash("field")))),
+        "effective_size": Query("field ess_bulk:f ess_tail:f", lambda s, d: M.effective_sizes(T.pseudo_draws(s, d)), q("draws", "SELECT * FROM es", sizes_sql("draws", "es"))),
+        "diagnose": Query(
+            "field rhat:f ess_bulk:f ess_tail:f",
+            lambda s, d: M.diagnosed(T.pseudo_draws(s, d)),
+            q("draws", "SELECT field, greatest(rb.rhat, rt.rhat) AS rhat, ess_bulk, ess_tail FROM rb JOIN rt USING (field) JOIN es USING (field)", f"{Z}, {FOLDED}, {rhat_sql('z', 'z', 'rb')}, {rhat_sql('fz', 'z', 'rt')}, {sizes_sql('draws', 'es')}"),
+        ),
+        "chain_budget": Query(
+            "n:i field rhat:f ess_bulk:f product:f implied:f",
+            lambda s, d: M.chain_budget(T.pseudo_draws(s, d), [50, 100]),
+            q("draws", "SELECT *, (rhat - 1) * ess_bulk AS product, n * (rhat - 1) / (1.01 - 1) AS implied FROM (SELECT * FROM d50 UNION ALL SELECT * FROM d100)", f"{budget_sql(50)}, {budget_sql(100)}"),
+        ),
+        "half_split_stability": Query(
+            "median_rho:f p10_rho:f median_overlap:f p10_overlap:f",
+            lambda s, d: M.half_split_stability(T.pseudo_draws(s, d).withColumn("j", F.ascii("field") * 1000 + F.length("field")), 20, 2),
+            q(
+                "draws",
+                "SELECT median(rho) AS median_rho, quantile_cont(rho, 0.1) AS p10_rho, median(overlap) AS median_overlap, quantile_cont(overlap, 0.1) AS p10_overlap FROM (SELECT x.rep, corr(x.r, y.r) AS rho, count(*) FILTER (x.k <= 2 AND y.k <= 2) / 2.0 AS overlap FROM hr x JOIN hr y ON x.rep = y.rep AND x.j = y.j WHERE x.a AND NOT y.a GROUP BY 1)",
+                f"""hj AS (SELECT ascii(field) * 1000 + length(field) AS j, chain, draw, value FROM draws),
+  hk AS (SELECT hj.* FROM hj JOIN (SELECT j, min(m) AS m FROM (SELECT j, chain, max(draw) AS m FROM hj GROUP BY 1, 2) GROUP BY 1) c ON hj.j = c.j AND draw <= m),
+  ho AS (SELECT rep, chain, draw, row_number() OVER (PARTITION BY rep ORDER BY (((chain + 1) * {M.SHUFFLE[0]} + (draw + 1) * {M.SHUFFLE[1]} + (rep + 1) * {M.SHUFFLE[2]}) % {M.MODULUS} * {M.SHUFFLE[3]}) % {M.MODULUS}, chain, draw) AS pos, count(*) OVER (PARTITION BY rep) AS n FROM (SELECT DISTINCT chain, draw FROM hk), (SELECT unnest(range(20)) AS rep)),
+  hm AS (SELECT rep, pos <= n // 2 AS a, j, avg(value) AS mean FROM hk JOIN ho USING (chain, draw) GROUP BY 1, 2, 3),
+  hr AS (SELECT *, row_number() OVER (PARTITION BY rep, a ORDER BY abs(mean), j)::DOUBLE AS r, row_number() OVER (PARTITION BY rep, a ORDER BY abs(mean) DESC, j) AS k FROM hm)""",
+            ),
+        ),
         "chain_means": Query("field chain:i mean:f sd:f lo:f median:f hi:f", lambda s, d: M.chain_means(T.pseudo_draws(s, d)), q("draws", "SELECT field, chain, avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.975) AS hi FROM draws GROUP BY 1, 2")),
         "scale_summary": Query("field mean:f lo:f hi:f ratio:f prior_excluded:b distance_sd:f", lambda s, d: M.scale_summary(T.pseudo_draws(s, d), 2.0), q("draws", "SELECT field, avg(value) AS mean, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi, avg(value) / 2 AS ratio, quantile_cont(value, 0.025) > 2 OR quantile_cont(value, 0.975) < 2 AS prior_excluded, (2 - avg(value)) / stddev_samp(value) AS distance_sd FROM draws GROUP BY 1")),
         "draw_prefixes": Query("n:i field mean:f", lambda s, d: M.prefix(T.pseudo_draws(s, d), [20, 50, 100]).groupBy("n", "field").agg(F.avg("value").alias("mean")), q("draws", "SELECT n, field, avg(value) AS mean FROM draws, (SELECT unnest([20, 50, 100]) AS n) WHERE draw < n GROUP BY 1, 2")),
@@ -451,17 +517,25 @@ def all_queries() -> dict[str, Query]:
             lambda s, d: M.slab_summary(T.pseudo_draws(s, d).select("chain", (F.abs("value") + 1).alias("lam"), F.lit(0.1).alias("tau"), F.lit(1.2).alias("c")).withColumn("lam_tilde", S.regularised_scale(F.col("lam"), F.col("tau"), F.col("c")))),
             q("draws", "SELECT chain, avg((r < 0.99)::INT) AS binding, avg((r < 0.5)::INT) AS halved, 1.2 AS mean_c, 0.1 AS mean_tau, avg(r) AS mean_ratio FROM (SELECT chain, sqrt(1.44 * l * l / (1.44 + 0.01 * l * l)) / l AS r FROM (SELECT chain, abs(value) + 1 AS l FROM draws)) GROUP BY 1"),
         ),
-        "deviation_variance": Query("i:i j:i variance:f", lambda s, d: M.deviation_variance(T.pseudo_draws(s, d).select(F.col("chain").alias("i"), "j", (F.abs("value") / 100).alias("lam"), F.lit(0.5).alias("tau"))), q("draws", "SELECT chain AS i, 0 AS j, avg(0.25 * pow(abs(value) / 100, 2)) AS variance FROM draws GROUP BY 1")),
-        "runs_agree": Query("field z:f", lambda s, d: M.runs_agree(T.pseudo_draws(s, d).filter("chain < 2"), T.pseudo_draws(s, d).filter("chain >= 2"))),
+        # the square of the product of the means of chains' means, not a mean of squares
+        "deviation_variance": Query("i:i j:i variance:f", lambda s, d: M.deviation_variance(T.pseudo_draws(s, d).select("chain", F.length("field").alias("i"), "j", (F.abs("value") / 100).alias("lam"), (F.col("draw") / 1000).alias("tau"))), q("draws", "SELECT i, 0 AS j, pow(avg(tau) * avg(lam), 2) AS variance FROM (SELECT length(field) AS i, chain, avg(draw / 1000) AS tau, avg(abs(value) / 100) AS lam FROM draws GROUP BY 1, 2) GROUP BY 1")),
+        "gaussian_deviation_variance": Query("j:i variance:f", lambda s, d: M.gaussian_deviation_variance(T.pseudo_draws(s, d).select("chain", F.length("field").alias("j"), F.abs("value").alias("value"))), q("draws", "SELECT j, avg(m) AS variance FROM (SELECT length(field) AS j, chain, avg(abs(value)) AS m FROM draws GROUP BY 1, 2) GROUP BY 1")),
+        "lasso_deviation_variance": Query("i:i j:i variance:f", lambda s, d: M.lasso_deviation_variance(T.pseudo_draws(s, d).select("chain", F.length("field").alias("i"), "j", F.abs("value").alias("value")), 0.3), q("draws", "SELECT i, 0 AS j, 0.09 * avg(m) AS variance FROM (SELECT length(field) AS i, chain, avg(abs(value)) AS m FROM draws GROUP BY 1, 2) GROUP BY 1")),
+        "runs_agree": Query(
+            "field z:f",
+            lambda s, d: M.runs_agree(T.pseudo_draws(s, d).filter("chain < 2"), T.pseudo_draws(s, d).filter("chain >= 2")),
+            q("draws", "SELECT field, abs(a.m - b.m) / sqrt(a.v / ea.ess + b.v / eb.ess) AS z FROM (SELECT field, avg(value) AS m, var_samp(value) AS v FROM ra GROUP BY 1) a JOIN (SELECT field, avg(value) AS m, var_samp(value) AS v FROM rz GROUP BY 1) b USING (field) JOIN ea USING (field) JOIN eb USING (field)", f"ra AS (SELECT * FROM draws WHERE chain < 2), rz AS (SELECT * FROM draws WHERE chain >= 2), {ess_sql('ra', 'value', 'ea')}, {ess_sql('rz', 'value', 'eb')}"),
+        ),
         "agreement_z": Query(
             "field z:f",
             lambda s, d: M.agreement_z(T.pseudo_draws(s, d).groupBy("field", "i", "j").agg(*(f(F.when(F.col("chain") < 2 if k == "a" else F.col("chain") >= 2, F.col("value"))).alias(f"{n}{k}") for k in "ab" for n, f in (("m", F.avg), ("v", F.var_samp), ("e", F.count))))),
             q("draws", "SELECT field, abs(avg(value) FILTER (chain < 2) - avg(value) FILTER (chain >= 2)) / sqrt(var_samp(value) FILTER (chain < 2) / count(*) FILTER (chain < 2) + var_samp(value) FILTER (chain >= 2) / count(*) FILTER (chain >= 2)) AS z FROM draws GROUP BY 1"),
         ),
         "budget_validation": Query(
-            "field median_z:f max_z:f corr:f",
-            lambda s, d: M.budget_validation(*(T.pseudo_means(s, d).filter(F.col("setting") == k).select(F.lit("b").alias("field"), F.lit(0).alias("i"), "j", "mean", F.lit(0.05).alias("se")) for k in (0, 1))),
-            q("means", "SELECT 'b' AS field, median(abs(x.mean - y.mean) / 0.05) AS median_z, max(abs(x.mean - y.mean) / 0.05) AS max_z, corr(x.mean, y.mean) AS corr FROM means x JOIN means y USING (j) WHERE x.setting = 0 AND y.setting = 1"),
+            "field median_z:f max_z:f within_3:f corr:f",
+            lambda s, d: budget_validation(T.pseudo_draws(s, d)),
+            # the error is sd sqrt(1 / draws + 1 / the full run's effective size)
+            q("draws", "SELECT 'b' AS field, median(z) AS median_z, max(z) AS max_z, avg((z < 3)::INT) AS within_3, corr(x, y) AS corr FROM (SELECT *, abs(x - y) / (sd * sqrt(1.0 / n + 1.0 / 300)) AS z FROM (SELECT field, avg(value) FILTER (draw < 50) AS x, stddev_pop(value) FILTER (draw < 50) AS sd, count(*) FILTER (draw < 50) AS n, avg(value) AS y FROM draws GROUP BY 1))"),
         ),
         "trace_elements": Query("field chain:i draw:i value:f", lambda s, d: M.traces(T.pseudo_draws(s, d), "click", 1), q("draws", "SELECT field, chain, draw, value FROM draws WHERE field = 'click'")),
         "ridge_backtest": Query("universe asset t:i t_refit:i predicted:f realised:f benchmark:f", ols_backtest),

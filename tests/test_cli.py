@@ -7,7 +7,7 @@ from fathomgrid.plans import dataset
 from fathomgrid.sources import files, stores
 
 
-def raw_files(folder, months=130):
+def raw_files(folder, months=180):
     rng = np.random.default_rng(0)
     when = [f"{1970 + m // 12}{m % 12 + 1:02d}" for m in range(months)]
     cell = lambda n, sd=3.0: ",".join(f"{x:7.2f}" for x in rng.normal(0.5, sd, n))
@@ -28,10 +28,10 @@ def test_from_raw_files_to_statistics(spark, tmp_path, monkeypatch, capsys):
     panel = stores.load_panel(spark, f"{store}/size_bm_25")
     row = panel.first()
     assert len(row["f"]) == 144 == len(stores.load_predictor_names(spark, f"{store}/size_bm_25", "size_bm_25", 144)) and row["f"][0] == 1.0
-    assert panel.count() == 3 * (130 - 1 - 30) and len(dataset.MACRO) + len(dataset.FACTORS) == 15 and len(OWN) == 8
+    assert panel.count() == 3 * (180 - 1 - 30) and len(dataset.MACRO) + len(dataset.FACTORS) == 15 and len(OWN) == 8
     for u in ("size_bm_25", "size_op_25"):
         for model in ("ridge", "gaussian"):
-            cli.main(["backtest", "--store", store, "--universe", u, "--model", model, "--start", "72", "--draws", "6", "--burn", "2", "--skip-lookahead"])
+            cli.main(["backtest", "--store", store, "--universe", u, "--model", model, "--start", "120", "--draws", "6", "--burn", "2", "--skip-lookahead"])
     assert '"r2"' in capsys.readouterr().out
     cli.main(["cross-sort", "--store", store, "--model", "ridge"])
     cli.main(["sharpe-test", "--store", store, "--pairs", "ridge:gaussian", "--replicates", "49"])
@@ -41,5 +41,15 @@ def test_from_raw_files_to_statistics(spark, tmp_path, monkeypatch, capsys):
     cli.main(["fit", "--store", store, "--universe", "size_bm_25", "--model", "gaussian", "--chains", "2", "--draws", "12", "--burn", "2"])
     cli.main(["diagnose", "--store", store, "--universe", "size_bm_25", "--model", "gaussian", "--fields", "b_bar"])
     assert "max_rhat" in capsys.readouterr().out
+    fit = ["fit", "--store", store, "--universe", "size_bm_25", "--chains", "2", "--draws", "10", "--burn", "2", "--model"]
+    cli.main([*fit, "gaussian", "--setting", "given", "--prior", "default", "--sequential"])
+    cli.main([*fit, "regularised", "--p0", "5", "--nu", "5", "--slab-scale", "0.3", "--n-choice", "NT"])
+    cli.main(["diagnose", "--store", store, "--universe", "size_bm_25", "--model", "regularised", "--setting", "main", "gaussian:main", "gaussian:given", "--fields", "b_bar", "tau", "--p0", "5", "--top", "4"])
+    text = capsys.readouterr().out
+    for name in ("median_overlap", "n_settings", "prior_excluded", "mean_ratio", "interaction", "rho"):
+        assert name in text
+    for bad in (["lasso", "--p0", "5"], ["lasso", "--sequential"]):
+        with pytest.raises(SystemExit):
+            cli.main([*fit, *bad])
     with pytest.raises(SystemExit):
         cli.main(["backtest"])

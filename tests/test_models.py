@@ -145,6 +145,24 @@ def test_wide_slab_is_the_plain_horseshoe():
     assert samplers.binding_summary(reg)["binding"] < 0.02
 
 
+def test_slice_step_samples_its_target():
+    rng = np.random.default_rng(5)
+    x, kept = np.full(4000, 40.0), []
+    for _ in range(30):
+        x = samplers.slice_step(lambda z: -0.5 * z * z, x, rng)
+        kept.append(x)
+    assert abs(kept[-1].mean()) < 0.06 and kept[-1].std() == pytest.approx(1, abs=0.04)
+    with pytest.raises(RuntimeError):
+        samplers.slice_step(lambda z: np.zeros(z.shape), np.zeros(2), rng)
+
+
+def test_budget_of_a_backtest():
+    s = data(4, 3, 200, seed=9)
+    full = fitters.sampled("gaussian", draws=900, burn=100, seed=1)(s.r, s.f).fields["B"].mean(axis=0)
+    got = fitters.validate_budget(s.r, s.f, full, 800.0, draws=300, burn=100)
+    assert got["max_z"] < 6 and got["within_3"] > 0.8 and got["corr"] > 0.99 and got["kept"] == 200
+
+
 def test_sampler_errors():
     s = data()
     p = priors.rescaled_prior(s.r, s.f)
@@ -183,6 +201,38 @@ def test_simulated_panels(spark):
         simulate.simulate(2, 2, 5, deviations="other")
 
 
+def test_sigma_reference_is_the_formula():
+    s = data(3, 4, 60)
+    low, scale = sur.sigma_reference(s.r, s.f)
+    e = sur.residuals(s.r, s.f, priors.least_squares(s.r, s.f))
+    e = e - e.mean(axis=1, keepdims=True)
+    np.testing.assert_allclose(low @ low.T, e @ e.T / 59, atol=1e-12)
+    want = [1 / math.sqrt(120) if i == j else low[j, j] / math.sqrt(60) for i in range(3) for j in range(i + 1)]
+    np.testing.assert_allclose(scale, want, atol=1e-12)
+
+
+def test_gradients_in_sigma():
+    s = data(3, 2, 25)
+    x = sur.packed(np.linalg.cholesky(s.sigma))
+    scale = simulate.random_covariance(3, np.random.default_rng(4))
+    f = lambda v: sur.log_likelihood(s.r, s.f, s.b, sur.unpacked(v, 3) @ sur.unpacked(v, 3).T)
+    g = lambda v: sur.packed_inverse_wishart_logpdf(v, 9.0, scale)
+    steps = 1e-6 * np.eye(6)
+    low = sur.unpacked(x, 3)
+    np.testing.assert_allclose(sur.packed_gradient(low, sur.log_likelihood_sigma_gradient(s.r, s.f, s.b, low @ low.T)), [(f(x + h) - f(x - h)) / 2e-6 for h in steps], rtol=1e-4, atol=1e-4)
+    np.testing.assert_allclose(sur.packed_inverse_wishart_gradient(x, 9.0, scale), [(g(x + h) - g(x - h)) / 2e-6 for h in steps], rtol=1e-4, atol=1e-4)
+
+
+def test_given_truth_is_used():
+    cov, sigma, b_bar = np.diag([4.0, 1e-12]), np.diag([1.0, 2.0, 3.0]), np.array([5.0, -2.0])
+    s = simulate.simulate(3, 2, 50, seed=1, deviations="sparse", b_bar=b_bar, dev_cov=cov, sigma=sigma)
+    assert (s.sigma == sigma).all() and (s.b_bar == b_bar).all() and np.abs(s.theta[:, 1]).max() < 1e-5
+    with pytest.raises(ValueError):
+        simulate.simulate(3, 2, 50, sigma=np.eye(2))
+    x = simulate.random_covariance(4, np.random.default_rng(0), extra=100_000)
+    np.testing.assert_allclose(x, np.eye(4), atol=0.05)
+
+
 def test_eigen_route_and_reference():
     s = data(3, 2, 50)
     assert sur.eigen_route(s.f, s.sigma) > 0

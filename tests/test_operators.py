@@ -192,6 +192,54 @@ def test_effective_size(rho):
     assert np.isnan(M.effective_size(np.ones((4, 100)))) and np.isnan(M.effective_size(x[:, :6]))
 
 
+def test_size_of_one_chain():
+    x = ar1(np.random.default_rng(11), 0.6, (1, 20_000))[0]
+    assert M.single_effective_size(x) == pytest.approx(20_000 * 0.4 / 1.6, rel=0.2)
+    assert M.single_effective_size(np.ones(50)) == 50.0
+    x = x[:400]
+    c, rho = x - x.mean(), []
+    for k in range(1, 399):  # the rule as stated, lag by lag
+        rho.append(c[k:] @ c[:-k] / (c @ c))
+        if k % 2 == 0 and rho[-1] + rho[-2] < 0:
+            break
+    assert M.single_effective_size(x) == pytest.approx(400 / max(1, 1 + 2 * sum(rho[:-2])))
+
+
+def test_deviation_variances(spark):
+    df = spark.createDataFrame([(c, 0, 0, float(t), float(v)) for c, rows in enumerate([[(1, 2), (3, 4)], [(5, 8)]]) for t, v in rows], "chain int, i int, j int, tau double, lam double")
+    assert M.deviation_variance(df).first()["variance"] == pytest.approx((3.5 * 5.5) ** 2)
+    values = df.withColumn("value", F.col("lam"))
+    assert M.gaussian_deviation_variance(values).first()["variance"] == pytest.approx(5.5)
+    assert M.lasso_deviation_variance(values, 2.0).first()["variance"] == pytest.approx(22.0)
+
+
+def test_budget_validation_is_the_formula(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6, 40))
+    ref = x.mean(axis=1) + rng.normal(0, 0.3, 6)
+    short = spark.createDataFrame([("B", 0, j, 0, d, float(v)) for j, row in enumerate(x) for d, v in enumerate(row)], "field string, i int, j int, chain int, draw int, value double")
+    got = M.budget_validation(short, spark.createDataFrame([("B", 0, j, float(v)) for j, v in enumerate(ref)], "field string, i int, j int, mean double"), 500.0).first()
+    z = np.abs(x.mean(axis=1) - ref) / (x.std(axis=1) * np.sqrt(1 / 40 + 1 / 500))
+    assert got["max_z"] == pytest.approx(z.max()) and got["median_z"] == pytest.approx(np.median(z)) and got["within_3"] == pytest.approx((z < 3).mean())
+    assert got["corr"] == pytest.approx(np.corrcoef(x.mean(axis=1), ref)[0, 1])
+
+
+def test_coefficients_show_lookahead(spark):
+    s, p = small_panel(spark)
+    peek = lambda q: spark.createDataFrame([(t, "a0", [float(q.agg(F.sum("r_next")).first()[0])]) for t in (30, 40, 50)], "t_refit int, asset string, b array<double>")
+    assert B.lookahead_coefficients(peek, p, 40).first()["before"] > 0
+    fair = B.lookahead_coefficients(lambda q: B.coefficients(q, fitters.ols(), 30, 10), p, 40).first()
+    assert fair["before"] == 0 and fair["after"] > 0
+
+
+def test_divergence_positions_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x, bad = rng.integers(0, 40, 500) / 7.0, rng.random(500) < 0.1
+    df = spark.createDataFrame([(float(v), bool(d)) for v, d in zip(x, bad)], "value double, diverging boolean")
+    got = sorted((r["x"], r["position"]) for r in M.divergence_positions(df, "value").collect())
+    np.testing.assert_allclose(got, sorted((v, (x[~bad] < v).mean()) for v in x[bad]))
+
+
 def test_diagnosed(spark):
     d = M.diagnosed(draws_of(spark, ar1(np.random.default_rng(2), 0.5, (4, 1000))))
     r = d.first()
