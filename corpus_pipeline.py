@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomgrid.llm import contamination, jaccard, language, lines
 from fathomgrid.llm import queries as Q
-from fathomgrid.llm.common import bounded, checked, gathered, materialize, table
+from fathomgrid.llm.common import bounded, checked, discard, gathered, materialize, table
 
 #: SQL can't express the first stage; tests hold each stage against a plain computation.
 ORACLE_SQL = None
@@ -68,7 +68,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written as Parquet and reread as the next one's documents."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+            before, docs = docs, materialize(out)
+            if i:
+                discard(before)
+    return out
