@@ -27,6 +27,8 @@ from .testpanel import EVERY, START, with_tables
 DIGITS = 6
 #: First refit of the fitters' backtests.
 FIRST_REFIT = 24
+#: First refits and months between refits that refit_schedules compares.
+SCHEDULES = [(START, EVERY), (START + EVERY, 5)]
 Run = Callable[[SparkSession, str], DataFrame]
 #: Normal CDF and quantile in SQL, with the constants of functions.scalar.
 E0, E1, E2, E3, E4 = S.ERF
@@ -241,6 +243,44 @@ def ols_backtest(spark: SparkSession, d: str) -> DataFrame:
     return fitted(spark, d, ridge(5.0))
 
 
+def by_universe(panel: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run on each universe's rows by itself, told apart by that column."""
+    out = None
+    for r in panel.select("universe").distinct().orderBy("universe").collect():
+        one = run(panel.filter(F.col("universe") == r[0]).drop("universe")).withColumn("universe", F.lit(r[0]))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def simple_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The responses with an intercept and the last return as predictors."""
+    return T.responses(spark, d).withColumn("f", F.array(F.lit(1.0), "ret"))
+
+
+def refit_schedules(spark: SparkSession, d: str) -> DataFrame:
+    from fathomgrid.models.fitters import ols
+
+    return by_universe(simple_panel(spark, d), lambda p: B.refit_schedules(p, ols(), SCHEDULES))
+
+
+def pooled_scale(spark: SparkSession, d: str) -> DataFrame:
+    from fathomgrid.models.priors import pooled_scale
+
+    def one(p: DataFrame) -> DataFrame:
+        _, r, f = B.dense(p)
+        return spark.createDataFrame([(pooled_scale(r, f)[0],)], "sd double")
+
+    return by_universe(simple_panel(spark, d), one)
+
+
+def predictive_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of the Gaussian model's intervals by universe, with its whole budget; refits every two years."""
+    from fathomgrid.models.fitters import interval_fitter
+
+    rows = by_universe(simple_panel(spark, d), lambda p: B.intervals(p, interval_fitter("gaussian"), START, 2 * EVERY))
+    return E.coverage(rows)
+
+
 def gibbs_backtest(spark: SparkSession, d: str) -> DataFrame:
     from fathomgrid.models.fitters import fitter
 
@@ -538,6 +578,20 @@ def all_queries() -> dict[str, Query]:
             q("draws", "SELECT 'b' AS field, median(z) AS median_z, max(z) AS max_z, avg((z < 3)::INT) AS within_3, corr(x, y) AS corr FROM (SELECT *, abs(x - y) / (sd * sqrt(1.0 / n + 1.0 / 300)) AS z FROM (SELECT field, avg(value) FILTER (draw < 50) AS x, stddev_pop(value) FILTER (draw < 50) AS sd, count(*) FILTER (draw < 50) AS n, avg(value) AS y FROM draws GROUP BY 1))"),
         ),
         "trace_elements": Query("field chain:i draw:i value:f", lambda s, d: M.traces(T.pseudo_draws(s, d), "click", 1), q("draws", "SELECT field, chain, draw, value FROM draws WHERE field = 'click'")),
+        "factor_join": Query("month:d disc:f tax:f mean_ret:f", lambda s, d: P.join_factors(T.common(s, d).select("month", "disc", "tax"), D.market(T.returns(s, d).filter("universe = 'type'")).select("month", "mean_ret")), q("common returns", "SELECT month, disc, tax, mean_ret FROM common JOIN (SELECT month, avg(ret) AS mean_ret FROM returns WHERE universe = 'type' GROUP BY 1) USING (month)")),
+        "ar1_residuals": Query("universe asset t:i e:f", lambda s, d: B.ar1_fits(T.responses(s, d), START, EVERY).select("universe", "asset", "t", S.residual(F.col("realised"), F.array(F.lit(1.0), "ret"), F.array("a", "b")).alias("e")), q("forecasts", "SELECT universe, asset, t, realised - predicted AS e FROM forecasts")),
+        "clean_numbers": Query(
+            "id:i x:f",
+            lambda s, d: s.range(200).select("id", S.clean_number(F.when(F.col("id") % 7 == 0, " NaN").when(F.col("id") % 11 == 0, "n/a").otherwise(F.concat(F.lit("  "), F.format_number(F.col("id") * 12_345.25, 2), F.lit(" ")))).alias("x")),
+            "\n--\nSELECT id, CASE WHEN id % 7 <> 0 AND id % 11 <> 0 THEN id * 12345.25 END AS x FROM (SELECT unnest(range(200)) AS id)",
+        ),
+        "pooled_scale": Query("universe sd:f", pooled_scale, q("responses", "SELECT universe, sqrt(sum(sse) / (count(*) * (any_value(n) - 2))) AS sd FROM (SELECT universe, asset, count(*) AS n, regr_syy(r_next, ret) - pow(regr_sxy(r_next, ret), 2) / regr_sxx(r_next, ret) AS sse FROM responses GROUP BY 1, 2) GROUP BY 1")),
+        "refit_schedules": Query(
+            "universe start:i refit_every:i asset t:i t_refit:i predicted:f benchmark:f",
+            refit_schedules,
+            q("forecasts", "SELECT k.universe, start, refit_every, k.asset, k.t, k.t_refit, p.a + p.b * k.ret AS predicted, k.benchmark FROM sk k JOIN prior p ON k.universe = p.universe AND k.asset = p.asset AND k.t_refit = p.t", f"sk AS (SELECT *, start + ((t - start) // refit_every) * refit_every AS t_refit FROM prior, (VALUES {', '.join(f'({a}, {b})' for a, b in SCHEDULES)}) v(start, refit_every) WHERE t >= start)"),
+        ),
+        "predictive_intervals": Query("universe n:i cover_coef:f cover_full:f width_coef:f width_full:f width_ratio:f se:f", predictive_intervals),
         "ridge_backtest": Query("universe asset t:i t_refit:i predicted:f realised:f benchmark:f", ols_backtest),
         "gibbs_backtest": Query("universe asset t:i t_refit:i predicted:f realised:f benchmark:f", gibbs_backtest),
     }
