@@ -61,18 +61,18 @@ def likelihood_terms(data: Data, sigma: np.ndarray) -> tuple[np.ndarray, np.ndar
 def draw_coefficients(data: Data, state: State, precisions: np.ndarray, rng: np.random.Generator, diagonal: bool = False) -> None:
     """(B, b_bar) in one block, deviations having precision D_i^-1: one (K, K) matrix, or diagonals (N, K)."""
     n, k = data.n, data.k
+    inverse = spd_inverse(state.sigma)
+    rhs = np.einsum("ij,ikj->ik", inverse, data.fr).ravel()
     p = np.zeros(((n + 1) * k, (n + 1) * k))
-    like, rhs = likelihood_terms(data, state.sigma)
-    p[: n * k, : n * k] = like
-    last = slice(n * k, (n + 1) * k)
+    blocks = p.reshape(n + 1, k, n + 1, k)  # the same numbers; the lower triangle is enough
     total = data.mean_precision.copy()
     for i in range(n):
         d = np.diag(precisions[i]) if diagonal else precisions
-        own = slice(i * k, (i + 1) * k)
-        p[own, own] += d
-        p[own, last] = p[last, own] = -d
+        np.multiply(inverse[i, None, : i + 1, None], data.gram[i, :, : i + 1], out=blocks[i, :, : i + 1])
+        blocks[i, :, i] += d
+        blocks[n, :, i] = -d
         total += d
-    p[last, last] = total
+    blocks[n, :, n] = total
     x = precision_draw(p, np.concatenate([rhs, data.mean_precision @ data.prior.mean]), rng)
     state.b, state.b_bar = x[: n * k].reshape(n, k), x[n * k :]
 

@@ -51,9 +51,31 @@ def cross_products(f: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def precision_draw(precision: np.ndarray, rhs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A draw from N(P^-1 rhs, P^-1)."""
+    """A draw from N(P^-1 rhs, P^-1); only the lower triangle of P is read."""
     low = np.linalg.cholesky(precision)
-    return np.linalg.solve(low.T, np.linalg.solve(low, rhs) + rng.standard_normal(len(rhs)))
+    return solve_transposed(low, solve_lower(low, rhs) + rng.standard_normal(len(rhs)))
+
+
+#: Rows of a triangle that are solved at a time; what stands beside them is a product.
+BLOCK = 64
+
+
+def solve_lower(low: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """L^-1 x of a lower triangle, without factoring it again."""
+    out = np.array(x, float)
+    for a in range(0, len(low), BLOCK):
+        b = a + BLOCK
+        out[a:b] = np.linalg.solve(low[a:b, a:b], out[a:b] - low[a:b, :a] @ out[:a])
+    return out
+
+
+def solve_transposed(low: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """L'^-1 x."""
+    out = np.array(x, float)
+    for a in reversed(range(0, len(low), BLOCK)):
+        b = a + BLOCK
+        out[a:b] = np.linalg.solve(low[a:b, a:b].T, out[a:b] - low[b:, a:b].T @ out[b:])
+    return out
 
 
 def inverse_wishart(df: float, scale: np.ndarray, rng: np.random.Generator) -> np.ndarray:

@@ -24,6 +24,15 @@ def test_cross_products_and_precision_equal_brute_force():
     assert g.shape == (3, 4, 3, 4)
 
 
+@pytest.mark.parametrize("n", [1, 63, 64, 200])
+def test_triangles(n):
+    rng = np.random.default_rng(n)
+    low = np.tril(rng.normal(size=(n, n))) + n * np.eye(n)
+    x = rng.normal(size=n)
+    np.testing.assert_allclose(low @ sur.solve_lower(low, x), x, atol=1e-9)
+    np.testing.assert_allclose(low.T @ sur.solve_transposed(low, x), x, atol=1e-9)
+
+
 def test_likelihood_and_gradient():
     s = data(3, 2, 15)
     value, grad = sur.log_likelihood_gradient(s.r, s.f, s.b, s.sigma)
