@@ -14,25 +14,26 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if its counted rows times its row width stay below this.
 BROADCAST_BYTES = 32 << 20
-#: Bytes of files that a task reads at least, if all cores then have two tasks.
-SPLIT_BYTES = 32 << 20
+#: Bytes of files that a task reads at least, if all cores then have a task.
+SPLIT_BYTES = 64 << 20
 #: Bytes of a file of a small table, and what such a table has at most.
-FILE_BYTES, SMALL_BYTES = 32 << 20, 256 << 20
+FILE_BYTES, SMALL_BYTES = 16 << 20, 256 << 20
 #: Rows of one key that a task ranks.
 RANKED = 20_000
 #: Python works on slices of at most so many bytes of text (or one longer text).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-#: Rows that Spark sends a Python worker at a time, and that it reads of a Parquet file.
-BATCH_ROWS, READ_ROWS = 1_000, 512
+#: Rows and bytes that Spark sends a Python worker at a time, and rows that it reads of a Parquet file.
+BATCH_ROWS, BATCH_BYTES, READ_ROWS = 1_000, 2 << 20, 512
 
 
 def bounded(df: DataFrame) -> DataFrame:
     """df in a session with small batches, so that neither readers nor either side of a Python stage hold many texts."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     return df
 
@@ -43,11 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def gathered(df: DataFrame) -> DataFrame:
-    """df in no more partitions than its files have SPLIT_BYTES (but two for each core): many tiny files are a burden.
+    """df in no more partitions than its files have SPLIT_BYTES (but one for each core): many tiny files are a burden.
 
     Files of the usual size are read as they are.
     """
-    return df.coalesce(min(1 << 30, max(-(-planned_bytes(df) // SPLIT_BYTES), 2 * df.sparkSession.sparkContext.defaultParallelism)))
+    return df.coalesce(min(1 << 30, max(-(-planned_bytes(df) // SPLIT_BYTES), df.sparkSession.sparkContext.defaultParallelism)))
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -92,6 +93,11 @@ def small_files(size: int) -> int:
     return max(1, -(-size // FILE_BYTES)) if size <= SMALL_BYTES else 0
 
 
+def fewer(files: int) -> int:
+    """The same of a table of a few narrow rows for each row of one with so many files."""
+    return min(files, max(1, files // 4))
+
+
 def checked(small: DataFrame, row_bytes: int) -> DataFrame:
     """small with a broadcast hint if its counted size is below BROADCAST_BYTES, else as it is (a shuffled join)."""
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small

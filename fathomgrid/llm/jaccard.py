@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checked, discard, materialize, slices, small_files, text_bytes
+from .common import as_bytes, checked, discard, fewer, materialize, slices, small_files, text_bytes
 from .components import components
 from .textops import LOWER, inside, mix, owner, windows, words
 
 #: Keys in a shard (one task's unit), keys that a task gathers before it sends them, share of segments with deletions.
-SHARD_KEYS, FLUSH, RESERVE = 1 << 19, 1 << 19, 0.08
+SHARD_KEYS, FLUSH, RESERVE = 1 << 19, 1 << 18, 0.08
 #: A key with more sets is costly: its sets may give it up as far as their slack goes.
 COSTLY = 8
 #: Sets, and shingles of sets, of one key or family that make a block: a task compares two blocks at a time.
@@ -305,24 +305,24 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
     heavy = costly.filter(F.col("flags").bitwiseAND(DELETED) == 0).withColumn("_given", F.sum(weight).over(chosen)).filter(F.col("_given") > slack)
     # deletions of a segment follow no single key, so they stay
     heavy = materialize(heavy.select("key", "node").union(costly.filter(F.col("flags").bitwiseAND(DELETED) > 0).select("key", "node")).distinct(), files)
-    centres = materialize(heavy.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1"), files)
+    centres = materialize(heavy.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1"), fewer(files))
     joined = heavy.join(checked(centres, 24), "key")
     members = joined.groupBy("key").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).cast("string").alias("m"), F.first("n").alias("n")).filter("n > 2")
-    distinct = materialize(members.groupBy("m", "n").agg(F.min("key").alias("key")).select("key"), files)
+    distinct = materialize(members.groupBy("m", "n").agg(F.min("key").alias("key")).select("key"), fewer(files))
     large = heavy.join(checked(distinct, 8), "key", "left_semi").select(F.col("key").alias("a"), F.col("node").alias("b"))
     near = rows.filter("kind = 0").select("a", "b").union(joined.filter("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))).distinct()
     groups = materialize(rows.filter("kind = 1").select("a", "b").union(large).distinct(), files)
-    near = materialize(_plausible(near, classes, percent), files, True)
-    links = materialize(verified(source, near, n, percent, id_col, text_col, files), files, True)
+    near = materialize(_plausible(near, classes, percent), fewer(files), True)
+    links = materialize(verified(source, near, n, percent, id_col, text_col, files), fewer(files), True)
     # keys whose sets lie in several components: who may still have a link there, in groups that such links connect
     named = materialize(_components(classes, links, files), files)
     sides = groups.join(named.filter(F.col("rep").isNotNull()).select(F.col("d").alias("b"), "rep", "size", "x", "c"), "b")
-    open_keys = materialize(sides.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("a", "n"), files)
+    open_keys = materialize(sides.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("a", "n"), fewer(files))
     discard(rows, heavy, centres, distinct, near)
-    maybe = materialize(_across(sides.join(checked(open_keys, 16), "a").select(F.col("a").alias("unit"), "n", "rep", "c", "size", "x"), percent, kind), files, True)
+    maybe = materialize(_across(sides.join(checked(open_keys, 16), "a").select(F.col("a").alias("unit"), "n", "rep", "c", "size", "x"), percent, kind), fewer(files), True)
     if not maybe.isEmpty():
-        family = materialize(components(maybe, files).join(named.groupBy(F.col("rep").alias("node"), "c").agg(F.sum("size").alias("size")), "node"), files)
-        every = materialize(links.union(_within(source, family, n, percent, id_col, text_col, files)), files, True)
+        family = materialize(components(maybe, fewer(files)).join(named.groupBy(F.col("rep").alias("node"), "c").agg(F.sum("size").alias("size")), "node"), fewer(files))
+        every = materialize(links.union(_within(source, family, n, percent, id_col, text_col, files)), fewer(files), True)
         discard(named, links, family)
         links, named = every, materialize(_components(classes, every, files), files)
     discard(groups, open_keys, maybe, classes, links)
@@ -335,7 +335,7 @@ def _components(classes: DataFrame, links: DataFrame, files: int) -> DataFrame:
     """classes with the least id of their component (c)."""
     if links.isEmpty():
         return classes.withColumn("c", F.col("rep"))
-    linked = components(links, files)
+    linked = components(links, fewer(files))
     return classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
 
 
@@ -451,7 +451,7 @@ def _within(source: DataFrame, family: DataFrame, n: int, percent: int, id_col:
     kind = source.schema[id_col].dataType.simpleString()
     wide = family.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_s"))
     blocks = F.ceil(F.greatest(F.col("_n") / F.lit(WIDE), F.col("_s") / F.lit(WIDE_SHINGLES)))
-    sized = materialize(family.join(wide, "component"), files)
+    sized = materialize(family.join(wide, "component"), fewer(files))
     sets = _sets(source, sized.select(F.col("node").alias("id")), n, id_col, text_col, files)
     members = _blocked(sized.select(F.col("component").alias("unit"), F.col("node").alias("rep"), "c", "size", blocks.alias("_blocks")), F.col("_blocks"))
     m = members.join(sets.withColumnRenamed("id", "rep"), "rep").select("unit", "rep", "c", "side", "x")
@@ -507,7 +507,7 @@ def _sets(source: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str,
                 d = digests(doc, value, hi - lo)[1]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(d.view(np.int64)), pa.array([value[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())], ["id", "d", "x"])
 
-    texts = source.select(F.col(id_col).alias("id"), text_col).join(checked(materialize(ids.distinct(), files), 8), "id", "left_semi")
+    texts = source.select(F.col(id_col).alias("id"), text_col).join(checked(materialize(ids.distinct(), fewer(files)), 8), "id", "left_semi")
     return texts.mapInArrow(blobs, f"id {kind}, d long, x binary").filter(F.length("x") > 0).dropDuplicates(["id", "d"]).drop("d")
 
 
@@ -530,7 +530,7 @@ def verified(source: DataFrame, pairs: DataFrame, n: int, percent: int, id_col:
 
     held = _sets(source, pairs.select(F.col("u").alias("id")).union(pairs.select("v")), n, id_col, text_col, files)
     ends = pairs.select(F.col("u").alias("id"), F.lit("u").alias("end")).union(pairs.select("v", F.lit("v")))
-    busy = materialize(ends.groupBy("id", "end").count().filter(F.col("count") > PAIRS).select("id", "end", F.ceil(F.col("count") / PAIRS).cast("int").alias("k")), files)
+    busy = materialize(ends.groupBy("id", "end").count().filter(F.col("count") > PAIRS).select("id", "end", F.ceil(F.col("count") / PAIRS).cast("int").alias("k")), fewer(files))
 
     def spread(df: DataFrame, here: str, there: str, blob: str) -> DataFrame:
         many = checked(busy.filter(F.col("end") == here).select(F.col("id").alias(here), "k"), 12)

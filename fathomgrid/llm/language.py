@@ -231,8 +231,9 @@ class Scorer:
         if len(self.rows) > MEMO:
             self.rows.clear()
             self.table = self.table[:0]
-        found = [WORD.findall(t.decode().lower()) for t in texts]
-        out = self._rows(found)
+        out = []
+        for lo, hi in slices(texts):
+            out += self._rows([WORD.findall(t.decode().lower()) for t in texts[lo:hi]])
         odd = [i for i, r in enumerate(out) if len(r) and r.min() < 0]
         for i, r in zip(odd, self._rows([words(texts[i].decode()) for i in odd])):
             out[i] = r

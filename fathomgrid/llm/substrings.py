@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import SLICE_BYTES, text_bytes
 from .textops import covered, inside, mix, owner, windows, words
 
 #: Bytes of text in a block (one task's unit), windows in a shard of the sketch, cells for each window in each row.
@@ -41,7 +41,7 @@ class Block:
         parts, sizes = [], []
         start = size = 0
         for i, text in enumerate([*self.texts, b""]):
-            if i == len(self.texts) or (i > start and size + len(text) > 1 << 20):
+            if i == len(self.texts) or (i > start and size + len(text) > SLICE_BYTES):
                 got, bounds = words(self.texts[start:i])
                 parts.append(got)
                 sizes.append(np.diff(bounds))
@@ -185,7 +185,7 @@ def words_of(b: Block) -> np.ndarray:
     parts = []
     start = size = 0
     for i, text in enumerate([*b.texts, b""]):
-        if i == len(b.texts) or (i > start and size + len(text) > 1 << 20):
+        if i == len(b.texts) or (i > start and size + len(text) > SLICE_BYTES):
             parts.append(words(b.texts[start:i], 1)[0])
             start, size = i, 0
         size += len(text)

@@ -12,6 +12,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower-cases A-Z and turns everything outside [0-9a-z\x80-] into a space.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Powers of a base that a worker keeps; more are made when needed.
+MOST_POWERS = 1 << 19
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -23,7 +25,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         got = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size <= 1 << 22:
+        if size <= MOST_POWERS:
             _powers[base] = got
     return got
 
@@ -51,7 +53,7 @@ def _hashed(buffer: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray]:
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def words(texts: list[bytes], lane: int = 0, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[bytes], lane: int = 0, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and where each text's words begin (len(texts) + 1 places).
 
     A text longer than piece is hashed in pieces cut at white space, so that memory stays bounded by its words.
