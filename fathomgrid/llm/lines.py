@@ -12,8 +12,12 @@ SALTS = 64
 
 
 def _mark(line: Column) -> Column:
-    """128 bits of a line."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+    """128 bits of a line, as text: arrays of text are compared by hashing."""
+    return _name(F.xxhash64(line), F.xxhash64(F.lit(1), line))
+
+
+def _name(a: Column, b: Column) -> Column:
+    return F.concat(F.hex(a), F.lit("."), F.hex(b))
 
 
 def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 5, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -32,8 +36,8 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 5, id
     found = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).filter(F.trim("line") != "")
     counts = found.groupBy("host", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     frequent = counts.join(totals, "host").filter(F.col("n") > ratio * F.col("pages"))
-    lists = materialize(frequent.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("marks")))
-    weight = lists.agg(F.coalesce(F.sum(F.size("marks") * 24 + 64), F.lit(0)).alias("n")).first()["n"]
+    lists = materialize(frequent.groupBy("host").agg(F.collect_list(_name(F.col("a"), F.col("b"))).alias("marks")))
+    weight = lists.agg(F.coalesce(F.sum(F.size("marks") * 64 + 64), F.lit(0)).alias("n")).first()["n"]
     rows = rows.withColumn("host", host)
     if weight <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(lists), "host", "left")
@@ -41,8 +45,11 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 5, id
         spread = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", salted(f"row.`{id_col}`", SALTS)).join(spread, ["host", "salt"], "left")
     lines = F.split(F.col(f"row.`{text_col}`"), "\n", -1)
-    kept = F.when(F.col("marks").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("marks"), _mark(x))))
-    out = joined.select("row", lines.alias("lines"), kept.alias("kept"))
+    # a page's own marks among the host's, found by hashing both; then each line is looked up in those few
+    here = F.array_intersect(F.transform(lines, _mark), F.col("marks"))
+    out = joined.select("row", lines.alias("lines"), F.when(F.col("marks").isNotNull(), here).alias("marks"))
+    kept = F.when(F.coalesce(F.size("marks") <= 0, F.lit(True)), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("marks"), _mark(x))))
+    out = out.select("row", "lines", kept.alias("kept"))
     return out.select(
         "row",
         F.when(F.col("lines").isNotNull(), F.array_join("kept", "\n")).alias("kept_text"),
