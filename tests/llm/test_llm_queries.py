@@ -476,7 +476,8 @@ def groups_brute(rows, n, percent):
 
 @pytest.mark.parametrize("seed", [0, 1])
 def test_jaccard_join(spark, monkeypatch, seed):
-    monkeypatch.setattr(jaccard, "WIDE", 16)
+    for name, value in (("WIDE", 16), ("WIDE_SHINGLES", 2_000), ("PAIRS", 4)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = np.random.default_rng(seed)
     rows, i = [], 0
     passage = [f"p{x}" for x in range(60)]
@@ -495,6 +496,36 @@ def test_jaccard_join(spark, monkeypatch, seed):
     assert got == groups_brute(rows, 4, 85)
 
 
+def test_jaccard_join_of_a_large_group(spark):
+    """2,000 near copies, of which many are about as near as the limit, against all pairs."""
+    rng = np.random.default_rng(10)
+    base = [f"b{x}" for x in range(130)]
+    rows = []
+    for i in range(2_000):
+        ws = list(base)
+        for at in rng.integers(0, len(ws), int(rng.integers(1, 7))):
+            ws[at] = f"n{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(ws)))
+    sets, known = [], {}
+    for _, t in rows:
+        ws = t.split()
+        sets.append({known.setdefault(tuple(ws[a : a + 4]), len(known)) for a in range(len(ws) - 3)})
+    held = np.zeros((len(sets), len(known)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, list(s)] = 1
+    common, size = held @ held.T, held.sum(axis=1)
+    linked = 100 * common >= 85 * (size[:, None] + size[None] - common)
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(linked, label[None], len(sets)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    assert 100 < len(np.unique(label)) < 1_900
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (len(s), int(c)) for i, (s, c) in enumerate(zip(sets, label))}
+
+
 def test_jaccard_edges(spark, edge, empty):
     got = {(r["doc_id"], r["component_id"]) for r in jaccard.similar(edge).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8)} <= got
@@ -539,6 +570,14 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_judges_rows_without_id(spark, tmp_path):
+    bad = EDGE[0][1]
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, bad, "en", "s", 1), (None, "clean text of its own", "en", "s", 1), (7, bad, "en", "s", 1), (7, "another clean text", "en", "s", 1), (8, None, None, None, None)]
+    kept = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    assert sorted(r["text"] or "" for r in kept) == ["", "another clean text", "clean text of its own"]
+
+
 def test_pipeline_edges(spark, empty):
     edge = spark.createDataFrame(EDGE, DOCS)
     for docs in (edge, empty):
