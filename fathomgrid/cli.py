@@ -48,8 +48,10 @@ def fit(spark, a):
     """Chains of a model on a whole panel."""
     if a.sequential and a.model != "gaussian":
         raise SystemExit("only the gaussian model has a sequential scan")
+    if a.sampler == "nuts" and a.model not in ("horseshoe", "regularised"):
+        raise SystemExit("NUTS samples the horseshoe and the regularised model")
     _, r, f = B.dense(stores.load_panel(spark, f"{a.store}/{a.universe}"))
-    out = fitters.chains(spark, a.model, r, f, fitters.prior_of(a.model, r, f, **prior_settings(a)), a.chains, a.draws, a.burn, a.seed, blocked=not a.sequential)
+    out = fitters.chains(spark, a.model, r, f, fitters.prior_of(a.model, r, f, **prior_settings(a)), a.chains, a.draws, a.burn, a.seed, a.sampler, **({} if a.sampler == "nuts" else {"blocked": not a.sequential}))
     for name, value in (("setting", a.setting), ("model", a.model), ("universe", a.universe)):
         out = out.withColumn(name, F.lit(value))
     stores.save_draws(out, f"{a.store}/draws")
@@ -67,6 +69,8 @@ def diagnose(spark, a):
     d = every.filter(F.col("field").isin(a.fields))
     M.diagnosis_summary(M.diagnosed(d)).show(100, False)
     M.excluding_zero(M.credible_interval(d)).show(100, False)
+    if not (stats := fitters.sampler_statistics(every)).isEmpty():
+        M.sampler_summary(stats).join(M.energy_fraction(stats), "chain").show(100, False)
     b_bar = every.filter("field = 'b_bar'")
     M.half_split_stability(b_bar, a.repetitions, a.top).show()
     means = None
@@ -184,7 +188,7 @@ def parser() -> argparse.ArgumentParser:
     priors = [("--prior", {"choices": ["default", "rescaled"], "default": None}), real("--target-r2"), real("--lambda-multiplier"), number("--p0", None), ("--n-choice", {"choices": ["T", "NT"], "default": None}), real("--nu"), real("--slab-scale")]
     window = [number("--start", B.START), number("--refit-every", B.REFIT_EVERY), number("--draws", None), number("--burn", None)]
     command(build, ("--universe", {"nargs": "+", "required": True}), *((n, {"required": True}) for n in ("--folder", "--five", "--momentum", "--macro")), ("--drop", {"nargs": "*", "default": []}), number("--stabilisation", dataset.STABILISATION))
-    command(fit, universe, model, setting, seed, number("--chains", 4), number("--draws", 3000), number("--burn", 1000), ("--sequential", {"action": "store_true"}), *priors)
+    command(fit, universe, model, setting, seed, number("--chains", 4), number("--draws", 3000), number("--burn", 1000), ("--sequential", {"action": "store_true"}), ("--sampler", {"choices": ["gibbs", "nuts"], "default": "gibbs"}), *priors)
     command(diagnose, universe, model, ("--setting", {"nargs": "+", "default": ["main"]}), number("--top", 20), number("--repetitions", 40), ("--fields", {"nargs": "+", "default": ["b_bar", "Sigma", "tau", "lam", "lam_local", "tau2_track", "c"]}), *priors)
     command(backtest, universe, model, setting, *window, ("--skip-lookahead", {"action": "store_true"}))
     command(intervals, universe, model, *window)

@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import priors
+from . import nuts, priors
 from .samplers import Draws, run
 
 Fit = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -103,13 +104,25 @@ def long(d: Draws, chain: int, most: int = 200_000) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"chain": np.int32(chain), "draw": draw.ravel() + np.int32(first), "field": name, "i": i.ravel(), "j": j.ravel(), "value": part.ravel().astype(float)})
 
 
-def chains(spark: SparkSession, model: str, r: np.ndarray, f: np.ndarray, prior: priors.Prior, n: int = 4, draws: int = 3000, burn: int = 1000, seed: int = 0, **settings) -> DataFrame:
-    """n chains, one to a task, as a table of draws; chain c has seed + c."""
+def sampler_statistics(draws: DataFrame) -> DataFrame:
+    """(chain, draw, energy, tree_depth, n_steps, diverging, step_size) of chains by NUTS."""
+    names = ["energy", "tree_depth", "n_steps", "diverging", "step_size"]
+    wide = draws.filter(F.col("field").isin(names)).groupBy("chain", "draw").pivot("field", names).agg(F.first("value"))
+    return wide.withColumns({"diverging": F.col("diverging") > 0, "tree_depth": F.col("tree_depth").cast("int"), "n_steps": F.col("n_steps").cast("int")})
+
+
+def chains(spark: SparkSession, model: str, r: np.ndarray, f: np.ndarray, prior: priors.Prior, n: int = 4, draws: int = 3000, burn: int = 1000, seed: int = 0, sampler: str = "gibbs", **settings) -> DataFrame:
+    """n chains, one to a task, as a table of draws; chain c has seed + c.
+
+    Under sampler nuts (the horseshoe models) burn steps of tuning come before the draws and don't count among them, and
+    the sampler's statistics are fields too (see sampler_statistics).
+    """
+    make = {"gibbs": run, "nuts": nuts.run}[sampler]
     sent = spark.sparkContext.broadcast((r, f, prior))
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for c in batch["id"]:
-                yield from long(run(model, *sent.value, draws, burn, seed + int(c), **settings), int(c))
+                yield from long(make(model, *sent.value, draws, burn, seed + int(c), **settings), int(c))
 
     return spark.range(0, n, 1, n).mapInPandas(one, "chain int, draw int, field string, i int, j int, value double")

@@ -51,13 +51,6 @@ def start(data: Data, b: np.ndarray | None = None) -> State:
     return State(b, b.mean(axis=0), sample_covariance(data.r))
 
 
-def likelihood_terms(data: Data, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inverse = spd_inverse(sigma)
-    n, k = data.n, data.k
-    p = (inverse[:, None, :, None] * data.gram).reshape(n * k, n * k)
-    return p, np.einsum("ij,ikj->ik", inverse, data.fr).ravel()
-
-
 def draw_coefficients(data: Data, state: State, precisions: np.ndarray, rng: np.random.Generator, diagonal: bool = False) -> None:
     """(B, b_bar) in one block, deviations having precision D_i^-1: one (K, K) matrix, or diagonals (N, K)."""
     n, k = data.n, data.k
@@ -78,12 +71,13 @@ def draw_coefficients(data: Data, state: State, precisions: np.ndarray, rng: np.
 
 
 def draw_b(data: Data, state: State, precision: np.ndarray, rng: np.random.Generator) -> None:
-    """All coefficients given their mean (the sequential scan's first half)."""
-    like, rhs = likelihood_terms(data, state.sigma)
+    """Coefficients asset by asset, each given those of the others and the mean (the sequential scan's first half)."""
+    inverse = spd_inverse(state.sigma)
+    prior = precision @ state.b_bar
     for i in range(data.n):
-        own = slice(i * data.k, (i + 1) * data.k)
-        like[own, own] += precision
-    state.b = precision_draw(like, rhs + np.tile(precision @ state.b_bar, data.n), rng).reshape(data.n, data.k)
+        own = inverse[i, i] * data.gram[i, :, i]
+        others = np.tensordot(data.gram[i], inverse[i][:, None] * state.b, axes=([1, 2], [0, 1])) - own @ state.b[i]
+        state.b[i] = precision_draw(own + precision, data.fr[i] @ inverse[i] - others + prior, rng)
 
 
 def draw_b_bar(data: Data, state: State, precision: np.ndarray, rng: np.random.Generator) -> None:

@@ -243,6 +243,21 @@ def ols_backtest(spark: SparkSession, d: str) -> DataFrame:
     return fitted(spark, d, ridge(5.0))
 
 
+def nuts_chains(spark: SparkSession) -> DataFrame:
+    """Two short chains of the horseshoe by NUTS on simulated data of a fixed seed."""
+    from fathomgrid.models import fitters, priors, simulate
+
+    s = simulate.simulate(3, 4, 80, seed=5, deviations="sparse", dev_sd=0.5)
+    return fitters.chains(spark, "horseshoe", s.r, s.f, priors.horseshoe_prior(s.r, s.f, 2), 2, 150, 150, 1, "nuts")
+
+
+def nuts_summary(spark: SparkSession, d: str) -> DataFrame:
+    from fathomgrid.models.fitters import sampler_statistics
+
+    stats = sampler_statistics(nuts_chains(spark))
+    return M.sampler_summary(stats).join(M.energy_fraction(stats), "chain")
+
+
 def by_universe(panel: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """run on each universe's rows by itself, told apart by that column."""
     out = None
@@ -591,6 +606,7 @@ def all_queries() -> dict[str, Query]:
             refit_schedules,
             q("forecasts", "SELECT k.universe, start, refit_every, k.asset, k.t, k.t_refit, p.a + p.b * k.ret AS predicted, k.benchmark FROM sk k JOIN prior p ON k.universe = p.universe AND k.asset = p.asset AND k.t_refit = p.t", f"sk AS (SELECT *, start + ((t - start) // refit_every) * refit_every AS t_refit FROM prior, (VALUES {', '.join(f'({a}, {b})' for a, b in SCHEDULES)}) v(start, refit_every) WHERE t >= start)"),
         ),
+        "nuts_summary": Query("chain:i n_divergent:i mean_depth:f saturated:f step_size:f ebfmi:f", nuts_summary),
         "predictive_intervals": Query("universe n:i cover_coef:f cover_full:f width_coef:f width_full:f width_ratio:f se:f", predictive_intervals),
         "ridge_backtest": Query("universe asset t:i t_refit:i predicted:f realised:f benchmark:f", ols_backtest),
         "gibbs_backtest": Query("universe asset t:i t_refit:i predicted:f realised:f benchmark:f", gibbs_backtest),

@@ -4,7 +4,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from fathomgrid.models import fitters, priors, samplers, simulate, sur
+from fathomgrid.models import fitters, nuts, priors, samplers, simulate, sur
 
 
 def data(n=4, k=3, t=60, seed=0, **kw):
@@ -172,6 +172,63 @@ def test_budget_of_a_backtest():
     assert got["max_z"] < 6 and got["within_3"] > 0.8 and got["corr"] > 0.99 and got["kept"] == 200
 
 
+def horseshoe_data():
+    s = data(3, 4, 90, seed=3, deviations="sparse", dev_sd=0.6)
+    return s, priors.regularised_prior(s.r, s.f, p0=2)
+
+
+@pytest.mark.parametrize("model", ["horseshoe", "regularised"])
+def test_nuts_gradient(model):
+    s, p = horseshoe_data()
+    target = nuts.Target(model, s.r, s.f, p)
+    x = target.start() + 0.3 * np.random.default_rng(1).normal(size=target.size)
+    value, grad = target(x)
+    numeric = [(target(x + h)[0] - target(x - h)[0]) / 2e-5 for h in 1e-5 * np.eye(target.size)]
+    assert math.isfinite(value)
+    np.testing.assert_allclose(grad, numeric, rtol=1e-5, atol=1e-4)
+    f = target.fields(x)
+    assert (np.linalg.eigvalsh(f["Sigma"]) > 0).all() and f["B"].shape == (3, 4)
+    assert target(np.full(target.size, 1e9))[0] == -math.inf
+
+
+def test_nuts_density_of_a_wide_slab_is_the_plain_one():
+    s, p = horseshoe_data()
+    wide = replace(p, slab_scale=1e6)
+    plain, slab = nuts.Target("horseshoe", s.r, s.f, wide), nuts.Target("regularised", s.r, s.f, wide)
+    x = plain.start() + 0.1
+    a = wide.slab_df / 2
+    assert slab(np.append(x, 0.0))[0] - plain(x)[0] == pytest.approx(a * math.log(a) - math.lgamma(a) - a, abs=1e-6)
+
+
+def test_nuts_samples_a_known_target():
+    scale = np.array([0.1, 1.0, 20.0])
+    x, stats = nuts.sample(lambda x: (-0.5 * float(((x / scale) ** 2).sum()), -x / scale**2), np.ones(3), 3000, 800, np.random.default_rng(2))
+    np.testing.assert_allclose(x.std(axis=0), scale, rtol=0.1)
+    assert (np.abs(x.mean(axis=0)) < 0.12 * scale).all()
+    assert not stats["diverging"].any() and stats["tree_depth"].max() <= 10 and len(stats["energy"]) == 3000
+
+
+@pytest.mark.parametrize("model", ["horseshoe", "regularised"])
+def test_nuts_and_gibbs_agree(model):
+    s, p = horseshoe_data()
+    a = nuts.run(model, s.r, s.f, p, 700, 400, 1)
+    b = samplers.run(model, s.r, s.f, p, 4000, 500, 2)
+    np.testing.assert_allclose(a.fields["B"].mean(axis=0), b.fields["B"].mean(axis=0), atol=0.05)
+    np.testing.assert_allclose(a.fields["Sigma"].mean(axis=0), b.fields["Sigma"].mean(axis=0), atol=0.12 * np.abs(s.sigma).max())
+    assert np.log(a.fields["tau"]).mean() == pytest.approx(np.log(b.fields["tau"]).mean(), abs=0.4)
+    again = nuts.run(model, s.r, s.f, p, 5, 5, 1)
+    np.testing.assert_array_equal(again.fields["B"], nuts.run(model, s.r, s.f, p, 5, 5, 1).fields["B"])
+    with pytest.raises(ValueError):
+        nuts.run("lasso", s.r, s.f, p)
+
+
+def test_nuts_statistics_as_rows(spark):
+    s, p = horseshoe_data()
+    df = fitters.chains(spark, "horseshoe", s.r, s.f, p, 2, 20, 20, 0, "nuts")
+    stats = fitters.sampler_statistics(df).orderBy("chain", "draw").toPandas()
+    assert len(stats) == 40 and stats["step_size"].gt(0).all() and stats["diverging"].dtype == bool
+
+
 def test_sampler_errors():
     s = data()
     p = priors.rescaled_prior(s.r, s.f)
