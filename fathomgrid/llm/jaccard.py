@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checked, discard, fewer, materialize, slices, small_files, text_bytes
+from .common import as_bytes, checked, discard, fewer, materialize, relieve, slices, small_files, text_bytes
 from .components import components
 from .textops import LOWER, inside, mix, owner, windows, words
 
@@ -295,7 +295,9 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
         return pa.concat_tables(out)
 
     rows = source.mapInArrow(keys, "s int, key binary, node binary, flags binary, pair binary").groupBy("s").applyInArrow(bucket, "kind int, a long, b long, flags int, pair int, cost long")
+    relieve(docs.sparkSession)
     rows = materialize(rows, files, True)
+    relieve(docs.sparkSession)
     costly = rows.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"), "flags", "pair", "cost")
     # each set gives up its costliest keys, as far as its slack goes
     table = bands(percent, largest)
@@ -314,6 +316,7 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
     groups = materialize(rows.filter("kind = 1").select("a", "b").union(large).distinct(), files)
     near = materialize(_plausible(near, classes, percent), fewer(files), True)
     links = materialize(verified(source, near, n, percent, id_col, text_col, files), fewer(files), True)
+    relieve(docs.sparkSession)
     # keys whose sets lie in several components: who may still have a link there, in groups that such links connect
     named = materialize(_components(classes, links, files), files)
     sides = groups.join(named.filter(F.col("rep").isNotNull()).select(F.col("d").alias("b"), "rep", "size", "x", "c"), "b")
@@ -326,6 +329,7 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
         discard(named, links, family)
         links, named = every, materialize(_components(classes, every, files), files)
     discard(groups, open_keys, maybe, classes, links)
+    relieve(docs.sparkSession)
     out = found.join(named.select("d", "e", "c"), ["d", "e"], "left")
     out = out.coalesce(files) if files else out
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))

@@ -126,7 +126,8 @@ def filled(bins: np.ndarray, items: np.ndarray, capacity: int) -> tuple[np.ndarr
 
 def _ranges(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     """A plan's rows, whose number depends on the distinct lengths and not on the corpus, for a broadcast join."""
-    return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names.split())))
+    columns = zip(*rows) if rows else [()] * len(names.split())
+    return F.broadcast(spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names.split())))
 
 
 def _by_length(df: DataFrame, column: str, size: int) -> np.ndarray:
