@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomgrid.llm import contamination, jaccard, language, lines
 from fathomgrid.llm import queries as Q
-from fathomgrid.llm.common import bounded, checked, discard, gathered, materialize, table
+from fathomgrid.llm.common import bounded, checked, discard, gathered, materialize, relieve, table
 
 #: SQL can't express the first stage; tests hold each stage against a plain computation.
 ORACLE_SQL = None
@@ -15,13 +15,15 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a known language go: null texts, those without a letter or with a score below 0.35."""
+    relieve(spark)
     docs = gathered(bounded(docs))
     return language.accepted(docs, language.train(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go from the texts; n_chars follows."""
-    found = lines.drop_boilerplate(gathered(docs))
+    relieve(spark)
+    found = lines.drop_boilerplate(gathered(bounded(docs)))
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
@@ -31,6 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows of one id are one document and stay or go together; rows without id stay.
     """
+    relieve(spark)
     docs = gathered(bounded(docs))
     found = materialize(jaccard.similar(docs))
     return docs.join(checked(found.filter("doc_id <> component_id").select("doc_id").distinct(), 8), "doc_id", "left_anti").select(docs.columns)
@@ -41,6 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Each row is judged by its own text, so that rows without id or with one id don't decide for each other.
     """
+    relieve(spark)
     docs = gathered(bounded(docs))
     key = [F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")]
     found = contamination.decontaminate(docs.select(F.struct(*key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
@@ -52,6 +56,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left; null texts and ids are documents like others."""
+    relieve(spark)
     return Q.packed(gathered(bounded(docs)))
 
 
