@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, html, jaccard, language, lines, neighbours, packing, substrings, tokens, warc
+from . import codes, contamination, divergence, html, jaccard, language, lines, neighbours, packing, sharding, substrings, tokens, warc
 from .common import materialize, planned_bytes, small_files, table
 
 
@@ -76,7 +76,35 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
-ALL = (op1_line_dedup, op2_language_id, op3_substring_dedup, op4_best_fit_packing, op5_decontamination, op6_html_extraction, op7_nearest_neighbours, op8_warc, op9_token_counts, op10_jaccard_join)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+ALL = (
+    op1_line_dedup,
+    op2_language_id,
+    op3_substring_dedup,
+    op4_best_fit_packing,
+    op5_decontamination,
+    op6_html_extraction,
+    op7_nearest_neighbours,
+    op8_warc,
+    op9_token_counts,
+    op10_jaccard_join,
+    op11_source_divergence,
+    op12_vector_codes,
+    op13_sharding,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -152,6 +180,53 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON c.a = w.doc_id
 """
 
+OP11 = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                  regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+     t AS (SELECT lang, source, r, unnest(ws) AS term FROM d),
+     kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+     total AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM kept GROUP BY lang),
+     grp AS (SELECT DISTINCT lang, source FROM d),
+     held AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY t.lang, t.source, t.term),
+     sums AS (SELECT lang, source, sum(n)::BIGINT AS n FROM held GROUP BY lang, source),
+     p AS (SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n,
+                  1 + (1000000000::HUGEINT * (coalesce(h.n, 0) + 5)) // (coalesce(s.n, 0) + 5 * total.v) AS p,
+                  1 + (1000000000::HUGEINT * (k.n + 5)) // (total.n + 5 * total.v) AS q
+           FROM grp g JOIN kept k USING (lang) JOIN total USING (lang) LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source
+           LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+     apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+               FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+     pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+              FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+     term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+     every AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM every WHERE part = 'pair' OR rank <= 50
+"""
+
+_ROUND = """
+     near{i} AS (SELECT v.vec_id, v.part, arg_min(b.entry, (list_sum(list_transform(range(1, {w} + 1), lambda j: (v.x[j] - b.x[j]) * (v.x[j] - b.x[j]))), b.entry)) AS entry,
+                        min(list_sum(list_transform(range(1, {w} + 1), lambda j: (v.x[j] - b.x[j]) * (v.x[j] - b.x[j]))))::BIGINT AS far
+                 FROM parts v JOIN book{i} b ON v.part = b.part GROUP BY v.vec_id, v.part),"""
+_MOVED = """
+     sum{i} AS (SELECT v.part, n.entry, unnest(v.x) AS x, generate_subscripts(v.x, 1) AS place FROM parts v JOIN near{i} n USING (vec_id, part)),
+     mean{i} AS (SELECT part, entry, list(m ORDER BY place) AS x FROM
+                 (SELECT part, entry, place, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m FROM sum{i} GROUP BY part, entry, place) GROUP BY part, entry),
+     book{j} AS (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{i} b LEFT JOIN mean{i} m USING (part, entry)),"""
+
+OP12 = """
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     parts AS (SELECT vec_id, p AS part, v[1 + p * (len(v) // 16):(p + 1) * (len(v) // 16)] AS x FROM kept, range(16) r(p)),
+     first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64),
+     book0 AS (SELECT part, entry, x FROM parts JOIN first USING (vec_id)),{rounds}
+     whole AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM near2 GROUP BY vec_id),
+     digest AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) AS sha FROM
+                (SELECT part, entry, unnest(x) AS x, generate_subscripts(x, 1) AS place FROM book2))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256
+FROM whole JOIN kept USING (vec_id), digest
+""".replace("{rounds}", "".join((_ROUND + (_MOVED if i < 2 else "")).format(i=i, j=i + 1, w="len(v.x)") for i in range(3)))
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op3_substring_dedup": OP3, "op5_decontamination": OP5, "op8_warc": OP8, "op10_jaccard_join": OP10}
+    return {"op1_line_dedup": OP1, "op3_substring_dedup": OP3, "op5_decontamination": OP5, "op8_warc": OP8, "op10_jaccard_join": OP10, "op11_source_divergence": OP11, "op12_vector_codes": OP12}
