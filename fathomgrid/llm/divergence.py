@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-import string
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked, materialize
+from .common import as_bytes, checked, materialize
+from .textops import LOWER
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = re.compile(TERM.encode())  # on UTF-8, whose other bytes are all above 7F
+#: Terms that a task holds at a time; bytes of a text whose words aren't listed all at once.
+HELD, LONG = 300_000, 1 << 22
 #: Prices are parts of SCALE, plus one; each term counts PRIOR occurrences more than it has.
 SCALE, PRIOR = 1_000_000_000, 5
 #: Salts of the join of histograms with groups where the groups are too many to broadcast.
@@ -25,17 +33,48 @@ def price(count: str, total: str, terms: str) -> Column:
     return F.expr(f"CASE WHEN {terms} > 0 THEN 1 + ({share}) ELSE 0 END").cast("long")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents of each term in each (lang, source), sent whenever HELD terms have gathered."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def sent() -> pa.RecordBatch:
+        sizes = [len(n) for n, _ in held.values()]
+        names = [np.repeat(np.array([g[i] for g in held], object), sizes) for i in (0, 1)]
+        terms = pa.array([t for n, _ in held.values() for t in n], pa.binary()).cast(pa.string())
+        counts = [pa.array([x for both in held.values() for x in both[i].values()], pa.int64()) for i in (0, 1)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(n, pa.string()) for n in names), terms, *counts], ["lang", "source", "term", "n", "docs"])
+
+    size = 0
+    for batch in batches:
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
+            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            before = len(n)
+            text = text.translate(LOWER)
+            if len(text) <= LONG:
+                words = WORD.findall(text)
+                n.update(words)
+                docs.update(dict.fromkeys(words).keys())  # in the order of n: their values are sent side by side
+            else:  # never as a list of all its words
+                own = Counter(m[0] for m in WORD.finditer(text))
+                n.update(own)
+                docs.update(own.keys())
+            size += len(n) - before
+            if size >= HELD:
+                yield sent()
+                size = 0
+    if held:
+        yield sent()
+
+
 def postings(docs: DataFrame, least: int) -> DataFrame:
     """(lang, source, term, n, of_lang) of each term in at least least documents of its language: occurrences in the group, in the language.
 
-    A document's words are sorted, so that the first of equal ones is known and documents are counted in the same pass
-    as occurrences. Both are summed before and after each of two narrow shuffles.
+    Occurrences and documents are counted in the same pass, first in the task that reads the texts; their sums go
+    through two narrow shuffles.
     """
-    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
-    words = docs.select("lang", "source", F.array_sort(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))).alias("words"))
-    marked = F.transform("words", lambda x, i: F.struct(x.alias("term"), F.when(F.get("words", i - 1) == x, 0).otherwise(1).alias("first")))
-    found = words.select("lang", "source", F.explode(marked).alias("w")).select("lang", "source", "w.term", "w.first")
-    groups = found.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
+    found = docs.select("lang", "source", "text").mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    groups = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     same = W.partitionBy("lang", "term")  # a row for each source
     every = groups.withColumn("in_docs", F.sum("docs").over(same)).withColumn("of_lang", F.sum("n").over(same))
     return every.filter(F.col("in_docs") >= least).select("lang", "source", "term", "n", "of_lang")
