@@ -12,6 +12,7 @@ from fathomgrid.operators import backtest as B
 from fathomgrid.operators import descriptive as D
 from fathomgrid.operators import draws as M
 from fathomgrid.operators import evaluation as E
+from fathomgrid.operators import least_squares as R
 from fathomgrid.operators import sharpe_test as L
 from fathomgrid.plans import dataset
 from fathomgrid.session import local
@@ -119,10 +120,17 @@ def group_of(name: str) -> str:
 def backtest(spark, a):
     """An expanding-window backtest, after the look-ahead check, and its metrics."""
     panel = stores.load_panel(spark, f"{a.store}/{a.universe}")
-    make = {"ols": fitters.ols, "ridge": fitters.ridge}.get(a.model, lambda: fitters.fitter(a.model, draws=a.draws, burn=a.burn))
-    if not a.skip_lookahead:
-        B.assert_no_lookahead(make(), panel, a.start + 5 * a.refit_every, a.start, 5 * a.refit_every)
-    f = B.expanding_window(panel, make(), a.start, a.refit_every)
+    if a.model in ("ols", "ridge"):  # of any size: nothing is gathered
+        penalty = float(a.model == "ridge")
+        keys = tuple(k for k in ("universe", "asset") if k in panel.columns)
+        f = R.expanding_window(panel, a.start, a.refit_every, penalty, keys)
+        if not a.skip_lookahead:
+            B.assert_unchanged(lambda p: R.expanding_window(p, a.start, 5 * a.refit_every, penalty, keys), panel, a.start + 5 * a.refit_every, 5 * a.refit_every)
+    else:
+        fit = fitters.fitter(a.model, draws=a.draws, burn=a.burn)
+        if not a.skip_lookahead:
+            B.assert_no_lookahead(fit, panel, a.start + 5 * a.refit_every, a.start, 5 * a.refit_every)
+        f = B.expanding_window(panel, fit, a.start, a.refit_every)
     for name, value in (("setting", a.setting), ("model", a.model)):
         f = f.withColumn(name, F.lit(value))
     stores.save_backtest(f, f"{a.store}/backtests")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from fathomgrid.functions.scalar import dot
 
+from . import scan
+
 START, REFIT_EVERY = 240, 12
 #: Bytes of a dense panel that a task is sent. A larger universe is refused: its assets' joint covariance needs it whole.
 PANEL_BYTES = 256 << 20
@@ -27,16 +29,15 @@ def refit_key(t: Column, start: int = START, every: int = REFIT_EVERY) -> Column
 
 def expanding_benchmark(df: DataFrame, value: str = "r_next", keys: tuple[str, ...] = ("universe", "asset")) -> DataFrame:
     """benchmark: mean of the rows strictly before, updated every month."""
-    before = W.partitionBy(*keys).orderBy("t").rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("benchmark", F.avg(value).over(before))
+    return scan.mean_before(df, value, keys, "t", "benchmark")
 
 
 def ar1_fits(df: DataFrame, start: int = START, every: int = REFIT_EVERY) -> DataFrame:
     """Rows from start on with the regression of r_next on ret over the rows before their refit (a, b), the mean of
     those rows (prefix) and the benchmark; all as window aggregates."""
     w = W.partitionBy("universe", "asset").orderBy("t").rowsBetween(W.unboundedPreceding, -1)
-    fits = expanding_benchmark(df.filter("r_next is not null and ret is not null")).withColumns(
-        {"a": F.regr_intercept("r_next", "ret").over(w), "b": F.regr_slope("r_next", "ret").over(w)}
+    fits = df.filter("r_next is not null and ret is not null").withColumns(
+        {"benchmark": F.avg("r_next").over(w), "a": F.regr_intercept("r_next", "ret").over(w), "b": F.regr_slope("r_next", "ret").over(w)}
     )
     # the refit's coefficients stand on its own row, so the same partitioning serves
     at = W.partitionBy("universe", "asset", "t_refit").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
@@ -144,15 +145,20 @@ def _corrupted(panel: DataFrame, corrupt_from: int, noise: float) -> DataFrame:
     return panel.withColumn("r_next", F.when(F.col("t") >= corrupt_from, F.lit(noise) * F.sin(F.col("t") * 12.9898 + F.length("asset"))).otherwise(F.col("r_next")))
 
 
-def assert_no_lookahead(fit: FitFn, panel: DataFrame, corrupt_from: int, start: int = START, every: int = REFIT_EVERY) -> None:
-    found = lookahead(lambda p: expanding_window(p, fit, start, every), panel, corrupt_from, every).first()
+def assert_unchanged(run: Callable[[DataFrame], DataFrame], panel: DataFrame, corrupt_from: int, every: int = REFIT_EVERY) -> None:
+    """Raises unless returns from corrupt_from on change the later forecasts of run, and only these."""
+    found = lookahead(run, panel, corrupt_from, every).first()
     if found["before"] != 0.0:
         raise AssertionError(f"forecasts before the corruption changed by {found['before']}")
+    if not found["after"] > 0:
+        raise AssertionError("forecasts after the corruption did not change: the test has no power")
+
+
+def assert_no_lookahead(fit: FitFn, panel: DataFrame, corrupt_from: int, start: int = START, every: int = REFIT_EVERY) -> None:
+    assert_unchanged(lambda p: expanding_window(p, fit, start, every), panel, corrupt_from, every)
     fits = lookahead_coefficients(lambda p: coefficients(p, fit, start, every), panel, corrupt_from).first()
     if fits["before"] != 0.0:
         raise AssertionError(f"coefficients before the corruption changed by {fits['before']}")
-    if not found["after"] > 0:
-        raise AssertionError("forecasts after the corruption did not change: the test has no power")
 
 
 def refit_schedules(panel: DataFrame, fit: FitFn, schedules: list[tuple[int, int]]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import order, scan
+
 U = ("universe",)
 
 
@@ -77,9 +79,8 @@ def market(df: DataFrame, value: str = "ret") -> DataFrame:
     return df.groupBy(*U, "month").agg(F.avg(value).alias("mean_ret"))
 
 
-def cumulative_log(df: DataFrame, value: str, order: str = "month", by: tuple[str, ...] = U) -> DataFrame:
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("cum_log", F.sum(F.log1p(value)).over(w))
+def cumulative_log(df: DataFrame, value: str, at: str = "month", by: tuple[str, ...] = U) -> DataFrame:
+    return scan.running_sum(df, F.log1p(value), by, at, "cum_log")
 
 
 def rolling_volatility(df: DataFrame, months: int = 36, value: str = "ret") -> DataFrame:
@@ -111,9 +112,7 @@ def share_below(df: DataFrame, value: str, limit: float, by: tuple[str, ...]) ->
 
 
 def quantiles(df: DataFrame, value: str, by: tuple[str, ...], levels: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
-    q = F.percentile(value, F.array(*map(F.lit, levels)))
-    names = [f"p{round(100 * x):02d}" for x in levels]
-    return df.groupBy(*by).agg(q.alias("_q")).select(*by, *(F.col("_q")[i].alias(n) for i, n in enumerate(names)))
+    return order.quantiles(df, value, by, {f"p{round(100 * x):02d}": x for x in levels})
 
 
 def density(df: DataFrame, value: str, by: tuple[str, ...], points: int = 64, factor: float = 0.2) -> DataFrame:

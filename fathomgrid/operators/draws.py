@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from fathomgrid.functions.scalar import normal_quantile
 
+from . import order, scan
+
 P = ("field", "i", "j")
 #: Ranges of values that divergence_positions ranks by themselves.
 RANK_PARTS = 64
@@ -32,8 +34,7 @@ def posterior_mean(draws: DataFrame, by: tuple[str, ...] = P) -> DataFrame:
 
 
 def credible_interval(draws: DataFrame, level: float = 0.95, by: tuple[str, ...] = P) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    return draws.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    return order.quantiles(draws, "value", by, {"lo": (1 - level) / 2, "hi": (1 + level) / 2})
 
 
 def excluding_zero(intervals: DataFrame, by: tuple[str, ...] = ("field",)) -> DataFrame:
@@ -55,16 +56,16 @@ def scale_means(draws: DataFrame, by: tuple[str, ...] = P) -> DataFrame:
     return draws.groupBy(*by).agg(F.avg("value").alias("mean"), F.avg(1.0 / F.col("value")).alias("mean_inverse"))
 
 
-def energy_fraction(stats: DataFrame) -> DataFrame:
+def energy_fraction(stats: DataFrame, by: tuple[str, ...] = ("chain",)) -> DataFrame:
     """E-BFMI by chain: squared steps of the energy over squared deviations."""
-    w = W.partitionBy("chain")
+    w = W.partitionBy(*by)
     d = stats.withColumns({"_d": F.col("energy") - F.lag("energy").over(w.orderBy("draw")), "_c": F.col("energy") - F.avg("energy").over(w)})
-    return d.groupBy("chain").agg(F.try_divide(F.sum(F.col("_d") * F.col("_d")), F.sum(F.col("_c") * F.col("_c"))).alias("ebfmi"))
+    return d.groupBy(*by).agg(F.try_divide(F.sum(F.col("_d") * F.col("_d")), F.sum(F.col("_c") * F.col("_c"))).alias("ebfmi"))
 
 
-def sampler_summary(stats: DataFrame, max_depth: int = 10) -> DataFrame:
+def sampler_summary(stats: DataFrame, max_depth: int = 10, by: tuple[str, ...] = ("chain",)) -> DataFrame:
     """Divergences, mean depth, share of saturated trees and the last step size, by chain."""
-    return stats.groupBy("chain").agg(
+    return stats.groupBy(*by).agg(
         F.count_if("diverging").alias("n_divergent"),
         F.avg("tree_depth").alias("mean_depth"),
         F.avg((F.col("tree_depth") >= max_depth).cast("double")).alias("saturated"),
@@ -91,20 +92,15 @@ def divergence_positions(stats: DataFrame, value: str) -> DataFrame:
 
 def rank_normalised(draws: DataFrame, by: tuple[str, ...] = P, value: str = "value") -> DataFrame:
     """z: normal scores of average-tie ranks over all chains and draws of a parameter."""
-    own = W.partitionBy(*by)
-    ties = W.partitionBy(*by, value)
-    rank = F.rank().over(own.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-    r = draws.withColumn("rank", rank).withColumn("_s", F.count(F.lit(1)).over(own))
+    r = order.ranked(draws, value, by, "rank", "_s")
     return r.withColumn("z", normal_quantile((F.col("rank") - 0.375) / (F.col("_s") + 0.25))).drop("_s")
 
 
 def split(draws: DataFrame, by: tuple[str, ...] = P) -> DataFrame:
     """half: each chain's first and last floor(n/2) draws as chains of their own; an odd middle draw goes."""
-    n = F.count(F.lit(1)).over(W.partitionBy(*by, "chain"))
-    at = F.row_number().over(W.partitionBy(*by, "chain").orderBy("draw")) - 1
-    d = draws.withColumn("_n", n).withColumn("_at", at)
-    half = F.when(F.col("_at") < F.floor(F.col("_n") / 2), 0).when(F.col("_at") >= F.col("_n") - F.floor(F.col("_n") / 2), 1)
-    return d.withColumn("half", half).filter("half is not null").drop("_n", "_at")
+    d = scan.numbered(draws, (*by, "chain"), "draw", "_at", count="_rows")
+    half = F.when(F.col("_at") < F.floor(F.col("_rows") / 2), 0).when(F.col("_at") >= F.col("_rows") - F.floor(F.col("_rows") / 2), 1)
+    return d.withColumn("half", half).filter("half is not null").drop("_rows", "_at")
 
 
 def classic_rhat(draws: DataFrame, value: str = "value", by: tuple[str, ...] = P, chain: tuple[str, ...] = ("chain",)) -> DataFrame:
@@ -119,7 +115,7 @@ def rank_rhat(draws: DataFrame, by: tuple[str, ...] = P) -> DataFrame:
     """Largest of the rank-normalised split R-hat of the values and of their distances to the median. Ranks come first."""
     chain = ("chain", "half")
     bulk = classic_rhat(split(rank_normalised(draws, by), by), "z", by, chain)
-    middle = draws.groupBy(*by).agg(F.median("value").alias("_m"))
+    middle = order.quantiles(draws, "value", by, {"_m": 0.5})
     folded = draws.join(middle, list(by)).withColumn("folded", F.abs(F.col("value") - F.col("_m"))).drop("_m")
     tails = classic_rhat(split(rank_normalised(folded, by, "folded"), by), "z", by, chain)
     both = bulk.withColumnRenamed("rhat", "bulk").join(tails.withColumnRenamed("rhat", "tail"), list(by))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
+
 KEYS = ("universe", "asset")
 OWN = ["ret_lag1", "ret_lag3", "ret_lag6", "ret_lag12", "mean12", "vol12", "skew12", "mom12"]
 
@@ -39,8 +41,7 @@ def own_history(df: DataFrame, value: str = "ret", keys: tuple[str, ...] = KEYS)
 
 def expanding_zscore(df: DataFrame, columns: list[str], keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(x - mean) / sd over all rows so far, this one included; null for the first and where sd is 0."""
-    so_far = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("month").rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumns({c: F.try_divide(F.col(f"`{c}`") - F.avg(f"`{c}`").over(so_far), F.stddev_samp(f"`{c}`").over(so_far)) for c in columns})
+    return scan.zscores(df, columns, keys, "month")
 
 
 def lead_response(df: DataFrame, value: str = "ret", keys: tuple[str, ...] = KEYS) -> DataFrame:

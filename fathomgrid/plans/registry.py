@@ -18,6 +18,7 @@ from fathomgrid.operators import descriptive as D
 from fathomgrid.operators import draws as M
 from fathomgrid.operators import evaluation as E
 from fathomgrid.operators import features as X
+from fathomgrid.operators import least_squares as R
 from fathomgrid.operators import panel as P
 from fathomgrid.operators import sharpe_test as L
 
@@ -27,6 +28,8 @@ from .testpanel import EVERY, START, with_tables
 DIGITS = 6
 #: First refit of the fitters' backtests.
 FIRST_REFIT = 24
+#: Penalty of ridge_backtest.
+PENALTY = 5.0
 #: First refits and months between refits that refit_schedules compares.
 SCHEDULES = [(START, EVERY), (START + EVERY, 5)]
 Run = Callable[[SparkSession, str], DataFrame]
@@ -202,11 +205,40 @@ SCORED = f"""scored AS (SELECT universe, asset, month, {', '.join(zscore_sql(c)
     FROM history WINDOW w AS (PARTITION BY universe, asset ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
   shared AS (SELECT month, {', '.join(zscore_sql(c) for c in T.COMMON)} FROM common WINDOW w AS (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
   kept AS (SELECT * FROM scored JOIN shared USING (month) WHERE rn > 30 AND ret_lag1 IS NOT NULL AND vol12 IS NOT NULL AND disc IS NOT NULL AND tax IS NOT NULL AND qty IS NOT NULL AND r_next IS NOT NULL)"""
+#: The model panel without stabilisation, and the normal equations of each refit.
+COLUMNS = ["1.0", *T.COMMON, "ret_lag1", "vol12", *(f"{c} * {o}" for c in T.COMMON for o in ("ret_lag1", "vol12"))]
+NAMES = P.predictor_names(T.COMMON, ["ret_lag1", "vol12"])
 INTER = [f"{c}_x_{o}" for c in T.COMMON for o in ("ret_lag1", "vol12")]
 
 
+def solve_sql(source: str, k: int, penalty: float) -> str:
+    """Gauss-Jordan elimination of normal equations as CTEs: from source (key, i, j, v; j = k is the right side) to solved (key, i, b)."""
+    steps = [f"m0 AS MATERIALIZED (SELECT key, i, j, v + CASE WHEN i = j AND i > 0 THEN {penalty} ELSE 0 END AS v FROM {source})"]
+    for p in range(k):
+        steps.append(
+            f"m{p + 1} AS MATERIALIZED (SELECT m.key, m.i, m.j, CASE WHEN m.i = {p} THEN r.v / d.v ELSE m.v - c.v * r.v / d.v END AS v "
+            f"FROM m{p} m JOIN m{p} r ON r.key = m.key AND r.i = {p} AND r.j = m.j JOIN m{p} c ON c.key = m.key AND c.i = m.i AND c.j = {p} JOIN m{p} d ON d.key = m.key AND d.i = {p} AND d.j = {p})"
+        )
+    return ",\n  ".join([*steps, f"solved AS (SELECT key, i, v AS b FROM m{k} WHERE j = {k})"])
+
+
+RIDGE = q(
+    "history common",
+    """SELECT x.universe, x.asset, x.t, x.t_refit, sum(x.v * s.b) AS predicted, any_value(x.r_next) AS realised, any_value(x.benchmark) AS benchmark
+  FROM asked x JOIN solved s ON s.key = x.key AND s.i = x.i GROUP BY ALL""",
+    f"""{SCORED.replace("rn > 30 AND", "")},
+  panel AS (SELECT universe, asset, r_next, [{', '.join(COLUMNS)}]::DOUBLE[] AS f, row_number() OVER (PARTITION BY universe, asset ORDER BY month) - 1 AS t FROM kept),
+  rows_ AS (SELECT *, avg(r_next) OVER (PARTITION BY universe, asset ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS benchmark FROM panel),
+  refits AS (SELECT DISTINCT universe, asset, {FIRST_REFIT} + (t - {FIRST_REFIT}) // {EVERY} * {EVERY} AS t_refit FROM panel WHERE t >= {FIRST_REFIT}),
+  asked AS (SELECT universe, asset, t, {FIRST_REFIT} + (t - {FIRST_REFIT}) // {EVERY} * {EVERY} AS t_refit, (universe, asset, {FIRST_REFIT} + (t - {FIRST_REFIT}) // {EVERY} * {EVERY}) AS key, r_next, benchmark, unnest(range({len(COLUMNS)})) AS i, unnest(f) AS v FROM rows_ WHERE t >= {FIRST_REFIT}),
+  trained AS (SELECT (r.universe, r.asset, r.t_refit) AS key, list_append(p.f, p.r_next) AS z FROM refits r JOIN panel p ON p.universe = r.universe AND p.asset = r.asset AND p.t < r.t_refit),
+  equations AS (SELECT key, i, j, sum(z[i + 1] * z[j + 1]) AS v FROM trained, range({len(COLUMNS)}) a(i), range({len(COLUMNS) + 1}) b(j) GROUP BY key, i, j),
+  {solve_sql("equations", len(COLUMNS), PENALTY)}""",
+)
+
+
 def interactions_query(spark: SparkSession, d: str) -> DataFrame:
-    s = P.complete(P.stabilised(T.scored(spark, d)), ["ret_lag1", "vol12", *T.COMMON, "r_next"])
+    s = P.complete(P.stabilised(T.scored(spark, d, ["ret_lag1", "vol12"])), ["ret_lag1", "vol12", *T.COMMON, "r_next"])
     return s.select("universe", "asset", "month", *P.interactions(T.COMMON, ["ret_lag1", "vol12"]))
 
 
@@ -237,25 +269,16 @@ def fitted(spark: SparkSession, d: str, fit, covariance: bool = False) -> DataFr
     return B.forecasts(p, fits, FIRST_REFIT, EVERY)  # starts are whole steps apart, so the refits' keys are the same
 
 
-def ols_backtest(spark: SparkSession, d: str) -> DataFrame:
-    from fathomgrid.models.fitters import ridge
-
-    return fitted(spark, d, ridge(5.0))
-
-
-def nuts_chains(spark: SparkSession) -> DataFrame:
-    """Two short chains of the horseshoe by NUTS on simulated data of a fixed seed."""
-    from fathomgrid.models import fitters, priors, simulate
-
-    s = simulate.simulate(3, 4, 80, seed=5, deviations="sparse", dev_sd=0.5)
-    return fitters.chains(spark, "horseshoe", s.r, s.f, priors.horseshoe_prior(s.r, s.f, 2), 2, 150, 150, 1, "nuts")
+def predictor_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each predictor's group and root mean square over a universe's panel."""
+    each = T.model_panel(spark, d).select("universe", F.posexplode("f").alias("at", "x")).groupBy("universe", "at").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
+    named = each.withColumn("name", F.element_at(F.lit(NAMES), F.col("at") + 1))
+    return named.select("universe", "name", P.predictor_group(F.col("name"), T.COMMON).alias("grp"), "rms")
 
 
-def nuts_summary(spark: SparkSession, d: str) -> DataFrame:
-    from fathomgrid.models.fitters import sampler_statistics
-
-    stats = sampler_statistics(nuts_chains(spark))
-    return M.sampler_summary(stats).join(M.energy_fraction(stats), "chain")
+def ridge_backtest(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge forecasts of every universe; one whose months don't reach FIRST_REFIT has none."""
+    return R.expanding_window(T.model_panel(spark, d, 0), FIRST_REFIT, EVERY, PENALTY, k=len(COLUMNS))
 
 
 def by_universe(panel: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -273,19 +296,11 @@ def simple_panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def refit_schedules(spark: SparkSession, d: str) -> DataFrame:
-    from fathomgrid.models.fitters import ols
-
-    return by_universe(simple_panel(spark, d), lambda p: B.refit_schedules(p, ols(), SCHEDULES))
+    return R.backtests(simple_panel(spark, d), SCHEDULES, k=2)
 
 
 def pooled_scale(spark: SparkSession, d: str) -> DataFrame:
-    from fathomgrid.models.priors import pooled_scale
-
-    def one(p: DataFrame) -> DataFrame:
-        _, r, f = B.dense(p)
-        return spark.createDataFrame([(pooled_scale(r, f)[0],)], "sd double")
-
-    return by_universe(simple_panel(spark, d), one)
+    return R.pooled_scale(simple_panel(spark, d), k=2)
 
 
 def predictive_intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +324,7 @@ def budget_validation(draws: DataFrame) -> DataFrame:
 
 
 def predictors_of(spark: SparkSession, d: str) -> DataFrame:
-    return P.complete(P.stabilised(T.scored(spark, d)), ["ret_lag1", "vol12", *T.COMMON, "r_next"])
+    return P.complete(P.stabilised(T.scored(spark, d, ["ret_lag1", "vol12"])), ["ret_lag1", "vol12", *T.COMMON, "r_next"])
 
 
 PRED = ["ret_lag1", "vol12", "disc", "tax", "qty"]
@@ -410,9 +425,9 @@ def all_queries() -> dict[str, Query]:
             q("returns", "SELECT universe, count(DISTINCT asset) AS n_assets, 1 AS K, count(DISTINCT month) AS T, strftime(min(month), '%Y-%m-%d') AS first, strftime(max(month), '%Y-%m-%d') AS last FROM returns GROUP BY 1"),
         ),
         "predictor_groups": Query(
-            "name grp",
-            lambda s, d: s.createDataFrame([(n,) for n in P.predictor_names(T.COMMON, ["ret_lag1", "vol12"])], "name string").select("name", P.predictor_group(F.col("name"), T.COMMON).alias("grp")),
-            "\n--\nSELECT name, CASE WHEN name = 'intercept' THEN 'intercept' WHEN contains(name, '_x_') THEN 'interaction' WHEN name IN ('disc', 'tax', 'qty') THEN 'common' ELSE 'own' END AS grp FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in P.predictor_names(T.COMMON, ["ret_lag1", "vol12"])) + "]) AS name)",
+            "universe name grp rms:f",
+            predictor_groups,
+            q("history common", "SELECT universe, name, CASE WHEN name = 'intercept' THEN 'intercept' WHEN contains(name, '_x_') THEN 'interaction' WHEN name IN ('disc', 'tax', 'qty') THEN 'common' ELSE 'own' END AS grp, sqrt(avg(x * x)) AS rms FROM named GROUP BY 1, 2", f"{SCORED},\n  named AS (SELECT universe, unnest([{', '.join(f"'{n}'" for n in NAMES)}]) AS name, unnest([{', '.join(COLUMNS)}]::DOUBLE[]) AS x FROM kept)"),
         ),
         "expanding_benchmark": Query("universe asset t:i benchmark:f", lambda s, d: B.expanding_benchmark(T.responses(s, d)).filter(F.col("t") >= START), q("forecasts", "SELECT universe, asset, t, benchmark FROM keyed")),
         "ar1_forecast": Query("universe asset t:i t_refit:i predicted:f realised:f benchmark:f", ar1, q("forecasts", "SELECT * FROM forecasts")),
@@ -490,7 +505,11 @@ def all_queries() -> dict[str, Query]:
         "rms_predictors": Query("universe asset " + " ".join(f"rms_{c}:f" for c in PRED), lambda s, d: D.predictor_rms(predictors_of(s, d), PRED), q("history common", "SELECT universe, asset, " + ", ".join(f"sqrt(avg({c} * {c})) AS rms_{c}" for c in PRED) + " FROM kept GROUP BY 1, 2", SCORED)),
         "prior_scale": Query("universe trace_c:f var_r:f", lambda s, d: D.prior_scale(predictors_of(s, d), PRED), q("history common", "SELECT universe, " + " + ".join(f"var_samp({c})" for c in PRED) + " AS trace_c, var_pop(r_next) AS var_r FROM kept GROUP BY 1", SCORED)),
         "shrinkage_factors": Query("universe asset kappa:f m:f", lambda s, d: D.predictor_rms(predictors_of(s, d), PRED).select("universe", "asset", S.shrinkage(F.lit(50.0), F.lit(0.2), F.lit(0.05), F.lit(1.5), F.col("rms_qty")).alias("kappa"), S.effective_size(F.lit(50.0), F.lit(0.2), F.lit(0.05), F.col("rms_qty")).alias("m")), q("history common", "SELECT universe, asset, 1 / (1 + pow(sqrt(50.0) / 0.2 * 0.05 * 1.5 * s, 2)) AS kappa, sqrt(50.0) / 0.2 * 0.05 * s / (1 + sqrt(50.0) / 0.2 * 0.05 * s) AS m FROM (SELECT universe, asset, sqrt(avg(qty * qty)) AS s FROM kept GROUP BY 1, 2)", SCORED)),
-        "slab_formulas": Query("x:f lam_tilde:f binding:f kappa:f", lambda s, d: s.range(1, 101).select((F.col("id") / 10.0).alias("x")).select("x", S.regularised_scale(F.col("x"), F.lit(0.3), F.lit(1.2)).alias("lam_tilde"), S.slab_binding_probability(F.col("x"), F.lit(1.2)).alias("binding"), S.shrinkage_from_variance(F.lit(50.0), F.lit(0.04), F.col("x"), F.lit(1.1)).alias("kappa")), "\n--\nSELECT x, sqrt(1.44 * x * x / (1.44 + 0.09 * x * x)) AS lam_tilde, 2 / pi() * atan(x / 1.2) AS binding, 1 / (1 + 50.0 * 1.1 * x / 0.04) AS kappa FROM (SELECT unnest(range(1, 101)) / 10.0 AS x)"),
+        "slab_formulas": Query(
+            "p_partkey:i lam_tilde:f binding:f kappa:f",
+            lambda s, d: T.table(s, d, "part").select("p_partkey", (F.col("p_size") / 10.0).alias("x")).select("p_partkey", S.regularised_scale(F.col("x"), F.lit(0.3), F.lit(1.2)).alias("lam_tilde"), S.slab_binding_probability(F.col("x"), F.lit(1.2)).alias("binding"), S.shrinkage_from_variance(F.lit(50.0), F.lit(0.04), F.col("x"), F.lit(1.1)).alias("kappa")),
+            "\n--\nSELECT p_partkey, sqrt(1.44 * x * x / (1.44 + 0.09 * x * x)) AS lam_tilde, 2 / pi() * atan(x / 1.2) AS binding, 1 / (1 + 50.0 * 1.1 * x / 0.04) AS kappa FROM (SELECT p_partkey, p_size / 10.0 AS x FROM part)",
+        ),
         "gram_blocks": Query("i j g:f", lambda s, d: predictors_of(s, d).filter("universe = 'type'").transform(lambda p: p.select("month", F.col("asset").alias("i"), F.col("vol12").alias("x")).join(p.select("month", F.col("asset").alias("j"), F.col("vol12").alias("y")), "month").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))), q("history common", "SELECT a.asset AS i, b.asset AS j, sum(a.vol12 * b.vol12) AS g FROM kept a JOIN kept b USING (universe, month) WHERE universe = 'type' GROUP BY 1, 2", SCORED)),
         "training_rows": Query("t_refit:i n:i s:f", lambda s, d: B.training_rows(T.responses(s, d).filter("universe = 'type'"), s.range(START, START + 37, EVERY).select(F.col("id").cast("int").alias("t_refit"))).groupBy("t_refit").agg(F.count(F.lit(1)).alias("n"), F.sum("r_next").alias("s")), q("responses", "SELECT t_refit, count(*) AS n, sum(r_next) AS s FROM responses JOIN (SELECT unnest([36, 48, 60, 72]) AS t_refit) ON t < t_refit WHERE universe = 'type' GROUP BY 1")),
         "gram_blocks_all": Query("universe i j g:f", gram_blocks_all, q("history common", "SELECT a.universe, a.asset AS i, b.asset AS j, sum(a.vol12 * b.vol12) AS g FROM kept a JOIN kept b USING (universe, month) GROUP BY 1, 2, 3", SCORED)),
@@ -556,11 +575,11 @@ def all_queries() -> dict[str, Query]:
         "chain_means": Query("field chain:i mean:f sd:f lo:f median:f hi:f", lambda s, d: M.chain_means(T.pseudo_draws(s, d)), q("draws", "SELECT field, chain, avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.975) AS hi FROM draws GROUP BY 1, 2")),
         "scale_summary": Query("field mean:f lo:f hi:f ratio:f prior_excluded:b distance_sd:f", lambda s, d: M.scale_summary(T.pseudo_draws(s, d), 2.0), q("draws", "SELECT field, avg(value) AS mean, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi, avg(value) / 2 AS ratio, quantile_cont(value, 0.025) > 2 OR quantile_cont(value, 0.975) < 2 AS prior_excluded, (2 - avg(value)) / stddev_samp(value) AS distance_sd FROM draws GROUP BY 1")),
         "draw_prefixes": Query("n:i field mean:f", lambda s, d: M.prefix(T.pseudo_draws(s, d), [20, 50, 100]).groupBy("n", "field").agg(F.avg("value").alias("mean")), q("draws", "SELECT n, field, avg(value) AS mean FROM draws, (SELECT unnest([20, 50, 100]) AS n) WHERE draw < n GROUP BY 1, 2")),
-        "energy_fraction": Query("chain:i ebfmi:f", lambda s, d: M.energy_fraction(T.pseudo_draws(s, d).filter("field = 'click'").withColumnRenamed("value", "energy")), q("draws", "SELECT chain, sum(dd * dd) / sum(c * c) AS ebfmi FROM (SELECT chain, value - lag(value) OVER (PARTITION BY chain ORDER BY draw) AS dd, value - avg(value) OVER (PARTITION BY chain) AS c FROM draws WHERE field = 'click') GROUP BY 1")),
+        "energy_fraction": Query("field chain:i ebfmi:f", lambda s, d: M.energy_fraction(T.pseudo_draws(s, d).withColumnRenamed("value", "energy"), ("field", "chain")), q("draws", "SELECT field, chain, sum(dd * dd) / sum(c * c) AS ebfmi FROM (SELECT field, chain, value - lag(value) OVER (PARTITION BY field, chain ORDER BY draw) AS dd, value - avg(value) OVER (PARTITION BY field, chain) AS c FROM draws) GROUP BY 1, 2")),
         "sampler_summary": Query(
-            "chain:i n_divergent:i mean_depth:f saturated:f step_size:f",
-            lambda s, d: M.sampler_summary(T.pseudo_draws(s, d).filter("field = 'click'").select("chain", "draw", (F.col("value") > 90).alias("diverging"), F.pmod("draw", F.lit(11)).alias("tree_depth"), F.col("value").alias("step_size"))),
-            q("draws", "SELECT chain, count(*) FILTER (value > 90) AS n_divergent, avg(draw % 11) AS mean_depth, avg((draw % 11 >= 10)::INT) AS saturated, arg_max(value, draw) AS step_size FROM draws WHERE field = 'click' GROUP BY 1"),
+            "field chain:i n_divergent:i mean_depth:f saturated:f step_size:f",
+            lambda s, d: M.sampler_summary(T.pseudo_draws(s, d).select("field", "chain", "draw", (F.col("value") > 90).alias("diverging"), F.pmod("draw", F.lit(11)).alias("tree_depth"), F.col("value").alias("step_size")), by=("field", "chain")),
+            q("draws", "SELECT field, chain, count(*) FILTER (value > 90) AS n_divergent, avg(draw % 11) AS mean_depth, avg((draw % 11 >= 10)::INT) AS saturated, arg_max(value, draw) AS step_size FROM draws GROUP BY 1, 2"),
         ),
         "divergence_positions": Query(
             "x:f position:f",
@@ -596,9 +615,9 @@ def all_queries() -> dict[str, Query]:
         "factor_join": Query("month:d disc:f tax:f mean_ret:f", lambda s, d: P.join_factors(T.common(s, d).select("month", "disc", "tax"), D.market(T.returns(s, d).filter("universe = 'type'")).select("month", "mean_ret")), q("common returns", "SELECT month, disc, tax, mean_ret FROM common JOIN (SELECT month, avg(ret) AS mean_ret FROM returns WHERE universe = 'type' GROUP BY 1) USING (month)")),
         "ar1_residuals": Query("universe asset t:i e:f", lambda s, d: B.ar1_fits(T.responses(s, d), START, EVERY).select("universe", "asset", "t", S.residual(F.col("realised"), F.array(F.lit(1.0), "ret"), F.array("a", "b")).alias("e")), q("forecasts", "SELECT universe, asset, t, realised - predicted AS e FROM forecasts")),
         "clean_numbers": Query(
-            "id:i x:f",
-            lambda s, d: s.range(200).select("id", S.clean_number(F.when(F.col("id") % 7 == 0, " NaN").when(F.col("id") % 11 == 0, "n/a").otherwise(F.concat(F.lit("  "), F.format_number(F.col("id") * 12_345.25, 2), F.lit(" ")))).alias("x")),
-            "\n--\nSELECT id, CASE WHEN id % 7 <> 0 AND id % 11 <> 0 THEN id * 12345.25 END AS x FROM (SELECT unnest(range(200)) AS id)",
+            "o_orderkey:i x:f",
+            lambda s, d: T.table(s, d, "orders").select("o_orderkey", S.clean_number(F.when(F.col("o_orderkey") % 7 == 0, " NaN").when(F.col("o_orderkey") % 11 == 0, "n/a").otherwise(F.concat(F.lit("  "), F.format_number(F.floor("o_totalprice"), 2), F.lit(" ")))).alias("x")),
+            "\n--\nSELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 THEN floor(o_totalprice) END AS x FROM orders",
         ),
         "pooled_scale": Query("universe sd:f", pooled_scale, q("responses", "SELECT universe, sqrt(sum(sse) / (count(*) * (any_value(n) - 2))) AS sd FROM (SELECT universe, asset, count(*) AS n, regr_syy(r_next, ret) - pow(regr_sxy(r_next, ret), 2) / regr_sxx(r_next, ret) AS sse FROM responses GROUP BY 1, 2) GROUP BY 1")),
         "refit_schedules": Query(
@@ -606,9 +625,8 @@ def all_queries() -> dict[str, Query]:
             refit_schedules,
             q("forecasts", "SELECT k.universe, start, refit_every, k.asset, k.t, k.t_refit, p.a + p.b * k.ret AS predicted, k.benchmark FROM sk k JOIN prior p ON k.universe = p.universe AND k.asset = p.asset AND k.t_refit = p.t", f"sk AS (SELECT *, start + ((t - start) // refit_every) * refit_every AS t_refit FROM prior, (VALUES {', '.join(f'({a}, {b})' for a, b in SCHEDULES)}) v(start, refit_every) WHERE t >= start)"),
         ),
-        "nuts_summary": Query("chain:i n_divergent:i mean_depth:f saturated:f step_size:f ebfmi:f", nuts_summary),
         "predictive_intervals": Query("universe n:i cover_coef:f cover_full:f width_coef:f width_full:f width_ratio:f se:f", predictive_intervals),
-        "ridge_backtest": Query("universe asset t:i t_refit:i predicted:f realised:f benchmark:f", ols_backtest),
+        "ridge_backtest": Query("universe asset t:i t_refit:i predicted:f realised:f benchmark:f", ridge_backtest, RIDGE),
         "gibbs_backtest": Query("universe asset t:i t_refit:i predicted:f realised:f benchmark:f", gibbs_backtest),
     }
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomgrid.operators import features as X
 from fathomgrid.operators import panel as P
+from fathomgrid.operators import scan
 
 START, EVERY = 36, 12
 COMMON = ["disc", "tax", "qty"]
@@ -77,9 +78,9 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.own_history(returns(spark, sf_dir))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, columns: list[str] = X.OWN) -> DataFrame:
     """Own history and common predictors as expanding z-scores, with the response; all rows, nulls included."""
-    own = X.expanding_zscore(history(spark, sf_dir), X.OWN)
+    own = X.expanding_zscore(history(spark, sf_dir), columns)
     shared = X.expanding_zscore(common(spark, sf_dir), COMMON, ())
     return X.lead_response(own).join(shared, "month")
 
@@ -87,17 +88,15 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_panel(spark: SparkSession, sf_dir: str, stabilisation: int = 30) -> DataFrame:
     """(universe, asset, month, t, r_next, f): rows after the stabilisation (by position before rows with nulls go)."""
     own = ["ret_lag1", "vol12"]
-    kept = P.complete(P.stabilised(scored(spark, sf_dir), stabilisation), [*own, *COMMON, "r_next"])
+    kept = P.complete(P.stabilised(scored(spark, sf_dir, own), stabilisation), [*own, *COMMON, "r_next"])
     return X.numbered(P.assembled(kept, COMMON, own, ["universe", "asset", "month", "r_next"]))
 
 
 def pseudo_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as draws (field, i, j, chain, draw, value): four chains and five parameters."""
-    from pyspark.sql import Window as W
-
     e = table(spark, sf_dir, "events").select("event_id", "value", F.col("event_type").alias("field"), F.pmod("user_id", F.lit(4)).cast("int").alias("chain"))
-    draw = F.row_number().over(W.partitionBy("field", "chain").orderBy("event_id")) - 1
-    return e.select("field", F.lit(0).alias("i"), F.lit(0).alias("j"), "chain", draw.cast("int").alias("draw"), "value")
+    e = scan.numbered(e, ("field", "chain"), "event_id", "draw", 1 << 16)
+    return e.select("field", F.lit(0).alias("i"), F.lit(0).alias("j"), "chain", F.col("draw").cast("int").alias("draw"), "value")
 
 
 def pseudo_means(spark: SparkSession, sf_dir: str) -> DataFrame:
