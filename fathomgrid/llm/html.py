@@ -19,9 +19,11 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：؟،]")
 PARTS = re.compile(r"[a-z]+|[0-9]+")
 
 # Names of HTML elements, words of page furniture and of layout.
-RAW = frozenset("script style noscript template iframe textarea title select svg math object canvas audio video".split())
+RAW = frozenset("script style noscript template iframe textarea select svg object audio video annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br input button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br input button canvas".split()) | frozenset(
+    "math mi mn mo ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose merror semantics".split()
+)
 ASIDE = frozenset("nav footer aside form button fieldset dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 FURNITURE = frozenset(
@@ -30,10 +32,11 @@ FURNITURE = frozenset(
     "subscription signup login share sharing social related recommended recommendations trending popular pagination pager copyright legal disclaimer skip".split()
 )
 READERS = frozenset("comment comments commentlist commenter disqus respond replies reply".split())
+#: Whole names (not parts of names) of adverts and readers' comments.
+APART = frozenset("ad ads advert adverts advertisement comment comments".split())
 LAYOUT = frozenset("wrap wrapper container layout page content main body with has no site article post entry story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVES = HEADINGS | frozenset("p li pre td th dt dd blockquote figcaption".split())
-NOTICE = re.compile(r"©|\(c\) ?\d{4}|\bcopyright\b|\ball rights reserved\b|\bcookies?\b.*\b(?:use|uses|accept|consent|agree|site|website|policy)\b|\b(?:use|uses|accept|consent|agree|site|website|policy)\b.*\bcookies?\b", re.I | re.S)
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
     "li": frozenset(["li"]),
@@ -59,14 +62,15 @@ class Page:
     """
 
     def __init__(self):
-        self.parent, self.path, self.name, self.weight, self.sticky, self.main = [-1], [0], [""], [1.0], [False], [False]
+        self.parent, self.path, self.name, self.element, self.weight, self.sticky, self.main = [-1], [0], [""], [1.0], [1.0], [False], [False]
         self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[Block] = []
 
-    def add(self, parent: int, name: str, step: str, weight: float, sticky: bool, main: bool) -> int:
+    def add(self, parent: int, name: str, step: str, element: float, weight: float, sticky: bool, main: bool) -> int:
         self.parent.append(parent)
         self.path.append(self.paths.setdefault((self.path[parent], step), len(self.paths) + 1))
         self.name.append(name)
+        self.element.append(element)
         self.weight.append(weight)
         self.sticky.append(sticky)
         self.main.append(main)
@@ -85,34 +89,37 @@ class Block:
         self.text, self.score = "", 0.0
 
 
-def weighed(name: str, attributes: str, inside: dict[str, int]) -> tuple[float, bool]:
-    """How much an element by itself speaks for (1) or against its text, and whether it holds readers' comments.
+def weighed(name: str, attributes: str, inside: dict[str, int]) -> tuple[float, float, bool]:
+    """What an element and its class words weigh (1: nothing against its text), and whether it holds readers' comments.
 
-    inside counts the open elements by name. No element or class word excludes text: these are weights of scores.
+    inside counts the open elements by name. Elements, roles and hiding are what HTML defines as apart, an article within
+    an article too. Class words only guess, so they are weights of scores. Within an article none counts, but for a
+    class that is as a whole the name of an advert or of comments; within a main element, and for articles, only those
+    of readers' comments do.
     """
-    weight, readers = 1.0, False
-    if name in ASIDE or name == "header" and not any(inside.get(x) for x in SCOPES):
-        weight = FAINT
+    element, words, readers = 1.0, 1.0, False
+    article, main = inside.get("article", 0) > 0, inside.get("main", 0) > 0
+    if name in ASIDE or name == "header" and not any(inside.get(x) for x in SCOPES) or name == "article" and article:
+        element = FAINT
     if attributes and ("=" in attributes or "hidden" in attributes):
         if HIDDEN.search(attributes):
-            weight *= FAINT
+            element = FAINT
         for m in MARKS.finditer(attributes):
             value = (m[1] or m[2] or m[3] or "").lower()
             if m[0][:4].lower() == "role":
                 if value in ROLES:
-                    weight = min(weight, FAINT)
+                    element = FAINT
                 continue
-            if name in ("body", "html"):
+            if article and APART & set(value.split()):
+                words = FAINT
+            if article or name in ("body", "html", "main"):
                 continue
             found = set(PARTS.findall(value))
             if found & READERS and "no" not in found:
-                weight, readers = min(weight, FAINT), True
-            bad = found & FURNITURE
-            if any(inside.get(x) for x in SCOPES):
-                bad -= {"header"}
-            if bad and name != "main":
-                weight = min(weight, UNSURE if found & LAYOUT else FAINT)
-    return weight, readers
+                words, readers = FAINT, True
+            if found & FURNITURE and not main and name != "article":
+                words = min(words, UNSURE if found & LAYOUT else FAINT)
+    return element, words, readers
 
 
 def parsed(page: str) -> Page:
@@ -146,15 +153,14 @@ def parsed(page: str) -> Page:
     def push(name: str, attributes: str) -> None:
         nonlocal current
         up = stack[-1][1] if stack else 0
-        weight, readers = weighed(name, attributes, inside)
+        element, words, readers = weighed(name, attributes, inside)
         kind = MARKS.search(attributes) if attributes else None
         step = name if kind is None else f"{name}.{(kind[1] or kind[2] or kind[3] or '').lower()}"
+        step += "!" * (element < 1)  # a path of its own
         sticky = out.sticky[up] or readers
-        main = not sticky and weight == 1 and name in ("article", "main")
-        held = out.weight[up]
-        if main and not sticky and (name == "main" or held == UNSURE):
-            held = 1.0  # what stands around the main element says nothing of it
-        stack.append((name, out.add(up, name, step, held * weight, sticky, main or out.main[up] and weight == 1)))
+        main = not sticky and element == 1 and name in ("article", "main")
+        held = out.element[up] if main else out.weight[up]  # class words around an article say nothing of it
+        stack.append((name, out.add(up, name, step, out.element[up] * element, held * element * words, sticky, main or out.main[up] and element == 1)))
         inside[name] = inside.get(name, 0) + 1
         current = None
 
@@ -188,7 +194,7 @@ def parsed(page: str) -> Page:
         if not m[4]:  # a tag cut off by the end of the page
             break
         closing, name, attributes = bool(m[1]), m[2].lower(), m[3]
-        if name in RAW and not closing:
+        if (name in RAW or name == "title" and not inside.get("body")) and not closing:
             if name in ("title", "script", "style", "textarea") or not attributes.endswith("/"):
                 at = skipped(name) or end
         elif name == "br":
@@ -201,7 +207,7 @@ def parsed(page: str) -> Page:
                 links = 0 if closing else 1
             elif name == "button" and not closing:
                 at = skipped(name) or at
-            elif not closing and attributes and weighed(name, attributes, inside)[0] < 1:
+            elif not closing and attributes and min(weighed(name, attributes, inside)[:2]) < 1:
                 push(name, attributes)  # an inline notice: it is a node of its own until it closes
             elif closing and inside.get(name):
                 while pop() != name:
@@ -231,10 +237,15 @@ def extract(page: str, smoothing: float = 1.0, share: float = 0.75, threshold: f
 
     Text length and punctuation are summed by tag path and divided by the path's number of blocks; both ratios are
     smoothed over the blocks in page order (Gaussian weights) and fused as a product, damped by the share of links and
-    weighed by what elements and class words tell. Paths that reach threshold times the mean score are content. The
+    weighed by what elements and class words tell (weighed). Paths that reach threshold times the mean score are content. The
     content node is the lowest one that holds share of their score; what stands in it is the main text, but for blocks
     that are furniture within it, and for those before the first or after the last content whose path by itself doesn't
     reach tail of the threshold (an article or main element multiplies its score by NAMED). A page's time grows with its length only.
+
+    What is left out within an article: elements that HTML sets apart (nav, aside, footer, form, button, menu, dialog,
+    hidden ones, an article in an article), what it doesn't show as text (scripts, styles, options of a form, embedded
+    objects), paths that are mostly links, and elements whose class is as a whole the name of an advert or of comments
+    (`ad`, not `ad-hoc`). No other word of a class and no word of a text excludes anything there; formulas (MathML) are text. Outside articles class words weigh, too, and a notice that stands in the same path as the text stays.
     """
     tree = parsed(page)
     found = tree.blocks
@@ -298,13 +309,7 @@ def extract(page: str, smoothing: float = 1.0, share: float = 0.75, threshold: f
         b = region[i]
         if not kept[i] and kept[i + 1] and tree.name[b.node] in HEADINGS and tree.weight[b.node] >= 0.5 * usual:
             kept[i] = True
-    texts = [b for b, keep in zip(region, kept) if keep]
-    # notices that have no element of their own to tell them by, at the ends of a text outside article and main
-    while len(texts) > 1 and not tree.main[texts[0].node] and len(texts[0].text) < 300 and NOTICE.search(texts[0].text):
-        texts.pop(0)
-    while len(texts) > 1 and not tree.main[texts[-1].node] and len(texts[-1].text) < 300 and NOTICE.search(texts[-1].text):
-        texts.pop()
-    return "\n\n".join(b.text for b in texts)
+    return "\n\n".join(b.text for b, keep in zip(region, kept) if keep)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:

@@ -307,6 +307,7 @@ def test_html_of_generated_pages(spark):
 
 MENU = "<body><div class=x><ul><li>Home</li><li>About us</li><li>News</li><li>Contact</li></ul><p>One text, long. Indeed it is.</p><p>And more, yes; here it is, for all to read.</p></div></body>"
 TEXT = "One text, long. Indeed it is."
+LONG = "One text, long enough to be told. Indeed it is, as all can see; nobody would say that it is short, or would they? They would not, we are sure of it."
 
 
 @pytest.mark.parametrize(
@@ -315,8 +316,16 @@ TEXT = "One text, long. Indeed it is."
         (f'<div class="content-sidebar-wrap"><main><article><h1>T</h1><p>{TEXT}</p></article></main><div class="sidebar"><p>Other, thing. Here.</p></div></div>', f"T\n\n{TEXT}"),
         (f'<article><div class="post-header"><h1>My title</h1></div><p>{TEXT}</p></article>', f"My title\n\n{TEXT}"),
         (f'<main><article><h1>T</h1><p>{TEXT}</p></article><article class="comment"><p>I say this at length, with commas. Indeed.</p></article></main><article class="comment"><p>I, too.</p></article>', f"T\n\n{TEXT}"),
-        (f"<body><div>We use cookies on this site, please accept.</div><div><p>{TEXT}</p><p>And more, yes.</p></div><div>Copyright 2024 Some Company. All rights reserved.</div></body>", f"{TEXT}\n\nAnd more, yes."),
-        (f"<body><p>We use cookies on this site, please accept.</p><p>{TEXT}</p><p>And more, yes.</p><p>© 2024 Some Company.</p></body>", f"{TEXT}\n\nAnd more, yes."),
+        (f"<body><div>We use cookies on this site, please accept.</div><div><p>{LONG}</p><p>{LONG}</p></div><div>Copyright 2024 Some Company. All rights reserved.</div></body>", f"{LONG}\n\n{LONG}"),
+        # what stands in one path with the text stays, whatever its words
+        (f"<div><p>Cookies you can use for Christmas, by our baker.</p><p>{LONG}</p><p>Cookies keep fresh in a tin; use them within a week.</p></div>", f"Cookies you can use for Christmas, by our baker.\n\n{LONG}\n\nCookies keep fresh in a tin; use them within a week."),
+        (f'<article><h1>T</h1><p>{LONG}</p><div class="social-policy"><p>Short, here.</p></div><p>{LONG}</p></article>', f"T\n\n{LONG}\n\nShort, here.\n\n{LONG}"),
+        (f'<article><h1>T</h1><p>{LONG}</p><section id="related-work"><h2>Related work</h2><p>Short, here.</p></section></article>', f"T\n\n{LONG}\n\nRelated work\n\nShort, here."),
+        ("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math>, as all know.</p></article>", "Energy is E=mc2, as all know."),
+        (f'<article><p>{LONG}</p><div class="ad-hoc comment-policy"><p>Short, here.</p></div><div class="ad"><p>Buy it, now.</p></div><p>{LONG}</p></article>', f"{LONG}\n\nShort, here.\n\n{LONG}"),
+        (f'<main class="sidebar-off"><p>{LONG}</p><div class="widget-title"><p>Short, here.</p></div><p>{LONG}</p></main>', f"{LONG}\n\nShort, here.\n\n{LONG}"),
+        (f'<div class="related"><article class="promo"><p>{LONG}</p><nav><a href=1>Home, here.</a></nav><aside><p>Apart, from it.</p></aside><form><p>Your name, please.</p></form><article><p>I agree, much.</p></article><p>{LONG}</p></article></div>', f"{LONG}\n\n{LONG}"),
+        (f'<article><p>{LONG}</p><ul class="links"><li><a href=1>One, two.</a></li><li><a href=2>Three, four.</a></li></ul><p hidden>Not, shown.</p></article>', LONG),
         ("<article><h1>Cake</h1><p>A cake, the best. Try it.</p><ul><li>2 eggs</li><li>Milk</li></ul></article>", "Cake\n\nA cake, the best. Try it.\n\n2 eggs\n\nMilk"),
         (f"<form><div><p>{TEXT}</p><p>And more, yes.</p></div></form>", f"{TEXT}\n\nAnd more, yes."),
         (MENU, f"{TEXT}\n\nAnd more, yes; here it is, for all to read."),
