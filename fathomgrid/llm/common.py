@@ -80,16 +80,6 @@ def materialize(df: DataFrame, files: int = 0, gather: bool = False) -> DataFram
     return table
 
 
-def relieve(spark: SparkSession) -> None:
-    """Asks executors to collect garbage, between steps that need much memory.
-
-    A collector keeps the heap that a step once needed, and buffers outside the heap live until the next collection;
-    the next step's Python workers stand beside both. One task for each core reaches the executors that are idle.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
-
-
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize() wrote and that nothing reads any more."""
     for table in tables:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checked, discard, fewer, materialize, relieve, slices, small_files, text_bytes
+from .common import as_bytes, checked, discard, fewer, materialize, slices, small_files, text_bytes
 from .components import components
 from .textops import LOWER, inside, mix, owner, windows, words
 
@@ -226,9 +226,9 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
             shard = (key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
             order = np.lexsort((node, key))
             key, node, flags, pair, shard = key[order], node[order], flags[order], pair[order], shard[order]
-            edge = np.searchsorted(shard, np.arange(shards + 1))
-            some = np.flatnonzero(np.diff(edge))
-            blobs = [[x[edge[s] : edge[s + 1]].tobytes() for s in some] for x in (key, node, flags, pair)]
+            first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            some, edge = shard[first], np.append(first, len(shard))
+            blobs = [[x[lo:hi].tobytes() for lo, hi in zip(edge[:-1], edge[1:])] for x in (key, node, flags, pair)]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["s", "key", "node", "flags", "pair"])
 
@@ -295,9 +295,7 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
         return pa.concat_tables(out)
 
     rows = source.mapInArrow(keys, "s int, key binary, node binary, flags binary, pair binary").groupBy("s").applyInArrow(bucket, "kind int, a long, b long, flags int, pair int, cost long")
-    relieve(docs.sparkSession)
     rows = materialize(rows, files, True)
-    relieve(docs.sparkSession)
     costly = rows.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"), "flags", "pair", "cost")
     # each set gives up its costliest keys, as far as its slack goes
     table = bands(percent, largest)
@@ -315,8 +313,14 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
     near = rows.filter("kind = 0").select("a", "b").union(joined.filter("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))).distinct()
     groups = materialize(rows.filter("kind = 1").select("a", "b").union(large).distinct(), files)
     near = materialize(_plausible(near, classes, percent), fewer(files), True)
-    links = materialize(verified(source, near, n, percent, id_col, text_col, files), fewer(files), True)
-    relieve(docs.sparkSession)
+    links = verified(source, near, n, percent, id_col, text_col, files)
+    # an id with several texts links their classes
+    several = materialize(found.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("d", "e", "size")).alias("lo"), F.max(F.struct("d", "e", "size")).alias("hi")).filter("lo <> hi").select("id"), fewer(files))
+    apart = several.isEmpty()
+    if not apart:
+        own = found.filter("size > 0").join(checked(several, 16), "id").select("id", "d", "e").distinct().join(classes.select("d", "e", "rep"), ["d", "e"])
+        links = links.union(own.filter("id <> rep").select(F.least("id", "rep").alias("u"), F.greatest("id", "rep").alias("v"))).distinct()
+    links = materialize(links, fewer(files), True)
     # keys whose sets lie in several components: who may still have a link there, in groups that such links connect
     named = materialize(_components(classes, links, files), files)
     sides = groups.join(named.filter(F.col("rep").isNotNull()).select(F.col("d").alias("b"), "rep", "size", "x", "c"), "b")
@@ -329,8 +333,12 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
         discard(named, links, family)
         links, named = every, materialize(_components(classes, every, files), files)
     discard(groups, open_keys, maybe, classes, links)
-    relieve(docs.sparkSession)
     out = found.join(named.select("d", "e", "c"), ["d", "e"], "left")
+    if not apart:  # a row without words has the component of its id's other texts
+        others = out.join(checked(several, 16), "id").filter("size > 0").groupBy("id").agg(F.min("c").alias("_c"))
+        out = out.join(checked(others, 24), "id", "left").withColumn("c", F.coalesce("c", "_c")).drop("_c")
+    else:
+        discard(several)
     out = out.coalesce(files) if files else out
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
 

@@ -20,8 +20,9 @@ def _name(a: Column, b: Column) -> Column:
     return F.concat(F.hex(a), F.lit("."), F.hex(b))
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 5, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Drops lines found on more than ratio of their host's pages, and on min_pages of them at least.
+def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 2, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """Drops lines found on more than ratio of their host's pages, and on min_pages of them at least (by default: a line
+    that only one page has isn't boilerplate, however few pages its host has).
 
     Returns (row: the input columns as a struct, kept_text, n_lines, n_removed). A page counts once for each of its
     lines, a row is a page, a line is what stands between line feeds, and blank lines stay. Rows without host are a host of

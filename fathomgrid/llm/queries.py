@@ -118,7 +118,7 @@ WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines
      found AS (SELECT source, unnest(list_distinct(lines)) AS line FROM pages),
      counts AS (SELECT source, line, count(*) AS n FROM found WHERE trim(line) <> '' GROUP BY source, line),
      totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
-     boiler AS (SELECT c.source, c.line FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n > 0.1 * pages),
+     boiler AS (SELECT c.source, c.line FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 2 AND n > 0.1 * pages),
      each AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM pages),
      kept AS (SELECT e.doc_id, count(*) AS n_lines, count(b.line) AS n_removed,
                      coalesce(string_agg(e.line, chr(10) ORDER BY e.at) FILTER (b.line IS NULL), '') AS kept

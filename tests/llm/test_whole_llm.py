@@ -1,6 +1,6 @@
 """Training-data operators do the whole of their job."""
 
-from fathomgrid.llm import language, lines
+from fathomgrid.llm import jaccard, language, lines
 
 
 def test_the_middle_of_a_long_run_counts():
@@ -17,8 +17,19 @@ def test_every_letter_is_in_a_word():
     assert language.WORD.findall("Donaudampfschiffahrt und so") == ["Donaudampfschiffahrt", "und", "so"]
 
 
-def test_small_hosts_lose_boilerplate_with_a_lower_guard(spark):
+def test_small_hosts_lose_boilerplate(spark):
     rows = [(i, f"own {i}\nmenu", "small") for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert {r["n_removed"] for r in lines.drop_boilerplate(docs).collect()} == {0}  # as the README says of 5 pages
-    assert {r["kept_text"] for r in lines.drop_boilerplate(docs, min_pages=2).collect()} == {f"own {i}" for i in range(4)}
+    assert {r["kept_text"] for r in lines.drop_boilerplate(docs).collect()} == {f"own {i}" for i in range(4)}
+    assert {r["n_removed"] for r in lines.drop_boilerplate(docs, min_pages=5).collect()} == {0}
+
+
+def test_an_id_with_several_texts_links_them(spark):
+    a, b, c = "alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue cyan pink grey"
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, ""), (9, c), (9, c), (8, ""), (8, None), (None, c), (11, b), (11, c)]
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r["doc_id"]: set() for r in got}
+    for r in got:
+        found[r["doc_id"]].add(r["component_id"])
+    assert len(got) == len(rows)
+    assert {i: x for i, x in found.items() if i is not None} == {3: {3}, 5: {3}, 7: {3}, 8: {8}, 9: {3}, 11: {3}}
