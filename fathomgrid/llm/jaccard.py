@@ -16,7 +16,7 @@ from .components import components
 from .textops import LOWER, inside, mix, owner, windows, words
 
 #: Keys in a shard (one task's unit), keys that a task gathers before it sends them, share of segments with deletions.
-SHARD_KEYS, FLUSH, RESERVE = 1 << 19, 1 << 18, 0.08
+SHARD_KEYS, FLUSH, RESERVE = 1 << 17, 1 << 17, 0.08
 #: A key with more sets is costly: its sets may give it up as far as their slack goes.
 COSTLY = 8
 #: Sets, and shingles of sets, of one key or family that make a block: a task compares two blocks at a time.
@@ -256,9 +256,8 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
 
     def bucket(t: pa.Table) -> pa.Table:
         """Pairs of sets and centres (kind 0), rows of larger keys (kind 1), rows of costly keys with their cost (2)."""
-        key, node, flags, pair = (np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()]) for c, k in (("key", np.uint64), ("node", np.uint64), ("flags", np.uint8), ("pair", np.int16)))
-        rank = flags & (DELETED | UPPER)
-        order = np.lexsort((rank, node, key))
+        key, node, flags, pair = (np.frombuffer(b"".join(x.as_py() for x in t.column(c)), k) for c, k in (("key", np.uint64), ("node", np.uint64), ("flags", np.uint8), ("pair", np.int16)))
+        order = np.lexsort((flags & (DELETED | UPPER), node, key))
         key, node, flags, pair = key[order], node[order], flags[order], pair[order]
         keep = np.ones(len(key), bool)
         keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
