@@ -21,6 +21,7 @@ from fathomgrid.operators import features as X
 from fathomgrid.operators import least_squares as R
 from fathomgrid.operators import panel as P
 from fathomgrid.operators import sharpe_test as L
+from fathomgrid.operators.order import settled
 
 from . import testpanel as T
 from .testpanel import EVERY, START, with_tables
@@ -254,7 +255,7 @@ def fitted(spark: SparkSession, d: str, fit, covariance: bool = False) -> DataFr
     begins at the first of them with more months than assets, as it has no estimate before. A universe whose months do
     not reach its first refit has nothing to forecast and is left out.
     """
-    p = T.model_panel(spark, d, 0)
+    p = settled(T.model_panel(spark, d, 0))  # read for each universe and for the forecasts
     sizes = p.groupBy("universe").agg((F.max("t") + 1).alias("months"), F.countDistinct("asset").alias("assets")).orderBy("universe").collect()
     fits = None
     for universe, months, assets in sizes:
