@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomgrid.functions.scalar import normal_quantile
 
-from . import order, scan
+from . import order, scan, sizes
 
 P = ("field", "i", "j")
 #: Ranges of values that divergence_positions ranks by themselves.
@@ -174,25 +173,9 @@ def effective_size(chains: np.ndarray) -> float:
     return float(m * n / tau)
 
 
-def tail_size(chains: np.ndarray) -> float:
-    """Least effective size of the indicators of both 5 per cent tails."""
-    lo, hi = np.quantile(chains, [0.05, 0.95])
-    return float(min(effective_size((chains < lo).astype(float)), effective_size((chains > hi).astype(float))))
-
-
 def effective_sizes(draws: DataFrame, by: tuple[str, ...] = P) -> DataFrame:
-    """(ess_bulk, ess_tail) of every parameter, a group of chains to a task."""
-    kinds = {f.name: f.dataType.simpleString() for f in draws.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", ess_bulk double, ess_tail double"
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        chains = [g.sort_values("draw")["value"].to_numpy(float) for _, g in rows.groupby("chain", sort=True)]
-        n = min(map(len, chains))
-        x = np.stack([c[:n] for c in chains])
-        return pd.DataFrame([[*key, effective_size(x), tail_size(x)]], columns=[*by, "ess_bulk", "ess_tail"])
-
-    out = draws.select(*by, "chain", "draw", "value").groupBy(*by).applyInPandas(one, schema)
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("ess_bulk", "ess_tail")})
+    """(ess_bulk, ess_tail) of every parameter, from blocks of its chains (see sizes)."""
+    return sizes.effective_sizes(draws, by)
 
 
 def diagnosed(draws: DataFrame, by: tuple[str, ...] = P) -> DataFrame:

@@ -10,7 +10,7 @@ from fathomgrid.operators import descriptive as D
 from fathomgrid.operators import draws as M
 from fathomgrid.operators import features as X
 from fathomgrid.operators import least_squares as R
-from fathomgrid.operators import order, scan
+from fathomgrid.operators import order, scan, sizes
 
 
 def series(n=1_000, seed=0):
@@ -155,3 +155,46 @@ def test_refits_gather_nothing(spark, monkeypatch):
     monkeypatch.setattr(type(p), "toPandas", None)
     plan = R.expanding_window(p, 20, 10, k=3)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "NestedLoop" not in plan
+
+
+def sizes_by_definition(chains):
+    n = min(map(len, chains))
+    x = np.stack([np.asarray(c[:n], float) for c in chains])
+    lo, hi = np.quantile(x, [0.05, 0.95])
+    low, high = (M.effective_size(t.astype(float)) for t in (x < lo, x > hi))
+    return M.effective_size(x), min(low, high) if low == low and high == high else np.nan
+
+
+@pytest.mark.parametrize("block", [32, 512])
+def test_effective_sizes_by_blocks(spark, block):
+    rng = np.random.default_rng(21)
+
+    def ar(rho, n):
+        x = [0.0]
+        for e in rng.standard_normal(n - 1):
+            x.append(rho * x[-1] + e)
+        return np.array(x)
+
+    chains = {
+        "quick": [ar(0.1, 300), ar(0.1, 301)],
+        "slow": [ar(0.98, 251) + 3, ar(0.98, 250), ar(0.98, 260)],  # cut to the shortest
+        "stuck": [np.arange(200.0), np.arange(200.0) + 1],
+        "one": [ar(0.5, 157)],
+        "flat": [np.ones(60), np.ones(60)],
+        "short": [ar(0.5, 7), ar(0.5, 9)],
+        "single": [np.array([1.0])],
+        "broken": [np.array([*ar(0.1, 40), np.inf]), ar(0.1, 41)],
+        "offset": [ar(0.3, 90) + 1e6, ar(0.3, 90) + 1e6],
+    }
+    rows = [(f, c, d, float(v)) for f, cs in chains.items() for c, x in enumerate(cs) for d, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "field string, chain int, draw int, value double").repartition(7)
+    found = sizes.effective_sizes(df, ("field",), block)
+    got = {r["field"]: (r["ess_bulk"], r["ess_tail"]) for r in found.collect()}
+    assert got.keys() == chains.keys()
+    for f, cs in chains.items():
+        if f == "broken":
+            assert got[f] == (None, None)
+        else:
+            np.testing.assert_allclose(np.array(got[f], float), sizes_by_definition(cs), rtol=1e-6, err_msg=f)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    assert sizes.effective_sizes(df.limit(0), ("field",), block).count() == 0
