@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import order
+
 BLOCKS, REPLICATES = (2, 5, 10, 20), 4_999
 
 
@@ -36,58 +34,95 @@ def hac_difference(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return out.select(*by, "n", "lags", "delta", "se", F.try_divide("delta", "se").alias("t_stat"))
 
 
-def _moments(x: np.ndarray) -> tuple[float, np.ndarray]:
-    m, g = x.mean(axis=0), (x * x).mean(axis=0)
-    v = g - m * m
-    s = v**1.5
-    return m[0] / np.sqrt(v[0]) - m[1] / np.sqrt(v[1]), np.array([g[0] / s[0], -g[1] / s[1], -m[0] / (2 * s[0]), m[1] / (2 * s[1])])
-
-
-def hac_error(x: np.ndarray) -> tuple[float, float]:
-    """The same delta and standard error from an array (months, 2)."""
-    n = len(x)
-    delta, gradient = _moments(x)
-    y = np.hstack([x, x * x])
-    z = (y - y.mean(axis=0)) @ gradient
-    lags = int(np.floor(4 * (n / 100) ** (2 / 9)))
-    psi = sum((1 if k == 0 else 2 * (1 - k / (lags + 1))) * (z[k:] @ z[: n - k]) / n for k in range(lags + 1))
-    return float(delta), float(np.sqrt(max(psi, 0) / n))
-
-
-def replicate(x: np.ndarray, block: int, delta: float, rng: np.random.Generator) -> float:
-    """|t*| of one circular block sample, studentised with the blocks' own covariance."""
-    n = len(x)
-    starts = rng.integers(0, n, -(-n // block))
-    sample = x[((starts[:, None] + np.arange(block)) % n).ravel()[:n]]
-    d, gradient = _moments(sample)
-    y = np.hstack([sample, sample * sample])
-    z = (y - y.mean(axis=0)) @ gradient
-    whole = n // block
-    sums = z[: whole * block].reshape(whole, block).sum(axis=1) / np.sqrt(block)
-    return abs(d - delta) / np.sqrt((sums @ sums) / whole / n)
-
-
-def bootstrap_p(df: DataFrame, by: tuple[str, ...], block: int = 5, replicates: int = REPLICATES, seed: int = 0, task: int = 250) -> DataFrame:
-    """p of each group's difference: replicates spread over tasks, each seeded by its number; series are short (months)."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    series = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "r1", "r2"))).alias("s"))
-    tasks = series.select(*by, "s", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(task))).alias("first")).repartition("first", *by)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                x = np.array([(p["r1"], p["r2"]) for p in row.s])
-                delta, se = hac_error(x)
-                t = abs(delta) / se
-                last = min(replicates, row.first + task)
-                hits = sum(replicate(x, block, delta, np.random.default_rng([seed, block, i])) >= t for i in range(row.first, last))
-                out.append((*(getattr(row, c) for c in by), hits))
-            yield pd.DataFrame(out, columns=[*by, "hits"])
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", hits long"
-    counted = tasks.mapInPandas(run, schema).groupBy(*by).agg(F.sum("hits").alias("hits"))
-    return counted.select(*by, F.lit(block).alias("block"), ((F.col("hits") + 1) / F.lit(replicates + 1.0)).alias("p"))
+# Multipliers and modulus (a prime) of the counter-based numbers that choose block starts.
+COUNTER, MODULUS = (48_271, 69_621, 16_807, 1_299_709), (1 << 31) - 1
+
+
+def _fifth_power(x: Column) -> Column:
+    square = x * x % MODULUS
+    return square * square % MODULUS * x % MODULUS
+
+
+def block_start(seed: int, block: Column, replicate: Column, number: Column, n: Column) -> Column:
+    """A number below n from (seed, block length, replicate, number of the block) alone: fifth powers modulo a prime,
+    which permute its residues, mixed with the counters twice. SQL computes the same."""
+    a, b, c, d = COUNTER
+    block, replicate, number = (x.cast("long") for x in (block, replicate, number))
+    first = _fifth_power((replicate * a + number * b + block * c + seed % MODULUS * d + 1) % MODULUS)
+    return _fifth_power((first + number * a + replicate * b + 1) % MODULUS) % n
+
+
+def _block_sums(df: DataFrame, by: tuple[str, ...], blocks: tuple[int, ...]) -> DataFrame:
+    """(by, block, start, whole, s1..s4): sums of the four centred series over every circular block, by prefix sums.
+
+    whole is false for the shorter block that ends a sample. Blocks longer than the series are left out.
+    """
+    every = W.partitionBy(*by)
+    series = {"s1": F.col("r1"), "s2": F.col("r2"), "s3": F.col("r1") * F.col("r1"), "s4": F.col("r2") * F.col("r2")}
+    x = df.select(*by, "t", *((c - F.avg(c).over(every)).alias(k) for k, c in series.items()))
+    so_far = every.orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    x = x.select(*by, "t", *(F.sum(k).over(so_far).alias(k) for k in series))
+    sums = x.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("t", *series))).alias("_p"), F.count(F.lit(1)).alias("n"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(b).alias("block"), F.lit(w).alias("whole")) for b in blocks for w in (True, False))))
+    sums = sums.select(*by, "n", "_p", kinds.alias("_k")).select(*by, "n", "_p", "_k.*").filter("block <= n")
+    sums = sums.withColumn("_size", F.when(F.col("whole"), F.col("block")).otherwise(F.col("n") % F.col("block"))).filter("_size > 0")
+    sums = sums.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("_end", F.col("start") + F.col("_size"))
+
+    def until(k: str, place: Column) -> Column:
+        return F.when(place == 0, 0.0).otherwise(F.element_at("_p", F.greatest(place, F.lit(1)).cast("int")).getField(k))
+
+    circular = lambda k: F.when(F.col("_end") <= F.col("n"), until(k, F.col("_end"))).otherwise(until(k, F.col("n")) + until(k, F.col("_end") - F.col("n"))) - until(k, F.col("start"))
+    return sums.select(*by, "block", "start", "whole", *(circular(k).alias(k) for k in series))
+
+
+def _replicates(df: DataFrame, by: tuple[str, ...], blocks: tuple[int, ...], replicates: int, seed: int) -> DataFrame:
+    """(by, block, rep, t_stat): |difference - delta| of every circular block sample over its blocks' own error."""
+    pairs = [(i, j) for i in range(1, 5) for j in range(i, 5)]
+    base = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"o{i}") for i, c in enumerate((F.col("r1"), F.col("r2"), F.col("r1") * F.col("r1"), F.col("r2") * F.col("r2")), 1)))
+    plan = base.select(*by, "n", F.explode(F.array(*map(F.lit, blocks))).alias("block")).filter("block <= n")
+    plan = plan.repartition(*by, "block").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = plan.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("block")) - 1)))
+    drawn = drawn.select(*by, "block", "rep", ((F.col("_j") + 1) * F.col("block") <= F.col("n")).alias("whole"), block_start(seed, F.col("block"), F.col("rep"), F.col("_j"), F.col("n")).alias("start"))
+    met = drawn.join(_block_sums(df, by, blocks), [*by, "block", "start", "whole"])
+    whole = lambda c: F.sum(F.when(F.col("whole"), c).otherwise(0.0))
+    x = met.groupBy(*by, "block", "rep").agg(
+        *(F.sum(f"s{i}").alias(f"d{i}") for i in range(1, 5)), *(whole(F.col(f"s{i}")).alias(f"w{i}") for i in range(1, 5)), *(whole(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"q{i}{j}") for i, j in pairs)
+    )
+    x = x.join(base, list(by))
+    x = x.withColumns({f"d{i}": F.col(f"d{i}") / F.col("n") for i in range(1, 5)})  # the sample's means less the series'
+    x = x.withColumns({f"m{i}": F.col(f"o{i}") + F.col(f"d{i}") for i in range(1, 5)})
+    v1, v2, u1, u2 = (F.col(f"{c}{i + 2}") - F.col(f"{c}{i}") * F.col(f"{c}{i}") for c in "mo" for i in (1, 2))
+    x = x.filter((v1 > 0) & (v2 > 0)).withColumns({"c1": F.pow(v1, F.lit(1.5)), "c2": F.pow(v2, F.lit(1.5))})
+    x = x.withColumn("_delta", F.col("m1") / F.sqrt(v1) - F.col("m2") / F.sqrt(v2) - (F.col("o1") / F.sqrt(u1) - F.col("o2") / F.sqrt(u2)))
+    x = x.withColumns({"g1": F.col("m3") / F.col("c1"), "g2": -F.col("m4") / F.col("c2"), "g3": -F.col("m1") / (2 * F.col("c1")), "g4": F.col("m2") / (2 * F.col("c2"))})
+    dot = lambda c: sum((F.col(f"g{i}") * F.col(f"{c}{i}") for i in range(2, 5)), F.col("g1") * F.col(f"{c}1"))
+    square = sum((F.col(f"g{i}") * F.col(f"g{j}") * F.col(f"q{i}{j}") * (1 if i == j else 2) for i, j in pairs[1:]), F.col("g1") * F.col("g1") * F.col("q11"))
+    # sum over whole blocks of (g . (S - block d))^2, of which the blocks' variance is made
+    shift = F.col("block") * dot("d")
+    number = F.floor(F.col("n") / F.col("block"))
+    spread = F.greatest(square - 2 * shift * dot("w") + number * shift * shift, F.lit(0.0)) / F.col("block")
+    return x.select(*by, "block", "rep", F.try_divide(F.abs("_delta"), F.sqrt(spread / number / F.col("n"))).alias("t_stat"))
+
+
+def block_sweep(df: DataFrame, by: tuple[str, ...], blocks: tuple[int, ...] = BLOCKS, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """hac_difference with p of the studentised circular block bootstrap for each block length (by, ..., block, p).
+
+    Each replicate's blocks start where counter-based numbers say, so that results depend on nothing but the seed; sums
+    over blocks come from prefix sums, replicates are rows. p is (1 + those whose statistic is no smaller) over one more
+    than replicates; a replicate that doesn't vary isn't counted. A block longer than the series gives no row. by must
+    not be null.
+    """
+    df = order.settled(df.select(*by, "t", "r1", "r2"))
+    base = hac_difference(df, by)
+    found = _replicates(df, by, tuple(dict.fromkeys(blocks)), replicates, seed).withColumnRenamed("t_stat", "_t").join(base, list(by))
+    kept = [c for c in base.columns if c not in by]
+    hits = found.groupBy(*by, "block").agg(*(F.first(c).alias(c) for c in kept), F.count_if(F.col("_t") >= F.abs("t_stat")).alias("_hits"))
+    return hits.withColumn("p", (F.col("_hits") + 1) / F.lit(replicates + 1.0)).drop("_hits")
+
+
+def bootstrap_p(df: DataFrame, by: tuple[str, ...], block: int = 5, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """(by, block, p) of one block length."""
+    return block_sweep(df, by, (block,), replicates, seed).select(*by, "block", "p")
 
 
 def compared(returns: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -97,11 +132,3 @@ def compared(returns: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     at = {m: f"_{i}" for i, m in enumerate(models)}
     sides = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(at[a]).alias("r1"), F.col(at[b]).alias("r2")) for a, b in pairs))
     return month.select("universe", "t", F.explode(sides).alias("p")).select("universe", "p.a", "p.b", "t", "p.r1", "p.r2").filter("r1 is not null and r2 is not null")
-
-
-def block_sweep(df: DataFrame, by: tuple[str, ...], blocks: tuple[int, ...] = BLOCKS, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
-    out = None
-    for b in blocks:
-        one = bootstrap_p(df, by, b, replicates, seed)
-        out = one if out is None else out.unionByName(one)
-    return hac_difference(df, by).join(out, list(by))

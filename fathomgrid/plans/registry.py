@@ -337,13 +337,11 @@ def sharpe_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """sharpe_pairs with the stacked portfolio as a fourth universe. A row for each universe and month: few enough to
-    be made once and handed to every block length."""
+    """sharpe_pairs with the stacked portfolio as a fourth universe."""
     r = every = model_returns(spark, d)
     for m in ("ar1", "mean"):
         every = every.unionByName(E.stacked(r.filter(F.col("model") == m)).withColumns({"universe": F.lit("stacked"), "model": F.lit(m)}))
-    pairs = L.compared(every, [("ar1", "mean")])
-    return spark.createDataFrame(pairs.collect(), pairs.schema)
+    return L.compared(every, [("ar1", "mean")])
 
 
 def named_corr(spark: SparkSession, d: str) -> DataFrame:
@@ -358,6 +356,23 @@ HAC = f"""{MODELS},
   ps AS (SELECT x.universe, any_value(x.n) AS n, any_value(x.lags) AS lags, any_value(x.delta) AS delta, sum(CASE WHEN y.i = x.i THEN 1.0 ELSE 2 * (1 - (y.i - x.i) / (x.lags + 1)) END * x.z * y.z / x.n) AS psi FROM zz x JOIN zz y ON x.universe = y.universe AND y.i >= x.i AND y.i - x.i <= x.lags GROUP BY 1)"""
 
 
+def bootstrap_sql() -> str:
+    """Every block sample spelt out, row by row."""
+    a, b, c, d = L.COUNTER
+    fifth = lambda x, y: f"{x} * {x} % {L.MODULUS} AS {x}2, {x}2 * {x}2 % {L.MODULUS} * {x} % {L.MODULUS} AS {y}"
+    pairs = HAC.replace(",\n  pr AS", ",\n  every_q AS (SELECT * FROM model_returns UNION ALL SELECT 'stacked', model, t, avg(q) FROM model_returns GROUP BY model, t),\n  pr AS").replace("FROM model_returns a JOIN model_returns b", "FROM every_q a JOIN every_q b")
+    return f"""{pairs},
+  bx AS (SELECT universe, row_number() OVER (PARTITION BY universe ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY universe) AS n, r1, r2 FROM pr),
+  bj AS (SELECT universe, n, block, rep, unnest(range((n + block - 1) // block)) AS j FROM (SELECT DISTINCT universe, n FROM bx), (SELECT unnest({list(L.BLOCKS)}) AS block), (SELECT unnest(range({L.REPLICATES})) AS rep) WHERE block <= n),
+  bd AS (SELECT *, (rep * {a} + j * {b} + block * {c} + 1) % {L.MODULUS} AS x, {fifth("x", "f")}, (f + j * {a} + rep * {b} + 1) % {L.MODULUS} AS y, {fifth("y", "e")}, e % n AS start FROM bj),
+  bo AS (SELECT universe, n, block, rep, j, (start + o) % n AS i FROM (SELECT universe, n, block, rep, j, start, unnest(range(block)) AS o FROM bd) WHERE j * block + o < n),
+  bs AS (SELECT bo.*, r1, r2 FROM bo JOIN bx USING (universe, i)),
+  bm AS (SELECT universe, block, rep, avg(r1) AS m1, avg(r2) AS m2, avg(r1 * r1) AS g1, avg(r2 * r2) AS g2 FROM bs GROUP BY 1, 2, 3),
+  bg AS (SELECT *, pow(g1 - m1 * m1, 1.5) AS s1, pow(g2 - m2 * m2, 1.5) AS s2, m1 / sqrt(g1 - m1 * m1) - m2 / sqrt(g2 - m2 * m2) AS sample FROM bm WHERE g1 > m1 * m1 AND g2 > m2 * m2),
+  bz AS (SELECT universe, block, rep, j, any_value(n) AS n, any_value(sample) AS sample, sum(g1 / s1 * (r1 - m1) - g2 / s2 * (r2 - m2) - m1 / (2 * s1) * (r1 * r1 - g1) + m2 / (2 * s2) * (r2 * r2 - g2)) AS s FROM bs JOIN bg USING (universe, block, rep) WHERE (j + 1) * block <= n GROUP BY 1, 2, 3, 4),
+  bt AS (SELECT universe, block, rep, any_value(sample) AS sample, sqrt(sum(s * s) / any_value(block) / count(*) / any_value(n)) AS e FROM bz GROUP BY 1, 2, 3)"""
+
+
 # Of these four the queries without _all keep to the part types, as their SQL does; these take every universe.
 def gram_blocks_all(spark: SparkSession, d: str) -> DataFrame:
     p = predictors_of(spark, d)
@@ -451,7 +466,7 @@ def all_queries() -> dict[str, Query]:
         "diebold_mariano": Query("universe n:i lags:i mean:f stat:f p:f", lambda s, d: E.diebold_mariano(both_models(s, d), "predicted", "prefix"), q("forecasts", f"SELECT *, 2 * (1 - {cdf_sql('abs(stat)')}) AS p FROM tested", LRV.format(d=DM_D, src="forecasts"))),
         "clark_west": Query("universe n:i lags:i mean:f stat:f p:f", lambda s, d: E.clark_west(ar1(s, d)), q("forecasts", f"SELECT *, 1 - {cdf_sql('stat')} AS p FROM tested", LRV.format(d=CW_D, src="forecasts"))),
         "sharpe_diff_hac": Query("universe n:i lags:i delta:f se:f t_stat:f", lambda s, d: L.hac_difference(sharpe_pairs(s, d), ("universe", "a", "b")), q("weights", "SELECT universe, n, lags, delta, sqrt(greatest(psi, 0) / n) AS se, delta / nullif(sqrt(greatest(psi, 0) / n), 0) AS t_stat FROM ps", HAC)),
-        "sharpe_bootstrap": Query("universe n:i delta:f se:f block:i p:f", lambda s, d: L.block_sweep(bootstrap_pairs(s, d), ("universe", "a", "b"))),
+        "sharpe_bootstrap": Query("universe n:i delta:f se:f block:i p:f", lambda s, d: L.block_sweep(bootstrap_pairs(s, d), ("universe", "a", "b")), q("weights", f"SELECT universe, n, ps.delta, sqrt(greatest(psi, 0) / n) AS se, block, (1 + count(*) FILTER (abs(sample - ps.delta) / nullif(e, 0) >= abs(ps.delta) / sqrt(greatest(psi, 0) / n))) / {L.REPLICATES + 1.0} AS p FROM bt JOIN ps USING (universe) GROUP BY universe, n, ps.delta, psi, block", bootstrap_sql())),
         "cross_sort_stacked": Query("t:i q:f", lambda s, d: E.stacked(portfolio(s, d)), q("weights", "SELECT t, avg(q) AS q FROM portfolio GROUP BY 1")),
         "cross_sort_pooled": Query(
             "portfolio sharpe:f ce:f best_within:b",

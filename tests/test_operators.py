@@ -146,15 +146,45 @@ def test_newey_west_of_ar1(spark):
     assert x.var() < lrv < 1 / 0.09 * 1.3
 
 
+def ratio_moments(x):
+    m, g = x.mean(axis=0), (x * x).mean(axis=0)
+    v = g - m * m
+    s = v**1.5
+    return m[0] / np.sqrt(v[0]) - m[1] / np.sqrt(v[1]), np.array([g[0] / s[0], -g[1] / s[1], -m[0] / (2 * s[0]), m[1] / (2 * s[1])])
+
+
+def test_bootstrap_replicates(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0.2, 1, (43, 2)) + 5 * rng.normal(size=(43, 1))
+    df = spark.createDataFrame([("u", t, float(a), float(b)) for t, (a, b) in enumerate(x)], "universe string, t int, r1 double, r2 double")
+    got = L._replicates(df, ("universe",), (1, 5, 43, 50), 40, 7).toPandas()
+    assert sorted(set(got["block"])) == [1, 5, 43]  # the last is longer than the series
+    cell = spark.range(43).select(*(L.block_start(7, F.lit(b), F.lit(r), F.col("id"), F.lit(43)).alias(f"s{b}_{r}") for b in (1, 5, 43) for r in (0, 39))).toPandas()
+    delta, _ = ratio_moments(x)
+    for b in (1, 5):  # one block of 43 has the whole series in another order, and no error
+        for r in (0, 39):
+            at = np.concatenate([(s + np.arange(b)) % 43 for s in cell[f"s{b}_{r}"][: -(-43 // b)]])[:43]
+            d, gradient = ratio_moments(x[at])
+            y = np.hstack([x[at], x[at] ** 2])
+            sums = ((y - y.mean(axis=0)) @ gradient)[: 43 // b * b].reshape(-1, b).sum(axis=1)
+            want = abs(d - delta) / np.sqrt((sums @ sums) / b / len(sums) / 43)
+            assert got.query("block == @b and rep == @r")["t_stat"].item() == pytest.approx(want, rel=1e-6)
+    starts = spark.range(100_000).select(L.block_start(0, F.lit(5), F.col("id"), F.lit(3), F.lit(10)).alias("s")).groupBy("s").count().toPandas()
+    assert len(starts) == 10 and starts["count"].between(9_500, 10_500).all()
+
+
 def test_sharpe_difference(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(0.05, 1, (200, 2)) + rng.normal(size=(200, 1))
     df = spark.createDataFrame([("u", t, float(a), float(b)) for t, (a, b) in enumerate(x)], "universe string, t int, r1 double, r2 double")
     row = L.hac_difference(df, ("universe",)).first()
-    delta, se = L.hac_error(x)
-    assert row["delta"] == pytest.approx(delta) and row["se"] == pytest.approx(se)
+    delta, gradient = ratio_moments(x)
+    y = np.hstack([x, x * x])
+    z = (y - y.mean(axis=0)) @ gradient
+    psi = sum((1 if k == 0 else 2 * (1 - k / 5)) * (z[k:] @ z[: 200 - k]) / 200 for k in range(5))
+    assert row["lags"] == 4 and row["delta"] == pytest.approx(delta) and row["se"] == pytest.approx(np.sqrt(psi / 200))
     p = L.bootstrap_p(df, ("universe",), 5, 300).first()["p"]
-    assert 0.2 < p <= 1 and p == L.bootstrap_p(df.repartition(3), ("universe",), 5, 300, task=70).first()["p"]
+    assert 0.2 < p <= 1 and p == L.bootstrap_p(df.repartition(3), ("universe",), 5, 300).first()["p"]
     better = df.withColumn("r1", F.col("r1") + 1.5)
     assert L.bootstrap_p(better, ("universe",), 5, 200).first()["p"] < 0.02
 
