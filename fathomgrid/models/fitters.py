@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ def prior_of(model: str, r: np.ndarray, f: np.ndarray, **settings) -> priors.Pri
         if settings.get("prior") == "default":
             return priors.default_prior(r, f.shape[2])
         return priors.rescaled_prior(r, f, settings.get("target_r2", 0.05))
-    make = {"lasso": priors.lasso_prior, "horseshoe": priors.horseshoe_prior, "regularised": priors.regularised_prior}[model]
+    make = {"lasso": priors.lasso_prior, "horseshoe": priors.sparse_prior, "regularised": partial(priors.sparse_prior, nu=4.0)}[model]
     return make(r, f, **settings)
 
 

@@ -211,7 +211,7 @@ def _regularised(data: Data, state: State, rng: np.random.Generator, blocked: bo
     """Scales with a slab aren't conjugate: slice updates of their logarithms."""
     x, p = state.extra, data.prior
     if "lam" not in x:
-        x |= {"lam": np.zeros((data.n, data.k)), "tau": math.log(p.tau_0), "c2": math.log(p.slab_sd**2)}
+        x |= {"lam": np.zeros((data.n, data.k)), "tau": math.log(p.tau_0), "c2": math.log(p.slab_variance)}
 
     def variance(lam, tau, c2):
         a = 2 * (lam + tau)

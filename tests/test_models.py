@@ -67,14 +67,14 @@ def test_prior_scales():
     assert priors.implied_r2(p, s.r, s.f) == pytest.approx(0.05, rel=1e-9)
     lasso = priors.lasso_prior(s.r, s.f, 0.05)
     assert priors.implied_r2(lasso, s.r, s.f) == pytest.approx(0.05, rel=1e-9)
-    h = priors.horseshoe_prior(s.r, s.f, p0=2)
+    h = priors.sparse_prior(s.r, s.f, p0=2)
     assert priors.implied_m_eff(h, s.f, unit=True) == pytest.approx(2, rel=1e-9)
-    assert priors.horseshoe_prior(s.r, s.f, p0=2, n_choice="NT").tau_0 == pytest.approx(h.tau_0 / math.sqrt(5))
-    r = priors.regularised_prior(s.r, s.f, p0=2)
-    assert r.slab_sd == pytest.approx(math.sqrt(2) * r.slab_scale) and 0 < r.binding_fraction() < 1
+    assert priors.sparse_prior(s.r, s.f, p0=2, n_choice="NT").tau_0 == pytest.approx(h.tau_0 / math.sqrt(5))
+    r = priors.sparse_prior(s.r, s.f, p0=2, nu=4.0)
+    assert r.slab_variance == pytest.approx(2 * r.slab_scale**2) and 0 < priors.slab_reach(r.slab_variance, r.tau_0)[1] < 1
     d = priors.default_prior(s.r, 6)
     assert priors.coefficient_variance(d) == pytest.approx(0.103) and d.sigma_df == 7
-    for bad in (lambda: priors.horseshoe_prior(s.r, s.f, p0=6), lambda: priors.horseshoe_prior(s.r, s.f, 2, n_choice="X"), lambda: priors.regularised_prior(s.r, s.f, 2, nu=2), lambda: priors.pooled_scale(s.r[:, :6], s.f[:, :6])):
+    for bad in (lambda: priors.sparse_prior(s.r, s.f, p0=6), lambda: priors.sparse_prior(s.r, s.f, 2, n_choice="X"), lambda: priors.sparse_prior(s.r, s.f, 2, nu=2), lambda: priors.pooled_scale(s.r[:, :6], s.f[:, :6])):
         with pytest.raises(ValueError):
             bad()
 
@@ -147,7 +147,7 @@ def test_sequential_and_blocked_agree():
 
 def test_wide_slab_is_the_plain_horseshoe():
     s = data(4, 5, 150, seed=8, deviations="sparse", dev_sd=0.5)
-    base = priors.regularised_prior(s.r, s.f, p0=2, slab_scale=1e4)
+    base = priors.sparse_prior(s.r, s.f, p0=2, slab_scale=1e4, nu=4.0)
     reg = samplers.run("regularised", s.r, s.f, base, 900, 300, 3)
     plain = samplers.run("horseshoe", s.r, s.f, base, 900, 300, 3)
     np.testing.assert_allclose(reg.fields["B"].mean(axis=0), plain.fields["B"].mean(axis=0), atol=0.06)
@@ -174,7 +174,7 @@ def test_budget_of_a_backtest():
 
 def horseshoe_data():
     s = data(3, 4, 90, seed=3, deviations="sparse", dev_sd=0.6)
-    return s, priors.regularised_prior(s.r, s.f, p0=2)
+    return s, priors.sparse_prior(s.r, s.f, p0=2, nu=4.0)
 
 
 @pytest.mark.parametrize("model", ["horseshoe", "regularised"])
@@ -255,7 +255,7 @@ def test_calibration_and_recovery(spark):
 
 def test_prior_predictive(spark):
     s = data(3, 5, 50)
-    for p in (priors.horseshoe_prior(s.r, s.f, 2), priors.regularised_prior(s.r, s.f, 2)):
+    for p in (priors.sparse_prior(s.r, s.f, 2), priors.sparse_prior(s.r, s.f, 2, nu=4.0)):
         rows = simulate.prior_predictive(spark, p, s.f, float(s.r.var()), 40).toPandas()
         assert rows.m_eff.between(0, 5).all() and rows.r2.between(0, 1).all()
 
