@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from . import order, scan
 
 #: Draws in a block and lags in a stretch; even, so that no pair of lags falls into two stretches.
-BLOCK = 512
+BLOCK = 4_096
 KINDS = ("bulk", "low", "high")
 
 
@@ -90,16 +90,12 @@ def effective_sizes(draws: DataFrame, by: tuple[str, ...], block: int = BLOCK) -
     by must not be null.
     """
     names = list(by)
-    halves = _halves(draws, by)
+    halves = order.settled(_halves(draws, by))
     longest = halves.agg(F.max("_len")).first()[0] or 0
     several = longest > block
-    if several:
-        halves = order.settled(halves)
     tails = order.quantiles(halves, "value", by, {"_lo": 0.05, "_hi": 0.95})
-    blocks = _blocks(halves, tails, by, block)
+    blocks = order.settled(_blocks(halves, tails, by, block))
     groups, series = [*names, "_kind"], [*names, "_kind", "chain", "_half"]
-    if several:
-        blocks = order.settled(blocks)
     means = blocks.groupBy(*series, "_len").agg((F.sum("_sum") / F.col("_len")).alias("_mean"), F.max("_odd").alias("_odd"))
     wide = blocks.drop("_sum", "_odd").join(means.drop("_len", "_odd"), series)
     if several:
