@@ -100,6 +100,35 @@ def test_no_task_sorts_a_dealt_group(spark, monkeypatch):
     assert M.rank_normalised(draws).select("rank").distinct().count() == 20_000
 
 
+def halves_by_definition(df, reps, k):
+    """Rank correlations and overlaps of half_split_stability by whole sorts."""
+    a1, a2, a3, a4 = M.SHUFFLE
+    df = df[df["draw"] <= df["j"].map(df.groupby(["j", "chain"])["draw"].max().groupby("j").min())]
+    out = []
+    for rep in range(reps):
+        pool = df[["chain", "draw"]].drop_duplicates()
+        pool["mixed"] = ((pool["chain"] + 1) * a1 + (pool["draw"] + 1) * a2 + (rep + 1) * a3) % M.MODULUS * a4 % M.MODULUS
+        pool = pool.sort_values(["mixed", "chain", "draw"])
+        pool["first"] = np.arange(len(pool)) < len(pool) // 2
+        size = df.merge(pool, on=["chain", "draw"]).groupby(["first", "j"])["value"].mean().abs().unstack()
+        a, b = (size.loc[side].sort_index().rank(method="first") for side in (True, False))
+        out.append((np.corrcoef(a, b)[0, 1], len(set(a.index[a > len(a) - k]) & set(b.index[b > len(b) - k])) / k))
+    return out
+
+
+@pytest.mark.parametrize("bits", [3, 19, 40])
+def test_half_splits_of_long_chains(spark, monkeypatch, bits):
+    monkeypatch.setattr(M, "RANGE_BITS", bits, raising=False)
+    n = 30_200  # 30,000 x 104,729 is beyond 32 bits
+    j, chain, draw = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(2), np.arange(30_000, n), indexing="ij"))
+    df = pd.DataFrame({"j": j, "chain": chain, "draw": draw, "value": np.random.default_rng(5).standard_normal(len(j))})
+    df = df[(df["chain"] == 0) | (df["draw"] < n - 7 * (df["j"] + 1))]  # parameters' chains differ in length
+    rows = spark.createDataFrame(df).select("j", F.col("chain").cast("int"), F.col("draw").cast("int"), "value")
+    rho, overlap = np.array(halves_by_definition(df, 5, 2)).T
+    got = M.half_split_stability(rows, 5, 2).first()
+    np.testing.assert_allclose([*got], [np.median(rho), np.quantile(rho, 0.1), np.median(overlap), np.quantile(overlap, 0.1)], rtol=1e-9)
+
+
 def panel(spark, n, months, k, seed=3):
     rng = np.random.default_rng(seed)
     f = np.concatenate([np.ones((n, months, 1)), rng.standard_normal((n, months, k - 1))], axis=2)
