@@ -45,23 +45,36 @@ def small(df: DataFrame, by: tuple[str, ...]) -> bool:
     return (df.groupBy(*by).count().agg(F.max("count").alias("n")).first()["n"] or 0) <= WHOLE
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """df as it stays, broadcast if its rows (of few numbers) are few."""
+    df = settled(df)
+    return F.broadcast(df) if df.count() * 128 <= BROADCAST_BYTES else df
+
+
+def counts(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
+    """Distinct values with their counts (by, _v, _n), without null."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def _counted(df: DataFrame, value: str, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Distinct values with their counts and buckets (by, _v, _n, _bucket), and buckets with the rows below and of the group."""
-    values = _dealt(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), by)
-    sizes = values.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
-    group = W.partitionBy(*by)  # a row for each bucket
-    below = F.coalesce(F.sum("_size").over(group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return values, sizes.withColumn("_below", below).withColumn("_all", F.sum("_size").over(group))
+    some = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    return _dealt(counts(df, value, by), some, by)
 
 
-def _dealt(some: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def _dealt(values: DataFrame, some: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The same from counted values; splits are those of some (by, _v)."""
     sketch = F.percentile_approx("_v", [i / (STEP * STEP) for i in range(1, STEP * STEP)], ACCURACY)
     splits = settled(some.groupBy(*by).agg(F.array_sort(sketch).alias("_splits")))
     splits = splits.withColumn("_coarse", F.filter("_splits", lambda _, i: i % STEP == STEP - 1))
     if splits.count() * STEP * STEP * 9 <= BROADCAST_BYTES:
         splits = F.broadcast(splits)
-    values = some.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")).join(splits, list(by)) if by else some.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).crossJoin(splits)
-    return values.select(*by, "_v", "_n", _bucket(F.col("_v")).alias("_bucket"))
+    met = values.join(splits, list(by)) if by else values.crossJoin(splits)
+    values = met.select(*(values[c] for c in values.columns if c not in by), *by, _bucket(F.col("_v")).alias("_bucket"))
+    sizes = values.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
+    group = W.partitionBy(*by)  # a row for each bucket
+    below = F.coalesce(F.sum("_size").over(group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return values, sizes.withColumn("_below", below).withColumn("_all", F.sum("_size").over(group))
 
 
 def ranked(df: DataFrame, value: str, by: tuple[str, ...], name: str = "rank", count: str = "_all") -> DataFrame:
@@ -74,12 +87,36 @@ def ranked(df: DataFrame, value: str, by: tuple[str, ...], name: str = "rank", c
         ties = F.count(F.lit(1)).over(W.partitionBy(*by, value))
         rank = F.rank().over(W.partitionBy(*by).orderBy(F.asc_nulls_last(value))) + (ties - 1) / 2.0
         return df.withColumn(name, F.when(some, rank)).withColumn(count, F.when(some, F.count(value).over(W.partitionBy(*by))))
-    values, buckets = _counted(df, value, by)
+    found = _placed(*_counted(df, value, by), by).select(*by, "_v", F.col("_rank").alias(name), F.col("_all").alias(count))
+    return df.withColumn("_v", F.col(value).cast("double")).join(found, [*by, "_v"], "left").drop("_v")
+
+
+def _placed(values: DataFrame, buckets: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Dealt values with their _rank and the number of all in their group."""
     own = W.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     inside = values.withColumn("_inside", F.coalesce(F.sum("_n").over(own), F.lit(0)))
-    found = inside.join(buckets, [*by, "_bucket"])
-    found = found.select(*by, "_v", (F.col("_below") + F.col("_inside") + (F.col("_n") + 1) / 2).alias(name), F.col("_all").alias(count))
-    return df.withColumn("_v", F.col(value).cast("double")).join(found, [*by, "_v"], "left").drop("_v")
+    found = inside.join(buckets, [*by, "_bucket"]).withColumn("_rank", F.col("_below") + F.col("_inside") + (F.col("_n") + 1) / 2)
+    return found.drop("_bucket", "_inside", "_size", "_below")
+
+
+def counted_ranks(values: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Counted values (by, _v, _n and others) with _rank, as ranked gives it to their rows, and _all, the group's rows.
+
+    values is read more than once, so it should be settled.
+    """
+    if small(values, by):
+        group = W.partitionBy(*by)
+        below = F.coalesce(F.sum("_n").over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        return values.withColumn("_rank", below + (F.col("_n") + 1) / 2).withColumn("_all", F.sum("_n").over(group))
+    return _placed(*_dealt(values, values, by), by)
+
+
+def counted_quantiles(values: DataFrame, by: tuple[str, ...], levels: dict[str, float]) -> DataFrame:
+    """quantiles of the rows that counted values stand for; values should be settled."""
+    if small(values, by):
+        found = values.groupBy(*by).agg(F.percentile("_v", F.array(*(F.lit(float(p)) for p in levels.values())), F.col("_n")).alias("_q"))
+        return found.select(*by, *(F.col("_q")[i].alias(n) for i, n in enumerate(levels)))
+    return _interpolated(*_dealt(values, values, by), by, levels)
 
 
 def quantiles(df: DataFrame, value: str, by: tuple[str, ...], levels: dict[str, float]) -> DataFrame:
@@ -91,7 +128,10 @@ def quantiles(df: DataFrame, value: str, by: tuple[str, ...], levels: dict[str,
     if small(df, by):
         found = df.groupBy(*by).agg(F.percentile(value, F.array(*(F.lit(float(p)) for p in levels.values()))).alias("_q")).filter("_q is not null")
         return found.select(*by, *(F.col("_q")[i].alias(n) for i, n in enumerate(levels)))
-    values, buckets = _counted(df, value, by)
+    return _interpolated(*_counted(df, value, by), by, levels)
+
+
+def _interpolated(values: DataFrame, buckets: DataFrame, by: tuple[str, ...], levels: dict[str, float]) -> DataFrame:
     asked = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in levels.items())))
     place = F.col("_q.p") * (F.col("_all") - 1)
     wanted = buckets.withColumn("_q", asked).withColumn("_part", place - F.floor(place)).withColumn("_k", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))))

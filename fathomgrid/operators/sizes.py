@@ -23,6 +23,7 @@ from . import order, scan
 #: Draws in a block and lags in a stretch; even, so that no pair of lags falls into two stretches.
 BLOCK = 4_096
 KINDS = ("bulk", "low", "high")
+TAILS = {"_lo": 0.05, "_hi": 0.95}
 
 
 @pandas_udf(ArrayType(DoubleType()))
@@ -38,11 +39,20 @@ def _products(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series,
         yield pd.Series(out, dtype=object)
 
 
-def _halves(draws: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def placed(draws: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, chain, value, _place, _rows), settled: a draw's place in its chain and the chain's length."""
+    rows = draws.select(*by, "chain", "draw", F.col("value").cast("double").alias("value"))
+    return order.settled(scan.numbered(rows, (*by, "chain"), "draw", "_place", count="_rows").drop("draw"))
+
+
+def shortest(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, _n): each parameter's shortest chain."""
+    return order.sent(rows.groupBy(*by).agg(F.min("_rows").alias("_n")))
+
+
+def _halves(rows: DataFrame, short: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """(by, chain, _half, _at, _len, value): both halves of each chain, cut to the shortest; an odd middle draw goes."""
-    rows = scan.numbered(draws.select(*by, "chain", "draw", "value"), (*by, "chain"), "draw", "_place", count="_rows")
-    shortest = rows.groupBy(*by).agg(F.min("_rows").alias("_n"))
-    rows = rows.join(shortest, list(by)).filter("_place < _n").withColumn("_len", F.floor(F.col("_n") / 2))
+    rows = rows.join(short, list(by)).filter("_place < _n").withColumn("_len", F.floor(F.col("_n") / 2))
     second = F.col("_place") >= F.col("_n") - F.col("_len")
     rows = rows.withColumn("_half", F.when(F.col("_place") < F.col("_len"), 0).when(second, 1))
     return rows.withColumn("_at", F.col("_place") - F.when(second & (F.col("_half") == 1), F.col("_n") - F.col("_len")).otherwise(0))
@@ -89,12 +99,17 @@ def effective_sizes(draws: DataFrame, by: tuple[str, ...], block: int = BLOCK) -
     initial positive pairs. Null if a half has fewer than four draws, a draw is null or not finite, or nothing varies;
     by must not be null.
     """
+    rows = placed(draws, by)
+    short = shortest(rows, by)
+    return of_placed(rows, short, order.quantiles(_halves(rows, short, by), "value", by, TAILS), by, block)
+
+
+def of_placed(rows: DataFrame, short: DataFrame, tails: DataFrame, by: tuple[str, ...], block: int = BLOCK) -> DataFrame:
+    """effective_sizes of placed draws, given their shortest chains and the quantiles TAILS of the draws within these."""
     names = list(by)
-    halves = order.settled(_halves(draws, by))
-    longest = halves.agg(F.max("_len")).first()[0] or 0
+    longest = (short.agg(F.max("_n")).first()[0] or 0) // 2
     several = longest > block
-    tails = order.quantiles(halves, "value", by, {"_lo": 0.05, "_hi": 0.95})
-    blocks = order.settled(_blocks(halves, tails, by, block))
+    blocks = order.settled(_blocks(_halves(rows, short, by), order.sent(tails), by, block))
     groups, series = [*names, "_kind"], [*names, "_kind", "chain", "_half"]
     means = blocks.groupBy(*series, "_len").agg((F.sum("_sum") / F.col("_len")).alias("_mean"), F.max("_odd").alias("_odd"))
     wide = blocks.drop("_sum", "_odd").join(means.drop("_len", "_odd"), series)
@@ -133,9 +148,9 @@ def effective_sizes(draws: DataFrame, by: tuple[str, ...], block: int = BLOCK) -
     ok = (F.col("_len") >= 4) & ~F.col("_odd") & (F.col("_within") > 0) & (F.col("_total") > 0)
     ess = stats.join(used, groups, "left").select(*groups, F.when(ok, draws_ / tau).alias("_ess"))
     of = {k: F.max(F.when(F.col("_kind") == k, F.col("_ess"))) for k in KINDS}
-    return _with_short(ess.groupBy(*by).agg(of["bulk"].alias("ess_bulk"), F.when(of["low"].isNotNull() & of["high"].isNotNull(), F.least(of["low"], of["high"])).alias("ess_tail")), draws, names)
+    return _with_short(ess.groupBy(*by).agg(of["bulk"].alias("ess_bulk"), F.when(of["low"].isNotNull() & of["high"].isNotNull(), F.least(of["low"], of["high"])).alias("ess_tail")), short, names)
 
 
-def _with_short(found: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
+def _with_short(found: DataFrame, every: DataFrame, by: list[str]) -> DataFrame:
     """A row for each parameter, those too short for halves included."""
-    return draws.select(*by).distinct().join(found, by, "left")
+    return every.select(*by).join(found, by, "left")

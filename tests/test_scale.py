@@ -129,6 +129,59 @@ def test_half_splits_of_long_chains(spark, monkeypatch, bits):
     np.testing.assert_allclose([*got], [np.median(rho), np.quantile(rho, 0.1), np.median(overlap), np.quantile(overlap, 0.1)], rtol=1e-9)
 
 
+def rhat_by_steps(draws, by=("field",)):
+    """rank_rhat with the ranks of every draw, value by value."""
+    chain = ("chain", "half")
+    middle = order.quantiles(draws, "value", by, {"m": 0.5})
+    folded = draws.join(middle, list(by)).withColumn("folded", F.abs(F.col("value") - F.col("m"))).drop("m")
+    bulk, tail = (M.classic_rhat(M.split(M.rank_normalised(d, by, c), by), "z", by, chain) for d, c in ((draws, "value"), (folded, "folded")))
+    return bulk.withColumnRenamed("rhat", "bulk").join(tail.withColumnRenamed("rhat", "tail"), list(by))
+
+
+def odd_chains():
+    rng = np.random.default_rng(11)
+    return {
+        "long": [rng.standard_normal(301), rng.standard_normal(250) + 0.3, rng.standard_normal(277)],
+        "tied": [rng.integers(0, 4, 90).astype(float), rng.integers(0, 5, 91).astype(float)],
+        "stuck": [np.full(40, 1.5), np.full(40, 1.5 + 1e-9)],
+        "flat": [np.full(9, 0.1), np.full(9, 0.1)],
+        "gaps": [np.where(rng.random(60) < 0.2, np.nan, rng.standard_normal(60)), rng.standard_normal(61)],
+        "none": [np.full(8, np.nan)],
+        "single": [np.array([2.0])],
+        "short": [np.array([1.0, 2.0, 4.0]), np.array([1.0, 5.0, 2.0])],
+    }
+
+
+@pytest.mark.parametrize("whole", [0, 1 << 18])
+def test_rhat_of_counted_draws(spark, monkeypatch, whole):
+    rows = [(f, c or None, d, None if v != v else float(v)) for f, cs in odd_chains().items() for c, x in enumerate(cs) for d, v in enumerate(x)]  # one chain's number is null
+    df = spark.createDataFrame(rows, "field string, chain int, draw int, value double").repartition(5).cache()
+    monkeypatch.setattr(order, "WHOLE", whole)
+    monkeypatch.setattr(order, "STEP", 3)
+    want = {r["field"]: (r["bulk"], r["tail"]) for r in rhat_by_steps(df).collect()}
+    got = {r["field"]: (r["bulk"], r["tail"]) for r in M.rank_rhat(df, ("field",)).collect()}
+    assert got.keys() == want.keys() and got["flat"] == got["stuck"] == (None, None)
+    for f, w in want.items():
+        np.testing.assert_allclose(np.array(got[f], float), np.array(w, float), rtol=1e-9, err_msg=f)
+
+
+def test_diagnosis_reads_draws_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    values = np.random.default_rng(12).standard_normal(2_000).tolist()
+
+    def rows(part):
+        for i in part:
+            read.add(1)
+            yield "f", i % 2, i // 2, values[i]
+
+    draws = spark.createDataFrame(spark.sparkContext.parallelize(range(2_000), 4).mapPartitions(rows), "field string, chain int, draw int, value double")
+    found = M.diagnosed(draws, ("field",)).first()
+    assert read.value <= 2 * 2_000  # once for the numbers of chunks, once for the draws
+    sizes_ = sizes.effective_sizes(draws, ("field",)).first()
+    np.testing.assert_allclose([found["ess_bulk"], found["ess_tail"]], [sizes_["ess_bulk"], sizes_["ess_tail"]], rtol=1e-9)
+    np.testing.assert_allclose(found["rhat"], max(rhat_by_steps(draws).first()[1:]), rtol=1e-9)
+
+
 def panel(spark, n, months, k, seed=3):
     rng = np.random.default_rng(seed)
     f = np.concatenate([np.ones((n, months, 1)), rng.standard_normal((n, months, k - 1))], axis=2)
