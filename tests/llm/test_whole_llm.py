@@ -1,6 +1,9 @@
 """Training-data operators do the whole of their job."""
 
-from fathomgrid.llm import jaccard, language, lines
+import corpus_pipeline
+import pyarrow.parquet as pq
+from fathomgrid.llm import common, jaccard, language, lines
+from pyspark.sql import functions as F
 
 
 def test_the_middle_of_a_long_run_counts():
@@ -33,3 +36,15 @@ def test_an_id_with_several_texts_links_them(spark):
         found[r["doc_id"]].add(r["component_id"])
     assert len(got) == len(rows)
     assert {i: x for i, x in found.items() if i is not None} == {3: {3}, 5: {3}, 7: {3}, 8: {8}, 9: {3}, 11: {3}}
+
+
+def test_what_a_stage_returns_is_written_in_small_row_groups(spark, tmp_path):
+    text = F.expr("array_join(transform(sequence(1, 160), i -> sha2(concat_ws('/', id, i), 512)), ' ')")
+    docs = spark.range(0, 2_000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("a").alias("source"), F.length(text).cast("long").alias("n_chars"))
+    out = corpus_pipeline.dedup_lines(spark, docs, "")
+    out.write.parquet(str(tmp_path / "out"))
+    for path in (tmp_path / "out", common.materialize(out)._written):
+        files = [pq.ParquetFile(p).metadata for p in type(tmp_path)(path).glob("*.parquet")]
+        groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+        assert sum(g.num_rows for g in groups) == 2_000 and sum(g.total_byte_size for g in groups) > 3 * common.GROUP_BYTES
+        assert max(g.total_byte_size for g in groups) < 2 * common.GROUP_BYTES
